@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard
+from . import bpe, jaccard, suffix
 from .common import table
 
 
@@ -17,12 +17,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", codec).drop("text")
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").drop("text", "kept")
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), "doc_id", "text", width=3, percent=90).withColumnRenamed("id", "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op10_jaccard": op10_jaccard}
+    return {"op1_bpe": op1_bpe, "op4_suffix": op4_suffix, "op10_jaccard": op10_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
