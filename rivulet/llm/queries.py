@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, jaccard, suffix
-from .common import table
+from . import bpe, jaccard, langid, quality, suffix, toxicity
+from .common import is_held_out, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,16 +18,34 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", codec).drop("text")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = toxicity.scored(docs.select("doc_id", "text"), "text", toxicity.fit(docs, labels))
+    return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_segments"))
+
+
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").drop("text", "kept")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = quality.scored(docs.select("doc_id", "text"), "text", quality.fit(docs, labels))
+    return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identified(docs.select("doc_id", "text"), "text", langid.fit(docs))
+    return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), "doc_id", "text", width=3, percent=90).withColumnRenamed("id", "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op4_suffix": op4_suffix, "op10_jaccard": op10_jaccard}
+    return {"op1_bpe": op1_bpe, "op3_toxicity": op3_toxicity, "op4_suffix": op4_suffix, "op7_quality": op7_quality, "op8_langid": op8_langid, "op10_jaccard": op10_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:

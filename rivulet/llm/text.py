@@ -119,10 +119,10 @@ def separators(data: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Words of a batch in order: row, hash, length in bytes, and hashes of prefixes if asked for."""
+    """Words of a batch in order: row, hash, length in bytes, start in the row's text, and hashes of prefixes if asked for."""
 
-    def __init__(self, row, hashes, lengths, prefixes):
-        self.row, self.hash, self.length, self.prefix = row, hashes, lengths, prefixes
+    def __init__(self, row, hashes, lengths, starts, prefixes):
+        self.row, self.hash, self.length, self.start, self.prefix = row, hashes, lengths, starts, prefixes
 
     def bounds(self, rows: int) -> np.ndarray:
         """Offsets of each row's words."""
@@ -136,11 +136,11 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = NON_WORD, l
         piece, at = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         for low, high in cuts(piece, table) if last == first + 1 else [(0, len(piece))]:
             inner = np.clip(at, low, high) - low
-            row, h, length, short = _words(piece[low:high], inner, table, latin, prefixes)
-            parts.append((row + first, h, length, short))
+            row, h, length, start, short = _words(piece[low:high], inner, table, latin, prefixes)
+            parts.append((row + first, h, length, start + low - at[row], short))
     if not parts:
-        parts = [(np.empty(0, np.int64), np.empty(0, U64), np.empty(0, np.int64), [np.empty(0, U64) for _ in prefixes])]
-    return Words(*(np.concatenate([p[k] for p in parts]) for k in range(3)), [np.concatenate([p[3][k] for p in parts]) for k in range(len(prefixes))])
+        parts = [(np.empty(0, np.int64), np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64), [np.empty(0, U64) for _ in prefixes])]
+    return Words(*(np.concatenate([p[k] for p in parts]) for k in range(4)), [np.concatenate([p[4][k] for p in parts]) for k in range(len(prefixes))])
 
 
 def _words(data: np.ndarray, at: np.ndarray, table: np.ndarray, latin: bool, prefixes: tuple[int, ...]) -> tuple:
@@ -168,7 +168,7 @@ def _words(data: np.ndarray, at: np.ndarray, table: np.ndarray, latin: bool, pre
         for k in prefixes:
             cut = np.minimum(heads[np.minimum(nth + k, len(heads) - 1)], ends)
             short.append(mix((total[cut] - total[starts]) * down[starts]))
-    return np.searchsorted(at, starts, "right") - 1, hashes, ends - starts, short
+    return np.searchsorted(at, starts, "right") - 1, hashes, ends - starts, starts, short
 
 
 def shingles(found: Words, width: int, whole_if_short: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -204,3 +204,22 @@ def distinct_pairs(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarr
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
     return row[new], h[new]
+
+
+class Lookup:
+    """Positions of 64-bit hashes in a sorted list of them; a bit table lets most absent ones go at once."""
+
+    def __init__(self, known: np.ndarray):
+        self.known = np.sort(np.asarray(known, U64))
+        self.maybe = np.zeros(1 << 18, bool)
+        self.maybe[(self.known >> U64(46)).astype(np.int64)] = True
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The position of each in known, -1 if absent."""
+        out = np.full(len(h), -1, np.int64)
+        if len(self.known):
+            at = np.flatnonzero(self.maybe[(h >> U64(46)).astype(np.int64)])
+            slot = np.minimum(np.searchsorted(self.known, h[at]), len(self.known) - 1)
+            hit = self.known[slot] == h[at]
+            out[at[hit]] = slot[hit]
+        return out
