@@ -1,15 +1,64 @@
-"""Pipeline over documents."""
+"""Pipeline over documents: toxic documents and near copies go, repeated passages are cut, documents with benchmark passages go, the rest is tokenized."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from rivulet.llm import bpe, decontam, jaccard, suffix, toxicity
+from rivulet.llm.common import stored, table
+
+
+def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity is below 0.3. Null and empty texts stay."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, "text", model).filter("toxicity < 0.3").select(docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at 0.8 or more: the smallest id; of rows with one id, the one whose text hashes lowest. Rows with a null id stay."""
+    found = jaccard.jaccard_components(docs, "doc_id", "text", width=5, percent=80)
+    first = found.filter("id = component_id").select(F.col("id").alias("doc_id")).distinct()
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    kept = docs.join(first, "doc_id", "left_semi").withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(docs.columns)
+    return kept.union(docs.filter("doc_id is null"))
+
+
+def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 100-byte strings that occur earlier (characters cut in two stay whole). A document of which nothing but white space is left goes; one that had no more before stays."""
+    out = suffix.without_repeats(docs, "doc_id", "text", whole_characters=True)
+    lost = F.coalesce((F.col("n_removed") > 0) & (F.trim(F.regexp_replace("kept", r"\s+", " ")) == ""), F.lit(False))
+    text = F.when(F.col("text").isNotNull(), F.col("kept"))
+    return out.filter(~lost).withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, whole or paraphrased."""
+    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
+def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of what they decode to."""
+    import public_tokenizers
+
+    codec = bpe.Codec(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    return bpe.encoded(docs.select("doc_id", "lang", "source", "text"), "text", codec).drop("text")
+
+
+STAGES = [
+    ("toxicity", clean_of_toxicity),
+    ("near_duplicates", without_near_copies),
+    ("repeated_passages", without_repeated_passages),
+    ("decontamination", without_benchmark),
+    ("tokenization", tokenized),
+]
+#: Learned scores and tokens can't be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, quality, suffix, toxicity
+from . import ann, bpe, decontam, jaccard, langid, lm, quality, suffix, toxicity, warc
 from .common import is_held_out, table
 
 
@@ -18,6 +18,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", codec).drop("text")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = toxicity.scored(docs.select("doc_id", "text"), "text", toxicity.fit(docs, labels))
@@ -28,6 +33,16 @@ def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").drop("text", "kept")
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ann.Index(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return index.search(index.rows.filter("id % 100 = 0"), 10).withColumnRenamed("id", "vec_id")
+
+
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm.scored(docs, "text", lm.fit(docs)).drop("text")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = quality.scored(docs.select("doc_id", "text"), "text", quality.fit(docs, labels))
@@ -40,12 +55,18 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.archived(table(spark, sf_dir, "pages"))
+    return warc.salvaged(archives).filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), "doc_id", "text", width=3, percent=90).withColumnRenamed("id", "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_toxicity": op3_toxicity, "op4_suffix": op4_suffix, "op7_quality": op7_quality, "op8_langid": op8_langid, "op10_jaccard": op10_jaccard}
+    every = [op1_bpe, op2_decontamination, op3_toxicity, op4_suffix, op5_neighbours, op6_lm, op7_quality, op8_langid, op9_warc, op10_jaccard]
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
