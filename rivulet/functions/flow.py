@@ -197,13 +197,10 @@ def multiply32(x: Column, factor: int) -> Column:
 
 
 def mix32(x: Column, seed: int = 0) -> Column:
-    """A 32-bit finaliser of a non-negative integer. Multipliers are fixed values."""
-    h = x.cast("long").bitwiseXOR(F.lit(seed).cast("long")).bitwiseAND(4294967295)
-    h = h.bitwiseXOR(F.shiftrightunsigned(h, 16))
-    h = multiply32(h, 0x7FEB352D)
-    h = h.bitwiseXOR(F.shiftrightunsigned(h, 15))
-    h = multiply32(h, 0x846CA68B)
-    return h.bitwiseXOR(F.shiftrightunsigned(h, 16))
+    """A 32-bit hash of a non-negative integer. Multipliers and shifts are fixed values."""
+    h = multiply32(x.cast("long").bitwiseXOR(F.lit(seed).cast("long")).bitwiseAND(4294967295), 0x9E3779B1)
+    h = multiply32(h.bitwiseXOR(F.shiftrightunsigned(h, 15)), 0x85EBCA77)
+    return h.bitwiseXOR(F.shiftrightunsigned(h, 13))
 
 
 def leading_zeros32(x: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import projections
+from . import detection, projections
 from .tables import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "projections"]
+__all__ = ["QUERIES", "SQL", "detection", "projections"]

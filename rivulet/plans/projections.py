@@ -140,12 +140,15 @@ def additive_attr(spark, sf):
     return flows(spark, sf).withColumn("t", top).select("seq", F.col("t")[0]["feature"].alias("first"), F.col("t")[1]["feature"].alias("second"), F.col("t")[2]["feature"].alias("third"))
 
 
-MIX = "xor(h, h >> 16)"
+def mix32_sql(x: str, seed: int) -> str:
+    """The hash of flow.mix32 as a SQL expression."""
+    h = f"CAST((xor({x}, {seed}::BIGINT)::HUGEINT * 2654435761) % 4294967296 AS BIGINT)"
+    h = f"CAST((xor({h}, {h} >> 15)::HUGEINT * 2246822519) % 4294967296 AS BIGINT)"
+    return f"xor({h}, {h} >> 13)"
 
 
-@query("""WITH a AS (SELECT c_custkey AS x, xor(c_custkey, 42) & 4294967295 AS h FROM customer), b AS (SELECT x, xor(h, h >> 16) AS h FROM a), c AS (SELECT x, CAST((h::HUGEINT * 2146121005) % 4294967296 AS BIGINT) AS h FROM b),
- d AS (SELECT x, xor(h, h >> 15) AS h FROM c), e AS (SELECT x, CAST((h::HUGEINT * 2221713035) % 4294967296 AS BIGINT) AS h FROM d), f AS (SELECT x, xor(h, h >> 16) AS h FROM e)
- SELECT x AS c_custkey, h AS mixed, CASE WHEN h = 0 THEN 32 ELSE 32 - length(bin(h)) END AS zeros FROM f""")
+@query(f"""WITH f AS (SELECT c_custkey, {mix32_sql("c_custkey", 42)} AS h FROM customer)
+ SELECT c_custkey, h AS mixed, CASE WHEN h = 0 THEN 32 ELSE 32 - length(bin(h)) END AS zeros FROM f""")
 def mix_hash(spark, sf):
     h = fx.mix32(F.col("c_custkey"), 42)
     return table(spark, sf, "customer").select("c_custkey", h.alias("mixed"), fx.leading_zeros32(h).alias("zeros"))
