@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import detection, projections
+from . import detection, projections, states
 from .tables import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "detection", "projections"]
+__all__ = ["QUERIES", "SQL", "detection", "projections", "states"]
