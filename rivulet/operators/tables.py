@@ -103,7 +103,7 @@ def cardinality(regs: DataFrame, correct: bool = True) -> DataFrame:
 # --- resampling ------------------------------------------------------------
 def hashed_order(key: Column, seed: int) -> Column:
     """A fixed pseudo-random order: a linear congruence of the key, so any engine gives the same."""
-    return F.pmod(key * 1103515245 + seed * 12345 + 12345, F.lit(2147483648))
+    return F.pmod(F.pmod(key.cast("long"), F.lit(2147483648)) * 1103515245 + seed * 12345 + 12345, F.lit(2147483648))
 
 
 def undersampled(df: DataFrame, key: Column, label: Column, share: float, seed: int = 7) -> DataFrame:
