@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import data, detection, operations, projections, states
+from . import data, detection, models, operations, projections, states
 from .tables import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "data", "detection", "operations", "projections", "states"]
+__all__ = ["QUERIES", "SQL", "data", "detection", "models", "operations", "projections", "states"]
