@@ -8,17 +8,20 @@ with one segment more than that, one segment at least agrees (pigeonhole).
 Sizes go in bands, and m is fixed in a band, so segments can be joined by key.
 
 A segment that is all zero says little. While m is small its key is combined
-with each segment of a second dealing; for m over ``MANY`` it is left out: at
-the threshold, errors dealt at random leave about m / e segments untouched,
-and the chance that all of these are zero in both sets is below that of a
-collision of 64-bit hashes.
+with each segment of a second dealing; for m over ``MANY`` segments of no or
+one bit are left out: at the threshold, errors dealt at random leave about
+m / e segments untouched, and the chance that all of these have at most one bit
+is below that of a collision of 64-bit hashes.
 
 Of the documents that share a key, all are compared with the smallest (linear
 in the group). Groups that this leaves in several components are split by the
-segments of a second, fixed-size sketch, and the pairs left between different
-components are compared. So no group's pairs are listed, and no link between
-different components is missed. Comparisons first bound the difference by the
-fixed sketch, then intersect the sets.
+segments of a second, fixed-size sketch if they are large. Components that meet are
+compared as wholes first: the distance of their smallest members' sketches,
+less each component's radius, bounds the difference of any two members from
+below; this runs in numpy on blocks of bounded size, and only pairs that pass
+become rows and are opened. So no group's pairs are listed, and no link between
+different components is missed. Comparisons of documents too first bound the
+difference by the fixed sketch, then intersect the sets.
 
 Rows with equal sets are one class from the start. A null or empty text has no
 shingles and no links. Rows with one id are one node, linked as any of its
@@ -39,6 +42,8 @@ from .components import components
 from .text import MULTIPLIERS, SPACES, U64, distinct_pairs, mix, row_groups, shingles, utf8, words
 
 MANY = 64
+#: Groups over LARGE rows are split; blocks of at most about BLOCK components are compared at once.
+LARGE, BLOCK = 4096, 2048
 FILTER_BITS = 2048
 
 
@@ -99,9 +104,9 @@ def segment_keys(row: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int
             return mix(word ^ mix(at[owner].astype(U64) * MULTIPLIERS[30] + segment.astype(U64) * MULTIPLIERS[31] + np.asarray(salt).astype(U64) * MULTIPLIERS[32]))
 
         word = dealt(20)
-        full = word != 0
+        full = np.bitwise_count(word) > np.where(m[owner] > MANY, 1, 0)
         keys.append((chosen[owner[full]], key(word[full], owner[full], segment[full], 0)))
-        zero = np.flatnonzero(~full & (m[owner] <= MANY))
+        zero = np.flatnonzero((word == 0) & (m[owner] <= MANY))
         if len(zero):
             second = dealt(21)
             n = m[owner[zero]]
@@ -189,7 +194,7 @@ def verified(pairs: DataFrame, df: DataFrame, id_column: str, text: str, width:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ea", "eb").mapInArrow(count, "a long, b long").distinct()
 
 
-def split_by_sketch(rows: DataFrame, percent: int, small: int = 16) -> DataFrame:
+def split_by_sketch(rows: DataFrame, percent: int, small: int = LARGE) -> DataFrame:
     """rows (key, node, part, n, sketch, members) with keys of large groups replaced by a key for each segment of the fixed sketch; two sets similar enough still share one."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,15 +215,85 @@ def split_by_sketch(rows: DataFrame, percent: int, small: int = 16) -> DataFrame
                 for m in {1 << int(np.ceil(np.log2(x))) for x in (most[i], max(1, differing(percent, n[i] * percent // 100 + n[i]) + 1))}:
                     m = min(m, FILTER_BITS)
                     words = np.packbits(np.pad(bits[i].reshape(m, -1), ((0, 0), (0, -(FILTER_BITS // m) % 8))), axis=1).astype(U64)
-                    value = (words * MULTIPLIERS[np.arange(words.shape[1]) % 64]).sum(1, dtype=U64) if m <= FILTER_BITS // 2 else np.zeros(1, U64)
+                    value = (words * MULTIPLIERS[np.arange(words.shape[1]) % 64]).sum(1, dtype=U64) if m <= FILTER_BITS // 2 else np.ones(1, U64)
+                    value = mix(value ^ mix(np.arange(len(value), dtype=U64) * MULTIPLIERS[50] + U64(m) * MULTIPLIERS[51] + key[i : i + 1].view(U64)))[(value != 0) | (m < 16)]
                     of.append(np.full(len(value), i))
-                    out.append(mix(value ^ mix(np.arange(len(value), dtype=U64) * MULTIPLIERS[50] + U64(m) * MULTIPLIERS[51] + key[i : i + 1].view(U64))))
+                    out.append(value)
             index = pa.array(np.concatenate(of))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), *(batch.column(k).take(index) for k in (1, 2, 3))], names=["key", "node", "part", "n"])
 
     return rows.select("key", "node", "part", "n", "sketch", "members").mapInArrow(work, "key long, node long, part long, n long")
 
 
+def opened(cut: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different parts that share a key of cut (key, node, part, n), but those that the parts' centers and radii exclude."""
+    inside = cut.select("node", "part", "n").distinct().join(sketches.select("node", "sketch"), "node")
+    centers = sketches.select(F.col("node").alias("part"), F.col("sketch").alias("center"))
+
+    def radius(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if n:
+                x = utf8(batch.column(2))[0].view(U64).reshape(n, -1)
+                at = np.flatnonzero(~np.asarray(batch.column(3).is_null()))
+                far = np.full(n, FILTER_BITS)  # a part whose smallest id has no sketch of its own is never excluded
+                if len(at):
+                    y = utf8(batch.column(3).take(pa.array(at)))[0].view(U64).reshape(len(at), -1)
+                    far[at] = np.bitwise_count(x[at] ^ y).sum(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far.astype(np.int64))], names=["part", "n", "far"])
+
+    spread = inside.join(centers, "part", "left").select("part", "n", "sketch", "center").mapInArrow(radius, "part long, n long, far long").groupBy("part").agg(F.max("far").alias("far"), F.min("n").alias("low"), F.max("n").alias("high"))
+    width = FILTER_BITS // 8
+    parts = stored(spread.join(centers, "part", "left").withColumn("center", F.coalesce("center", F.lit(bytes(width)))), "parts")
+    of_key = cut.select("key", "part").distinct()
+    sizes = of_key.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("part"), "blocks").cast("int")
+    dealt = of_key.join(sizes, "key").select("key", "part", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "part").join(parts, "part")
+    group = ["key", "i", "j"]
+    streamed = placed.select(*group, "part", "far", "low", "high", "center").repartition(*group).sortWithinPartitions(*group)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def compared(rows: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
+            part, far, low, high = (rows.column(k).to_numpy() for k in (3, 4, 5, 6))
+            sketch = utf8(rows.column(7))[0].view(U64).reshape(len(part), -1)
+            found = []
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                for k in range(a, b - 1):
+                    rest = slice(k + 1, b)
+                    sized = (100 * high[k] >= percent * low[rest]) & (100 * high[rest] >= percent * low[k])
+                    at = np.flatnonzero(sized) + k + 1
+                    if len(at):
+                        distance = np.bitwise_count(sketch[at] ^ sketch[k]).sum(1).astype(np.int64)
+                        at = at[distance - far[at] - far[k] <= differing(percent, high[at] + high[k])]
+                        found.append(np.column_stack([np.minimum(part[at], part[k]), np.maximum(part[at], part[k])]))
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["p", "q"])
+
+        def starts(rows: pa.Table) -> np.ndarray:
+            code = np.column_stack([rows.column(k).to_numpy() for k in range(3)])
+            return np.append(0, np.flatnonzero((code[1:] != code[:-1]).any(1)) + 1)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows = pa.Table.from_batches(held)
+            begin = starts(rows)
+            if len(begin) > 1:  # the last group may go on
+                yield compared(rows, begin)
+                held = rows.slice(int(begin[-1])).to_batches()
+        if held:
+            rows = pa.Table.from_batches(held)
+            yield compared(rows, np.append(starts(rows), rows.num_rows))
+
+    close = stored(streamed.mapInArrow(near, "p long, q long").distinct(), "meeting")
+    rows = [cut.select("key", F.col("node").alias(a), F.col("part").alias(k), F.col("n").alias(f"n{a}")) for a, k in (("a", "p"), ("b", "q"))]
+    return rows[0].join(close, "p").join(rows[1], ["key", "q"]).filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def jaccard_components(df: DataFrame, id_column: str, text: str, width: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id) for each row of df: set size, and the smallest id reachable by links of percent or more.
 
@@ -230,11 +305,14 @@ def jaccard_components(df: DataFrame, id_column: str, text: str, width: int = 5,
     every = stored(sketched(df, id_column, text, width, percent), "sketches")
     real = every.filter("n > 0 and id is not null")
     classes = stored(real.groupBy("n", "fa", "fb").agg(F.min("id").alias("node")), "classes")
-    first = real.join(classes.select(F.col("node").alias("id"), "fa", "fb"), ["id", "fa", "fb"], "left_semi").dropDuplicates(["id", "fa", "fb"])
-    nodes = stored(first.select(F.col("id").alias("node"), "n", "sketch", "keys"), "nodes")
-    keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).filter("center <> last").select("key", "center")
-    members = stored(keyed.join(shared, "key"), "members")
+    first = real.select("id", "n", "fa", "fb", "sketch").join(classes.select(F.col("node").alias("id"), "fa", "fb"), ["id", "fa", "fb"], "left_semi")
+    nodes = stored(first.select(F.col("id").alias("node"), "n", "fa", "sketch").dropDuplicates(["node", "fa"]), "nodes")
+    keyed = real.select("fa", F.explode("keys").alias("key"))  # equal sets count as one: they have one fa
+    shared = stored(keyed.groupBy("key").agg(F.min("fa").alias("low"), F.max("fa").alias("high")).filter("low <> high").select("key"), "shared")
+    met = keyed.join(shared, "key", "left_semi").distinct().join(nodes.select("node", "n", "fa"), "fa").select("key", "node", "n")
+    met = stored(met, "met")
+    centers = met.groupBy("key").agg(F.min("node").alias("center"))
+    members = stored(met.join(centers, "key"), "members")
     sketches = nodes.select("node", "n", "sketch")
     star = stored(alike(members.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), sketches, percent), "pairs")
     links = stored(verified(star, df, id_column, text, width, percent), "verified")
@@ -250,8 +328,7 @@ def jaccard_components(df: DataFrame, id_column: str, text: str, width: int = 5,
     open_keys = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("members")).filter("x <> y and members > 2").select("key", "members")
     rest = placed.filter("node <> center").join(open_keys, "key").select("key", "node", "part", "members").join(sketches, "node")
     cut = stored(split_by_sketch(rest, percent), "open")
-    other = cut.select("key", F.col("node").alias("b"), F.col("part").alias("part_b"), F.col("n").alias("nb"))
-    left = cut.withColumnRenamed("node", "a").join(other, "key").filter(F.expr(f"a < b and part <> part_b and 100 * least(n, nb) >= {percent} * greatest(n, nb)")).select("a", "b").distinct()
+    left = opened(cut, sketches, percent)
     more = stored(alike(left, sketches, percent), "pairs")
     if more.limit(1).count():
         extra = stored(verified(more, df, id_column, text, width, percent), "verified")
