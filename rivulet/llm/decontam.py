@@ -179,7 +179,7 @@ def fitted(docs: DataFrame, text: str, items: Items, rank: int, common: float) -
     return space
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", cosine: float = 0.35, overlap: float = 0.7, answer: float = 0.5, min_words: int = 8, rank: int = 160, common: float = 0.005, contained: float = 0.45, block_items: int = 256) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", cosine: float = 0.35, overlap: float = 0.7, answer: float = 0.5, min_words: int = 8, rank: int = 160, common: float = 0.005, contained: float = 0.35, block_items: int = 256) -> DataFrame:
     """(id, item_id, overlap, answer): the items that each document holds. Clean documents have no row; rows with a null id are searched too."""
     small_batches(docs.sparkSession)
     schema = "id long, item_id long, overlap double, answer double"
