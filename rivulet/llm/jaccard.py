@@ -13,9 +13,10 @@ one bit are left out: at the threshold, errors dealt at random leave about
 m / e segments untouched, and the chance that all of these have at most one bit
 is below that of a collision of 64-bit hashes.
 
-Of the documents that share a key, all are compared with the smallest (linear
-in the group). Groups that this leaves in several components are split by the
-segments of a second, fixed-size sketch if they are large. Components that meet are
+Of the documents that share a key, the one that shares most keys with others is
+the center. Each document is compared with the center that it meets most often
+(one pair a document). Groups that this leaves in several components are split
+by the segments of a second, fixed-size sketch if they are large. Components that meet are
 compared as wholes first: the distance of their smallest members' sketches,
 less each component's radius, bounds the difference of any two members from
 below; this runs in numpy on blocks of bounded size, and only pairs that pass
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import discard, small_batches, stored
 from .components import components
 from .text import MULTIPLIERS, SPACES, U64, distinct_pairs, mix, row_groups, shingles, utf8, words
 
@@ -243,6 +244,7 @@ def opened(cut: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far.astype(np.int64))], names=["part", "n", "far"])
 
     spread = inside.join(centers, "part", "left").select("part", "n", "sketch", "center").mapInArrow(radius, "part long, n long, far long").groupBy("part").agg(F.max("far").alias("far"), F.min("n").alias("low"), F.max("n").alias("high"))
+    lone = inside.groupBy("part").agg(F.min("node").alias("only"), F.max("node").alias("last")).filter("only = last").select("part", "only")
     width = FILTER_BITS // 8
     parts = stored(spread.join(centers, "part", "left").withColumn("center", F.coalesce("center", F.lit(bytes(width)))), "parts")
     of_key = cut.select("key", "part").distinct()
@@ -257,18 +259,24 @@ def opened(cut: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
         held: list[pa.RecordBatch] = []
 
         def compared(rows: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
+            rows = rows.slice(0, int(bounds[-1]))
             part, far, low, high = (rows.column(k).to_numpy() for k in (3, 4, 5, 6))
             sketch = utf8(rows.column(7))[0].view(U64).reshape(len(part), -1)
             found = []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                for k in range(a, b - 1):
-                    rest = slice(k + 1, b)
-                    sized = (100 * high[k] >= percent * low[rest]) & (100 * high[rest] >= percent * low[k])
-                    at = np.flatnonzero(sized) + k + 1
-                    if len(at):
-                        distance = np.bitwise_count(sketch[at] ^ sketch[k]).sum(1).astype(np.int64)
-                        at = at[distance - far[at] - far[k] <= differing(percent, high[at] + high[k])]
-                        found.append(np.column_stack([np.minimum(part[at], part[k]), np.maximum(part[at], part[k])]))
+            group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            i, step = np.arange(int(bounds[-1])), 0
+            while len(i):  # all pairs at a distance of step rows in one go, over all groups
+                step += 1
+                i = i[i + step < len(group)]
+                i = i[group[i + step] == group[i]]
+                for x in (i[k : k + 4096] for k in range(0, len(i), 4096)):
+                    y = x + step
+                    sized = (100 * high[x] >= percent * low[y]) & (100 * high[y] >= percent * low[x])
+                    x, y = x[sized], y[sized]
+                    distance = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1).astype(np.int64)
+                    close = distance - far[x] - far[y] <= differing(percent, high[x] + high[y])
+                    x, y = part[x[close]], part[y[close]]
+                    found.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
             pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["p", "q"])
 
@@ -290,8 +298,13 @@ def opened(cut: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             yield compared(rows, np.append(starts(rows), rows.num_rows))
 
     close = stored(streamed.mapInArrow(near, "p long, q long").distinct(), "meeting")
+    # parts of one row each are a pair by themselves; others meet again by key
+    named = stored(close.join(lone.select(F.col("part").alias("p"), F.col("only").alias("a")), "p", "left").join(lone.select(F.col("part").alias("q"), F.col("only").alias("b")), "q", "left"), "meeting")
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    wide = named.filter("a is null or b is null").select("p", "q")
     rows = [cut.select("key", F.col("node").alias(a), F.col("part").alias(k), F.col("n").alias(f"n{a}")) for a, k in (("a", "p"), ("b", "q"))]
-    return rows[0].join(close, "p").join(rows[1], ["key", "q"]).filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = rows[0].join(wide, "p").join(rows[1], ["key", "q"]).filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    return named.filter("a is not null and b is not null").select(*ordered).union(met.select(*ordered)).distinct()
 
 
 def jaccard_components(df: DataFrame, id_column: str, text: str, width: int = 5, percent: int = 80) -> DataFrame:
@@ -302,8 +315,9 @@ def jaccard_components(df: DataFrame, id_column: str, text: str, width: int = 5,
     spark = df.sparkSession
     small_batches(spark)
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    every = stored(sketched(df, id_column, text, width, percent), "sketches")
-    real = every.filter("n > 0 and id is not null")
+    made = stored(sketched(df, id_column, text, width, percent), "sketches")
+    every = stored(made.select("id", "n", "fa", "fb"), "rows")
+    real = made.filter("n > 0 and id is not null")
     classes = stored(real.groupBy("n", "fa", "fb").agg(F.min("id").alias("node")), "classes")
     first = real.select("id", "n", "fa", "fb", "sketch").join(classes.select(F.col("node").alias("id"), "fa", "fb"), ["id", "fa", "fb"], "left_semi")
     nodes = stored(first.select(F.col("id").alias("node"), "n", "fa", "sketch").dropDuplicates(["node", "fa"]), "nodes")
@@ -311,22 +325,26 @@ def jaccard_components(df: DataFrame, id_column: str, text: str, width: int = 5,
     shared = stored(keyed.groupBy("key").agg(F.min("fa").alias("low"), F.max("fa").alias("high")).filter("low <> high").select("key"), "shared")
     met = keyed.join(shared, "key", "left_semi").distinct().join(nodes.select("node", "n", "fa"), "fa").select("key", "node", "n")
     met = stored(met, "met")
-    centers = met.groupBy("key").agg(F.min("node").alias("center"))
+    degrees = met.groupBy("node").agg(F.count("*").alias("degree"))
+    centers = met.join(degrees, "node").groupBy("key").agg(F.min(F.struct(-F.col("degree"), "node")).alias("first")).select("key", F.col("first.node").alias("center"))
     members = stored(met.join(centers, "key"), "members")
+    # ids with several texts
+    several = every.filter("n > 0 and id is not null").groupBy("id").agg(F.min("fa").alias("x"), F.max("fa").alias("y")).filter("x <> y").select("id")
+    discard(made, shared, met)
     sketches = nodes.select("node", "n", "sketch")
-    star = stored(alike(members.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), sketches, percent), "pairs")
+    meetings = members.filter("node <> center").groupBy("node", "center").agg(F.count("*").alias("c"))
+    usual = meetings.groupBy("node").agg(F.min(F.struct(-F.col("c"), "center")).alias("first")).select(F.col("first.center").alias("a"), F.col("node").alias("b"))
+    star = stored(alike(usual, sketches, percent), "pairs")
     links = stored(verified(star, df, id_column, text, width, percent), "verified")
-    # ids with several texts
-    several = real.groupBy("id").agg(F.min("fa").alias("x"), F.max("fa").alias("y")).filter("x <> y").select("id")
-    own = real.join(several, "id", "left_semi").join(classes, ["n", "fa", "fb"]).select(F.col("id").alias("a"), F.col("node").alias("b")).filter("a <> b")
+    own = every.join(several, "id", "left_semi").join(classes, ["n", "fa", "fb"]).select(F.col("id").alias("a"), F.col("node").alias("b")).filter("a <> b")
     links = stored(links.union(own), "verified")
     found = stored(components(links), "components")
 
     # groups that hold several components still
     part = F.coalesce("component", "node")
-    placed = members.join(found, "node", "left").select("key", "node", "n", "center", part.alias("part"))
-    open_keys = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("members")).filter("x <> y and members > 2").select("key", "members")
-    rest = placed.filter("node <> center").join(open_keys, "key").select("key", "node", "part", "members").join(sketches, "node")
+    placed = members.join(found, "node", "left").select("key", "node", "n", part.alias("part"))
+    open_keys = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("members")).filter("x <> y").select("key", "members")
+    rest = placed.join(open_keys, "key").select("key", "node", "part", "members").join(sketches, "node")
     cut = stored(split_by_sketch(rest, percent), "open")
     left = opened(cut, sketches, percent)
     more = stored(alike(left, sketches, percent), "pairs")
@@ -334,5 +352,5 @@ def jaccard_components(df: DataFrame, id_column: str, text: str, width: int = 5,
         extra = stored(verified(more, df, id_column, text, width, percent), "verified")
         if extra.limit(1).count():
             found = stored(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(extra)), "components")
-    labelled = every.select("id", "n", "fa", "fb").join(classes, ["n", "fa", "fb"], "left").join(found, "node", "left")
+    labelled = every.join(classes, ["n", "fa", "fb"], "left").join(found, "node", "left")
     return labelled.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id")).alias("component_id"))

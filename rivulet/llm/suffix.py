@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, small_batches, stored
+from .common import discard, extended, small_batches, stored
 from .text import BYTE_VALUES, MULTIPLIERS, U64, mix, powers, row_groups, utf8
 
 #: Bytes of text that a shard gets, about; pieces of one anchor that a shard gets at most.
@@ -260,6 +260,7 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
     every = stored(pieces(docs, length), "pieces")
     again = every.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
     kept = stored(every.join(again, "anchor", "left_semi"), "repeated")
+    discard(every)
     place = F.struct("doc", "at")
     firsts = stored(kept.groupBy("anchor", "piece").agg(F.min(place).alias("first"), F.count("*").alias("c")), "firsts")
     copies = firsts.filter("c > 1").select("anchor", "piece", "first")
@@ -279,7 +280,9 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
     ranged = shared.withColumn("range", F.pmod(F.xxhash64("anchor", "key"), F.lit(ranges)))
     across = ranged.select("range", "shard", "anchor", "key", "doc", "at").groupBy("range").applyInPandas(merge_runs, "doc long, at long").select("doc", F.shiftleft("at", COUNT_BITS).bitwiseOR(F.lit(1)).alias("at"))
     runs = later.union(local).union(across)
-    return stored(runs.groupBy("doc", F.shiftright("at", START_BITS).alias("tag")).agg(F.collect_list("at").alias("runs")), "runs")
+    out = stored(runs.groupBy("doc", F.shiftright("at", START_BITS).alias("tag")).agg(F.collect_list("at").alias("runs")), "runs")
+    discard(kept, firsts, open_pieces, bodies, found)
+    return out
 
 
 def spans(runs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
