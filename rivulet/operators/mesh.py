@@ -35,6 +35,38 @@ def merged_members(rumours: DataFrame, node: str = "node") -> DataFrame:
     return top.groupBy(node).agg(F.max(F.struct("incarnation", "worst", "heartbeat")).alias("m")).select(node, "m.incarnation", F.col("m.worst.state").alias("state"), "m.heartbeat")
 
 
+def refuted(members: DataFrame, rumours: DataFrame, node: str = "node") -> DataFrame:
+    """members with own incarnations raised above any rumour that calls the node suspect or dead at its incarnation or later."""
+    bad = rumours.filter(F.col("state").isin("SUSPECT", "DEAD")).groupBy(node).agg(F.max("incarnation").alias("__bad"))
+    own = F.when(F.col("__bad") >= F.col("incarnation"), F.col("__bad") + 1).otherwise(F.col("incarnation"))
+    return members.join(bad, node, "left").withColumn("incarnation", own).drop("__bad")
+
+
+def lamport(events: DataFrame, node: str, clock: str, order: list[str], first: int = 0) -> DataFrame:
+    """events with the receiver's clock after each: max(own, incoming) + 1 in order. Closed form: the n-th is n + max(first, incoming_j - j + 1 for j up to n)."""
+    w = Window.partitionBy(node).orderBy(*order)
+    n = F.row_number().over(w)
+    best = F.max(F.col(clock) - F.col("__n") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return events.withColumn("__n", n).withColumn("own_clock", F.col("__n") + F.greatest(F.lit(first), best)).drop("__n")
+
+
+def latest_telemetry(snapshots: DataFrame, node: str = "node", at: str = "us") -> DataFrame:
+    """The last snapshot of each node."""
+    return latest(snapshots, node, [-F.col(at), -F.col("seq")])
+
+
+def intel_by_origin(intel: DataFrame, origin: str, last: int = 60) -> DataFrame:
+    """Entries by origin among the most recent ones."""
+    return intel.orderBy(F.desc("us"), F.desc("seq")).limit(last).groupBy(origin).agg(F.count("*").alias("n"))
+
+
+def cpu_percent(samples: DataFrame, host: str, total: str, idle: str, order: str = "us") -> DataFrame:
+    """samples with the busy share since the host's last sample, from cumulative counters; 0 where time stands still."""
+    w = Window.partitionBy(host).orderBy(order)
+    span, rest = F.col(total) - F.lag(total).over(w), F.col(idle) - F.lag(idle).over(w)
+    return samples.withColumn("cpu_percent", F.when(span > 0, 100.0 * (span - rest) / F.nullif(span, F.lit(0))).otherwise(0.0))
+
+
 def health(members: DataFrame) -> DataFrame:
     """Members by state, and whether more than half are alive."""
     c = lambda s: F.count_if(F.col("state") == s)

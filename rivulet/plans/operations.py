@@ -123,6 +123,38 @@ def cluster_health(spark, sf):
     return mesh.health(_members(spark, sf))
 
 
+@query(f"{WITH}, x AS (SELECT seq, uid, port * 3 AS e, row_number() OVER (PARTITION BY uid ORDER BY us, seq) AS n FROM flows) SELECT seq, n + greatest(0, max(e - n + 1) OVER (PARTITION BY uid ORDER BY n)) AS own_clock FROM x")
+def lamport_clock(spark, sf):
+    e = flows(spark, sf).select("seq", "us", "uid", (F.col("port") * 3).alias("e"))
+    return mesh.lamport(e, "uid", "e", ["us", "seq"]).select("seq", "own_clock")
+
+
+@query(f"""{WITH}, {_MEMBERS}, b AS (SELECT node, max(incarnation) AS bad FROM m WHERE state IN ('SUSPECT', 'DEAD') GROUP BY node) SELECT g.node, CASE WHEN bad >= g.incarnation THEN bad + 1 ELSE g.incarnation END AS incarnation FROM g LEFT JOIN b ON b.node = g.node""")
+def refutation(spark, sf):
+    p = F.col("port") % 8
+    state = F.when(p == 0, "SUSPECT").when(p == 1, "DEAD").when(p == 2, "LEFT").otherwise("ALIVE")
+    rumours = flows(spark, sf).filter("seq % 3 = 0").select(F.col("uid").alias("node"), F.floor(F.col("port") / 25).alias("incarnation"), state.alias("state"))
+    return mesh.refuted(_members(spark, sf), rumours).select("node", "incarnation")
+
+
+@query(f"{WITH}, t AS (SELECT uid, len FROM flows QUALIFY row_number() OVER (PARTITION BY uid ORDER BY us DESC, seq DESC) = 1) SELECT count(*) AS nodes, round(sum(len), 4) AS total FROM t")
+def telemetry_latest(spark, sf):
+    t = flows(spark, sf).select(F.col("uid").alias("node"), "us", "seq", "len")
+    return mesh.latest_telemetry(t).agg(F.count("*").alias("nodes"), F.round(F.sum("len"), 4).alias("total"))
+
+
+@query(f"{WITH} SELECT proto, count(*) AS n FROM (SELECT proto FROM flows ORDER BY us DESC, seq DESC LIMIT 60) GROUP BY proto")
+def intel_by_origin(spark, sf):
+    return mesh.intel_by_origin(flows(spark, sf), "proto")
+
+
+@query(f"{WITH}, c AS (SELECT seq, uid, us, sum(port + 1) OVER (PARTITION BY uid ORDER BY us) AS t, sum((port + 1) // 3) OVER (PARTITION BY uid ORDER BY us) AS i FROM flows), d AS (SELECT seq, t - lag(t) OVER w AS dt, i - lag(i) OVER w AS di FROM c WINDOW w AS (PARTITION BY uid ORDER BY us)) SELECT seq, round(CASE WHEN dt > 0 THEN 100.0 * (dt - di) / dt ELSE 0 END, 6) AS cpu FROM d")
+def host_cpu(spark, sf):
+    w = Window.partitionBy("uid").orderBy("us")
+    s = flows(spark, sf).select("seq", "uid", "us", F.sum(F.col("port") + 1).over(w).alias("t"), F.sum(F.floor((F.col("port") + 1) / 3)).over(w).alias("i"))
+    return mesh.cpu_percent(s, "uid", "t", "i").select("seq", F.round("cpu_percent", 6).alias("cpu"))
+
+
 @query("""WITH c AS (SELECT n_nationkey AS k, n_nationkey % 3 AS x, n_nationkey % 4 AS y, n_nationkey % 5 AS z FROM nation)
  SELECT a.k AS a, b.k AS b, (a.x >= b.x AND a.y >= b.y AND a.z >= b.z) AND (a.x > b.x OR a.y > b.y OR a.z > b.z) AS dominates,
  ((a.x >= b.x AND a.y >= b.y AND a.z >= b.z) AND (a.x > b.x OR a.y > b.y OR a.z > b.z)) OR (NOT ((b.x >= a.x AND b.y >= a.y AND b.z >= a.z) AND (b.x > a.x OR b.y > a.y OR b.z > a.z)) AND a.k < b.k) AS takes,
