@@ -247,64 +247,75 @@ def opened(cut: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     lone = inside.groupBy("part").agg(F.min("node").alias("only"), F.max("node").alias("last")).filter("only = last").select("part", "only")
     width = FILTER_BITS // 8
     parts = stored(spread.join(centers, "part", "left").withColumn("center", F.coalesce("center", F.lit(bytes(width)))), "parts")
-    of_key = cut.select("key", "part").distinct()
-    sizes = of_key.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("part"), "blocks").cast("int")
-    dealt = of_key.join(sizes, "key").select("key", "part", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "part").join(parts, "part")
+    whole = cut.select("key", "part").distinct().join(parts, "part").select("key", F.col("part").alias("id"), "part", "far", "low", "high", F.col("center").alias("sketch"))
+    close = stored(compared_in_blocks(whole, percent), "meeting")
+    # parts of one row each are a pair by themselves; the rows of others are compared one by one
+    named = close.join(lone.select(F.col("part").alias("a"), F.col("only").alias("x")), "a", "left").join(lone.select(F.col("part").alias("b"), F.col("only").alias("y")), "b", "left")
+    named = stored(named, "meeting")
+    wide = named.filter("x is null or y is null")
+    several = wide.select(F.col("a").alias("part")).union(wide.select("b")).distinct()
+    rows = cut.join(several, "part", "left_semi").join(sketches.select("node", "sketch"), "node")
+    single = rows.select("key", F.col("node").alias("id"), "part", F.lit(0).cast("long").alias("far"), F.col("n").alias("low"), F.col("n").alias("high"), "sketch")
+    pairs = named.filter("x is not null and y is not null").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return pairs.union(compared_in_blocks(single, percent)).distinct()
+
+
+def compared_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ids of different parts in rows (key, id, part, far, low, high, sketch) that share a key and may be similar: the distance of their sketches, less what each may be off (far), is no more than sizes up to high allow.
+
+    Each key's rows are dealt over blocks of bounded size, and pairs of blocks are
+    groups that stream through numpy; only pairs that pass become rows.
+    """
+    sizes = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), "blocks").cast("int")
+    dealt = rows.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = ["key", "i", "j"]
-    streamed = placed.select(*group, "part", "far", "low", "high", "center").repartition(*group).sortWithinPartitions(*group)
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def compared(rows: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
-            rows = rows.slice(0, int(bounds[-1]))
-            part, far, low, high = (rows.column(k).to_numpy() for k in (3, 4, 5, 6))
-            sketch = utf8(rows.column(7))[0].view(U64).reshape(len(part), -1)
-            found = []
-            group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-            i, step = np.arange(int(bounds[-1])), 0
-            while len(i):  # all pairs at a distance of step rows in one go, over all groups
-                step += 1
-                i = i[i + step < len(group)]
-                i = i[group[i + step] == group[i]]
-                for x in (i[k : k + 4096] for k in range(0, len(i), 4096)):
-                    y = x + step
-                    sized = (100 * high[x] >= percent * low[y]) & (100 * high[y] >= percent * low[x])
-                    x, y = x[sized], y[sized]
+    placed = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "part", "far", "low", "high", "sketch")
+    streamed = placed.repartition(*group).sortWithinPartitions(*group)
+
+    def compared(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
+        table = table.slice(0, int(bounds[-1]))
+        ids, part, far, low, high = (table.column(k).to_numpy() for k in range(3, 8))
+        sketch = utf8(table.column(8))[0].view(U64).reshape(len(ids), -1)
+        found = [np.empty((0, 2), np.int64)]
+        group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        i, step = np.arange(int(bounds[-1])), 0
+        while len(i):  # all pairs at a distance of step rows in one go, over all groups
+            step += 1
+            i = i[i + step < len(group)]
+            i = i[group[i + step] == group[i]]
+            for x in (i[k : k + 4096] for k in range(0, len(i), 4096)):
+                y = x + step
+                able = (part[x] != part[y]) & (100 * high[x] >= percent * low[y]) & (100 * high[y] >= percent * low[x])
+                x, y = x[able], y[able]
+                if len(x):
                     distance = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1).astype(np.int64)
-                    close = distance - far[x] - far[y] <= differing(percent, high[x] + high[y])
-                    x, y = part[x[close]], part[y[close]]
+                    near = distance - far[x] - far[y] <= differing(percent, high[x] + high[y])
+                    x, y = ids[x[near]], ids[y[near]]
                     found.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["p", "q"])
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-        def starts(rows: pa.Table) -> np.ndarray:
-            code = np.column_stack([rows.column(k).to_numpy() for k in range(3)])
-            return np.append(0, np.flatnonzero((code[1:] != code[:-1]).any(1)) + 1)
+    def starts(table: pa.Table) -> np.ndarray:
+        code = np.column_stack([table.column(k).to_numpy() for k in range(3)])
+        return np.append(0, np.flatnonzero((code[1:] != code[:-1]).any(1)) + 1)
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            rows = pa.Table.from_batches(held)
-            begin = starts(rows)
+            table = pa.Table.from_batches(held)
+            begin = starts(table)
             if len(begin) > 1:  # the last group may go on
-                yield compared(rows, begin)
-                held = rows.slice(int(begin[-1])).to_batches()
+                yield compared(table, begin)
+                held = table.slice(int(begin[-1])).to_batches()
         if held:
-            rows = pa.Table.from_batches(held)
-            yield compared(rows, np.append(starts(rows), rows.num_rows))
-
-    close = stored(streamed.mapInArrow(near, "p long, q long").distinct(), "meeting")
-    # parts of one row each are a pair by themselves; others meet again by key
-    named = stored(close.join(lone.select(F.col("part").alias("p"), F.col("only").alias("a")), "p", "left").join(lone.select(F.col("part").alias("q"), F.col("only").alias("b")), "q", "left"), "meeting")
-    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    wide = named.filter("a is null or b is null").select("p", "q")
-    rows = [cut.select("key", F.col("node").alias(a), F.col("part").alias(k), F.col("n").alias(f"n{a}")) for a, k in (("a", "p"), ("b", "q"))]
-    met = rows[0].join(wide, "p").join(rows[1], ["key", "q"]).filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return named.filter("a is not null and b is not null").select(*ordered).union(met.select(*ordered)).distinct()
+            table = pa.Table.from_batches(held)
+            yield compared(table, np.append(starts(table), table.num_rows))
+
+    return streamed.mapInArrow(work, "a long, b long").distinct()
 
 
 def jaccard_components(df: DataFrame, id_column: str, text: str, width: int = 5, percent: int = 80) -> DataFrame:
