@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import flow as fx
+from .ordered import range_bucket
 from .tables import latest
 
 # Energy of the network card, and grams of CO2 a kWh.
@@ -130,6 +131,18 @@ def upper_median(value: str) -> Column:
     return F.element_at(F.array_sort(F.collect_list(value)), (F.floor(F.count(value) / 2) + 1).cast("int"))
 
 
+def upper_medians(df: DataFrame, key: str, value: str, buckets: int = 1024) -> DataFrame:
+    """(key, median): upper_median of each key's numbers without gathering them. Totals of value ranges show which range holds the middle; only that range is sorted."""
+    marks = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("__k"))
+    low, high = marks.agg(F.min(value), F.max(value)).first()
+    placed = marks.withColumn("__b", range_bucket(F.col(value), low or 0.0, high or 0.0, buckets))
+    w = Window.partitionBy(key)
+    reached = placed.groupBy(key, "__b").agg(F.sum("__k").alias("__n")).withColumn("__to", F.sum("__n").over(w.orderBy("__b"))).withColumn("__middle", F.floor(F.sum("__n").over(w) / 2) + 1)
+    held = reached.filter((F.col("__to") >= F.col("__middle")) & (F.col("__to") - F.col("__n") < F.col("__middle"))).select(key, "__b", "__middle", (F.col("__to") - F.col("__n")).alias("__below"))
+    run = F.col("__below") + F.sum("__k").over(w.orderBy(value))
+    return placed.join(held, [key, "__b"]).withColumn("__run", run).filter(F.col("__run") >= F.col("__middle")).groupBy(key).agg(F.min(value).alias("median"))
+
+
 def phi(beats: DataFrame, key: str, at_ms: str, window: int = 200, floor: float = 50.0, first: float = 750.0) -> DataFrame:
     """beats with phi just before each: suspicion from the gaps of the beats before it."""
     w = Window.partitionBy(key).orderBy(at_ms)

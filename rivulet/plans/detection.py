@@ -160,6 +160,14 @@ def conformal_p(spark, sf):
     return out.select("seq", F.round("p", 6).alias("p"))
 
 
+@query(f"""{WITH}, c AS (SELECT score, count(*) AS k FROM flows WHERE label = 0 GROUP BY 1), n AS (SELECT sum(k) AS n FROM c)
+ SELECT f.seq, round((1 + coalesce((SELECT sum(k) FROM c WHERE c.score >= f.score), 0)) / ((SELECT n FROM n) + 1.0), 6) AS p FROM flows f""")
+def conformal_p_whole(spark, sf):
+    """Calibrated on all benign events."""
+    out = windows.conformal(flows(spark, sf), F.col("label") == 0)
+    return out.select("seq", F.round("p", 6).alias("p"))
+
+
 ECOD = """x AS (SELECT seq, score AS a, port / 100.0 AS b, (uid % 97) / 97.0 AS c FROM flows), n AS (SELECT count(*)::DOUBLE AS n FROM x),
  r AS (SELECT seq, count(*) OVER (ORDER BY a) / (n + 1) AS fa, count(*) OVER (ORDER BY b) / (n + 1) AS fb, count(*) OVER (ORDER BY c) / (n + 1) AS fc FROM x, n),
  s AS (SELECT seq, -ln(greatest(CASE WHEN fa > 0.5 THEN 1 - fa ELSE fa END, 1e-9)) AS sa, -ln(greatest(CASE WHEN fb > 0.5 THEN 1 - fb ELSE fb END, 1e-9)) AS sb, -ln(greatest(CASE WHEN fc > 0.5 THEN 1 - fc ELSE fc END, 1e-9)) AS sc FROM r)"""

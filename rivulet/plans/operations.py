@@ -107,10 +107,17 @@ _MEMBERS = f"""m AS (SELECT uid AS node, port // 25 AS incarnation, {_STATE} AS
  g AS (SELECT m.node, m.incarnation, arg_max(state, CASE state WHEN 'SUSPECT' THEN 1 WHEN 'LEFT' THEN 2 WHEN 'DEAD' THEN 3 ELSE 0 END) AS state, max(heartbeat) AS heartbeat FROM m JOIN t ON m.node = t.node AND m.incarnation = t.incarnation GROUP BY 1, 2)"""
 
 
-def _members(spark, sf):
+_ALL_MEMBERS = _MEMBERS.replace(" WHERE seq % 3 = 0", "")
+
+
+def _rumours(spark, sf, rows="seq % 3 = 0"):
     p = F.col("port") % 8
     state = F.when(p == 0, "SUSPECT").when(p == 1, "DEAD").when(p == 2, "LEFT").otherwise("ALIVE")
-    return mesh.merged_members(flows(spark, sf).filter("seq % 3 = 0").select(F.col("uid").alias("node"), F.floor(F.col("port") / 25).alias("incarnation"), state.alias("state"), F.col("seq").alias("heartbeat")))
+    return flows(spark, sf).filter(rows).select(F.col("uid").alias("node"), F.floor(F.col("port") / 25).alias("incarnation"), state.alias("state"), F.col("seq").alias("heartbeat"))
+
+
+def _members(spark, sf, rows="seq % 3 = 0"):
+    return mesh.merged_members(_rumours(spark, sf, rows))
 
 
 @query(f"{WITH}, {_MEMBERS} SELECT node, incarnation, state, heartbeat FROM g")
@@ -118,11 +125,22 @@ def member_merge(spark, sf):
     return _members(spark, sf)
 
 
+@query(f"{WITH}, {_ALL_MEMBERS} SELECT node, incarnation, state, heartbeat FROM g")
+def member_merge_whole(spark, sf):
+    """All events; member_merge has a third of them."""
+    return _members(spark, sf, "true")
+
+
 @query(f"{WITH}, {_MEMBERS} SELECT count(*) FILTER (state = 'ALIVE') AS alive, count(*) FILTER (state = 'SUSPECT') AS suspect, count(*) FILTER (state = 'DEAD') AS dead, count(*) FILTER (state = 'ALIVE') > count(*) / 2.0 AS quorum FROM g")
 def cluster_health(spark, sf):
     return mesh.health(_members(spark, sf))
 
 
+@query(f"{WITH}, {_ALL_MEMBERS} SELECT count(*) FILTER (state = 'ALIVE') AS alive, count(*) FILTER (state = 'SUSPECT') AS suspect, count(*) FILTER (state = 'DEAD') AS dead, count(*) FILTER (state = 'ALIVE') > count(*) / 2.0 AS quorum FROM g")
+def cluster_health_whole(spark, sf):
+    return mesh.health(_members(spark, sf, "true"))
+
+
 @query(f"{WITH}, x AS (SELECT seq, uid, port * 3 AS e, row_number() OVER (PARTITION BY uid ORDER BY us, seq) AS n FROM flows) SELECT seq, n + greatest(0, max(e - n + 1) OVER (PARTITION BY uid ORDER BY n)) AS own_clock FROM x")
 def lamport_clock(spark, sf):
     e = flows(spark, sf).select("seq", "us", "uid", (F.col("port") * 3).alias("e"))
@@ -131,10 +149,12 @@ def lamport_clock(spark, sf):
 
 @query(f"""{WITH}, {_MEMBERS}, b AS (SELECT node, max(incarnation) AS bad FROM m WHERE state IN ('SUSPECT', 'DEAD') GROUP BY node) SELECT g.node, CASE WHEN bad >= g.incarnation THEN bad + 1 ELSE g.incarnation END AS incarnation FROM g LEFT JOIN b ON b.node = g.node""")
 def refutation(spark, sf):
-    p = F.col("port") % 8
-    state = F.when(p == 0, "SUSPECT").when(p == 1, "DEAD").when(p == 2, "LEFT").otherwise("ALIVE")
-    rumours = flows(spark, sf).filter("seq % 3 = 0").select(F.col("uid").alias("node"), F.floor(F.col("port") / 25).alias("incarnation"), state.alias("state"))
-    return mesh.refuted(_members(spark, sf), rumours).select("node", "incarnation")
+    return mesh.refuted(_members(spark, sf), _rumours(spark, sf).drop("heartbeat")).select("node", "incarnation")
+
+
+@query(f"""{WITH}, {_ALL_MEMBERS}, b AS (SELECT node, max(incarnation) AS bad FROM m WHERE state IN ('SUSPECT', 'DEAD') GROUP BY node) SELECT g.node, CASE WHEN bad >= g.incarnation THEN bad + 1 ELSE g.incarnation END AS incarnation FROM g LEFT JOIN b ON b.node = g.node""")
+def refutation_whole(spark, sf):
+    return mesh.refuted(_members(spark, sf, "true"), _rumours(spark, sf, "true").drop("heartbeat")).select("node", "incarnation")
 
 
 @query(f"{WITH}, t AS (SELECT uid, len FROM flows QUALIFY row_number() OVER (PARTITION BY uid ORDER BY us DESC, seq DESC) = 1) SELECT count(*) AS nodes, round(sum(len), 4) AS total FROM t")
@@ -205,6 +225,11 @@ def upper_median(spark, sf):
     return flows(spark, sf).filter("seq % 10 = 3").groupBy("proto").agg(mesh.upper_median("len").alias("threshold"))
 
 
+@query(f"{WITH} SELECT proto, list_sort(list(len))[count(*) // 2 + 1] AS threshold FROM flows GROUP BY proto")
+def upper_median_whole(spark, sf):
+    return mesh.upper_medians(flows(spark, sf), "proto", "len").withColumnRenamed("median", "threshold")
+
+
 @query(f"""{WITH}, g AS (SELECT seq, uid, us / 1e3 AS ms, us / 1e3 - lag(us / 1e3) OVER (PARTITION BY uid ORDER BY us) AS gap FROM flows), s AS (SELECT seq, gap, count(gap) OVER w AS n, avg(gap) OVER w AS m, stddev_pop(gap) OVER w AS s FROM g WINDOW w AS (PARTITION BY uid ORDER BY ms ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING)),
  y AS (SELECT seq, gap, (gap - CASE WHEN n = 0 THEN 750 ELSE m END) / CASE WHEN n = 0 THEN 375 ELSE greatest(coalesce(s, 0), 50) END AS y FROM s),
  p AS (SELECT seq, gap, CASE WHEN y > 20 THEN 1e-10 ELSE 1 / (1 + exp(y * (1.5976 + 0.070566 * y * y))) END AS p FROM y)
