@@ -4,10 +4,10 @@ Each word is predicted from the two words before and the two after it (a
 padding id beyond the ends of its text): their embeddings go through a tanh
 layer to a softmax in two steps, class of word and word in its class. The
 commonest words of the corpus have ids of their own, others share ids by hash.
-Word counts come from all documents. Training masks every word whose position
-and hash fall in one of ``every`` residues, in every document: each partition
-trains its copy of the network in numpy, and copies are averaged by their
-numbers of words, for a given number of rounds. A document's score is the sum
+Word counts come from all documents. Training masks each word of every document
+once a round, in ``every`` turns by residues of position and hash: each
+partition trains its copy of the network in numpy, and copies are averaged by
+their numbers of words, for a given number of rounds. A document's score is the sum
 of the log-probabilities of all its words, each masked in turn.
 
 Null and empty texts have no word, a sum of 0 and a null mean.
@@ -141,6 +141,11 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def dealt(h: np.ndarray, every: int) -> np.ndarray:
+    """The places of all words, in order of their turns: one of every residues of position and hash."""
+    return np.argsort(mix(h + np.arange(len(h), dtype=U64) * MULTIPLIERS[26]) % U64(every), kind="stable")
+
+
 class WindowModel:
     def __init__(self, vocabulary: Vocabulary, flat: np.ndarray):
         self.vocabulary, self.flat = vocabulary, flat.astype(np.float32)
@@ -168,7 +173,7 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = 1, every: int = 8, ra
                 for a, b in row_groups(offsets):
                     found = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                     ids = sent.value.vocabulary.ids(found.hash)
-                    at = np.flatnonzero(mix(found.hash + np.arange(len(ids), dtype=U64) * MULTIPLIERS[26]) % U64(every) == U64(turn % every))
+                    at = dealt(found.hash, every)
                     context = contexts(ids, found.row, at)
                     for k in range(0, len(at), batch):
                         train_step(w, context[k : k + batch], ids[at[k : k + batch]], rate / (1 + turn))

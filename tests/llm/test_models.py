@@ -126,6 +126,21 @@ def test_lm_learns_and_sums(corpus):
     assert np.allclose(np.exp(every.astype(float)).sum(0), 1, atol=1e-3)
 
 
+def test_lm_trains_on_every_word(spark):
+    import pyarrow as pa
+
+    def turns(text):
+        data, offsets = utf8(pa.array([text]))
+        h = words(data, offsets).hash
+        return lm.mix(h + np.arange(len(h), dtype=lm.U64) * lm.MULTIPLIERS[26]) % lm.U64(8)
+
+    text = next(t for t in (f"left{k} right{k} up{k}" for k in range(100)) if (turns(t) != 0).all())
+    docs = spark.createDataFrame([(k, text) for k in range(40)], "doc_id long, text string").coalesce(1)
+    before, after = (lm.scored(docs, "text", lm.fit(docs, rounds=r)).first().pseudo_log_likelihood for r in (0, 1))
+    assert after > before + 0.1
+    assert np.array_equal(np.sort(lm.dealt(np.arange(1000, dtype=lm.U64), 8)), np.arange(1000))
+
+
 def test_lm_gradient():
     draw = np.random.default_rng(1)
     flat = lm.start(np.ones(lm.IDS)).astype(np.float32)
