@@ -3,7 +3,9 @@
 Each word is predicted from the two words before and the two after it (a
 padding id beyond the ends of its text): their embeddings go through a tanh
 layer to a softmax in two steps, class of word and word in its class. The
-commonest words of the corpus have ids of their own, others share ids by hash.
+commonest words of the corpus have ids of their own, others share ids by hash;
+to these the log of the word's share of all words with its id is added, from
+the counts of all words, by a join. A word that no document had counts as one.
 Word counts come from all documents. Training masks each word of every document
 once a round, in ``every`` turns by residues of position and hash: each
 partition trains its copy of the network in numpy, and copies are averaged by
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +62,11 @@ class Vocabulary:
     def __init__(self, hashes: np.ndarray):
         """hashes: of the commonest words, at most IDS - SHARED. Ids are dealt over classes by a hash."""
         self.lookup = Lookup(hashes[: IDS - SHARED])
+        self.totals = np.zeros(SHARED)  # words with each shared id
+        self.counts: DataFrame | None = None  # (word, n) of all words; without it no shares are added
+
+    def __getstate__(self):
+        return self.__dict__ | {"counts": None}
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         slot = self.lookup.find(h)
@@ -141,6 +149,52 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def shared_totals(counted: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """The number of words with each shared id."""
+    sent = counted.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SHARED)
+        for batch in batches:
+            ids = sent.value.ids(batch.column(0).to_numpy().view(U64)) - (IDS - SHARED)
+            total += np.bincount(ids[ids >= 0], batch.column(1).to_numpy()[ids >= 0], SHARED)
+        yield vector_parts(total)
+
+    return summed(counted.select("word", "n").mapInArrow(work, "part long, body binary"), SHARED)
+
+
+def share_sums(df: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
+    """(__text, __share): for each text's hash, the sum of the logs of its words' shares of their ids."""
+    sent = df.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            key = batch.column(1).to_numpy()
+            for a, b in row_groups(offsets):
+                found = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                at = np.flatnonzero(sent.value.ids(found.hash) >= IDS - SHARED)
+                order = at[np.lexsort((found.hash[at], found.row[at]))]
+                row, h = found.row[order], found.hash[order]
+                first = np.append(True, row[1:] != row[:-1])[: len(row)]
+                new = np.flatnonzero(first | np.append(True, h[1:] != h[:-1])[: len(row)])
+                n = np.diff(np.append(new, len(row)))
+                # equal texts give equal rows: the number of their first words tells how many there are
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(key[a:b][row[new]]), pa.array(n * 2 + first[new])], names=["word", "__text", "n2"])
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            n2 = batch.column(3).to_numpy()
+            total = sent.value.totals[sent.value.ids(word.view(U64)) - (IDS - SHARED)]
+            log = np.where(n > 0, np.log(np.maximum(n, 1) / np.maximum(total, 1)), -np.log(total + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array((n2 >> 1) * log), pa.array(n2 & 1)], names=["__text", "share", "texts"])
+
+    used = df.select(F.col(text).alias("text"), F.xxhash64(text).alias("__text")).mapInArrow(rest, "word long, __text long, n2 long")
+    joined = used.join(vocabulary.counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"), "__text", "n2")
+    return joined.mapInArrow(shares, "__text long, share double, texts long").groupBy("__text").agg((F.sum("share") / F.sum("texts")).alias("__share"))
+
+
 def dealt(h: np.ndarray, every: int) -> np.ndarray:
     """The places of all words, in order of their turns: one of every residues of position and hash."""
     return np.argsort(mix(h + np.arange(len(h), dtype=U64) * MULTIPLIERS[26]) % U64(every), kind="stable")
@@ -154,13 +208,14 @@ class WindowModel:
 def fit(docs: DataFrame, text: str = "text", rounds: int = 1, every: int = 8, rate: float = 0.5, batch: int = 1024) -> WindowModel:
     """Fits on all documents; nothing gathered on the driver depends on their number."""
     small_batches(docs.sparkSession)
-    counted = word_counts(docs, text)
+    counted = word_counts(docs, text).persist(StorageLevel.DISK_ONLY)  # used by the ids, their totals and the shares
     top = counted.orderBy(F.desc("n"), "word").limit(IDS - SHARED).collect()
     vocabulary = Vocabulary(np.array([r.word for r in top], np.int64).view(U64))
     counts = np.zeros(IDS)
     counts[vocabulary.ids(np.array([r.word for r in top], np.int64).view(U64))] = [r.n for r in top]
-    everything = counted.agg(F.sum("n")).first()[0] or 0
-    counts[IDS - SHARED :] = max(1.0, (everything - counts.sum()) / SHARED)
+    vocabulary.totals = shared_totals(counted, vocabulary)
+    vocabulary.counts = counted
+    counts[IDS - SHARED :] = max(1.0, vocabulary.totals.sum() / SHARED)
     model = WindowModel(vocabulary, start(counts))
     for turn in range(rounds):
         sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -188,7 +243,7 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = 1, every: int = 8, ra
 
 
 def scored(df: DataFrame, text: str, model: WindowModel) -> DataFrame:
-    """df with n_words, pseudo_log_likelihood (the sum) and mean_log_probability. Narrow."""
+    """df with n_words, pseudo_log_likelihood (the sum) and mean_log_probability. Shuffles the words that share ids."""
     small_batches(df.sparkSession)
     made = {"n_words": "long", "pseudo_log_likelihood": "double", "mean_log_probability": "double"}
     df = df.drop(*made)
@@ -209,4 +264,11 @@ def scored(df: DataFrame, text: str, model: WindowModel) -> DataFrame:
             mean = pa.array(total / np.maximum(count, 1), mask=count == 0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(count), pa.array(total), mean], names=[*batch.schema.names, *made])
 
-    return df.mapInArrow(work, extended(df, made))
+    if model.vocabulary.counts is None or not model.vocabulary.totals.any():
+        return df.mapInArrow(work, extended(df, made))
+    shares = share_sums(df, text, model.vocabulary)
+    keyed = df.withColumn("__text", F.xxhash64(text))
+    out = keyed.mapInArrow(work, extended(keyed, made)).join(shares, "__text", "left")
+    total = F.col("pseudo_log_likelihood") + F.coalesce("__share", F.lit(0.0))
+    mean = F.when(F.col("n_words") > 0, total / F.col("n_words"))
+    return out.select(*df.columns, "n_words", total.alias("pseudo_log_likelihood"), mean.alias("mean_log_probability"))

@@ -141,6 +141,26 @@ def test_lm_trains_on_every_word(spark):
     assert np.array_equal(np.sort(lm.dealt(np.arange(1000, dtype=lm.U64), 8)), np.arange(1000))
 
 
+def test_lm_words_with_a_shared_id_differ(spark):
+    import pyarrow as pa
+
+    common = [f"common{k} " * 3 for k in range(lm.IDS - lm.SHARED)]
+    data, offsets = utf8(pa.array([" ".join(f"rare{k}" for k in range(4000))]))
+    h = words(data, offsets).hash
+    slot = lm.mix(h * lm.MULTIPLIERS[25]) % lm.U64(lm.SHARED)
+    one, two, three = (f"rare{k}" for k in np.flatnonzero(slot == slot[0])[:3])  # none of them is common
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*common, f"{one} {one}", two, one[:0], None, two])], "doc_id long, text string").repartition(3)
+    model = lm.fit(docs, rounds=0)
+    plain = lm.WindowModel(lm.Vocabulary(model.vocabulary.lookup.known), model.flat)
+    asked = spark.createDataFrame([(1, one), (2, two), (3, two), (4, three), (5, f"{one} {two} {one}"), (6, ""), (None, None), (7, common[0])], "doc_id long, text string")
+    rows = {r.doc_id: r for r in lm.scored(asked, "text", model).collect()}
+    before = {r.doc_id: r for r in lm.scored(asked, "text", plain).collect()}
+    added = {k: rows[k].pseudo_log_likelihood - before[k].pseudo_log_likelihood for k in before}
+    expected = {1: np.log(0.5), 2: np.log(0.5), 3: np.log(0.5), 4: -np.log(5), 5: 3 * np.log(0.5), 6: 0, None: 0, 7: 0}
+    assert len(rows) == 8 and all(abs(added[k] - v) < 1e-6 for k, v in expected.items())
+    assert rows[6].mean_log_probability is None and abs(rows[5].mean_log_probability * 3 - rows[5].pseudo_log_likelihood) < 1e-9
+
+
 def test_lm_gradient():
     draw = np.random.default_rng(1)
     flat = lm.start(np.ones(lm.IDS)).astype(np.float32)
