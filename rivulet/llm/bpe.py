@@ -11,12 +11,15 @@ Each pre-token is then resolved in two tiers:
 
 Nulls and empty texts give no ids. Any bytes can be encoded, as each single
 byte is a token; decoding joins the tokens' bytes, so it gives the input back.
-A single pre-token (letters without a space, say) may have two million bytes.
+A single pre-token (letters without a space, say) may have any length; those of
+over two million bytes take wider integers.
 """
 
 from __future__ import annotations
 
+import array
 import base64
+import functools
 import hashlib
 import heapq
 import unicodedata
@@ -224,39 +227,45 @@ class Codec:
         codes = (pair << 42 | place << 21 | place + 2)[real].tolist()
         bounds = np.append(0, np.cumsum(real))[np.append(0, np.cumsum(sizes))].tolist()
         singles, at, out = self.singles[data].tolist(), 0, []
-        pop, push, mask = heapq.heappop, heapq.heappush, (1 << 21) - 1
+        pop, push = heapq.heappop, heapq.heappush
         for k, piece in enumerate(pieces):
             n = len(piece)
             if n > 16 and piece in ranks:
                 out.append([ranks[piece]])
                 at += n
                 continue
-            if n > mask - 2:
-                raise ValueError("a pre-token of over two million bytes")
+            bits, mask = 21, (1 << 21) - 1
             heap = codes[bounds[k] : bounds[k + 1]]
-            heap.sort()
             ids = singles[at : at + n]
+            kind = list
+            if n > mask - 2:  # too long for one machine word
+                bits = n.bit_length()
+                mask = (1 << bits) - 1
+                own = np.flatnonzero(real[at : at + n])
+                heap = [rank << 2 * bits | i << bits | i + 2 for rank, i in zip(pair[at + own].tolist(), own.tolist(), strict=True)]
+                kind = functools.partial(array.array, "q")
+            heap.sort()
             at += n
-            stop = list(range(1, n + 1))  # the part at i ends here; 0: merged into one before it
-            before = list(range(-1, n))
+            stop = kind(range(1, n + 1))  # the part at i ends here; 0: merged into one before it
+            before = kind(range(-1, n))
             while heap:
                 code = pop(heap)
-                i, end = code >> 21 & mask, code & mask
+                i, end = code >> bits & mask, code & mask
                 middle = stop[i]
                 if not middle or middle >= end or stop[middle] != end:
                     continue
-                stop[i], stop[middle], ids[i] = end, 0, code >> 42
+                stop[i], stop[middle], ids[i] = end, 0, code >> 2 * bits
                 if end < n:
                     before[end] = i
                     right = stop[end]
                     rank = ranks.get(piece[i:right])
                     if rank is not None:
-                        push(heap, rank << 42 | i << 21 | right)
+                        push(heap, rank << 2 * bits | i << bits | right)
                 if i:
                     left = before[i]
                     rank = ranks.get(piece[left:end])
                     if rank is not None:
-                        push(heap, rank << 42 | left << 21 | end)
+                        push(heap, rank << 2 * bits | left << bits | end)
             out.append([x for x, s in zip(ids, stop, strict=True) if s])
         return out
 

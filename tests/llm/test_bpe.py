@@ -53,6 +53,16 @@ def test_slices_of_a_long_text_do_not_change_its_ids(codec, library):
     assert encode(codec, [long], 1 << 10)[0] == library.encode_ordinary(long)
 
 
+def test_pieces_of_over_two_million_bytes(codec, library):
+    draw = random.Random(7)
+    part = "".join(draw.choice("aeinrst") for _ in range(9_973))
+    rows = ["it's", part * 220, "it's"]
+    assert len(rows[1]) > 1 << 21
+    short, long, again = encode(codec, rows)
+    assert short == again == library.encode_ordinary("it's")
+    assert long == library._encode_single_piece(rows[1])  # its pattern takes no text of this length
+
+
 def test_perfect_hash_is_minimal_and_exact(codec, tokens):
     table = codec.table
     assert sorted(table.value.tolist()) == [i for i, t in enumerate(tokens) if len(t) <= 16]
