@@ -7,14 +7,17 @@ A of their TF-IDF rows (the benchmark's own rows weigh more) is never stored:
 the range of A'A is found by a randomised pass (Y = A'(A G), summed over all
 partitions, then orthogonalised), which gives the latent basis. A passage
 whose latent vector has a cosine of ``cosine`` or more with a benchmark
-passage's, and a share ``contained`` of that one's length, is a candidate. It is checked by the longest common subsequence of
-the item's words and those around the passage, and by the answer: the item's
-rarest terms, of which a share has to be there.
+passage's, and a share ``contained`` of that one's length, is a candidate. So is
+a stretch with as many of an item's word pairs as are left when words are
+replaced up to the allowed share: this doesn't depend on weights, so copies of
+an item that make its terms common don't hide it. Candidates are checked by the
+longest common subsequence of the item's words and those around them, and by
+the answer: the item's rarest terms, of which a share has to be there.
 
 Only the benchmark, in blocks of ``block_items``, and matrices of fixed width
 are broadcast; texts are not shuffled. Null and empty texts are clean; null and
-empty items match nothing; items of fewer than ``min_words`` words too, as
-they would match by chance.
+empty items match nothing; items of fewer than ``min_words`` words are found
+where all their words follow each other.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, summed, vector_parts
-from .text import U64, Lookup, row_groups, utf8, words
+from .text import MULTIPLIERS, U64, Lookup, mix, row_groups, utf8, words
 
 BLOCK = 24
 
@@ -96,6 +99,14 @@ class Space:
         return vector, norm, owner, (own, term)
 
 
+def runs(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n words that follow each other."""
+    out = h[: len(h) - n + 1].copy()
+    for k in range(1, n):
+        out = mix(out * MULTIPLIERS[27] + h[k : len(h) - n + 1 + k])
+    return out
+
+
 class Items:
     """Benchmark items of one block, as word hashes."""
 
@@ -106,6 +117,52 @@ class Items:
         keep = [k for k in range(len(ids)) if bounds[k + 1] - bounds[k] >= min_words]
         self.ids = [ids[k] for k in keep]
         self.words = [found.hash[bounds[k] : bounds[k + 1]] for k in keep]
+        self.short: dict[int, dict[int, list]] = {}  # number of words -> hash of all -> ids
+        for k in range(len(ids)):
+            n = int(bounds[k + 1] - bounds[k])
+            if 0 < n < min_words:
+                self.short.setdefault(n, {}).setdefault(int(runs(found.hash[bounds[k] : bounds[k + 1]], n)[0]), []).append(ids[k])
+        pairs = [np.unique(runs(w, 2)) if len(w) > 1 else np.empty(0, U64) for w in self.words]
+        self.n_pairs = np.array([len(x) for x in pairs], np.int64)
+        flat = np.concatenate([np.empty(0, U64), *pairs])
+        self.pairs = Lookup(np.unique(flat))
+        slot, item = self.pairs.find(flat), np.repeat(np.arange(len(pairs)), self.n_pairs)
+        order = np.argsort(slot, kind="stable")
+        self.pair_items = item[order]
+        self.pair_bounds = np.searchsorted(slot[order], np.arange(len(self.pairs.known) + 1))
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+
+    def exact(self, found) -> list[tuple[int, int]]:
+        """(row, id) of short items whose words follow each other."""
+        out: set[tuple[int, int]] = set()
+        for n, known in self.short.items():
+            if len(found.hash) >= n:
+                h = runs(found.hash, n)
+                at = np.flatnonzero(np.isin(h, np.array(list(known), U64)) & (found.row[: len(h)] == found.row[n - 1 :]))
+                out |= {(int(found.row[k]), i) for k in at for i in known[int(h[k])]}
+        return sorted(out)
+
+    def stretches(self, found, overlap: float) -> list[tuple[int, int, int]]:
+        """(row, item, first word) of stretches of twice an item's words that have the pairs left when a share 1 - overlap of its words are replaced."""
+        if len(found.hash) < 2 or not len(self.pair_items):
+            return []
+        slot = self.pairs.find(runs(found.hash, 2))
+        at = np.flatnonzero((slot >= 0) & (found.row[:-1] == found.row[1:]))
+        slot = slot[at]
+        many = np.diff(self.pair_bounds)[slot]
+        step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        item = self.pair_items[np.repeat(self.pair_bounds[slot], many) + step]
+        at, slot = np.repeat(at, many), np.repeat(slot, many)
+        window = at // self.sizes[item] + 1
+        count, wide, known = len(self.words), len(found.hash) + 2, len(self.pairs.known)
+        place = (found.row[at] * count + item) * wide + window
+        stretch = np.unique(np.concatenate([place * known + slot, (place - 1) * known + slot])) // known
+        stretch, n = np.unique(stretch, return_counts=True)
+        item = stretch // wide % count
+        lost = self.sizes - np.ceil(overlap * self.sizes - 1e-9).astype(np.int64)
+        ok = n >= np.maximum(1, self.n_pairs - 2 * lost)[item]
+        row, item, window = stretch[ok] // (wide * count), item[ok], stretch[ok] % wide - 1
+        return list(zip(row.tolist(), item.tolist(), (window * self.sizes[item]).tolist(), strict=True))
 
     def found(self):
         from .text import Words
@@ -190,11 +247,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     for g in range(groups):  # the benchmark is a query set, searched in blocks of bounded size
         part = numbered.filter(F.pmod(F.xxhash64("item", "text"), F.lit(groups)) == g).orderBy("item", "text").collect()
         items = Items([r.item for r in part], [r.text for r in part], min_words)
+        if not items.words and items.short:
+            out = out.union(searched_exactly(docs, id_column, text, items, schema))
         if items.words:
             out = out.union(searched(docs, id_column, text, items, fitted(docs, text, items, rank, common), cosine, contained, overlap, answer, schema))
     return out.groupBy("id", "item_id").agg(F.max("overlap").alias("overlap"), F.max("answer").alias("answer"))
 
 
+def searched_exactly(docs: DataFrame, id_column: str, text: str, items: Items, schema: str) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(items)
+
+    def search(_, columns, found, rows):
+        return hits(columns, [(r, i, 1.0, 1.0) for r, i in sent.value.exact(found)])
+
+    return mapped(docs.withColumn("__id", F.col(id_column).cast("long")), text, search, schema, before=("__id",))
+
+
+def hits(columns: list, rows: list[tuple]) -> pa.RecordBatch | None:
+    """A batch of (row, item id, overlap, answer)."""
+    if not rows:
+        return None
+    row, item, share, there = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([columns[0].take(pa.array(row)), pa.array(item, pa.int64()), pa.array(share, pa.float64()), pa.array(there, pa.float64())], names=["id", "item_id", "overlap", "answer"])
+
+
 def searched(docs: DataFrame, id_column: str, text: str, items: Items, space: Space, cosine: float, contained: float, overlap: float, answer: float, schema: str) -> DataFrame:
     own = items.found()
     query, _, item_of, _ = space.project(own, len(items.words), space.basis)
@@ -217,6 +293,19 @@ def searched(docs: DataFrame, id_column: str, text: str, items: Items, space: Sp
         out: dict[tuple[int, int], tuple[float, float]] = {}
         bounds = found.bounds(rows)
         first_block = np.searchsorted(owner, np.arange(rows))
+
+        def verify(row: int, item: int, begin: int, end: int) -> None:
+            goal = items.words[item]
+            if out.get((row, item), (0, 0))[0] == 1:
+                return
+            window = found.hash[max(bounds[row], begin - len(goal)) : min(bounds[row + 1], end + len(goal))]
+            there = float(np.isin(rare[item], window).mean())
+            if there < answer:
+                return
+            share = common_subsequence(goal, window) / len(goal)
+            if share >= overlap and (share, there) > out.get((row, item), (0, 0)):
+                out[row, item] = (share, there)
+
         for k in range(0, len(at), 4096):
             some = at[k : k + 4096]
             product = vector[some] @ query.T
@@ -224,21 +313,10 @@ def searched(docs: DataFrame, id_column: str, text: str, items: Items, space: Sp
             for p, q in zip(*np.nonzero(near), strict=True):
                 block, item = int(some[p]), int(item_of[q])
                 row = int(owner[block])
-                goal = items.words[item]
-                if out.get((row, item), (0, 0))[0] == 1:
-                    continue
                 begin = bounds[row] + (block - first_block[row]) * BLOCK
-                window = found.hash[max(bounds[row], begin - len(goal)) : min(bounds[row + 1], begin + 2 * BLOCK + len(goal))]
-                there = float(np.isin(rare[item], window).mean())
-                if there < answer:
-                    continue
-                share = common_subsequence(goal, window) / len(goal)
-                if share >= overlap and (share, there) > out.get((row, item), (0, 0)):
-                    out[row, item] = (share, there)
-        if out:
-            take = pa.array([r for r, _ in out])
-            yield_rows = [columns[0].take(take), pa.array([items.ids[i] for _, i in out], pa.int64()), pa.array([s for s, _ in out.values()], pa.float64()), pa.array([a for _, a in out.values()], pa.float64())]
-            return pa.RecordBatch.from_arrays(yield_rows, names=["id", "item_id", "overlap", "answer"])
-        return None
+                verify(row, item, begin, begin + 2 * BLOCK)
+        for row, item, begin in items.stretches(found, overlap):
+            verify(row, item, begin, begin + 2 * len(items.words[item]))
+        return hits(columns, [(r, items.ids[i], share, there) for (r, i), (share, there) in out.items()] + [(r, i, 1.0, 1.0) for r, i in items.exact(found)])
 
     return mapped(docs.withColumn("__id", F.col(id_column).cast("long")), text, search, schema, before=("__id",))

@@ -56,6 +56,22 @@ def test_leaks_and_clean_documents(spark):
     assert decontam.contaminated(frame, bench.limit(0)).count() == 0 == decontam.contaminated(frame.limit(0), bench).count()
 
 
+def test_paraphrases_of_hot_items_and_short_items(spark):
+    draw = random.Random(4)
+    words = [f"{a}{b}" for a in "bcdfghjklm" for b in ("ana", "oru", "ite", "eso", "ubi", "alo", "ens", "imo")]
+    text = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    item = ["bana", "onlyx", "coru", "dite", "feso", "onlyy", "gubi", "halo", "jens", "onlyz", "kimo", "lana"]
+    changed = [draw.choice(words) if w.startswith("only") else w for w in item]
+    docs = [(d, f"{text(200)} {' '.join(item if d < 30 else changed if d == 30 else [])} {text(150)}") for d in range(60)]
+    docs += [(70, f"{text(40)} Zeta, eta theta! {text(9)}"), (71, f"zeta {text(3)} eta theta"), (72, "zeta eta"), (73, "theta")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "zeta eta theta"), (3, "")], "item_id long, text string")
+    out = {(r.id, r.item_id): r for r in decontam.contaminated(frame, bench).collect()}
+    assert set(out) == {(d, 1) for d in range(31)} | {(70, 2)}
+    assert abs(out[30, 1].overlap - 0.75) < 0.18 and out[70, 2].overlap == out[70, 2].answer == 1
+    assert {(r.id, r.item_id) for r in decontam.contaminated(frame, bench.filter("item_id > 1")).collect()} == {(70, 2)}
+
+
 # --- nearest neighbours ----------------------------------------------------
 def vectors(n, seed=0):
     draw = np.random.default_rng(seed)
