@@ -184,6 +184,14 @@ def nearest_neighbours(spark, sf):
     return ops.nearest_rows(e, "vec_id", "embedding", 5).select("id", "rank", "neighbour", F.round("distance", 6).alias("distance"))
 
 
+@query()
+def nearest_neighbours_whole(spark, sf):
+    """Neighbours of the same class, in both classes."""
+    e = table(spark, sf, "embeddings")
+    of = lambda rows: ops.nearest_rows(e.filter(rows), "vec_id", "embedding", 5)
+    return of("label < 5").unionByName(of("label >= 5 OR label IS NULL")).select("id", "rank", "neighbour", F.round("distance", 6).alias("distance"))
+
+
 @query(f"""WITH e AS (SELECT vec_id, {_VEC} AS v, label < 5 AS y FROM embeddings), p AS (SELECT a.vec_id AS id, arg_min(b.vec_id, list_distance(a.v, b.v)) AS nb FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY 1)
  SELECT p.id, p.nb AS neighbour FROM p JOIN p q ON q.id = p.nb AND q.nb = p.id JOIN e a ON a.vec_id = p.id JOIN e b ON b.vec_id = p.nb WHERE a.y <> b.y""")
 def tomek_links(spark, sf):
@@ -201,6 +209,17 @@ def smote_knn(spark, sf):
     return out.select("number", "id", "neighbour", F.round(F.col("vector")[0], 6).alias("first"), F.round(F.col("vector")[63], 6).alias("last"))
 
 
+@query()
+def smote_knn_whole(spark, sf):
+    """As many points as the smaller class lacks, at a target ratio of 1."""
+    e = table(spark, sf, "embeddings").withColumn("y", F.coalesce(F.col("label") < 3, F.lit(False)))
+    sizes = {r.y: r["count"] for r in e.groupBy("y").count().collect()}
+    one, zero = sizes.get(True, 0), sizes.get(False, 0)
+    small = e.filter(F.col("y") == F.lit(one < zero))
+    out = ops.smote(small, "vec_id", "embedding", abs(zero - one) if one and zero else 0)
+    return out.select("number", "id", "neighbour", F.round(F.col("vector")[0], 6).alias("first"), F.round(F.col("vector")[63], 6).alias("last"))
+
+
 @query("SELECT n_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name ORDER BY customers DESC, n_name LIMIT 10")
 def top_labels(spark, sf):
     n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")

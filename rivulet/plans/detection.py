@@ -203,6 +203,15 @@ def hst_mass(spark, sf):
     return windows.half_space_mass(x, ["a", "b", "c"], SPLITS, LEVELS).select("seq", F.round("hst", 6).alias("hst"))
 
 
+@query()
+def hst_mass_whole(spark, sf):
+    """15 trees of depth 8."""
+    draw = np.random.default_rng(3)
+    splits, levels = draw.integers(0, 3, (15, 8)).tolist(), draw.random((15, 8)).tolist()
+    x = flows(spark, sf).select("seq", (F.col("score") * 2).alias("a"), (F.col("port") / 100.0).alias("b"), ((F.col("uid") % 97) / 97.0).alias("c"))
+    return windows.half_space_mass(x, ["a", "b", "c"], splits, levels).select("seq", F.round("hst", 6).alias("hst"))
+
+
 @query(f"""{WITH}, x AS (SELECT seq, score AS a, port / 100.0 AS b, seq // 500 AS k FROM flows), s AS (SELECT k, avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM x GROUP BY k),
  g AS (SELECT x.k, quantile_cont(sqrt((((a-ma)/(sa+1e-6))**2 + ((b-mb)/(sb+1e-6))**2) / 2), 0.97) AS gate FROM x JOIN s ON x.k = s.k GROUP BY x.k),
  d AS (SELECT x.seq, sqrt((((a-ma)/(sa+1e-6))**2 + ((b-mb)/(sb+1e-6))**2) / 2) AS d, gate FROM x LEFT JOIN s ON s.k = x.k - 1 LEFT JOIN g ON g.k = x.k - 1)

@@ -16,9 +16,9 @@ def _points(spark, sf):
 
 @query()
 def hdc_bundle(spark, sf):
-    x = table(spark, sf, "embeddings").select(F.col("vec_id").alias("seq"), (F.col("label") < 5).cast("int").alias("label"), *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(16)))
-    columns = [f"x{i}" for i in range(16)]
-    p = detectors.standardised(x, columns, detectors.Projection(16, 512))
+    x = table(spark, sf, "embeddings").select(F.col("vec_id").alias("seq"), (F.col("label") < 5).cast("int").alias("label"), *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)))
+    columns = [f"x{i}" for i in range(64)]
+    p = detectors.standardised(x, columns, detectors.Projection(64))
     return detectors.hyperdimensional(x, columns, detectors.bundled(x, columns, "label", p), p).select("seq", F.round("hdc", 6).alias("hdc"))
 
 
@@ -29,7 +29,7 @@ def spectral_residual(spark, sf):
 
 @query()
 def random_cuts(spark, sf):
-    return detectors.random_cuts(_points(spark, sf), "src", ["score", "b", "c"], trees=2).select("seq", F.round("rrcf", 6).alias("rrcf"))
+    return detectors.random_cuts(_points(spark, sf), "src", ["score", "b", "c"]).select("seq", F.round("rrcf", 6).alias("rrcf"))
 
 
 @query()

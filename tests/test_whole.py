@@ -2,10 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from rivulet.operators import mesh
+from rivulet.operators import detectors, mesh
 from rivulet.plans.catalogue import QUERIES
-from rivulet.plans.tables import flows
+from rivulet.plans.tables import flows, table
 
 TABLES = "/root/testdata/sf0.001"
 STATES = {0: "SUSPECT", 1: "DEAD", 2: "LEFT"}
@@ -57,3 +58,33 @@ def test_calibration_has_all_benign_events(spark, events):
     for r in events:
         above = len(benign) - np.searchsorted(benign, r.score)
         assert abs(out[r.seq] - (1 + above) / (len(benign) + 1)) < 1e-6
+
+
+def test_neighbours_of_both_classes_and_needed_points(spark):
+    rows = table(spark, TABLES, "embeddings").select("vec_id", "label", "embedding").collect()
+    x, y = {r.vec_id: np.array(r.embedding, float) for r in rows}, {r.vec_id: r.label < 5 for r in rows}
+    out = {}
+    for r in sorted(QUERIES["nearest_neighbours_whole"](spark, TABLES).collect(), key=lambda r: r.rank):
+        out.setdefault(r.id, []).append(r.neighbour)
+    assert set(out) == set(x)
+    for i in list(x)[::25]:
+        same = sorted((j for j in x if j != i and y[j] == y[i]), key=lambda j: (((x[i] - x[j]) ** 2).sum(), j))
+        assert out[i] == same[:5]
+    few = sum(r.label < 3 for r in rows)
+    made = QUERIES["smote_knn_whole"](spark, TABLES).collect()
+    assert len(made) == abs(len(rows) - 2 * few) and len({r.number for r in made}) == len(made)
+    assert all((next(r.label for r in rows if r.vec_id == m.id) < 3) == (2 * few < len(rows)) for m in made[::20])
+
+
+def test_detectors_have_their_full_size(spark, monkeypatch):
+    seen = {}
+    cuts, begin = detectors.random_cuts, detectors.Projection.__init__
+    monkeypatch.setattr(detectors, "random_cuts", lambda *a, trees=6, **k: seen.update(trees=trees) or cuts(*a, trees=trees, **k))
+    monkeypatch.setattr(detectors.Projection, "__init__", lambda self, n, dim=1024, seed=11: seen.update(n=n, dim=dim) or begin(self, n, dim, seed))
+    QUERIES["random_cuts"](spark, TABLES)
+    QUERIES["hdc_bundle"](spark, TABLES)
+    assert seen == {"trees": 6, "n": 64, "dim": 1024}
+    hst = QUERIES["hst_mass_whole"](spark, TABLES)
+    events = flows(spark, TABLES)
+    assert hst.count() == events.count()
+    assert hst.join(events.filter("seq < 250"), "seq").filter(F.col("hst") != 1).count() == 0
