@@ -14,9 +14,11 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests, one machine), a temporary one."""
+    """The folder of spark.checkpoint.dir; where it is unset and Spark runs on one machine (tests), a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
         folder = f"file://{tempfile.mkdtemp(prefix='rivulet-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     before = mark(edges)
     while before[0]:
-        edges = stored(tied(edges), "links")
+        previous, edges = edges, stored(tied(edges), "links")
+        discard(previous)
         now = mark(edges)
         if now == before:
             break

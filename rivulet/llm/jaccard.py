@@ -1,17 +1,18 @@
 """Join of documents whose sets of word n-grams have a Jaccard similarity of p percent or more.
 
-Parity sketches: a set's elements are dealt over m segments, and in each the
-64 bits that elements hash to are flipped (XOR). Each element in one set only
-flips one bit, so the Hamming distance is at most the symmetric difference.
-At similarity J that is at most (1 - J) / (1 + J) * (a + b) for sizes a and b;
-with one segment more than that, one segment at least agrees (pigeonhole).
-Sizes go in bands, and m is fixed in a band, so segments can be joined by key.
-
-A segment that is all zero says little. While m is small its key is combined
-with each segment of a second dealing; for m over ``MANY`` segments of no or
-one bit are left out: at the threshold, errors dealt at random leave about
-m / e segments untouched, and the chance that all of these have at most one bit
-is below that of a collision of 64-bit hashes.
+Parity sketches: a set's elements are dealt over m segments, and in each an
+element flips one bit of 2**32 (XOR). Each element in one set only flips one
+bit, so the Hamming distance, and all the more the number of segments that
+differ, is at most the symmetric difference d. At similarity J that is at most
+(1 - J) / (1 + J) * (a + b) for sizes a and b. Sizes go in bands, and m is fixed
+in a band, so segments can be joined by key: a hash of the segment's odd bits.
+
+Of n segments with an odd bit, n - d at least agree with a partner's (pigeonhole).
+So with keys in one order for all sets, the first that two sets share is among
+the first d + 1 of either, and only these are joined. A set with no more than d
+segments that aren't zero (a very small one, as m is chosen by size) is dealt
+again with another hash: what counts is one dealing in which either of a pair
+has enough. What is left after ``DEALINGS`` joins its zero segments as well.
 
 Of the documents that share a key, the one that shares most keys with others is
 the center. Each document is compared with the center that it meets most often
@@ -35,14 +36,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, small_batches, stored
 from .components import components
 from .text import MULTIPLIERS, SPACES, U64, distinct_pairs, mix, row_groups, shingles, utf8, words
 
-MANY = 64
+#: Times that a small set is dealt anew, at most.
+DEALINGS = 4
 #: Groups over LARGE rows are split; blocks of at most about BLOCK components are compared at once.
 LARGE, BLOCK = 4096, 2048
 FILTER_BITS = 2048
@@ -72,50 +74,53 @@ def parity(group: np.ndarray, h: np.ndarray, groups: int) -> np.ndarray:
     return out
 
 
+def segments_of(percent: int, top: np.ndarray) -> np.ndarray:
+    """The number of segments in bands of sizes up to top: few enough for several elements each, and enough that more than the differing ones aren't zero."""
+    f = max(0.02, (100 - percent) / (100 + percent) * (1 + 100 / percent))  # differing elements for each one of a set, at most
+    part = min(1.5 * f, (1 + f) / 2)
+    return np.maximum(differing(percent, 2 * top) + 2, np.ceil(top / (1.5 * (1 / part - 1))).astype(np.int64))
+
+
 def segment_keys(row: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) for joining; sizes: of each row's set."""
     edges = bands(percent, int(sizes.max(initial=0)))
+    edges = np.append(edges, max(edges[-1] + 1, int(edges[-1] / (percent / 100) ** 3)))
     band = np.searchsorted(edges, sizes, "right") - 1
-    keys: list[tuple[np.ndarray, np.ndarray]] = []
+    keys: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, U64))]
     for up in (0, 1):
         inside = sizes > 0
         if up:  # also in the next band, if a partner can be there
             inside &= 100 * sizes >= percent * edges[np.minimum(band + 1, len(edges) - 1)]
         chosen = np.flatnonzero(inside)
-        if not len(chosen):
-            continue
-        at = band[chosen] + up
-        top = np.append(edges, max(edges[-1] + 1, int(edges[-1] / (percent / 100) ** 3)))[at + 1] - 1
-        m = differing(percent, 2 * top) + 1
-        begin = np.cumsum(m) - m
-        index = np.full(len(sizes), -1, np.int64)
-        index[chosen] = np.arange(len(chosen))
-        own = index[row]
-        kept = own >= 0
-        own, value = own[kept], h[kept]
-        count = int(m.sum())
-        owner = np.repeat(np.arange(len(chosen)), m)
-        segment = np.arange(count) - begin[owner]
-
-        def dealt(salt: int, own=own, value=value, begin=begin, m=m, count=count) -> np.ndarray:
-            g = mix(value * MULTIPLIERS[salt])
-            return parity(begin[own] + (g % m[own].astype(U64)).astype(np.int64), g, count)
-
-        def key(word: np.ndarray, owner: np.ndarray, segment: np.ndarray, salt: np.ndarray | int, at=at) -> np.ndarray:
-            return mix(word ^ mix(at[owner].astype(U64) * MULTIPLIERS[30] + segment.astype(U64) * MULTIPLIERS[31] + np.asarray(salt).astype(U64) * MULTIPLIERS[32]))
-
-        word = dealt(20)
-        full = np.bitwise_count(word) > np.where(m[owner] > MANY, 1, 0)
-        keys.append((chosen[owner[full]], key(word[full], owner[full], segment[full], 0)))
-        zero = np.flatnonzero((word == 0) & (m[owner] <= MANY))
-        if len(zero):
-            second = dealt(21)
-            n = m[owner[zero]]
-            which = np.repeat(zero, n)
-            other = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            keys.append((chosen[owner[which]], key(second[begin[owner[which]] + other], owner[which], other, 1 + segment[which])))
-    if not keys:
-        return np.empty(0, np.int64), np.empty(0, U64)
+        top = edges[np.minimum(band[chosen] + up + 1, len(edges) - 1)] - 1
+        most = differing(percent, sizes[chosen] + np.minimum(top, sizes[chosen] * 100 // percent))
+        able = most > 0  # others are linked with equal sets only
+        chosen, top, most = chosen[able], top[able], most[able]
+        for salt in range(DEALINGS):
+            if not len(chosen):
+                break
+            at, m = band[chosen] + up, segments_of(percent, top)
+            begin = np.cumsum(m) - m
+            index = np.full(len(sizes), -1, np.int64)
+            index[chosen] = np.arange(len(chosen))
+            own = index[row]
+            g = mix(h[own >= 0] * MULTIPLIERS[20 + salt])
+            own = own[own >= 0]
+            word = np.zeros(int(m.sum()), U64)
+            np.bitwise_xor.at(word, begin[own] + (g % m[own].astype(U64)).astype(np.int64), mix((g >> U64(32)) * MULTIPLIERS[29]))
+            owner = np.repeat(np.arange(len(chosen)), m)
+            segment = np.arange(len(word)) - begin[owner]
+            few = np.bincount(owner[word != 0], minlength=len(chosen)) <= most
+            used = word != 0
+            if salt == DEALINGS - 1:
+                used |= few[owner]
+            owner, segment, word = owner[used], segment[used], word[used]
+            key = mix(word ^ mix(at[owner].astype(U64) * MULTIPLIERS[30] + segment.astype(U64) * MULTIPLIERS[31] + U64(salt) * MULTIPLIERS[32]))
+            order = np.lexsort((key, owner))
+            place = np.arange(len(order)) - np.searchsorted(owner, np.arange(len(chosen)))[owner]
+            order = order[(place <= most[owner]) | few[owner]]
+            keys.append((chosen[owner[order]], key[order]))
+            chosen, top, most = chosen[few], top[few], most[few]
     return np.concatenate([k for k, _ in keys]), np.concatenate([k for _, k in keys])
 
 
@@ -167,7 +172,7 @@ def alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, df: DataFrame, id_column: str, text: str, width: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of ids, those whose sets really are that similar."""
+    """Of pairs (a, b) of ids, those whose sets really are that similar; stored."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +197,9 @@ def verified(pairs: DataFrame, df: DataFrame, id_column: str, text: str, width:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     left, right = (sets.select(F.col("node").alias(k), F.col("elements").alias(f"e{k}")) for k in "ab")
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ea", "eb").mapInArrow(count, "a long, b long").distinct()
+    out = stored(pairs.join(right, "b").join(left, "a").select("a", "b", "ea", "eb").mapInArrow(count, "a long, b long").distinct(), "verified")
+    discard(sets)
+    return out
 
 
 def split_by_sketch(rows: DataFrame, percent: int, small: int = LARGE) -> DataFrame:
@@ -217,7 +224,7 @@ def split_by_sketch(rows: DataFrame, percent: int, small: int = LARGE) -> DataFr
                     m = min(m, FILTER_BITS)
                     words = np.packbits(np.pad(bits[i].reshape(m, -1), ((0, 0), (0, -(FILTER_BITS // m) % 8))), axis=1).astype(U64)
                     value = (words * MULTIPLIERS[np.arange(words.shape[1]) % 64]).sum(1, dtype=U64) if m <= FILTER_BITS // 2 else np.ones(1, U64)
-                    value = mix(value ^ mix(np.arange(len(value), dtype=U64) * MULTIPLIERS[50] + U64(m) * MULTIPLIERS[51] + key[i : i + 1].view(U64)))[(value != 0) | (m < 16)]
+                    value = mix(value ^ mix(np.arange(len(value), dtype=U64) * MULTIPLIERS[50] + U64(m) * MULTIPLIERS[51] + key[i : i + 1].view(U64)))[(value != 0) | (np.count_nonzero(value) < most[i])]  # zero ones only where too few others are sure to agree
                     of.append(np.full(len(value), i))
                     out.append(value)
             index = pa.array(np.concatenate(of))
@@ -227,7 +234,7 @@ def split_by_sketch(rows: DataFrame, percent: int, small: int = LARGE) -> DataFr
 
 
 def opened(cut: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different parts that share a key of cut (key, node, part, n), but those that the parts' centers and radii exclude."""
+    """Pairs (a, b) of nodes of different parts that share a key of cut (key, node, part, n), but those that the parts' centers and radii exclude; stored."""
     inside = cut.select("node", "part", "n").distinct().join(sketches.select("node", "sketch"), "node")
     centers = sketches.select(F.col("node").alias("part"), F.col("sketch").alias("center"))
 
@@ -251,13 +258,15 @@ def opened(cut: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     close = stored(compared_in_blocks(whole, percent), "meeting")
     # parts of one row each are a pair by themselves; the rows of others are compared one by one
     named = close.join(lone.select(F.col("part").alias("a"), F.col("only").alias("x")), "a", "left").join(lone.select(F.col("part").alias("b"), F.col("only").alias("y")), "b", "left")
-    named = stored(named, "meeting")
+    named = stored(named, "named")
     wide = named.filter("x is null or y is null")
     several = wide.select(F.col("a").alias("part")).union(wide.select("b")).distinct()
     rows = cut.join(several, "part", "left_semi").join(sketches.select("node", "sketch"), "node")
     single = rows.select("key", F.col("node").alias("id"), "part", F.lit(0).cast("long").alias("far"), F.col("n").alias("low"), F.col("n").alias("high"), "sketch")
     pairs = named.filter("x is not null and y is not null").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return pairs.union(compared_in_blocks(single, percent)).distinct()
+    out = stored(pairs.union(compared_in_blocks(single, percent)).distinct(), "left")
+    discard(parts, close, named)
+    return out
 
 
 def compared_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
@@ -321,8 +330,11 @@ def compared_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(df: DataFrame, id_column: str, text: str, width: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id) for each row of df: set size, and the smallest id reachable by links of percent or more.
 
-    Shuffles keys of 8 bytes, never texts but those in a candidate pair.
+    percent: from 60 (below, the differing elements may be as many as a set's own) to 100.
+    Shuffles keys of 8 bytes, never texts but those in a candidate pair. Other columns of df are not read.
     """
+    if not 60 <= percent <= 100:
+        raise ValueError("percent: from 60 to 100")
     spark = df.sparkSession
     small_batches(spark)
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
@@ -330,26 +342,28 @@ def jaccard_components(df: DataFrame, id_column: str, text: str, width: int = 5,
     every = stored(made.select("id", "n", "fa", "fb"), "rows")
     real = made.filter("n > 0 and id is not null")
     classes = stored(real.groupBy("n", "fa", "fb").agg(F.min("id").alias("node")), "classes")
-    first = real.select("id", "n", "fa", "fb", "sketch").join(classes.select(F.col("node").alias("id"), "fa", "fb"), ["id", "fa", "fb"], "left_semi")
-    nodes = stored(first.select(F.col("id").alias("node"), "n", "fa", "sketch").dropDuplicates(["node", "fa"]), "nodes")
-    keyed = real.select("fa", F.explode("keys").alias("key"))  # equal sets count as one: they have one fa
-    shared = stored(keyed.groupBy("key").agg(F.min("fa").alias("low"), F.max("fa").alias("high")).filter("low <> high").select("key"), "shared")
-    met = keyed.join(shared, "key", "left_semi").distinct().join(nodes.select("node", "n", "fa"), "fa").select("key", "node", "n")
-    met = stored(met, "met")
+    first = real.join(classes.select(F.col("node").alias("id"), "fa", "fb"), ["id", "fa", "fb"], "left_semi")
+    nodes = stored(first.select(F.col("id").alias("node"), "n", "fa", "sketch", "keys").dropDuplicates(["node", "fa"]), "nodes")
+    discard(made)
+    keyed = nodes.select(F.explode("keys").alias("key"), "node", "n")
+    of_key = Window.partitionBy("key")
+    shared = keyed.withColumns({"low": F.min("node").over(of_key), "high": F.max("node").over(of_key)}).filter("low <> high")
+    met = stored(shared.select("key", "node", "n").distinct(), "met")
     degrees = met.groupBy("node").agg(F.count("*").alias("degree"))
     centers = met.join(degrees, "node").groupBy("key").agg(F.min(F.struct(-F.col("degree"), "node")).alias("first")).select("key", F.col("first.node").alias("center"))
     members = stored(met.join(centers, "key"), "members")
+    discard(met)
     # ids with several texts
     several = every.filter("n > 0 and id is not null").groupBy("id").agg(F.min("fa").alias("x"), F.max("fa").alias("y")).filter("x <> y").select("id")
-    discard(made, shared, met)
     sketches = nodes.select("node", "n", "sketch")
     meetings = members.filter("node <> center").groupBy("node", "center").agg(F.count("*").alias("c"))
     usual = meetings.groupBy("node").agg(F.min(F.struct(-F.col("c"), "center")).alias("first")).select(F.col("first.center").alias("a"), F.col("node").alias("b"))
     star = stored(alike(usual, sketches, percent), "pairs")
-    links = stored(verified(star, df, id_column, text, width, percent), "verified")
+    sure = verified(star, df, id_column, text, width, percent)
     own = every.join(several, "id", "left_semi").join(classes, ["n", "fa", "fb"]).select(F.col("id").alias("a"), F.col("node").alias("b")).filter("a <> b")
-    links = stored(links.union(own), "verified")
+    links = stored(sure.union(own), "links")
     found = stored(components(links), "components")
+    discard(star, sure, links)
 
     # groups that hold several components still
     part = F.coalesce("component", "node")
@@ -357,11 +371,17 @@ def jaccard_components(df: DataFrame, id_column: str, text: str, width: int = 5,
     open_keys = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("members")).filter("x <> y").select("key", "members")
     rest = placed.join(open_keys, "key").select("key", "node", "part", "members").join(sketches, "node")
     cut = stored(split_by_sketch(rest, percent), "open")
+    discard(members)
     left = opened(cut, sketches, percent)
     more = stored(alike(left, sketches, percent), "pairs")
+    discard(cut, left, nodes)
     if more.limit(1).count():
-        extra = stored(verified(more, df, id_column, text, width, percent), "verified")
+        extra = verified(more, df, id_column, text, width, percent)
         if extra.limit(1).count():
-            found = stored(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(extra)), "components")
+            before = found
+            found = stored(components(before.select(F.col("node").alias("a"), F.col("component").alias("b")).union(extra)), "components")
+            discard(before)
+        discard(extra)
+    discard(more)
     labelled = every.join(classes, ["n", "fa", "fb"], "left").join(found, "node", "left")
     return labelled.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id")).alias("component_id"))

@@ -54,7 +54,7 @@ def corpus(seed, n):
     return rows + [(n, ""), (n + 1, None), (n + 2, " \n")]
 
 
-@pytest.mark.parametrize(("width", "percent", "seed"), [(3, 90, 1), (5, 80, 2)])
+@pytest.mark.parametrize(("width", "percent", "seed"), [(3, 90, 1), (5, 80, 2), (2, 60, 3)])
 def test_against_all_pairs(spark, width, percent, seed):
     rows = corpus(seed, 260)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -84,3 +84,36 @@ def test_sketch_distance_never_exceeds_the_difference():
         y[:30] = x[:30]
         s = [jaccard.parity((v % np.uint64(8)).astype(int), v, 8) for v in (x, y)]
         assert np.bitwise_count(s[0] ^ s[1]).sum() <= 20
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_pairs_at_the_threshold_share_a_key_and_others_do_not(percent):
+    draw = np.random.default_rng(percent)
+    new = lambda n: draw.integers(0, 2**63, n, dtype=np.uint64)
+    sets, pairs = [], 0
+    for size in [2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 20, 30, 60, 61, 120, 300, 1000, 3000]:
+        for _ in range(25):
+            for smaller in (percent * size // 100, size, (size + percent * size // 100) // 2):
+                both = -(-percent * (size + smaller) // (100 + percent))  # the least intersection that links them
+                if 0 < both <= min(size, smaller) and 100 * both >= percent * (size + smaller - both):
+                    shared = new(both)
+                    sets += [np.append(shared, new(size - both)), np.append(shared, new(smaller - both))]
+                    pairs += 1
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    sizes = np.array([len(x) for x in sets])
+    of, key = jaccard.segment_keys(row, np.concatenate(sets), sizes, percent)
+    own = [set() for _ in sets]
+    for r, k in zip(of.tolist(), key.tolist(), strict=True):
+        own[r].add(k)
+    equal = [set(sets[2 * k].tolist()) == set(sets[2 * k + 1].tolist()) for k in range(pairs)]
+    assert all(e or own[2 * k] & own[2 * k + 1] for k, e in enumerate(equal))
+    assert len(key) < sizes.sum()
+    groups: dict[int, set[int]] = {}
+    for r, k in zip(of.tolist(), key.tolist(), strict=True):
+        groups.setdefault(k, set()).add(r // 2)
+    assert sum(len(g) > 1 for g in groups.values()) <= 0.002 * len(groups)  # unrelated sets meet in zero segments of very small sets only
+
+
+def test_percent_below_its_range(spark):
+    with pytest.raises(ValueError):
+        jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text", 5, 50)
