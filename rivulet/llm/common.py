@@ -72,7 +72,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, id_column: str = "d
     totals = {r["__label"]: r["count"] for r in known.groupBy("__label").count().collect()}
     parts = [known.filter(F.col("__label") == c).orderBy(F.xxhash64("__id"), "__id").limit(per_class) for c in (0, 1)]
     ids = F.broadcast(parts[0].union(parts[1]))
-    return docs.join(ids, docs[id_column] == ids["__id"]).select(F.col(text).alias("text"), F.col("__label").alias("label")), {c: totals.get(c, 0) for c in (0, 1)}
+    own = docs.select(F.col(id_column).alias("__id"), F.col(text).alias("text"))
+    return own.join(ids, "__id").select("text", F.col("__label").alias("label")), {c: totals.get(c, 0) for c in (0, 1)}
 
 
 def summed(df: DataFrame, size: int, parts: int = 32) -> np.ndarray:
