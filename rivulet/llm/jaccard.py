@@ -23,7 +23,8 @@ less each component's radius, bounds the difference of any two members from
 below; this runs in numpy on blocks of bounded size, and only pairs that pass
 become rows and are opened. So no group's pairs are listed, and no link between
 different components is missed. Comparisons of documents too first bound the
-difference by the fixed sketch, then intersect the sets.
+difference by the fixed sketch, and by a second one as wide as large sets need,
+then intersect the sets.
 
 Rows with equal sets are one class from the start. A null or empty text has no
 shingles and no links. Rows with one id are one node, linked as any of its
@@ -132,8 +133,48 @@ def binary(values: np.ndarray, bounds: np.ndarray, kind=None) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * width).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
 
 
+class Sketches:
+    """The sketches of rows: a fixed one of FILTER_BITS, and for large sets one of 2**k words, 8 to 16 bits for each element that may differ."""
+
+    def __init__(self, fixed: pa.Array, wide: pa.Array):
+        self.fixed = utf8(fixed)[0].view(U64).reshape(len(fixed), -1)
+        data, offsets = utf8(wide)
+        self.wide, self.begin = data.view(U64), offsets[:-1] // 8
+        self.words = np.diff(offsets) // 8
+
+    def rows(self, at: np.ndarray, words: int, to: int) -> np.ndarray:
+        """Wide sketches of words words, folded: halves are flipped over each other, which moves bits as a smaller sketch would."""
+        out = self.wide[self.begin[at][:, None] + np.arange(words)]
+        while words > to:
+            words //= 2
+            out = out[:, :words] ^ out[:, words:]
+        return out
+
+
+def apart(a: Sketches, x: np.ndarray, b: Sketches, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hamming distances of rows x of a and y of b by the fixed sketch, and by the wide one, at the smaller size of the two (-1 where one has none)."""
+    fixed = np.bitwise_count(a.fixed[x] ^ b.fixed[y]).sum(1).astype(np.int64)
+    wide = np.full(len(x), -1, np.int64)
+    m, n = a.words[x], b.words[y]
+    sizes = m * (1 << 32) + n
+    for size in np.unique(sizes[(m > 0) & (n > 0)]):
+        at = np.flatnonzero(sizes == size)
+        for k in range(0, len(at), 1024):
+            some = at[k : k + 1024]
+            to = int(min(m[some[0]], n[some[0]]))
+            wide[some] = np.bitwise_count(a.rows(x[some], int(m[some[0]]), to) ^ b.rows(y[some], int(n[some[0]]), to)).sum(1)
+    return fixed, wide
+
+
+def wide_words(percent: int, sizes: np.ndarray) -> np.ndarray:
+    """Words of the wide sketches of sets; 0 where the fixed one is as good."""
+    most = differing(percent, sizes + sizes * 100 // percent)
+    words = np.maximum(1, 1 << np.ceil(np.log2(np.maximum(1, 8 * most / 64))).astype(np.int64))
+    return np.where(words * 64 > FILTER_BITS, words, 0)
+
+
 def sketched(df: DataFrame, id_column: str, text: str, width: int, percent: int) -> DataFrame:
-    """(id, n, fa, fb, sketch, keys) for each row: set size, two hashes of the set, the fixed sketch, and the keys for joining."""
+    """(id, n, fa, fb, sketch, wide, keys) for each row: set size, two hashes of the set, its sketches, and the keys for joining."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,27 +189,34 @@ def sketched(df: DataFrame, id_column: str, text: str, width: int, percent: int)
                 per = FILTER_BITS // 64
                 g = mix(h * MULTIPLIERS[12])
                 sketch = parity(row * per + (g % U64(per)).astype(np.int64), g, n * per)
+                w = wide_words(percent, sizes)
+                ends = np.cumsum(w)
+                large = w[row] > 0
+                at, v = row[large], g[large]
+                wide = np.zeros(int(ends[-1]), U64)
+                np.bitwise_xor.at(wide, (ends - w)[at] + ((v >> U64(6)) % w[at].astype(U64)).astype(np.int64), U64(1) << (v & U64(63)))
                 of, key = segment_keys(row, h, sizes, percent)
                 order = np.argsort(of, kind="stable")
                 bounds = np.searchsorted(of[order], np.arange(n + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], pa.array(sizes, pa.int64()), *(pa.array(p.view(np.int64)) for p in prints), binary(sketch, np.arange(n + 1) * per), binary(key[order].view(np.int64), bounds, pa.int64())], names=["id", "n", "fa", "fb", "sketch", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], pa.array(sizes, pa.int64()), *(pa.array(p.view(np.int64)) for p in prints), binary(sketch, np.arange(n + 1) * per), binary(wide, np.append(0, ends)), binary(key[order].view(np.int64), bounds, pa.int64())], names=["id", "n", "fa", "fb", "sketch", "wide", "keys"])
 
-    return df.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(work, "id long, n long, fa long, fb long, sketch binary, keys array<long>")
+    return df.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(work, "id long, n long, fa long, fb long, sketch binary, wide binary, keys array<long>")
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose sizes and fixed sketches allow the similarity. nodes: node, n, sketch."""
-    left, right = (nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
+    """Of pairs (a, b), those whose sizes and sketches allow the similarity. nodes: node, n, sketch, wide."""
+    left, right = (nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"), F.col("wide").alias(f"w{k}")) for k in "ab")
     sized = pairs.join(left, "a").join(right, "b").filter(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                s = [utf8(batch.column(k))[0].view(U64).reshape(batch.num_rows, -1) for k in (4, 5)]
-                near = np.bitwise_count(s[0] ^ s[1]).sum(1) <= differing(percent, batch.column(2).to_numpy() + batch.column(3).to_numpy())
+                every = np.arange(batch.num_rows)
+                fixed, wide = apart(Sketches(batch.column(4), batch.column(6)), every, Sketches(batch.column(5), batch.column(7)), every)
+                near = np.maximum(fixed, wide) <= differing(percent, batch.column(2).to_numpy() + batch.column(3).to_numpy())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(near))
 
-    return sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(work, "a long, b long").distinct()
+    return sized.select("a", "b", "na", "nb", "sa", "sb", "wa", "wb").mapInArrow(work, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, df: DataFrame, id_column: str, text: str, width: int, percent: int) -> DataFrame:
@@ -233,36 +281,49 @@ def split_by_sketch(rows: DataFrame, percent: int, small: int = LARGE) -> DataFr
     return rows.select("key", "node", "part", "n", "sketch", "members").mapInArrow(work, "key long, node long, part long, n long")
 
 
+def once(rows: DataFrame, member: str) -> DataFrame:
+    """rows (key, member, ...) of one key for each set of members that keys have: what several keys bring together is compared once. Keys with one member go."""
+    sets = rows.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64(member)).alias("x"), F.bit_xor(F.xxhash64(member, F.lit(1))).alias("y")).filter("c > 1")
+    return rows.join(sets.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
 def opened(cut: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes of different parts that share a key of cut (key, node, part, n), but those that the parts' centers and radii exclude; stored."""
-    inside = cut.select("node", "part", "n").distinct().join(sketches.select("node", "sketch"), "node")
-    centers = sketches.select(F.col("node").alias("part"), F.col("sketch").alias("center"))
+    own = ["sketch", "wide"]
+    inside = cut.select("node", "part", "n").distinct().join(sketches.select("node", *own), "node")
+    centers = sketches.select(F.col("node").alias("part"), F.col("sketch").alias("center"), F.col("wide").alias("center_wide"))
 
     def radius(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if n:
-                x = utf8(batch.column(2))[0].view(U64).reshape(n, -1)
-                at = np.flatnonzero(~np.asarray(batch.column(3).is_null()))
-                far = np.full(n, FILTER_BITS)  # a part whose smallest id has no sketch of its own is never excluded
+                at = np.flatnonzero(~np.asarray(batch.column(4).is_null()))
+                far, far_wide = np.full(n, FILTER_BITS), np.full(n, 1 << 40)  # a part whose smallest id has no sketch of its own is never excluded
                 if len(at):
-                    y = utf8(batch.column(3).take(pa.array(at)))[0].view(U64).reshape(len(at), -1)
-                    far[at] = np.bitwise_count(x[at] ^ y).sum(1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far.astype(np.int64))], names=["part", "n", "far"])
-
-    spread = inside.join(centers, "part", "left").select("part", "n", "sketch", "center").mapInArrow(radius, "part long, n long, far long").groupBy("part").agg(F.max("far").alias("far"), F.min("n").alias("low"), F.max("n").alias("high"))
+                    rows = pa.array(at)
+                    member, center = (Sketches(batch.column(k).take(rows), batch.column(k + 1).take(rows)) for k in (2, 4))
+                    far[at], wide = apart(member, np.arange(len(at)), center, np.arange(len(at)))
+                    # a smaller sketch than the center's says less than the center's would
+                    far_wide[at] = np.where((wide >= 0) & (member.words >= center.words), wide, 1 << 40)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far.astype(np.int64)), pa.array(far_wide)], names=["part", "n", "far", "far_wide"])
+
+    measured = inside.join(centers, "part", "left").select("part", "n", *own, "center", "center_wide").mapInArrow(radius, "part long, n long, far long, far_wide long")
+    spread = measured.groupBy("part").agg(F.max("far").alias("far"), F.max("far_wide").alias("far_wide"), F.min("n").alias("low"), F.max("n").alias("high"))
     lone = inside.groupBy("part").agg(F.min("node").alias("only"), F.max("node").alias("last")).filter("only = last").select("part", "only")
     width = FILTER_BITS // 8
-    parts = stored(spread.join(centers, "part", "left").withColumn("center", F.coalesce("center", F.lit(bytes(width)))), "parts")
-    whole = cut.select("key", "part").distinct().join(parts, "part").select("key", F.col("part").alias("id"), "part", "far", "low", "high", F.col("center").alias("sketch"))
-    close = stored(compared_in_blocks(whole, percent), "meeting")
+    empty = {"center": F.coalesce("center", F.lit(bytes(width))), "center_wide": F.coalesce("center_wide", F.lit(b""))}
+    parts = stored(spread.join(centers, "part", "left").withColumns(empty), "parts")
+    columns = ["key", "id", "part", "far", "far_wide", "low", "high", "sketch", "wide"]
+    whole = once(cut.select("key", "part").distinct(), "part").join(parts, "part").withColumn("id", F.col("part")).withColumnsRenamed({"center": "sketch", "center_wide": "wide"})
+    close = stored(compared_in_blocks(whole.select(*columns), percent), "meeting")
     # parts of one row each are a pair by themselves; the rows of others are compared one by one
     named = close.join(lone.select(F.col("part").alias("a"), F.col("only").alias("x")), "a", "left").join(lone.select(F.col("part").alias("b"), F.col("only").alias("y")), "b", "left")
     named = stored(named, "named")
     wide = named.filter("x is null or y is null")
     several = wide.select(F.col("a").alias("part")).union(wide.select("b")).distinct()
-    rows = cut.join(several, "part", "left_semi").join(sketches.select("node", "sketch"), "node")
-    single = rows.select("key", F.col("node").alias("id"), "part", F.lit(0).cast("long").alias("far"), F.col("n").alias("low"), F.col("n").alias("high"), "sketch")
+    none = F.lit(0).cast("long")
+    rows = once(cut.join(several, "part", "left_semi").distinct(), "node").join(sketches.select("node", *own), "node")
+    single = rows.withColumns({"id": F.col("node"), "far": none, "far_wide": none, "low": F.col("n"), "high": F.col("n")}).select(*columns)
     pairs = named.filter("x is not null and y is not null").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     out = stored(pairs.union(compared_in_blocks(single, percent)).distinct(), "left")
     discard(parts, close, named)
@@ -270,7 +331,7 @@ def opened(cut: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
 
 def compared_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of ids of different parts in rows (key, id, part, far, low, high, sketch) that share a key and may be similar: the distance of their sketches, less what each may be off (far), is no more than sizes up to high allow.
+    """Pairs (a, b) of ids of different parts in rows (key, id, part, far, far_wide, low, high, sketch, wide) that share a key and may be similar: the distance of their sketches, less what each may be off (far), is no more than sizes up to high allow.
 
     Each key's rows are dealt over blocks of bounded size, and pairs of blocks are
     groups that stream through numpy; only pairs that pass become rows.
@@ -279,13 +340,13 @@ def compared_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
     own = F.pmod(F.xxhash64("id"), "blocks").cast("int")
     dealt = rows.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = ["key", "i", "j"]
-    placed = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "part", "far", "low", "high", "sketch")
+    placed = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "part", "far", "far_wide", "low", "high", "sketch", "wide")
     streamed = placed.repartition(*group).sortWithinPartitions(*group)
 
     def compared(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
         table = table.slice(0, int(bounds[-1]))
-        ids, part, far, low, high = (table.column(k).to_numpy() for k in range(3, 8))
-        sketch = utf8(table.column(8))[0].view(U64).reshape(len(ids), -1)
+        ids, part, far, far_wide, low, high = (table.column(k).to_numpy() for k in range(3, 9))
+        sketch = Sketches(table.column(9), table.column(10))
         found = [np.empty((0, 2), np.int64)]
         group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         i, step = np.arange(int(bounds[-1])), 0
@@ -298,8 +359,9 @@ def compared_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
                 able = (part[x] != part[y]) & (100 * high[x] >= percent * low[y]) & (100 * high[y] >= percent * low[x])
                 x, y = x[able], y[able]
                 if len(x):
-                    distance = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1).astype(np.int64)
-                    near = distance - far[x] - far[y] <= differing(percent, high[x] + high[y])
+                    fixed, wide = apart(sketch, x, sketch, y)
+                    most = differing(percent, high[x] + high[y])
+                    near = (fixed - far[x] - far[y] <= most) & (wide - far_wide[x] - far_wide[y] <= most)
                     x, y = ids[x[near]], ids[y[near]]
                     found.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
         pairs = np.unique(np.concatenate(found), axis=0)
@@ -343,7 +405,7 @@ def jaccard_components(df: DataFrame, id_column: str, text: str, width: int = 5,
     real = made.filter("n > 0 and id is not null")
     classes = stored(real.groupBy("n", "fa", "fb").agg(F.min("id").alias("node")), "classes")
     first = real.join(classes.select(F.col("node").alias("id"), "fa", "fb"), ["id", "fa", "fb"], "left_semi")
-    nodes = stored(first.select(F.col("id").alias("node"), "n", "fa", "sketch", "keys").dropDuplicates(["node", "fa"]), "nodes")
+    nodes = stored(first.select(F.col("id").alias("node"), "n", "fa", "sketch", "wide", "keys").dropDuplicates(["node", "fa"]), "nodes")
     discard(made)
     keyed = nodes.select(F.explode("keys").alias("key"), "node", "n")
     of_key = Window.partitionBy("key")
@@ -355,7 +417,7 @@ def jaccard_components(df: DataFrame, id_column: str, text: str, width: int = 5,
     discard(met)
     # ids with several texts
     several = every.filter("n > 0 and id is not null").groupBy("id").agg(F.min("fa").alias("x"), F.max("fa").alias("y")).filter("x <> y").select("id")
-    sketches = nodes.select("node", "n", "sketch")
+    sketches = nodes.select("node", "n", "sketch", "wide")
     meetings = members.filter("node <> center").groupBy("node", "center").agg(F.count("*").alias("c"))
     usual = meetings.groupBy("node").agg(F.min(F.struct(-F.col("c"), "center")).alias("first")).select(F.col("first.center").alias("a"), F.col("node").alias("b"))
     star = stored(alike(usual, sketches, percent), "pairs")
