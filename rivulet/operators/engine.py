@@ -9,35 +9,27 @@ frozen parameters, and the parameters are refitted between batches.
 
 from __future__ import annotations
 
-import bisect
 import math
-from collections import deque
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import flow as fx
-from . import folds
-from .windows import conformal
+from . import alerts, detectors, folds, mesh, metrics, windows
 
 
 class Calibration:
-    """Recent benign scores of a detector, kept sorted."""
+    """Recent benign scores of a detector."""
 
     def __init__(self, window: int = 2000, warm: int = 50):
-        self.window, self.warm, self.queue, self.sorted = window, warm, deque(), []
+        self.recent, self.warm = folds.Recent(window), warm
 
     def p(self, score: float) -> float:
-        n = len(self.sorted)
-        if n < self.warm:
-            return 1 / (1 + math.exp(3 * (score - 0.5)))
-        return (1 + n - bisect.bisect_left(self.sorted, score)) / (n + 1)
+        n = len(self.recent)
+        return 1 / (1 + math.exp(3 * (score - 0.5))) if n < self.warm else (1 + self.recent.at_least(score)) / (n + 1)
 
     def add(self, score: float) -> None:
-        if len(self.queue) == self.window:
-            del self.sorted[bisect.bisect_left(self.sorted, self.queue.popleft())]
-        self.queue.append(score)
-        bisect.insort(self.sorted, score)
+        self.recent.add(score)
 
 
 def action_of(score: float, high: float, low: float, suspicion: float, unknown: bool) -> str:
@@ -107,13 +99,53 @@ def decisions(df: DataFrame, detectors: list[str], by: list[str]) -> DataFrame:
     return folds.fold(df.select("seq", "us", "src", "proto", "label", *detectors), by, ["us", "seq"], start(detectors), step(detectors), SCHEMA)
 
 
-def epoch(df: DataFrame, detectors: list[str], weights: list[float], high: float, low: float, trust: DataFrame) -> DataFrame:
-    """Decisions with frozen weights, thresholds and trust (src, suspicion): declarative, fully parallel."""
-    out = df
-    for d in detectors:
-        out = conformal(out, F.col("label") == 0, d).withColumnRenamed("p", f"p_{d}")
-    raw = sum((w * (1 - F.col(f"p_{d}")) for w, d in zip(weights, detectors, strict=True)), F.lit(0.0))
+def epoch(df: DataFrame, signals: list[str], weights: list[float], high: float, low: float, trust: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Decisions with frozen weights, thresholds and trust (src, suspicion): declarative, fully parallel. keep: further columns of df that stay. A null signal (a detector that was skipped) leaves the fusion, and the others' weights grow."""
+    out = windows.conformal_each(df, F.col("label") == 0, signals)
+    pairs = list(zip(weights, signals, strict=True))
+    there = sum((F.when(F.col(d).isNotNull(), w).otherwise(0.0) for w, d in pairs), F.lit(0.0))
+    raw = sum((F.when(F.col(d).isNotNull(), w * (1 - F.col(f"p_{d}"))).otherwise(0.0) for w, d in pairs), F.lit(0.0)) / F.when(there > 0, there).otherwise(1.0) * sum(weights)
     out = out.withColumn("raw", raw).join(trust, "src", "left").withColumn("suspicion", F.coalesce("suspicion", F.lit(0.5)))
-    out = out.withColumn("score", fx.trust_modulated(F.col("raw"), F.col("suspicion")))
-    d = fx.choose_action(F.col("score"), F.lit(high), F.lit(low), F.col("suspicion"), F.lit(False))
-    return out.withColumn("d", d).select("seq", "score", "raw", "suspicion", "d.action", "d.severity")
+    out = out.withColumn("fused", fx.trust_modulated(F.col("raw"), F.col("suspicion")))
+    d = fx.choose_action(F.col("fused"), F.lit(high), F.lit(low), F.col("suspicion"), F.col("unknown") if "unknown" in df.columns else F.lit(False))
+    return out.withColumn("d", d).select("seq", *(keep or []), F.col("fused").alias("score"), "raw", "suspicion", "d.action", "d.severity")
+
+
+#: The features that the whole process scores.
+FEATURES = ["f_len", "f_iat", "f_syn", "f_fanout", "f_entropy", "f_bytes", "f_pps"]
+
+
+def processed(flows: DataFrame, span_us: int = 2_000_000, iat_scale: float = 50.0, full_rate: float = 300.0, high: float = 0.6, low: float = 0.52, watts: Column | None = None, watt_budget: float = 0.0) -> DataFrame:
+    """One call from flows (seq, us, src, dst, port, proto, len, flags, label) to decisions: features, detector bank, energy gate, calibration, fusion, trust, action. alerts.process makes alerts of them.
+
+    Parameters are frozen for the batch; the head and prototypes learn from its
+    labelled rows. With watts and a budget, costly detectors (rrcf, sr, sup) don't
+    count for unsuspicious rows over the budget.
+    """
+    seen = windows.features(flows, span_us, iat_scale, full_rate)
+    trust = folds.trust_final(flows.filter(F.col("label").isNotNull()), "src", F.col("label")).select("src", fx.suspicion(F.col("a"), F.col("b"), F.col("seen")).alias("suspicion"))
+    scored = detectors.bank(seen, FEATURES, "label", "src", F.col("f_pps") + 0.3 * F.col("f_fanout"))
+    if watts is not None and watt_budget > 0:
+        gated = scored.withColumn("__watts", watts).join(trust.withColumnRenamed("suspicion", "__s"), "src", "left")
+        skip = mesh.energy_gate(F.col("__watts"), F.coalesce("__s", F.lit(0.5)), watt_budget)
+        scored = gated.withColumns({d: F.when(~skip, F.col(d)) for d in ("rrcf", "sr", "sup")}).drop("__watts", "__s")
+    kept = ["us", "src", "dst", "port", "proto", "label", "family"]
+    share = 1 / len(detectors.BANK)
+    return epoch(scored.drop("score", "suspicion", "raw"), detectors.BANK, [share] * len(detectors.BANK), high, low, trust, [c for c in kept if c in flows.columns])
+
+
+def snapshot(decided: DataFrame, shown: DataFrame, rule_hit: Column, budget: float = 0.02) -> DataFrame:
+    """One row with the state of an engine: traffic, detection, false positives against the budget, alerts and rules. decided: rows with action, severity, label, len; shown: what alerts.process made of them."""
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    drop, flagged, label = F.col("action").isin(*fx.DROPPING), F.col("action").isin(*fx.ENFORCING), F.col("label")
+    weight = 1 / fx.propensity(drop)
+    benign = F.sum(F.when(label == 0, weight).otherwise(0.0))
+    fpr = metrics.ratio(F.sum(F.when((label == 0) & flagged, weight).otherwise(0.0)), benign)
+    seconds = (F.max("us") - F.min("us")) / 1e6
+    traffic = decided.agg(
+        F.count("*").alias("packets"), count(drop).alias("dropped"), count(F.col("action") == "QUARANTINE").alias("quarantined"),
+        metrics.ratio(F.count("*"), seconds).alias("pps"), metrics.ratio(F.sum("len") * 8, seconds).alias("bps"),
+        fpr.alias("realized_fpr"), (fpr / budget).alias("budget_ratio"), metrics.ratio(count(rule_hit), F.count("*")).alias("rule_hit_ratio"),
+        count(flagged & (label == 1)).alias("tp"), count(flagged & (label == 0)).alias("fp"), count(~flagged & (label == 0)).alias("tn"), count(~flagged & (label == 1)).alias("fn"))
+    made = shown.agg(F.count("*").alias("alerts"), F.count_distinct("src").alias("active_campaigns"))
+    return metrics.rates(traffic.join(made))

@@ -9,9 +9,12 @@ given too, as an aggregate or a window.
 
 from __future__ import annotations
 
+import bisect
 import math
+from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -154,6 +157,78 @@ def gaussian_step(s: dict, x: list[float], decay: float = 0.001) -> tuple[dict,
     return {"mean": mean, "var": var}, 1 - math.exp(-0.9 * d)
 
 
+# --- the last numbers of a key ---------------------------------------------
+class Recent:
+    """The last `window` numbers, kept sorted."""
+
+    def __init__(self, window: int):
+        self.window, self.queue, self.sorted = window, deque(), []
+
+    def __len__(self) -> int:
+        return len(self.sorted)
+
+    def add(self, v: float) -> None:
+        if len(self.queue) == self.window:
+            del self.sorted[bisect.bisect_left(self.sorted, self.queue.popleft())]
+        self.queue.append(v)
+        bisect.insort(self.sorted, v)
+
+    def at_least(self, v: float) -> int:
+        return len(self.sorted) - bisect.bisect_left(self.sorted, v)
+
+    def at_most(self, v: float) -> int:
+        return bisect.bisect_right(self.sorted, v)
+
+
+def recent_conformal(df: DataFrame, keys: list[str], score: str, benign: str, window: int = 2000, warm: int = 50) -> DataFrame:
+    """(seq, p): each row against the last `window` benign scores of its key before it; a logistic of the score until there are `warm` of them. windows.conformal is the batch form over the whole sample."""
+
+    def step(s: dict, row: dict) -> tuple[dict, dict]:
+        n = len(s["recent"])
+        p = 1 / (1 + math.exp(3 * (row[score] - 0.5))) if n < warm else (1 + s["recent"].at_least(row[score])) / (n + 1)
+        if row[benign]:
+            s["recent"].add(row[score])
+        return s, {"seq": row["seq"], "p": p}
+
+    return fold(df.select(*keys, "us", "seq", score, benign), keys, ["us", "seq"], lambda: {"recent": Recent(window)}, step, "seq long, p double")
+
+
+def recent_ecod(df: DataFrame, keys: list[str], columns: list[str], window: int = 1000, least: int = 20) -> DataFrame:
+    """(seq, ecod): surprise of each row under the distribution of its key's last `window` rows before it; none until there are `least`. windows.ecod is the batch form."""
+
+    def surprise(recent: Recent, v: float) -> float:
+        if len(recent) < least:
+            return 0.0
+        share = recent.at_most(v) / (len(recent) + 1)
+        return -math.log(max(1 - share if share > 0.5 else share, 1e-9))
+
+    def step(s: dict, row: dict) -> tuple[dict, dict]:
+        total = sum(surprise(s[c], row[c]) for c in columns)
+        for c in columns:
+            s[c].add(row[c])
+        return s, {"seq": row["seq"], "ecod": 1 - math.exp(-total / (2.5 * len(columns)))}
+
+    return fold(df.select(*keys, "us", "seq", *columns), keys, ["us", "seq"], lambda: {c: Recent(window) for c in columns}, step, "seq long, ecod double")
+
+
+def recent_open_set(df: DataFrame, keys: list[str], columns: list[str], window: int = 500, least: int = 30) -> DataFrame:
+    """(seq, unknown, novelty): distance of each row from its key's last `window` rows before it, against the 97th percentile of their own. windows.open_set is the form by blocks."""
+
+    def step(s: dict, row: dict) -> tuple[dict, dict]:
+        x, past = np.array([row[c] for c in columns], float), s["past"]
+        unknown, novelty = False, 0.0
+        if len(past) >= least:
+            seen = np.array(past)
+            mean, spread = seen.mean(0), seen.std(0) + 1e-6
+            far = lambda v: np.sqrt((((v - mean) / spread) ** 2).mean(-1))
+            gate, own = float(np.percentile(far(seen), 97)), float(far(x))
+            unknown, novelty = own > 1.15 * gate, min(1.0, max(0.0, own / (gate + 1e-6) - 1)) if own > gate else 0.0
+        past.append(x)
+        return s, {"seq": row["seq"], "unknown": bool(unknown), "novelty": novelty}
+
+    return fold(df.select(*keys, "us", "seq", *columns), keys, ["us", "seq"], lambda: {"past": deque(maxlen=window)}, step, "seq long, unknown boolean, novelty double")
+
+
 # --- closed forms ----------------------------------------------------------
 def trust_final(df: DataFrame, key: str, malicious: Column, forget_good: float = 0.98, forget_bad: float = 0.995) -> DataFrame:
     """The last trust state of each key, as discounted sums: no order-dependent step is left."""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import flow as fx
-from .ordered import range_bucket
+from .ordered import numbered, values_at
 from .tables import latest
 
 # Energy of the network card, and grams of CO2 a kWh.
@@ -109,8 +109,12 @@ def krum(vectors: DataFrame, key: str, id_column: str, vector: str, faulty: int
         m = n - faulty - 2
         if n <= 2 or m <= 0:
             return pd.DataFrame({key: [], "id": [], "score": []})
-        d = ((x[:, None] - x[None]) ** 2).sum(-1)
-        score = np.sort(d, 1)[:, 1 : m + 1].sum(1)
+        # nearly all distances count: their sum has a closed form, and only the farthest, searched by blocks of rows, come off
+        norm = (x**2).sum(1)
+        score = n * norm + norm.sum() - 2 * x @ x.sum(0)
+        for a in range(0, n, 256):
+            far = np.maximum(norm[a : a + 256, None] + norm - 2 * x[a : a + 256] @ x.T, 0)
+            score[a : a + 256] -= np.partition(far, m, axis=1)[:, m + 1 :].sum(1)
         best = int(score.argmin())
         return pd.DataFrame({key: [frame[key].iloc[0]], "id": [frame[id_column].iloc[best]], "score": [score[best]]})
 
@@ -131,27 +135,68 @@ def upper_median(value: str) -> Column:
     return F.element_at(F.array_sort(F.collect_list(value)), (F.floor(F.count(value) / 2) + 1).cast("int"))
 
 
-def upper_medians(df: DataFrame, key: str, value: str, buckets: int = 1024) -> DataFrame:
-    """(key, median): upper_median of each key's numbers without gathering them. Totals of value ranges show which range holds the middle; only that range is sorted."""
-    marks = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("__k"))
-    low, high = marks.agg(F.min(value), F.max(value)).first()
-    placed = marks.withColumn("__b", range_bucket(F.col(value), low or 0.0, high or 0.0, buckets))
-    w = Window.partitionBy(key)
-    reached = placed.groupBy(key, "__b").agg(F.sum("__k").alias("__n")).withColumn("__to", F.sum("__n").over(w.orderBy("__b"))).withColumn("__middle", F.floor(F.sum("__n").over(w) / 2) + 1)
-    held = reached.filter((F.col("__to") >= F.col("__middle")) & (F.col("__to") - F.col("__n") < F.col("__middle"))).select(key, "__b", "__middle", (F.col("__to") - F.col("__n")).alias("__below"))
-    run = F.col("__below") + F.sum("__k").over(w.orderBy(value))
-    return placed.join(held, [key, "__b"]).withColumn("__run", run).filter(F.col("__run") >= F.col("__middle")).groupBy(key).agg(F.min(value).alias("median"))
+def upper_medians(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, median): the middle one of each key's numbers, the upper of an even number, without gathering them."""
+    return values_at(df, [key], value, {"middle": lambda n: F.floor(n / 2)}).select(key, F.col("value").alias("median"))
 
 
 def phi(beats: DataFrame, key: str, at_ms: str, window: int = 200, floor: float = 50.0, first: float = 750.0) -> DataFrame:
-    """beats with phi just before each: suspicion from the gaps of the beats before it."""
+    """beats with phi just before each: suspicion from the gaps of the beats before it.
+
+    Totals of gaps and their squares run once over the key; those of a window are
+    differences of two.
+    """
     w = Window.partitionBy(key).orderBy(at_ms)
     gap = beats.withColumn("gap", F.col(at_ms) - F.lag(at_ms).over(w))
-    past = w.rowsBetween(-window, -1)
-    n = F.count("gap").over(past)
-    mean = F.when(n == 0, first).otherwise(F.avg("gap").over(past))
-    spread = F.when(n == 0, first / 2).otherwise(F.greatest(F.coalesce(F.stddev_pop("gap").over(past), F.lit(0.0)), F.lit(floor)))
-    return gap.withColumn("phi", F.when(F.col("gap").isNull(), 0.0).otherwise(fx.phi(F.col("gap"), mean, spread)))
+    to_here = w.rowsBetween(Window.unboundedPreceding, 0)
+    run = gap.withColumns({"__n": F.count("gap").over(to_here), "__s": F.coalesce(F.sum("gap").over(to_here), F.lit(0.0)), "__q": F.coalesce(F.sum(F.col("gap") * F.col("gap")).over(to_here), F.lit(0.0))})
+    ago = lambda c, k: F.coalesce(F.lag(c, k).over(w), F.lit(0))
+    past = run.select(*gap.columns, *((ago(c, 1) - ago(c, window + 1)).alias(c) for c in ("__n", "__s", "__q")))
+    n = F.nullif(F.col("__n"), F.lit(0).cast("long"))
+    mean = F.coalesce(F.col("__s") / n, F.lit(first))
+    variance = F.greatest((F.col("__q") - F.col("__s") * F.col("__s") / n) / n, F.lit(0.0))
+    spread = F.coalesce(F.greatest(F.sqrt(variance), F.lit(floor)), F.lit(first / 2))
+    return past.withColumn("phi", F.when(F.col("gap").isNull(), 0.0).otherwise(fx.phi(F.col("gap"), mean, spread))).drop("__n", "__s", "__q")
+
+
+def watched(members: DataFrame, levels: DataFrame, node: str = "node", suspect: float = 8.0, dead: float = 12.0) -> DataFrame:
+    """members with the state that the last known phi (node, phi) calls for: suspects recover below `suspect`, the dead stay dead."""
+    level, state = F.coalesce("phi", F.lit(0.0)), F.col("state")
+    now = F.when(level >= dead, "DEAD").when((level >= suspect) & (state == "ALIVE"), "SUSPECT").when((level < suspect) & (state == "SUSPECT"), "ALIVE").otherwise(state)
+    return members.join(levels.select(node, "phi"), node, "left").withColumn("state", now).drop("phi")
+
+
+def local_intel(events: DataFrame, node: str, clock: int = 0, ttl: int = 900) -> DataFrame:
+    """Records to share for a node's own enforced events: the clock counts on in order, confidence is the score, at most 1.
+
+    A sender has few of them a flush, so one ordered pass over enforced events is enough.
+    """
+    own = numbered(events.filter(F.col("action").isin(*fx.ENFORCING)), "seq", "__i")
+    return own.select("seq", "us", "src", "dst", "proto", "action", "severity", "score", F.least(F.col("score"), F.lit(1.0)).alias("confidence"), F.lit(node).alias("origin"), (F.col("__i") + clock + 1).alias("lamport"), F.lit(ttl).alias("ttl"))
+
+
+def flushed(intel: DataFrame, members: DataFrame, node: str, batch: int = 64) -> DataFrame:
+    """(peer, batch, records): how intel goes to each peer that isn't dead or gone, in batches of at most `batch` in clock order."""
+    peers = members.filter((F.col("node") != node) & F.col("state").isin("ALIVE", "SUSPECT")).select(F.col("node").alias("peer"))
+    sizes = intel.groupBy(F.floor((F.col("lamport") - 1) / batch).alias("batch")).agg(F.count("*").alias("records"))
+    return sizes.join(peers).select("peer", "batch", "records")  # one row a message
+
+
+def gossip_digest(members: DataFrame, intel: DataFrame, most_members: int = 24, newest: int = 40) -> tuple[DataFrame, DataFrame]:
+    """What one exchange carries: members with the latest heartbeats and the newest records. Top-k, never a full sort."""
+    return members.orderBy(F.desc("heartbeat"), "node").limit(most_members), intel.orderBy(F.desc("us"), F.desc("seq")).limit(newest)
+
+
+def host_memory(samples: DataFrame) -> DataFrame:
+    """samples (total, available, rss in bytes) with the share used and resident MiB."""
+    used = F.when(F.col("total") > 0, F.round(100.0 * (F.col("total") - F.col("available")) / F.nullif(F.col("total"), F.lit(0).cast("long")), 1)).otherwise(0.0)
+    return samples.withColumns({"mem_used_pct": used, "rss_mb": F.round(F.col("rss") / 1048576, 1)})
+
+
+def packet_loss(counters: DataFrame, *keys: str) -> DataFrame:
+    """(keys, seen, lost, loss_pct) of counters (seen, lost); 0 where nothing was seen."""
+    seen, lost = F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("lost"), F.lit(0))
+    return counters.groupBy(*keys).agg(seen.alias("seen"), lost.alias("lost"), F.when(seen > 0, F.round(100.0 * lost / F.nullif(seen, F.lit(0).cast("long")), 4)).otherwise(0.0).alias("loss_pct"))
 
 
 def energy(samples: DataFrame, key: str) -> DataFrame:

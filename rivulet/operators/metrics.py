@@ -21,7 +21,7 @@ def confusion(df: DataFrame, *keys: str, flagged: Column, label: Column) -> Data
 
 
 def rates(df: DataFrame, digits: int = 6) -> DataFrame:
-    """precision, recall, f1, mcc, accuracy, balanced_accuracy, fpr of tp, fp, tn, fn."""
+    """precision, recall, f1, mcc, accuracy, balanced_accuracy, fpr, tnr, fnr of tp, fp, tn, fn."""
     tp, fp, tn, fn = (F.col(c).cast("double") for c in ("tp", "fp", "tn", "fn"))
     precision, recall = ratio(tp, tp + fp), ratio(tp, tp + fn)
     spread = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
@@ -33,6 +33,8 @@ def rates(df: DataFrame, digits: int = 6) -> DataFrame:
         "accuracy": ratio(tp + tn, tp + fp + tn + fn),
         "balanced_accuracy": (recall + ratio(tn, tn + fp)) / 2,
         "fpr": ratio(fp, fp + tn),
+        "tnr": ratio(tn, tn + fp),
+        "fnr": ratio(fn, fn + tp),
     }
     return df.select("*", *(F.round(c, digits).alias(k) for k, c in out.items()))
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from itertools import combinations
+from operator import ge, gt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import flow as fx
+from .ordered import percentiles
 
 DECILES = [d / 10 for d in range(1, 10)]
 PAIR_LEVELS = [0.1, 0.3, 0.5, 0.7, 0.9]
@@ -15,9 +17,10 @@ RULE = "feature string, op string, threshold double, feature2 string, op2 string
 
 
 def quantiles(df: DataFrame, features: list[str]) -> dict[str, list[float]]:
-    """Exact deciles of each feature, in one aggregate."""
-    row = df.agg(*(F.percentile(c, F.array(*map(F.lit, DECILES))).alias(c) for c in features)).first()
-    return {c: list(row[c] or []) for c in features}
+    """Exact deciles of each feature, all in one pass of ranks by ranges."""
+    long = df.select(F.posexplode(F.array(*(F.col(c).cast("double") for c in features))).alias("i", "v"))
+    found = {r.i: list(r.percentiles) for r in percentiles(long, ["i"], "v", DECILES).collect()}
+    return {c: found.get(i, []) for i, c in enumerate(features)}
 
 
 def candidates(levels: dict[str, list[float]]) -> list[tuple]:
@@ -36,16 +39,19 @@ def candidates(levels: dict[str, list[float]]) -> list[tuple]:
 def evaluated(df: DataFrame, features: list[str], label: str, levels: dict[str, list[float]]) -> DataFrame:
     """All candidate rules with hits and right hits.
 
-    Rows are first counted by their cells between the thresholds of each feature
-    and each pair of features (one pass, partial aggregates); rules then meet
-    cells, not rows.
+    Rows are first counted by their joint cell between the thresholds of all
+    features (one pass, partial aggregates), then cells by each feature and each
+    pair of features; rules meet these, not rows.
     """
     spark = df.sparkSession
     # a value's cell: how many thresholds it exceeds, and how many it reaches
-    cell = {c: F.struct(sum(((F.col(c) > v).cast("int") for v in levels[c]), F.lit(0)).alias("over"), sum(((F.col(c) >= v).cast("int") for v in levels[c]), F.lit(0)).alias("reach")) for c in features}
-    one = [F.struct(F.lit(c).alias("f"), F.lit("").alias("g"), cell[c].alias("x"), F.struct(F.lit(0).alias("over"), F.lit(0).alias("reach")).alias("y")) for c in features]
-    two = [F.struct(F.lit(a).alias("f"), F.lit(b).alias("g"), cell[a].alias("x"), cell[b].alias("y")) for a, b in combinations(features, 2)]
-    cells = df.select(F.explode(F.array(*one, *two)).alias("c"), F.col(label).alias("hit")).groupBy("c").agg(F.count("*").alias("n"), F.sum("hit").alias("right"))
+    place = lambda c, op: sum((op(F.col(c), v).cast("int") for v in levels[c]), F.lit(0))
+    cell = {c: F.struct(place(c, gt).alias("over"), place(c, ge).alias("reach")).alias(c) for c in features}
+    joint = df.groupBy(*cell.values()).agg(F.count("*").alias("n"), F.sum(label).alias("hit"))
+    none = F.struct(F.lit(0).alias("over"), F.lit(0).alias("reach"))
+    one = [F.struct(F.lit(c).alias("f"), F.lit("").alias("g"), F.col(c).alias("x"), none.alias("y")) for c in features]
+    two = [F.struct(F.lit(a).alias("f"), F.lit(b).alias("g"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in combinations(features, 2)]
+    cells = joint.select(F.explode(F.array(*one, *two)).alias("c"), "n", "hit").groupBy("c").agg(F.sum("n").alias("n"), F.sum("hit").alias("right"))
     cells = cells.select("c.f", "c.g", "c.x", "c.y", "n", "right")
     rules = spark.createDataFrame([(*r[:6], r[6], r[0], r[3] or "", levels[r[0]].index(r[2]), levels[r[3]].index(r[5]) if r[3] else 0) for r in candidates(levels)], RULE + ", f string, g string, i int, j int")
     holds = lambda op, v, k: F.when(op == ">", v["over"] > k).otherwise(v["reach"] <= k)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import flow as fx
+from .ordered import numbered
 
 SKETCH_SEEDS = [0x00000001, 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D]
 SKETCH_WIDTH, REGISTERS, REGISTER_SEED = 1024, 1024, 0x5BD1E995
@@ -76,11 +79,14 @@ def count_min(df: DataFrame, key: Column) -> DataFrame:
 
 def count_min_estimates(df: DataFrame, key: str) -> DataFrame:
     """(key, n, estimate): true counts and the sketch's, which are never smaller."""
-    sketch = count_min(df, F.col(key))
     exact = df.groupBy(key).agg(F.count("*").alias("n"))
-    cells = F.array(*(F.struct(F.lit(d).alias("row"), fx.mix32(F.col(key), seed).bitwiseAND(SKETCH_WIDTH - 1).alias("bucket")) for d, seed in enumerate(SKETCH_SEEDS)))
-    asked = exact.select(key, "n", F.explode(cells).alias("c")).select(key, "n", "c.row", "c.bucket")
-    return asked.join(sketch.withColumnRenamed("n", "m"), ["row", "bucket"]).groupBy(key, "n").agg(F.min("m").alias("estimate"))
+    place = [fx.mix32(F.col(key), seed).bitwiseAND(SKETCH_WIDTH - 1) + d * SKETCH_WIDTH for d, seed in enumerate(SKETCH_SEEDS)]
+    counters = exact.select(F.explode(F.array(*place)).alias("at"), "n").groupBy("at").agg(F.sum("n").alias("m"))
+    # the sketch is of fixed size: one row with all its counters, in place order
+    empty = df.sparkSession.range(len(SKETCH_SEEDS) * SKETCH_WIDTH).select(F.col("id").alias("at"))
+    whole = empty.join(counters, "at", "left").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("m", F.lit(0)).alias("m")))).alias("sketch"))
+    asked = exact.join(F.broadcast(whole))
+    return asked.select(key, "n", F.least(*(F.get(F.col("sketch"), p.cast("int"))["m"] for p in place)).alias("estimate"))
 
 
 def registers(df: DataFrame, source: Column, port: Column) -> DataFrame:
@@ -157,24 +163,46 @@ def nearest_rows(df: DataFrame, key: str, vector: str, k: int, block: int = 1000
     """
     blocks = max(1, -(-df.count() // block))
     number = F.pmod(F.xxhash64(key), F.lit(blocks))
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), number.alias("b"))
-    asked = rows.select("id", "v", F.col("b").alias("i"), F.explode(others).alias("j"))
-    given = rows.select("id", "v", F.explode(others).alias("i"), F.col("b").alias("j"))
-
-    def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
-        x, y = np.stack(left["v"]), np.stack(right["v"])
-        ids, out = right["id"].to_numpy(), []
-        for q, v in zip(left["id"], x, strict=True):
-            d = ((y - v) ** 2).sum(1)
-            d[ids == q] = np.inf
-            first = np.lexsort((ids, d))[:k]
-            out += [(q, ids[i], d[i]) for i in first if d[i] < np.inf]
-        return pd.DataFrame(out, columns=["id", "neighbour", "distance"])
-
-    found = asked.groupBy("i", "j").cogroup(given.groupBy("i", "j")).applyInPandas(work, "id long, neighbour long, distance double")
+    others = F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), number.alias("b"))
+    placed = rows.withColumn("other", F.explode(others))
+    asked = placed.select((F.col("b") * blocks + F.col("other")).alias("group"), F.lit(0).alias("side"), "id", "v")
+    given = placed.select((F.col("other") * blocks + F.col("b")).alias("group"), F.lit(1).alias("side"), "id", "v")
+    dealt = asked.union(given).repartition("group").sortWithinPartitions("group", "side")
+
+    def nearest(part: pa.Table) -> Iterator[tuple]:
+        side, ids = part.column("side").to_numpy(), part.column("id").to_numpy()
+        x = np.array(part.column("v").to_pylist(), float)
+        here, there = side == 0, side == 1
+        for q, v in zip(ids[here], x[here], strict=True):
+            d = ((x[there] - v) ** 2).sum(1)
+            d[ids[there] == q] = np.inf
+            yield from ((q, ids[there][i], d[i]) for i in np.lexsort((ids[there], d))[:k] if d[i] < np.inf)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if held[0].column(0)[0] == batch.column(0)[-1]:
+                continue
+            table = pa.Table.from_batches(held)
+            yield from groups(table, last=False)
+            group = table.column("group").to_numpy()
+            held = table.slice(int(np.searchsorted(group, group[-1]))).to_batches()
+        if held:
+            yield from groups(pa.Table.from_batches(held), last=True)
+
+    def groups(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+        group = table.column("group").to_numpy()
+        starts = [*np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group)]
+        for a, b in list(zip(starts, starts[1:], strict=False))[: None if last else -1]:
+            found = list(nearest(table.slice(int(a), int(b - a))))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["id", "neighbour", "distance"])
+
+    found = dealt.mapInArrow(work, "id long, neighbour long, distance double")
     place = Window.partitionBy("id").orderBy("distance", "neighbour")
     return found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
 
@@ -189,13 +217,56 @@ def tomek_links(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
 
 def smote(df: DataFrame, key: str, vector: str, need: int, k: int = 5, seed: int = 7) -> DataFrame:
     """(key, n, vector): need synthetic points between rows and one of their k nearest, dealt over the rows in key order."""
-    order = Window.orderBy(key)
     total = df.count()
     near = nearest_rows(df, key, vector, k)
-    base = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x"), (F.row_number().over(order) - 1).alias("at"))
+    base = numbered(df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x")), "id", "at")
     copies = base.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(max(0, need - 1) // max(total, 1))))).withColumn("number", F.col("n") * total + F.col("at")).filter(F.col("number") < need)
     pick = hashed_order(F.col("number"), seed)
     chosen = copies.withColumn("rank", (pick % k + 1).cast("int")).withColumn("g", hashed_order(F.col("number"), seed + 1) / 2147483648.0)
     ends = df.select(F.col(key).alias("neighbour"), F.col(vector).cast("array<double>").alias("y"))
     joined = chosen.join(near.select("id", "rank", "neighbour"), ["id", "rank"]).join(ends, "neighbour")
     return joined.select("number", "id", "neighbour", F.zip_with("x", "y", lambda a, b: a + F.col("g") * (b - a)).alias("vector"))
+
+
+def smote_tomek(df: DataFrame, key: str, vector: str, label: str, need: int, k: int = 5, seed: int = 7) -> DataFrame:
+    """(key, vector, label, synthetic): the rows of two classes and need synthetic ones of the smaller, without rows that are each other's nearest across classes. New keys follow the largest."""
+    sizes = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    small = min(sizes, key=lambda y: (sizes[y], str(y)))
+    last = df.agg(F.max(key)).first()[0]
+    own = df.select(key, F.col(vector).cast("array<double>").alias(vector), label, F.lit(False).alias("synthetic"))
+    made = smote(df.filter(F.col(label) == small), key, vector, need, k, seed).select((F.col("number") + last + 1).alias(key), "vector", F.lit(small).alias(label), F.lit(True).alias("synthetic"))
+    every = own.union(made)
+    links = tomek_links(every, key, vector, label).select(F.col("id").alias(key)).distinct()
+    return every.join(links, key, "left_anti")
+
+
+def balance_report(before: DataFrame, after: DataFrame, label: str, origin: str) -> DataFrame:
+    """One row: sizes of both classes before and after, ratios, and rows removed and added. after.origin is 0 for rows that were there before."""
+    sizes = lambda df, name: df.agg(F.count_if(F.col(label) == 0).alias(f"benign_{name}"), F.count_if(F.col(label) == 1).alias(f"malicious_{name}"))
+    kept = after.agg(F.count_if((F.col(label) == 0) & (F.col(origin) == 0)).alias("__kept"), F.count_if(F.col(origin) > 0).alias("minority_added"))
+    ratio = lambda name: F.round(F.col(f"benign_{name}") / F.greatest(F.lit(1).cast("long"), F.col(f"malicious_{name}")), 2).alias(f"ratio_{name}")
+    row = sizes(before, "before").join(sizes(after, "after")).join(kept)
+    return row.select("benign_before", "malicious_before", "benign_after", "malicious_after", ratio("before"), ratio("after"), (F.col("benign_before") - F.col("__kept")).alias("majority_removed"), "minority_added")
+
+
+def class_costs(df: DataFrame, label: str) -> DataFrame:
+    """df with cost: how much more a row of the smaller class counts, the ratio of class sizes; 1 for the larger one."""
+    sizes = df.agg(F.count_if(F.col(label) == 0).alias("__n0"), F.count_if(F.col(label) == 1).alias("__n1"))
+    ratio = F.when(F.col(label) == 1, F.col("__n0") / F.nullif(F.col("__n1"), F.lit(0).cast("long"))).otherwise(F.col("__n1") / F.nullif(F.col("__n0"), F.lit(0).cast("long")))
+    return df.join(F.broadcast(sizes)).withColumn("cost", F.greatest(F.lit(1.0), F.coalesce(ratio, F.lit(1.0)))).drop("__n0", "__n1")
+
+
+def shuffled(df: DataFrame, key: str, seed: int = 1337) -> DataFrame:
+    """df in a fixed pseudo-random order: a distributed sort by the hash of the key, ties by the key."""
+    return df.orderBy(hashed_order(F.col(key), seed), key)
+
+
+def first_of_each(df: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
+    """The first rows of each key in order, with their ranks r. Spark keeps the top of each key before the shuffle."""
+    return df.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("r") <= most)
+
+
+def shed(df: DataFrame, span_us: int, most: int) -> DataFrame:
+    """df with lost: rows that come when `most` have passed in their span of time. Spans are groups, so no order is global."""
+    w = Window.partitionBy(F.floor(F.col("us") / span_us)).orderBy("us", "seq")
+    return df.withColumn("lost", F.row_number().over(w) > most)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import flow as fx
-from .ordered import running_totals
+from .ordered import range_bucket, running_totals
 
 
 def trailing(span_us: int, key: str = "src") -> object:
@@ -61,12 +61,27 @@ def conformal(df: DataFrame, calibration: Column, score: str = "score") -> DataF
     return df.join(run, score).join(F.broadcast(total)).withColumn("p", (1 + F.col("__above")) / (F.col("__n") + 1)).drop("__above", "__n")
 
 
+def conformal_each(df: DataFrame, calibration: Column, scores: list[str], buckets: int = 1024) -> DataFrame:
+    """df with p_<score> for several scores in 0 to 1, as conformal gives each: one pass counts all, so df is read twice whatever their number. A null score has a null p."""
+    cells = F.array(*(F.struct(F.lit(i).alias("i"), F.col(c).alias("s")) for i, c in enumerate(scores)))
+    marks = df.select(calibration.cast("int").alias("c"), F.explode(cells).alias("x")).filter(F.col("x.s").isNotNull()).groupBy("x.i", "x.s").agg(F.sum("c").cast("double").alias("c"))
+    placed = marks.withColumn("b", range_bucket(F.col("s"), 0.0, 1.0, buckets))
+    offsets = placed.groupBy("i", "b").agg(F.sum("c").alias("t"))
+    down = Window.partitionBy("i").orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = offsets.select("i", "b", F.coalesce(F.sum("t").over(down), F.lit(0.0)).alias("before"), F.sum("t").over(Window.partitionBy("i")).alias("n"))
+    inside = Window.partitionBy("i", "b").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    run = placed.join(F.broadcast(offsets), ["i", "b"]).select("i", "s", ((1 + F.col("before") + F.sum("c").over(inside)) / (F.col("n") + 1)).alias("p"))
+    for i, c in enumerate(scores):
+        df = df.join(run.filter(F.col("i") == i).select(F.col("s").alias(c), F.col("p").alias(f"p_{c}")), c, "left")
+    return df
+
+
 def ecod(df: DataFrame, columns: list[str]) -> DataFrame:
     """df with surprise_<column> = -log of the tail that the value is in, under the full sample's distribution, and ecod = the squashed sum. Values in 0 to 1."""
     n = df.agg(F.count("*").cast("double").alias("__n"))
     out = df.join(F.broadcast(n))
     for c in columns:
-        run = running_totals(df.groupBy(c).agg(F.count("*").alias("k")), c, ["k"]).select(c, F.col("run_k").alias("__k"))
+        run = running_totals(df.groupBy(c).agg(F.count("*").alias("k")), c, ["k"], bounds=(0.0, 1.0)).select(c, F.col("run_k").alias("__k"))
         share = F.col("__k") / (F.col("__n") + 1)
         out = out.join(run, c).withColumn(f"surprise_{c}", F.when(share > 0.5, -F.log(F.greatest(1 - share, F.lit(1e-9)))).otherwise(-F.log(F.greatest(share, F.lit(1e-9))))).drop("__k")
     total = sum((F.col(f"surprise_{c}") for c in columns), F.lit(0.0))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import flow as fx
 from ..operators import tables as ops
+from ..operators.ordered import numbered
 from .projections import DECIDED, decided, mix32_sql
-from .tables import DAY, FLOWS, flows, query, table
+from .tables import DAY, FLOWS, SQL, flows, query, table
 
 WITH = f"WITH {FLOWS}"
 
@@ -174,18 +175,55 @@ def bal_replicate(spark, sf):
     return ops.rebalanced(x, "seq", ["port", "u"], "y", "family").select("seq", "copy")
 
 
+_BALANCED = SQL["bal_replicate"].split(" SELECT * FROM k UNION ALL")[0]
+
+
+@query(f"""{_BALANCED}, o2 AS (SELECT * FROM k UNION ALL SELECT * FROM g), z AS (SELECT o2.copy, x.y FROM o2 JOIN x ON x.seq = o2.seq)
+ SELECT (SELECT count(*) FROM x WHERE y = 0) AS benign_before, (SELECT count(*) FROM x WHERE y = 1) AS malicious_before, count(*) FILTER (y = 0) AS benign_after, count(*) FILTER (y = 1) AS malicious_after,
+ round((SELECT count(*) FROM x WHERE y = 0) / greatest(1, (SELECT count(*) FROM x WHERE y = 1))::DOUBLE, 2) AS ratio_before, round(count(*) FILTER (y = 0) / greatest(1, count(*) FILTER (y = 1))::DOUBLE, 2) AS ratio_after,
+ (SELECT count(*) FROM x WHERE y = 0) - count(*) FILTER (y = 0 AND copy = 0) AS majority_removed, count(*) FILTER (copy > 0) AS minority_added FROM z""")
+def balance_report(spark, sf):
+    x = flows(spark, sf).select("seq", "family", (F.col("uid") % 17 == 0).cast("int").alias("y"), "port", (F.col("uid") % 40).alias("u"))
+    return ops.balance_report(x, ops.rebalanced(x, "seq", ["port", "u"], "y", "family"), "y", "copy")
+
+
+@query(f"{WITH}, n AS (SELECT count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM flows) SELECT seq, round(CASE WHEN label = 1 THEN greatest(1, n0 / n1::DOUBLE) ELSE greatest(1, n1 / n0::DOUBLE) END, 6) AS cost FROM flows, n")
+def class_costs(spark, sf):
+    return ops.class_costs(flows(spark, sf), "label").select("seq", F.round("cost", 6).alias("cost"))
+
+
+@query(f"{WITH} SELECT seq, row_number() OVER (ORDER BY (seq * 1103515245 + 1337 * 12345 + 12345) % 2147483648, seq) - 1 AS place FROM flows")
+def seeded_shuffle(spark, sf):
+    """Places in the seeded order; tables.shuffled sorts by it."""
+    x = flows(spark, sf).select("seq", ops.hashed_order(F.col("seq"), 1337).alias("h"))
+    return numbered(x, "h", "place").select("seq", "place")
+
+
+@query("SELECT l_shipmode, l_orderkey, l_linenumber, r FROM (SELECT l_returnflag AS l_shipmode, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_partkey, l_suppkey, l_quantity) AS r FROM lineitem) WHERE r <= 50")
+def limit_per_file(spark, sf):
+    """At most 50 rows of each part of the input (return flags stand for files)."""
+    x = table(spark, sf, "lineitem").withColumn("l_shipmode", F.col("l_returnflag"))
+    return ops.first_of_each(x, "l_shipmode", ["l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey", "l_quantity"], 50).select("l_shipmode", "l_orderkey", "l_linenumber", "r")
+
+
+@query(f"{WITH}, x AS (SELECT proto, us // 3600000000 AS span, row_number() OVER (PARTITION BY us // 3600000000 ORDER BY us, seq) AS r FROM flows) SELECT proto, count(*) AS seen, count(*) FILTER (r > 3) AS lost FROM x GROUP BY proto")
+def load_shedding(spark, sf):
+    """At most three records an hour pass; the others are counted as lost."""
+    return ops.shed(flows(spark, sf), 3_600_000_000, 3).groupBy("proto").agg(F.count("*").alias("seen"), F.count_if("lost").alias("lost"))
+
+
+@query(f"{WITH} SELECT proto, count(*) AS n, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets, round(avg(len), 6) AS mean_len FROM flows GROUP BY proto")
+def protocol_mix(spark, sf):
+    return flows(spark, sf).groupBy("proto").agg(F.count("*").alias("n"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"), F.round(F.avg("len"), 6).alias("mean_len"))
+
+
 _VEC = "CAST(embedding AS DOUBLE[])"
 
 
-@query(f"""WITH e AS (SELECT vec_id, {_VEC} AS v FROM embeddings WHERE label < 5), p AS (SELECT a.vec_id AS id, b.vec_id AS neighbour, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+@query(f"""WITH e AS (SELECT vec_id, {_VEC} AS v, coalesce(label < 5, false) AS y FROM embeddings),
+ p AS (SELECT a.vec_id AS id, b.vec_id AS neighbour, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id AND a.y = b.y),
  k AS (SELECT id, neighbour, d, row_number() OVER (PARTITION BY id ORDER BY d, neighbour) AS rank FROM p) SELECT id, rank, neighbour, round(d * d, 6) AS distance FROM k WHERE rank <= 5""")
 def nearest_neighbours(spark, sf):
-    e = table(spark, sf, "embeddings").filter("label < 5")
-    return ops.nearest_rows(e, "vec_id", "embedding", 5).select("id", "rank", "neighbour", F.round("distance", 6).alias("distance"))
-
-
-@query()
-def nearest_neighbours_whole(spark, sf):
     """Neighbours of the same class, in both classes."""
     e = table(spark, sf, "embeddings")
     of = lambda rows: ops.nearest_rows(e.filter(rows), "vec_id", "embedding", 5)
@@ -199,27 +237,42 @@ def tomek_links(spark, sf):
     return ops.tomek_links(e, "vec_id", "embedding", "y").select("id", "neighbour")
 
 
-@query(f"""WITH e AS (SELECT vec_id, {_VEC} AS v, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS total FROM embeddings WHERE label < 3),
+_SMOTE = f"""s AS (SELECT count(*) FILTER (label < 3) AS n1, count(*) FILTER (NOT coalesce(label < 3, false)) AS n0 FROM embeddings),
+ e AS (SELECT vec_id, {_VEC} AS v, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS total, abs(n0 - n1) AS need FROM embeddings, s WHERE coalesce(label < 3, false) = (n1 < n0)),
  p AS (SELECT a.vec_id AS id, b.vec_id AS nb, b.v AS y, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS rank FROM e a JOIN e b ON a.vec_id <> b.vec_id),
- c AS (SELECT vec_id, v, i + unnest(range(0, 1 + 199 // total)) * total AS number FROM e), d AS (SELECT * FROM c WHERE number < 200),
- g AS (SELECT d.number, d.vec_id AS id, p.nb AS neighbour, ((d.number * 1103515245 + 8 * 12345 + 12345) % 2147483648) / 2147483648.0 AS g, d.v, p.y FROM d JOIN p ON p.id = d.vec_id AND p.rank = ((d.number * 1103515245 + 7 * 12345 + 12345) % 2147483648) % 5 + 1)
- SELECT number, id, neighbour, round(v[1] + g * (y[1] - v[1]), 6) AS first, round(v[64] + g * (y[64] - v[64]), 6) AS last FROM g""")
-def smote_knn(spark, sf):
-    out = ops.smote(table(spark, sf, "embeddings").filter("label < 3"), "vec_id", "embedding", 200)
-    return out.select("number", "id", "neighbour", F.round(F.col("vector")[0], 6).alias("first"), F.round(F.col("vector")[63], 6).alias("last"))
+ c AS (SELECT vec_id, v, need, i + unnest(range(0, 1 + (need - 1) // total)) * total AS number FROM e), d AS (SELECT * FROM c WHERE number < need),
+ g AS (SELECT d.number, d.vec_id AS id, p.nb AS neighbour, ((d.number * 1103515245 + 8 * 12345 + 12345) % 2147483648) / 2147483648.0 AS g, d.v, p.y
+  FROM d JOIN p ON p.id = d.vec_id AND p.rank = ((d.number * 1103515245 + 7 * 12345 + 12345) % 2147483648) % 5 + 1)"""
 
 
-@query()
-def smote_knn_whole(spark, sf):
-    """As many points as the smaller class lacks, at a target ratio of 1."""
+def _small_class(spark, sf):
+    """The smaller of two classes, and how many rows it lacks."""
     e = table(spark, sf, "embeddings").withColumn("y", F.coalesce(F.col("label") < 3, F.lit(False)))
     sizes = {r.y: r["count"] for r in e.groupBy("y").count().collect()}
     one, zero = sizes.get(True, 0), sizes.get(False, 0)
-    small = e.filter(F.col("y") == F.lit(one < zero))
-    out = ops.smote(small, "vec_id", "embedding", abs(zero - one) if one and zero else 0)
+    return e, e.filter(F.col("y") == F.lit(one < zero)), abs(zero - one) if one and zero else 0
+
+
+@query(f"WITH {_SMOTE} SELECT number, id, neighbour, round(v[1] + g * (y[1] - v[1]), 6) AS first, round(v[64] + g * (y[64] - v[64]), 6) AS last FROM g")
+def smote_knn(spark, sf):
+    """As many points as the smaller class lacks, at a target ratio of 1."""
+    _, small, need = _small_class(spark, sf)
+    out = ops.smote(small, "vec_id", "embedding", need)
     return out.select("number", "id", "neighbour", F.round(F.col("vector")[0], 6).alias("first"), F.round(F.col("vector")[63], 6).alias("last"))
 
 
+@query(f"""WITH {_SMOTE}, m AS (SELECT (SELECT max(vec_id) FROM embeddings) AS m),
+ u AS (SELECT vec_id, {_VEC} AS v, coalesce(label < 3, false) AS y FROM embeddings UNION ALL SELECT m + 1 + number, list_transform(range(1, 65), lambda i: g.v[i] + g.g * (g.y[i] - g.v[i])), (SELECT n1 < n0 FROM s) FROM g, m),
+ r AS (SELECT a.vec_id AS a, b.vec_id AS b, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS k FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+ n AS (SELECT a, b FROM r WHERE k = 1), l AS (SELECT n.a FROM n JOIN n o ON n.b = o.a AND n.a = o.b JOIN u x ON x.vec_id = n.a JOIN u z ON z.vec_id = n.b WHERE x.y <> z.y)
+ SELECT y, count(*) AS rows, count(*) FILTER (vec_id > (SELECT m FROM m)) AS made FROM u WHERE vec_id NOT IN (SELECT a FROM l) GROUP BY y""")
+def smote_tomek(spark, sf):
+    """Classes after synthesis and the removal of linked rows."""
+    e, _, need = _small_class(spark, sf)
+    out = ops.smote_tomek(e, "vec_id", "embedding", "y", need)
+    return out.groupBy("y").agg(F.count("*").alias("rows"), F.count_if("synthetic").alias("made"))
+
+
 @query("SELECT n_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name ORDER BY customers DESC, n_name LIMIT 10")
 def top_labels(spark, sf):
     n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")

@@ -7,7 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import flow as fx
-from ..operators import metrics, windows
+from ..operators import folds, metrics, windows
+from ..operators.ordered import percentiles
 from .tables import DAY, FLOWS, flows, query, table
 
 WITH = f"WITH {FLOWS}"
@@ -17,6 +18,8 @@ FIXED = "0.3"
 RATES = """round(CASE WHEN tp+fp=0 THEN 0 ELSE tp::DOUBLE/(tp+fp) END,6) AS precision, round(CASE WHEN tp+fn=0 THEN 0 ELSE tp::DOUBLE/(tp+fn) END,6) AS recall,
  round(CASE WHEN tp=0 THEN 0 ELSE 2.0*tp/(2*tp+fp+fn) END,6) AS f1,
  round((tp::DOUBLE*tn-fp::DOUBLE*fn)/CASE WHEN (tp+fp)=0 OR (tp+fn)=0 OR (tn+fp)=0 OR (tn+fn)=0 THEN 1 ELSE sqrt((tp+fp)::DOUBLE*(tp+fn)*(tn+fp)*(tn+fn)) END,6) AS mcc"""
+MORE_RATES = """round((tp+tn)::DOUBLE/(tp+fp+tn+fn),6) AS accuracy, round((tp::DOUBLE/(tp+fn)+tn::DOUBLE/(tn+fp))/2,6) AS balanced_accuracy,
+ round(fp::DOUBLE/(fp+tn),6) AS fpr, round(tn::DOUBLE/(fp+tn),6) AS tnr, round(fn::DOUBLE/(fn+tp),6) AS fnr"""
 AUC = """(SELECT sum(CASE WHEN b.score < a.score THEN 1.0 WHEN b.score = a.score THEN 0.5 ELSE 0 END) FROM x b WHERE b.label = 0)"""
 
 
@@ -37,7 +40,7 @@ def confusion(spark, sf):
 
 
 @query(f"""{WITH}, c AS (SELECT proto, count(*) FILTER (score > 0.2 AND label = 1) AS tp, count(*) FILTER (score > 0.2 AND label = 0) AS fp, count(*) FILTER (score <= 0.2 AND label = 0) AS tn, count(*) FILTER (score <= 0.2 AND label = 1) AS fn FROM flows GROUP BY proto)
- SELECT *, {RATES}, round((tp+tn)::DOUBLE/(tp+fp+tn+fn),6) AS accuracy, round((tp::DOUBLE/(tp+fn)+tn::DOUBLE/(tn+fp))/2,6) AS balanced_accuracy, round(fp::DOUBLE/(fp+tn),6) AS fpr FROM c""")
+ SELECT *, {RATES}, {MORE_RATES} FROM c""")
 def prf_mcc(spark, sf):
     return metrics.rates(confusion(spark, sf))
 
@@ -84,8 +87,8 @@ def score_hist(spark, sf):
 
 @query(f"{WITH} SELECT proto, round(quantile_cont(len, 0.5), 6) AS p50, round(quantile_cont(len, 0.99), 6) AS p99 FROM flows GROUP BY proto")
 def latency_pct(spark, sf):
-    p = F.percentile("len", F.array(F.lit(0.5), F.lit(0.99)))
-    return flows(spark, sf).groupBy("proto").agg(p.alias("p")).select("proto", F.round(F.col("p")[0], 6).alias("p50"), F.round(F.col("p")[1], 6).alias("p99"))
+    p = percentiles(flows(spark, sf), ["proto"], "len", [0.5, 0.99])
+    return p.select("proto", F.round(F.col("percentiles")[0], 6).alias("p50"), F.round(F.col("percentiles")[1], 6).alias("p99"))
 
 
 @query(f"{WITH} SELECT family, count(*) AS total, count(*) FILTER (score > 0.2) AS flagged, count(*) FILTER (port % 10 = 0) AS unknown FROM flows GROUP BY family")
@@ -153,16 +156,9 @@ def native_scale(spark, sf):
     return df.select("seq", F.round(windows.native_scaled(df, "len", "src"), 4).alias("scaled"))
 
 
-@query(f"""{WITH}, c AS (SELECT score, count(*) AS k FROM flows WHERE label = 0 AND seq % 5 = 0 GROUP BY 1), n AS (SELECT sum(k) AS n FROM c)
- SELECT f.seq, round((1 + coalesce((SELECT sum(k) FROM c WHERE c.score >= f.score), 0)) / ((SELECT n FROM n) + 1.0), 6) AS p FROM flows f""")
-def conformal_p(spark, sf):
-    out = windows.conformal(flows(spark, sf), (F.col("label") == 0) & (F.col("seq") % 5 == 0))
-    return out.select("seq", F.round("p", 6).alias("p"))
-
-
 @query(f"""{WITH}, c AS (SELECT score, count(*) AS k FROM flows WHERE label = 0 GROUP BY 1), n AS (SELECT sum(k) AS n FROM c)
  SELECT f.seq, round((1 + coalesce((SELECT sum(k) FROM c WHERE c.score >= f.score), 0)) / ((SELECT n FROM n) + 1.0), 6) AS p FROM flows f""")
-def conformal_p_whole(spark, sf):
+def conformal_p(spark, sf):
     """Calibrated on all benign events."""
     out = windows.conformal(flows(spark, sf), F.col("label") == 0)
     return out.select("seq", F.round("p", 6).alias("p"))
@@ -190,26 +186,25 @@ def ecod_top(spark, sf):
     return _ecod(spark, sf).withColumn("t", F.array_sort(items)).select("seq", F.col("t")[0]["f"].alias("first"), F.col("t")[1]["f"].alias("second"), F.round(-F.col("t")[0]["v"], 3).alias("value"))
 
 
+#: 15 trees of depth 8.
 _draw = np.random.default_rng(3)
-SPLITS = [[int(i) for i in _draw.integers(0, 3, 5)] for _ in range(5)]
-LEVELS = [[round(float(v), 6) for v in _draw.random(5)] for _ in range(5)]
-_leaf = lambda s, t: " + ".join(f"(CASE WHEN {'abc'[c]} > {v} THEN {1 << k} ELSE 0 END)" for k, (c, v) in enumerate(zip(s, t, strict=True)))
+SPLITS = _draw.integers(0, 3, (15, 8)).tolist()
+LEVELS = _draw.random((15, 8)).round(6).tolist()
 
 
-@query(f"""{WITH}, x AS (SELECT seq, score * 2 AS a, port / 100.0 AS b, (uid % 97) / 97.0 AS c FROM flows), l AS ({" UNION ALL ".join(f"SELECT seq, seq // 250 AS block, {i} AS tree, {_leaf(s, t)} AS leaf FROM x" for i, (s, t) in enumerate(zip(SPLITS, LEVELS, strict=True)))}),
- m AS (SELECT tree, leaf, block + 1 AS block, count(*) AS mass FROM l GROUP BY ALL) SELECT l.seq, round(avg(1.0 / (1 + coalesce(mass, 0))), 6) AS hst FROM l LEFT JOIN m ON l.tree = m.tree AND l.leaf = m.leaf AND l.block = m.block GROUP BY l.seq""")
-def hst_mass(spark, sf):
-    x = flows(spark, sf).select("seq", (F.col("score") * 2).alias("a"), (F.col("port") / 100.0).alias("b"), ((F.col("uid") % 97) / 97.0).alias("c"))
-    return windows.half_space_mass(x, ["a", "b", "c"], SPLITS, LEVELS).select("seq", F.round("hst", 6).alias("hst"))
+def _leaf(splits: list[int], levels: list[float]) -> str:
+    return " + ".join(f"(CASE WHEN {'abc'[c]} > {v} THEN {1 << k} ELSE 0 END)" for k, (c, v) in enumerate(zip(splits, levels, strict=True)))
+
 
+_LEAVES = " UNION ALL ".join(f"SELECT seq, seq // 250 AS block, {i} AS tree, {_leaf(s, t)} AS leaf FROM x" for i, (s, t) in enumerate(zip(SPLITS, LEVELS, strict=True)))
 
-@query()
-def hst_mass_whole(spark, sf):
-    """15 trees of depth 8."""
-    draw = np.random.default_rng(3)
-    splits, levels = draw.integers(0, 3, (15, 8)).tolist(), draw.random((15, 8)).tolist()
+
+@query(f"""{WITH}, x AS (SELECT seq, score * 2 AS a, port / 100.0 AS b, (uid % 97) / 97.0 AS c FROM flows), l AS ({_LEAVES}),
+ m AS (SELECT tree, leaf, block + 1 AS block, count(*) AS mass FROM l GROUP BY ALL)
+ SELECT l.seq, round(avg(1.0 / (1 + coalesce(mass, 0))), 6) AS hst FROM l LEFT JOIN m ON l.tree = m.tree AND l.leaf = m.leaf AND l.block = m.block GROUP BY l.seq""")
+def hst_mass(spark, sf):
     x = flows(spark, sf).select("seq", (F.col("score") * 2).alias("a"), (F.col("port") / 100.0).alias("b"), ((F.col("uid") % 97) / 97.0).alias("c"))
-    return windows.half_space_mass(x, ["a", "b", "c"], splits, levels).select("seq", F.round("hst", 6).alias("hst"))
+    return windows.half_space_mass(x, ["a", "b", "c"], SPLITS, LEVELS).select("seq", F.round("hst", 6).alias("hst"))
 
 
 @query(f"""{WITH}, x AS (SELECT seq, score AS a, port / 100.0 AS b, seq // 500 AS k FROM flows), s AS (SELECT k, avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM x GROUP BY k),
@@ -230,3 +225,33 @@ def exceedance_rate(spark, sf):
 @query(f"{WITH} SELECT seq, round(0.5 * score + 0.3 * port / 100.0 + 0.2 * (uid % 7) / 7.0, 6) AS fused FROM flows")
 def fusion_weighted(spark, sf):
     return flows(spark, sf).select("seq", F.round(0.5 * F.col("score") + 0.3 * F.col("port") / 100.0 + 0.2 * (F.col("uid") % 7) / 7.0, 6).alias("fused"))
+
+
+@query(f"""{WITH}, r AS (SELECT seq, proto, score, label, coalesce(count(*) FILTER (label = 0) OVER (PARTITION BY proto ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM flows),
+ c AS (SELECT proto, score, nb AS i FROM r WHERE label = 0), k AS (SELECT r.seq, count(*) AS k FROM r JOIN c ON c.proto = r.proto AND c.i < r.nb AND c.i >= r.nb - 2000 AND c.score >= r.score GROUP BY r.seq)
+ SELECT r.seq, round(CASE WHEN nb < 50 THEN 1 / (1 + exp(3 * (score - 0.5))) ELSE (1 + coalesce(k, 0)) / (least(nb, 2000) + 1.0) END, 6) AS p FROM r LEFT JOIN k ON k.seq = r.seq""")
+def conformal_recent(spark, sf):
+    """Against the last 2,000 benign scores of the context, with a warm-up."""
+    x = flows(spark, sf).withColumn("benign", F.col("label") == 0)
+    return folds.recent_conformal(x, ["proto"], "score", "benign").select("seq", F.round("p", 6).alias("p"))
+
+
+@query(f"""{WITH}, x AS (SELECT seq, proto, score AS a, port / 100.0 AS b, row_number() OVER (PARTITION BY proto ORDER BY us, seq) AS i FROM flows),
+ k AS (SELECT x.seq, count(*) AS n, count(*) FILTER (y.a <= x.a) / (count(*) + 1.0) AS fa, count(*) FILTER (y.b <= x.b) / (count(*) + 1.0) AS fb FROM x JOIN x y ON y.proto = x.proto AND y.i < x.i AND y.i >= x.i - 1000 GROUP BY x.seq),
+ s AS (SELECT seq, n, -ln(greatest(CASE WHEN fa > 0.5 THEN 1 - fa ELSE fa END, 1e-9)) - ln(greatest(CASE WHEN fb > 0.5 THEN 1 - fb ELSE fb END, 1e-9)) AS s FROM k)
+ SELECT x.seq, round(CASE WHEN coalesce(n, 0) < 20 THEN 0.0 ELSE 1 - exp(-s / 5.0) END, 6) AS ecod FROM x LEFT JOIN s ON s.seq = x.seq""")
+def ecod_recent(spark, sf):
+    """Under the context's last 1,000 records."""
+    x = flows(spark, sf).select("proto", "us", "seq", F.col("score").alias("a"), (F.col("port") / 100.0).alias("b"))
+    return folds.recent_ecod(x, ["proto"], ["a", "b"]).select("seq", F.round("ecod", 6).alias("ecod"))
+
+
+@query(f"""{WITH}, x AS (SELECT seq, src, score AS a, port / 100.0 AS b, row_number() OVER (PARTITION BY src ORDER BY us, seq) AS i FROM flows),
+ k AS (SELECT x.seq, any_value(x.a) AS a, any_value(x.b) AS b, count(*) AS n, avg(y.a) AS ma, stddev_pop(y.a) AS sa, avg(y.b) AS mb, stddev_pop(y.b) AS sb FROM x JOIN x y ON y.src = x.src AND y.i < x.i AND y.i >= x.i - 500 GROUP BY x.seq),
+ d AS (SELECT k.seq, quantile_cont(sqrt((((y.a-ma)/(sa+1e-6))**2 + ((y.b-mb)/(sb+1e-6))**2) / 2), 0.97) AS gate, any_value(sqrt((((k.a-ma)/(sa+1e-6))**2 + ((k.b-mb)/(sb+1e-6))**2) / 2)) AS d
+  FROM k JOIN x ON x.seq = k.seq JOIN x y ON y.src = x.src AND y.i < x.i AND y.i >= x.i - 500 WHERE n >= 30 GROUP BY k.seq)
+ SELECT x.seq, coalesce(d > gate * 1.15, false) AS unknown, round(CASE WHEN d > gate THEN greatest(0, least(1, d / (gate + 1e-6) - 1)) ELSE 0 END, 4) AS novelty FROM x LEFT JOIN d ON d.seq = x.seq""")
+def openset_recent(spark, sf):
+    """Against the source's last 500 records."""
+    x = flows(spark, sf).select("src", "us", "seq", F.col("score").alias("a"), (F.col("port") / 100.0).alias("b"))
+    return folds.recent_open_set(x, ["src"], ["a", "b"]).select("seq", "unknown", F.round("novelty", 4).alias("novelty"))

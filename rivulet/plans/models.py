@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import detectors, engine, folds
+from ..operators import alerts, detectors, engine, folds
 from . import experiments
-from .tables import flows, query, table
+from .tables import DAY, flows, query, table
 
 
 def _points(spark, sf):
@@ -18,8 +18,8 @@ def _points(spark, sf):
 def hdc_bundle(spark, sf):
     x = table(spark, sf, "embeddings").select(F.col("vec_id").alias("seq"), (F.col("label") < 5).cast("int").alias("label"), *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)))
     columns = [f"x{i}" for i in range(64)]
-    p = detectors.standardised(x, columns, detectors.Projection(64))
-    return detectors.hyperdimensional(x, columns, detectors.bundled(x, columns, "label", p), p).select("seq", F.round("hdc", 6).alias("hdc"))
+    codes = detectors.standardised(x, columns, detectors.Codes(64))
+    return detectors.hyperdimensional(x, columns, detectors.bundled(x, columns, "label", codes), codes).select("seq", F.round("hdc", 6).alias("hdc"))
 
 
 @query()
@@ -34,8 +34,31 @@ def random_cuts(spark, sf):
 
 @query()
 def supervised_head(spark, sf):
-    begin, step = detectors.head_fold(["score", "b", "c"], "label")
-    return folds.fold(_points(spark, sf), ["proto"], ["us", "seq"], begin, step, "seq long, sup double")
+    return detectors.prequential(_points(spark, sf), ["proto"], ["us", "seq"], ["score", "b", "c"], "label").select("seq", F.round("sup", 9).alias("sup"))
+
+
+@query()
+def detector_bank(spark, sf):
+    """All detectors of the bank on all rows."""
+    out = detectors.bank(_points(spark, sf), ["score", "b", "c"], "label")
+    return out.select("seq", *(F.round(d, 6).alias(d) for d in detectors.BANK))
+
+
+def _processed(spark, sf):
+    return engine.processed(flows(spark, sf), DAY, 1 / 86400, 0.001, watts=F.col("len"), watt_budget=120.0)
+
+
+@query()
+def engine_process(spark, sf):
+    """Flows to decisions in one call."""
+    return _processed(spark, sf).select("seq", F.round("score", 6).alias("score"), F.round("suspicion", 6).alias("suspicion"), "action", "severity")
+
+
+@query()
+def engine_alerts(spark, sf):
+    """Flows to alerts in one call."""
+    out = alerts.process(_processed(spark, sf).filter("action <> 'PASS'"), DAY)
+    return out.select("seq", "src", "action", "severity", "campaign_count", "alert_id", "fdr_p", "lifecycle")
 
 
 @query()

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import alerts, mesh, rules
+from ..operators import alerts, engine, mesh, rules
 from .projections import DECIDED, decided
-from .tables import DAY, FLOWS, flows, query, table
+from .states import alert_dedup  # noqa: F401  (its SQL is a part of others)
+from .tables import DAY, FLOWS, SQL, flows, query, table
 
 WITH = f"WITH {FLOWS}"
 _X = "x AS (SELECT score AS a, port / 100.0 AS b, (uid % 97) / 97.0 AS c, CASE WHEN port > 85 AND seq % 50 <> 0 THEN 1 ELSE 0 END AS y FROM flows)"
@@ -82,6 +83,45 @@ def prometheus_text(spark, sf):
     return alerts.exposition(rows)
 
 
+_CUTOFF = """g AS (SELECT 1 - score AS p, count(*) AS c FROM decided WHERE action <> 'PASS' GROUP BY 1), t AS (SELECT sum(c) AS n FROM g), k AS (SELECT p, sum(c) OVER (ORDER BY p) AS k FROM g),
+ f AS (SELECT CASE WHEN any_value(n) < 20 THEN 1.0 ELSE coalesce(max(p) FILTER (p <= 0.5 * k / n), 0.5 / any_value(n)) END AS cutoff FROM k, t)"""
+_ALERTS = f"""{DECIDED}, d AS ({SQL["alert_dedup"]}), {_CUTOFF},
+ a AS (SELECT x.*, row_number() OVER (PARTITION BY src ORDER BY us, x.seq) AS campaign_count FROM decided x JOIN d ON d.seq = x.seq AND d.shown, f WHERE x.action IN ('DROP', 'QUARANTINE', 'RATE_LIMIT', 'REDIRECT') OR 1 - score <= cutoff)"""
+
+
+def _offered(spark, sf):
+    return decided(spark, sf).filter("action <> 'PASS'")
+
+
+@query(f"{_ALERTS} SELECT seq, action, campaign_count, 'al-' || CAST(floor(us / 1e6 * 1000) AS BIGINT) % 10000000 || '-' || campaign_count AS alert_id, round(1 - score, 4) AS fdr_p FROM a")
+def alert_process(spark, sf):
+    """Repeats in a day, false discoveries, campaigns: one call."""
+    out = alerts.process(_offered(spark, sf), DAY, 0.5)
+    return out.select("seq", "action", "campaign_count", "alert_id", "fdr_p")
+
+
+@query(f"{_ALERTS} SELECT (SELECT count(*) FROM decided WHERE action <> 'PASS') AS alerts_total, (SELECT count(*) FROM decided WHERE action <> 'PASS') - count(*) AS alerts_suppressed, (SELECT round(cutoff, 4) FROM f) AS bh_cutoff, count(DISTINCT src) AS active_campaigns FROM a")
+def alert_stats(spark, sf):
+    offered = _offered(spark, sf)
+    return alerts.statistics(offered, alerts.process(offered, DAY, 0.5), 0.5)
+
+
+_ENFORCED = "action IN ('DROP', 'QUARANTINE', 'RATE_LIMIT', 'REDIRECT')"
+_W = "CASE WHEN action IN ('DROP', 'QUARANTINE') THEN 20.0 ELSE 1.0 END"
+
+
+@query(f"""{_ALERTS}, s AS (SELECT count(*) AS packets, count(*) FILTER (action IN ('DROP', 'QUARANTINE')) AS dropped, count(*) FILTER (action = 'QUARANTINE') AS quarantined, count(*) / ((max(us) - min(us)) / 1e6) AS pps, sum(len) * 8 / ((max(us) - min(us)) / 1e6) AS bps,
+  coalesce(sum({_W}) FILTER (label = 0 AND {_ENFORCED}), 0) / sum({_W}) FILTER (label = 0) AS fpr, count(*) FILTER (port > 70) / count(*)::DOUBLE AS hit,
+  count(*) FILTER ({_ENFORCED} AND label = 1) AS tp, count(*) FILTER ({_ENFORCED} AND label = 0) AS fp, count(*) FILTER (NOT {_ENFORCED} AND label = 0) AS tn, count(*) FILTER (NOT {_ENFORCED} AND label = 1) AS fn FROM decided)
+ SELECT packets, dropped, quarantined, round(pps, 6) AS pps, round(bps, 6) AS bps, round(fpr, 6) AS realized_fpr, round(fpr / 0.02, 4) AS budget_ratio, round(hit, 6) AS rule_hit_ratio, tp, fp, tn, fn, round(fn::DOUBLE / (fn + tp), 6) AS fnr,
+  (SELECT count(*) FROM a) AS alerts, (SELECT count(DISTINCT src) FROM a) AS active_campaigns FROM s""")
+def engine_snapshot(spark, sf):
+    d = decided(spark, sf)
+    out = engine.snapshot(d, alerts.process(d.filter("action <> 'PASS'"), DAY, 0.5), F.col("port") > 70)
+    rounded = [F.round(c, 6).alias(c) for c in ("pps", "bps", "realized_fpr", "rule_hit_ratio")]
+    return out.select("packets", "dropped", "quarantined", *rounded, F.round("budget_ratio", 4).alias("budget_ratio"), "tp", "fp", "tn", "fn", "fnr", "alerts", "active_campaigns")
+
+
 # --- merges ----------------------------------------------------------------
 @query(f"{WITH} SELECT dst || port AS ip, seq, src AS origin FROM flows QUALIFY row_number() OVER (PARTITION BY dst || port ORDER BY us // {DAY} DESC, seq) = 1")
 def lww_merge(spark, sf):
@@ -103,21 +143,18 @@ def mesh_blocks(spark, sf):
 
 
 _STATE = "CASE port % 8 WHEN 0 THEN 'SUSPECT' WHEN 1 THEN 'DEAD' WHEN 2 THEN 'LEFT' ELSE 'ALIVE' END"
-_MEMBERS = f"""m AS (SELECT uid AS node, port // 25 AS incarnation, {_STATE} AS state, seq AS heartbeat FROM flows WHERE seq % 3 = 0), t AS (SELECT node, max(incarnation) AS incarnation FROM m GROUP BY node),
+_MEMBERS = f"""m AS (SELECT uid AS node, port // 25 AS incarnation, {_STATE} AS state, seq AS heartbeat FROM flows), t AS (SELECT node, max(incarnation) AS incarnation FROM m GROUP BY node),
  g AS (SELECT m.node, m.incarnation, arg_max(state, CASE state WHEN 'SUSPECT' THEN 1 WHEN 'LEFT' THEN 2 WHEN 'DEAD' THEN 3 ELSE 0 END) AS state, max(heartbeat) AS heartbeat FROM m JOIN t ON m.node = t.node AND m.incarnation = t.incarnation GROUP BY 1, 2)"""
 
 
-_ALL_MEMBERS = _MEMBERS.replace(" WHERE seq % 3 = 0", "")
-
-
-def _rumours(spark, sf, rows="seq % 3 = 0"):
+def _rumours(spark, sf):
     p = F.col("port") % 8
     state = F.when(p == 0, "SUSPECT").when(p == 1, "DEAD").when(p == 2, "LEFT").otherwise("ALIVE")
-    return flows(spark, sf).filter(rows).select(F.col("uid").alias("node"), F.floor(F.col("port") / 25).alias("incarnation"), state.alias("state"), F.col("seq").alias("heartbeat"))
+    return flows(spark, sf).select(F.col("uid").alias("node"), F.floor(F.col("port") / 25).alias("incarnation"), state.alias("state"), F.col("seq").alias("heartbeat"))
 
 
-def _members(spark, sf, rows="seq % 3 = 0"):
-    return mesh.merged_members(_rumours(spark, sf, rows))
+def _members(spark, sf):
+    return mesh.merged_members(_rumours(spark, sf))
 
 
 @query(f"{WITH}, {_MEMBERS} SELECT node, incarnation, state, heartbeat FROM g")
@@ -125,22 +162,11 @@ def member_merge(spark, sf):
     return _members(spark, sf)
 
 
-@query(f"{WITH}, {_ALL_MEMBERS} SELECT node, incarnation, state, heartbeat FROM g")
-def member_merge_whole(spark, sf):
-    """All events; member_merge has a third of them."""
-    return _members(spark, sf, "true")
-
-
 @query(f"{WITH}, {_MEMBERS} SELECT count(*) FILTER (state = 'ALIVE') AS alive, count(*) FILTER (state = 'SUSPECT') AS suspect, count(*) FILTER (state = 'DEAD') AS dead, count(*) FILTER (state = 'ALIVE') > count(*) / 2.0 AS quorum FROM g")
 def cluster_health(spark, sf):
     return mesh.health(_members(spark, sf))
 
 
-@query(f"{WITH}, {_ALL_MEMBERS} SELECT count(*) FILTER (state = 'ALIVE') AS alive, count(*) FILTER (state = 'SUSPECT') AS suspect, count(*) FILTER (state = 'DEAD') AS dead, count(*) FILTER (state = 'ALIVE') > count(*) / 2.0 AS quorum FROM g")
-def cluster_health_whole(spark, sf):
-    return mesh.health(_members(spark, sf, "true"))
-
-
 @query(f"{WITH}, x AS (SELECT seq, uid, port * 3 AS e, row_number() OVER (PARTITION BY uid ORDER BY us, seq) AS n FROM flows) SELECT seq, n + greatest(0, max(e - n + 1) OVER (PARTITION BY uid ORDER BY n)) AS own_clock FROM x")
 def lamport_clock(spark, sf):
     e = flows(spark, sf).select("seq", "us", "uid", (F.col("port") * 3).alias("e"))
@@ -152,11 +178,6 @@ def refutation(spark, sf):
     return mesh.refuted(_members(spark, sf), _rumours(spark, sf).drop("heartbeat")).select("node", "incarnation")
 
 
-@query(f"""{WITH}, {_ALL_MEMBERS}, b AS (SELECT node, max(incarnation) AS bad FROM m WHERE state IN ('SUSPECT', 'DEAD') GROUP BY node) SELECT g.node, CASE WHEN bad >= g.incarnation THEN bad + 1 ELSE g.incarnation END AS incarnation FROM g LEFT JOIN b ON b.node = g.node""")
-def refutation_whole(spark, sf):
-    return mesh.refuted(_members(spark, sf, "true"), _rumours(spark, sf, "true").drop("heartbeat")).select("node", "incarnation")
-
-
 @query(f"{WITH}, t AS (SELECT uid, len FROM flows QUALIFY row_number() OVER (PARTITION BY uid ORDER BY us DESC, seq DESC) = 1) SELECT count(*) AS nodes, round(sum(len), 4) AS total FROM t")
 def telemetry_latest(spark, sf):
     t = flows(spark, sf).select(F.col("uid").alias("node"), "us", "seq", "len")
@@ -209,24 +230,22 @@ def krum(spark, sf):
     return out.select("label", "id", F.round("score", 5).alias("score"))
 
 
-@query(f"""WITH {_KRUM}, d3 AS (SELECT x.label, x.vec_id, (abs(x.v[1]) - abs(y.v[1])) ** 2 + (abs(x.v[2]) - abs(y.v[2])) ** 2 + (abs(x.v[3]) - abs(y.v[3])) ** 2 AS d FROM e x JOIN e y ON x.label = y.label),
- o3 AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS r FROM d3), k3 AS (SELECT label, arg_min(vec_id, score) AS id FROM (SELECT o3.label, vec_id, sum(d) AS score FROM o3 JOIN n ON n.label = o3.label WHERE r BETWEEN 2 AND n - 2 GROUP BY 1, 2) GROUP BY label),
- w AS (SELECT label, abs(v[1]) AS a, abs(v[2]) AS b, abs(v[3]) AS c FROM e UNION ALL SELECT e.label, abs(v[1]), abs(v[2]), abs(v[3]) FROM e JOIN k3 ON k3.id = e.vec_id AND k3.label = e.label),
- u AS (SELECT label, unnest([1, 2, 3]) AS i, unnest([a, b, c]) AS v FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY label, i ORDER BY v) AS r, count(*) OVER (PARTITION BY label, i) AS n FROM u),
- m AS (SELECT label, i, avg(v) AS v FROM r WHERE r > floor(n * 0.2) AND r <= n - floor(n * 0.2) GROUP BY 1, 2) SELECT label, round(max(CASE i WHEN 1 THEN v END) / sum(v), 6) AS w1, round(max(CASE i WHEN 3 THEN v END) / sum(v), 6) AS w3 FROM m GROUP BY label""")
+@query(f"""WITH {_KRUM}, a AS (SELECT label, vec_id, list_transform(v, lambda x: abs(x)) AS v FROM e), d3 AS (SELECT x.label, x.vec_id, list_distance(x.v, y.v) ** 2 AS d, row_number() OVER (PARTITION BY x.vec_id ORDER BY list_distance(x.v, y.v)) AS r FROM a x JOIN a y ON x.label = y.label),
+ k3 AS (SELECT label, arg_min(vec_id, score) AS id FROM (SELECT d3.label, vec_id, sum(d) AS score FROM d3 JOIN n ON n.label = d3.label WHERE r BETWEEN 2 AND n - 2 GROUP BY 1, 2) GROUP BY label),
+ w AS (SELECT label, v FROM a UNION ALL SELECT a.label, v FROM a JOIN k3 ON k3.id = a.vec_id AND k3.label = a.label),
+ u AS (SELECT label, unnest(range(1, 65)) AS i, unnest(v) AS v FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY label, i ORDER BY v) AS r, count(*) OVER (PARTITION BY label, i) AS n FROM u),
+ m AS (SELECT label, i, avg(v) AS v FROM r WHERE r > floor(n * 0.2) AND r <= n - floor(n * 0.2) GROUP BY 1, 2)
+ SELECT label, round(max(CASE i WHEN 1 THEN v END) / sum(v), 6) AS w1, round(max(CASE i WHEN 64 THEN v END) / sum(v), 6) AS w64, round(sum(i * v) / sum(v), 5) AS center FROM m GROUP BY label""")
 def federated(spark, sf):
-    v = F.transform(F.slice("embedding", 1, 3), lambda x: F.abs(x.cast("double")))
+    """All 64 coordinates."""
+    v = F.transform("embedding", lambda x: F.abs(x.cast("double")))
     out = mesh.federated(table(spark, sf, "embeddings").select("label", "vec_id", v.alias("v")), "label", "vec_id", "v")
-    return out.select("label", F.round(F.col("weights")[0], 6).alias("w1"), F.round(F.col("weights")[2], 6).alias("w3"))
-
-
-@query(f"{WITH} SELECT proto, list_sort(list(len))[count(*) // 2 + 1] AS threshold FROM flows WHERE seq % 10 = 3 GROUP BY proto")
-def upper_median(spark, sf):
-    return flows(spark, sf).filter("seq % 10 = 3").groupBy("proto").agg(mesh.upper_median("len").alias("threshold"))
+    center = F.aggregate(F.transform("weights", lambda w, i: w * (i + 1)), F.lit(0.0), lambda a, w: a + w)
+    return out.select("label", F.round(F.col("weights")[0], 6).alias("w1"), F.round(F.col("weights")[63], 6).alias("w64"), F.round(center, 5).alias("center"))
 
 
 @query(f"{WITH} SELECT proto, list_sort(list(len))[count(*) // 2 + 1] AS threshold FROM flows GROUP BY proto")
-def upper_median_whole(spark, sf):
+def upper_median(spark, sf):
     return mesh.upper_medians(flows(spark, sf), "proto", "len").withColumnRenamed("median", "threshold")
 
 
@@ -280,3 +299,43 @@ def energy_delta(spark, sf):
     return s.select("s_suppkey", windows.counter_delta("v", "s_nationkey", "s_suppkey", 1000.0).alias("wrapped"), windows.counter_delta("v", "s_nationkey", "s_suppkey").alias("floored"))
 
 
+
+
+# --- nodes -----------------------------------------------------------------
+@query(f"""{WITH}, {_MEMBERS}, p AS ({SQL["phi_accrual"]}), l AS (SELECT uid AS node, arg_max(phi, flows.seq) AS phi FROM flows JOIN p ON p.seq = flows.seq GROUP BY uid)
+ SELECT g.node, CASE WHEN phi >= 12 THEN 'DEAD' WHEN phi >= 0.5 AND state = 'ALIVE' THEN 'SUSPECT' WHEN phi < 0.5 AND state = 'SUSPECT' THEN 'ALIVE' ELSE state END AS state FROM g LEFT JOIN l ON l.node = g.node""")
+def member_states(spark, sf):
+    """Suspicion of silent members; suspect from 0.5 on here, as few users are late by eight orders of magnitude."""
+    beats = flows(spark, sf).select("seq", F.col("uid").alias("node"), (F.col("us") / 1e3).alias("ms"))
+    levels = mesh.phi(beats, "node", "ms").groupBy("node").agg(F.round(F.max_by("phi", "seq"), 5).alias("phi"))
+    return mesh.watched(_members(spark, sf), levels, suspect=0.5).select("node", "state")
+
+
+@query(f"{DECIDED} SELECT seq, src, action, least(1.0, score) AS confidence, 'n0' AS origin, row_number() OVER (ORDER BY seq) + 5 AS lamport, 900 AS ttl FROM decided WHERE {_ENFORCED}")
+def local_intel(spark, sf):
+    return mesh.local_intel(decided(spark, sf), "n0", 5).select("seq", "src", "action", "confidence", "origin", "lamport", "ttl")
+
+
+@query(f"""{DECIDED}, i AS (SELECT row_number() OVER (ORDER BY seq) AS lamport FROM decided WHERE {_ENFORCED}), b AS (SELECT (lamport - 1) // 64 AS batch, count(*) AS records FROM i GROUP BY 1),
+ {_MEMBERS} SELECT node AS peer, batch, records FROM g, b WHERE state IN ('ALIVE', 'SUSPECT') AND node <> 3""")
+def intel_flush(spark, sf):
+    intel = mesh.local_intel(decided(spark, sf), "n3")
+    return mesh.flushed(intel, _members(spark, sf), 3)
+
+
+@query(f"""{WITH}, {_MEMBERS}, a AS (SELECT 'member' AS kind, CAST(node AS VARCHAR) AS item FROM g ORDER BY heartbeat DESC, node LIMIT 24), b AS (SELECT 'record' AS kind, CAST(seq AS VARCHAR) AS item FROM flows ORDER BY us DESC, seq DESC LIMIT 40)
+ SELECT * FROM a UNION ALL SELECT * FROM b""")
+def gossip_digest(spark, sf):
+    members, records = mesh.gossip_digest(_members(spark, sf), flows(spark, sf))
+    return members.select(F.lit("member").alias("kind"), F.col("node").cast("string").alias("item")).union(records.select(F.lit("record"), F.col("seq").cast("string")))
+
+
+@query(f"{WITH} SELECT proto, sum(port) AS seen, sum(port // 7) AS lost, CASE WHEN sum(port) > 0 THEN round(100.0 * sum(port // 7) / sum(port), 4) ELSE 0.0 END AS loss_pct FROM flows GROUP BY proto")
+def packet_loss(spark, sf):
+    return mesh.packet_loss(flows(spark, sf).select("proto", F.col("port").alias("seen"), F.floor(F.col("port") / 7).alias("lost")), "proto")
+
+
+@query("SELECT p_partkey, round(100.0 * p_size / 60, 1) AS mem_used_pct, round(p_partkey * 100000 / 1048576, 1) AS rss_mb FROM part")
+def host_memory(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", F.lit(60).cast("long").alias("total"), (60 - F.col("p_size")).cast("long").alias("available"), (F.col("p_partkey") * 100000).alias("rss"))
+    return mesh.host_memory(p).select("p_partkey", "mem_used_pct", "rss_mb")

@@ -1,4 +1,5 @@
-"""Simulated labelled traffic as a Python data source: spark.read.format("rivulet_sim").
+"""Simulated labelled traffic as a Python data source: spark.read.format("rivulet_sim"), or
+readStream.
 
 Options: rows (10000), seed (42), attack_prob (0.0015 a benign record), rate_hz
 (400), partitions (4). Each partition simulates its own stretch of time, so
@@ -10,16 +11,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "seq long, ts double, src_ip string, dst_ip string, src_port int, dst_port int, proto string, pkt_len int, tcp_flags int, label int, family string"
+#: Number of outside hosts.
+OUTSIDE = 2000
 FAMILIES = ["portscan", "synflood", "ddos", "exfil"]
 
 
 def simulated(first: int, rows: int, seed: int, attack_prob: float, rate_hz: float, begin: float) -> Iterator[tuple]:
     """Benign records between inside hosts and outside ones, with bursts of 40 to 120 attack records."""
     draw = np.random.default_rng([seed, first])
-    outside = [".".join(map(str, (*np.random.default_rng([seed, k]).integers(11, 223, 1), *np.random.default_rng([seed, k, 1]).integers(0, 255, 3)))) for k in range(200)]
+    numbers = np.random.default_rng(seed).integers([11, 0, 0, 0], [223, 255, 255, 255], (OUTSIDE, 4))
+    outside = [".".join(map(str, row)) for row in numbers.tolist()]
     inside = lambda: f"10.0.{draw.integers(0, 4)}.{draw.integers(1, 40)}"
     now, left, family, attacker, victim = begin, 0, "", "", ""
     for k in range(rows):
@@ -56,6 +60,32 @@ class Reader(DataSourceReader):
         yield from simulated(partition.first, partition.rows, self.seed, self.prob, self.rate, 1_700_000_000 + partition.first / self.rate)
 
 
+class Stream(DataSourceStreamReader):
+    """Batches of batch_rows records without end (or up to rows, if given); the offset is the number of records so far."""
+
+    def __init__(self, options: dict):
+        self.batch, self.parts = int(options.get("batch_rows", 1000)), int(options.get("partitions", 4))
+        self.most = int(options["rows"]) if "rows" in options else None
+        self.inner, self.sent = Reader(options), 0
+
+    def initialOffset(self) -> dict:
+        return {"seq": 0}
+
+    def latestOffset(self) -> dict:
+        self.sent += self.batch
+        if self.most is not None:
+            self.sent = min(self.sent, self.most)
+        return {"seq": self.sent}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.sent = max(self.sent, end["seq"])
+        cut = np.linspace(start["seq"], end["seq"], max(1, self.parts) + 1).astype(int)
+        return [Part(int(a), int(b - a)) for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a]
+
+    def read(self, partition: Part) -> Iterator[tuple]:
+        yield from self.inner.read(partition)
+
+
 class SimulatedFlows(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -66,3 +96,6 @@ class SimulatedFlows(DataSource):
 
     def reader(self, schema) -> Reader:
         return Reader(self.options)
+
+    def streamReader(self, schema) -> Stream:
+        return Stream(self.options)

@@ -197,22 +197,3 @@ def test_fold_streams_one_state_a_key(spark):
     out = folds.fold(df, ["k"], ["n"], lambda: {"t": 0.0}, step, "k long, n long, t double").collect()
     assert len(out) == 4000
     assert {r.k: r.t for r in out if r.n >= 3993} == {k: float(sum(n for n in range(4000) if n % 7 == k)) for k in range(7)}
-
-
-def test_head_learns():
-    draw = np.random.default_rng(0)
-    x = draw.random((800, 3))
-    y = (x[:, 0] > 0.5).astype(float)
-    head = detectors.Head(3)
-    assert head.score(x[0]) == 0.5
-    for a, b in zip(x[:600], y[:600], strict=True):
-        head.learn(a, b)
-    assert np.mean([(head.score(a) > 0.5) == b for a, b in zip(x[600:], y[600:], strict=True)]) > 0.9
-
-
-def test_saliency_of_a_spike():
-    flat = np.sin(np.arange(32))
-    spike = flat.copy()
-    spike[-1] += 8
-    assert detectors.residual_saliency(spike) > detectors.residual_saliency(flat)
-    assert detectors.residual_saliency(flat[:7]) == 0
