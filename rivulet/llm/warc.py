@@ -5,10 +5,12 @@ local path, or any other that pyarrow can open. A task that runs again writes
 new files; only files that a finished task reports are read.
 
 The reader checks each member (gzip's own checks), the version line, headers,
-block length and payload digest. Where a check fails it looks for the next
-member that opens with a version line (or, inside a member or a plain archive,
-for the next version line), goes on from there, and reports the bytes between
-as a gap with a reason.
+block length and payload digest, and goes by declared lengths: what a sound
+record's payload holds is never searched. Where a check fails it looks for the
+next member that opens with a version line (or, inside a member or a plain
+archive, for the next version line), goes on from there, and reports the bytes
+between as a gap with a reason. Members of more than ``HELD_BYTES`` unpacked are
+read in pieces: their records get digests and lengths, but no payload.
 
 A null payload is empty, a null url gives no target header, a null id no record
 id. Of equal payloads of min_bytes or more, rows of the largest id (nulls are
@@ -34,9 +36,12 @@ from pyspark.sql import functions as F
 from .common import shared_dir, small_batches, stored
 
 ROLL_BYTES = 32 << 20
+HELD_BYTES = 64 << 20
+HEAD_BYTES = 1 << 20
 LEAST = -(2**63)
 VERSION = re.compile(rb"WARC/\d+\.\d+\r?\n")
 GZIP = b"\x1f\x8b\x08"
+LARGE = "larger than held"
 
 
 @contextmanager
@@ -97,48 +102,117 @@ def member(data: bytes) -> bytes:
 
 
 class Salvage:
-    """records() gives (offset, headers, payload bytes, payload length) of all sound records; gaps collects (first, end, reason) in bytes of the archive."""
+    """records() gives (offset, headers, payload or None, payload length, payload digest) of all sound records; gaps collects (first, end, reason) in bytes of the archive."""
 
-    def __init__(self, data, most: int = 1 << 30):
+    def __init__(self, data, most: int = HELD_BYTES):
         self.data, self.most, self.gaps = data, most, []
 
-    def records(self) -> Iterator[tuple[int, dict[str, str], bytes, int]]:
+    def records(self) -> Iterator[tuple]:
         n, at = len(self.data), 0
         while at < n:
             if self.data[at : at + 3] == GZIP:
                 body, end, why = self._member(at)
+                if why == LARGE:
+                    found, end, why = self._large(at)
+                    yield from found
                 if why:
-                    follow = self._next(at + 1)
-                    self.gaps.append((at, follow, why))
-                    at = follow
-                    continue
-                yield from self._plain(body, at, end)
+                    end = self._next(at + 1)
+                    self.gaps.append((at, end, why))
+                elif body is not None:
+                    yield from self._inside(body, at, end)
                 at = end
-            else:
-                follow = self._next_member(at)
-                if VERSION.match(self.data[at : at + 20]):
-                    yield from self._plain(self.data[at:follow], at, None)
+            elif VERSION.match(self.data[at : at + 20]):
+                headers, payload, length, digest, end, why = self._record(self.data, at)
+                if why:
+                    end = self._next(at + 1)
+                    self.gaps.append((at, end, why))
                 else:
-                    line = self._next(at)
-                    self.gaps.append((at, line, "no member or version line"))
-                    follow = line
-                at = follow
+                    yield at, headers, payload, length, digest
+                at = end
+            else:
+                line = self._next(at)
+                self.gaps.append((at, line, "no member or version line"))
+                at = line
+
+    def _pieces(self, at: int) -> Iterator[tuple[bytes, int, bool]]:
+        """Unpacked pieces of a member, none above 1 MB, with the position behind what was read, and whether the member ends. A damaged member raises zlib.error."""
+        inflate, pos, left = zlib.decompressobj(31), at, b""
+        while not inflate.eof:
+            if not left:
+                left = bytes(self.data[pos : pos + (1 << 18)])
+                pos += len(left)
+                if not left:
+                    raise zlib.error("truncated member")
+            try:
+                out = inflate.decompress(left, 1 << 20)
+            except zlib.error as e:
+                raise zlib.error(f"damaged member: {e}") from e
+            left = inflate.unconsumed_tail
+            yield out, pos - len(inflate.unused_data), inflate.eof
+
+    def _member(self, at: int) -> tuple[bytes | None, int, str]:
+        out, size, end = [], 0, at
+        try:
+            for piece, end, _ in self._pieces(at):  # noqa: B007
+                out.append(piece)
+                size += len(piece)
+                if size > self.most:
+                    return None, end, LARGE
+        except zlib.error as e:
+            return None, end, str(e)
+        return b"".join(out), end, ""
 
-    def _member(self, at: int) -> tuple[bytes, int, str]:
-        inflate, out, size, pos = zlib.decompressobj(31), [], 0, at
+    def _large(self, at: int) -> tuple[list[tuple], int, str]:
+        """The records of a member that isn't held: payloads are hashed as they come. One failed check, and the whole member is a gap."""
+        found, end, held = [], at, bytearray()
+        left, state = 0, {}
         try:
-            while not inflate.eof:
-                piece = self.data[pos : pos + (1 << 18)]
-                if not piece:
-                    return b"", pos, "truncated member"
-                pos += len(piece)
-                out.append(inflate.decompress(piece, self.most - size + 1))
-                size += len(out[-1])
-                if size > self.most or inflate.unconsumed_tail:
-                    return b"", pos, "member over the limit"
+            for piece, end, last in self._pieces(at):
+                held += piece
+                while True:
+                    if state and left:
+                        part = bytes(held[: min(left, len(held))])
+                        del held[: len(part)]
+                        left -= len(part)
+                        if state["head"] is not None:
+                            state["head"] += part
+                            cut = state["head"].find(b"\r\n\r\n")
+                            if cut < 0 and len(state["head"]) < HEAD_BYTES and left:
+                                break
+                            if state["revisit"] and (m := re.search(rb"(?i)\r\ncontent-length: *(\d+)", state["head"][: max(cut, 0)])):
+                                state["of"] = int(m[1])
+                            part, state["head"] = bytes(state["head"][cut + 4 if cut >= 0 else 0 :]), None
+                        state["hash"].update(part)
+                        state["length"] += len(part)
+                        if left:
+                            break
+                    if state and not left:
+                        if len(held) < 4 and not last:
+                            break
+                        digest = base64.b32encode(state["hash"].digest()).decode()
+                        stated = state["headers"].get("warc-payload-digest", "").removeprefix("sha1:")
+                        if state["revisit"]:
+                            digest = stated or digest
+                        elif stated and stated != digest:
+                            return found, end, "payload digest differs"
+                        if bytes(held[:4]) not in (b"\r\n\r\n", b""):
+                            return found, end, "no end of record"
+                        del held[:4]
+                        found.append((at, state["headers"], None, state.get("of", state["length"]), digest))
+                        state = {}
+                    if not held:
+                        break
+                    headers, start, why = self._headers(held, 0)
+                    if why == "no end of headers" and len(held) < HEAD_BYTES and not last:
+                        break
+                    if why:
+                        return found, end, why
+                    left = int(headers["content-length"])
+                    del held[:start]
+                    state = {"headers": headers, "hash": hashlib.sha1(), "length": 0, "revisit": headers.get("warc-type") == "revisit", "head": bytearray() if "msgtype=response" in headers.get("content-type", "") else None}
         except zlib.error as e:
-            return b"", pos, f"damaged member: {e}"
-        return b"".join(out), pos - len(inflate.unused_data), ""
+            return [], end, str(e)
+        return found, end, "block is cut short" if state else ""
 
     def _opens(self, at: int) -> bool:
         try:
@@ -163,48 +237,49 @@ class Salvage:
             found += 1
         return end
 
-    def _plain(self, body, base: int, end: int | None) -> Iterator[tuple[int, dict[str, str], bytes, int]]:
-        """Records in uncompressed bytes. end: of the member that they come from, whose bytes a gap then is."""
-        at, n = 0, len(body)
-        while at < n:
-            headers, start, why = self._headers(body, at)
-            stop = start
-            if not why:
-                stop = start + int(headers["content-length"])
-                if stop > n:
-                    why = "block is cut short"
+    def _record(self, body, at: int) -> tuple:
+        """(headers, payload, its length, its digest, end, why) of the record at a version line; why is empty if all checks hold."""
+        headers, start, why = self._headers(body, at)
+        if why:
+            return headers, None, 0, "", at, why
+        stop = start + int(headers["content-length"])
+        if stop > len(body):
+            return headers, None, 0, "", at, "block is cut short"
+        block = bytes(body[start:stop])
+        payload, length = block, len(block)
+        if "msgtype=response" in headers.get("content-type", "") and (cut := block.find(b"\r\n\r\n")) >= 0:
+            payload = block[cut + 4 :]
+            length = len(payload)
+            if headers.get("warc-type") == "revisit" and (m := re.search(rb"(?i)\r\ncontent-length: *(\d+)", block[:cut])):
+                length = int(m[1])
+        stated = headers.get("warc-payload-digest", "").removeprefix("sha1:")
+        digest = stated if stated and headers.get("warc-type") == "revisit" else digest_of(payload)
+        if stated and stated != digest:
+            return headers, None, 0, "", at, "payload digest differs"
+        if body[stop : stop + 4] not in (b"\r\n\r\n", b""):
+            return headers, None, 0, "", at, "no end of record"
+        return headers, payload, length, digest, stop + 4, ""
+
+    def _inside(self, body: bytes, base: int, end: int) -> Iterator[tuple]:
+        """Records of a member; a gap is the member's bytes."""
+        at = 0
+        while at < len(body):
+            headers, payload, length, digest, follow, why = self._record(body, at)
             if not why:
-                block = bytes(body[start:stop])
-                payload, length = block, len(block)
-                if "msgtype=response" in headers.get("content-type", "") and (cut := block.find(b"\r\n\r\n")) >= 0:
-                    payload = block[cut + 4 :]
-                    length = len(payload)
-                    if headers.get("warc-type") == "revisit" and (m := re.search(rb"(?i)\r\ncontent-length: *(\d+)", block[:cut])):
-                        length = int(m[1])
-                stated = headers.get("warc-payload-digest", "").removeprefix("sha1:")
-                if stated and headers.get("warc-type") != "revisit" and stated != digest_of(payload):
-                    why = "payload digest differs"
-                elif body[stop : stop + 4] not in (b"\r\n\r\n", b""):
-                    why = "no end of record"
-            if why:
-                after = at + 1
-                while True:
-                    m = VERSION.search(body, after)
-                    if not m or body[m.start() - 1 : m.start()] == b"\n":
-                        break
-                    after = m.start() + 1
-                follow = m.start() if m else n
-                self.gaps.append((base, end, why) if end is not None else (base + at, base + follow, why))
+                yield base, headers, payload, length, digest
                 at = follow
                 continue
-            yield (base if end is not None else base + at), headers, payload, length
-            at = stop + 4
+            self.gaps.append((base, end, why))
+            at += 1
+            while (m := VERSION.search(body, at)) and body[m.start() - 1 : m.start()] != b"\n":
+                at = m.start() + 1
+            at = m.start() if m else len(body)
 
     @staticmethod
     def _headers(body, at: int) -> tuple[dict[str, str], int, str]:
-        if not VERSION.match(body[at : at + 20]):
+        if not VERSION.match(bytes(body[at : at + 20])):
             return {}, at, "no version line"
-        end = body.find(b"\r\n\r\n", at)
+        end = body.find(b"\r\n\r\n", at, at + HEAD_BYTES)
         if end < 0:
             return {}, at, "no end of headers"
         headers = {}
@@ -277,9 +352,8 @@ def salvaged(archives: DataFrame, payloads: bool = False) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 with opened(path, "r") as data:
                     reader, rows = Salvage(data), []
-                    for at, headers, payload, length in reader.records():
+                    for at, headers, payload, length, digest in reader.records():
                         typed = headers.get("warc-type")
-                        digest = headers.get("warc-payload-digest", "").removeprefix("sha1:") or digest_of(payload)
                         rows.append(("record", path, at, None, None, number(headers.get("warc-record-id")), headers.get("warc-target-uri"), length, digest, typed, number(headers.get("warc-refers-to")), payload if payloads else None))
                         if len(rows) >= 500:
                             yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r, strict=True)) for r in rows], kind)
