@@ -5,7 +5,8 @@ cut into balanced parts (parts grown from seeds, then moved by label
 propagation under a size limit). A softmax classifier learns each vector's
 part. It then places every vector of the table in its most probable part, and
 routes each query to its most probable parts, as many as hold a given share of
-probability. In a part, distances are exact, in double precision.
+probability, and as many more as it takes to find k rows. In a part, distances
+are exact, in double precision.
 
 Parts are salted, so that a part with very many vectors (copies of one, say) is
 several groups; each group returns at most k rows a query, merged afterwards.
@@ -149,16 +150,21 @@ def nearest(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.n
 
 
 class Index:
-    """fit() learns parts on at most sample vectors, chosen by a hash of the id; search() places every vector."""
+    """Learns parts on about sample vectors, chosen by a hash of the id; search() places every vector.
 
-    def __init__(self, rows: DataFrame, id_column: str, vector: str, parts: int = 32, sample: int = 4096, degree: int = 10, share: float = 0.97, group: int = 4096):
+    parts: by default the square root of the number of vectors, from 16 to as
+    many as the sample has groups of 32.
+    """
+
+    def __init__(self, rows: DataFrame, id_column: str, vector: str, parts: int | None = None, sample: int = 4096, degree: int = 10, share: float = 0.95, group: int = 4096):
         spark = rows.sparkSession
         small_batches(spark, 4096)
-        self.share, self.group, self.parts = share, group, parts
+        self.share, self.group = share, group
         clean = rows.filter(usable(F.col(vector)) & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
         length = clean.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
         self.rows = clean.filter(F.size("vector") == (length.n if length else 0))
         self.count = length["count"] if length else 0
+        parts = self.parts = parts or int(min(max(16, self.count**0.5 / 2), sample // 32))
         keep = min(1.0, sample / max(1, self.count))
         drawn = self.rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < keep * 1_000_003).orderBy("id").limit(sample * 2).collect()
         x = np.array([r.vector for r in drawn])
@@ -168,8 +174,8 @@ class Index:
             graph = neighbour_graph(x, min(degree, len(x) - 1))
             self.router = train_router(x, graph, balanced_parts(graph, parts), parts)
 
-    def placed(self, df: DataFrame, several: bool) -> DataFrame:
-        """(id, vector, part): the most probable part, or as many as hold the share of probability."""
+    def placed(self, df: DataFrame, sizes: np.ndarray | None = None, k: int = 0) -> DataFrame:
+        """(id, vector, part): the most probable part; with the parts' sizes, as many as hold the share of probability, and k rows besides the query's own."""
         sent = df.sparkSession.sparkContext.broadcast((self.router, self.share))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,10 +188,11 @@ class Index:
                     at, part = np.arange(n), np.zeros(n, np.int64)
                 else:
                     p = router.probabilities(matrix(batch.column(1)))
-                    if several:
-                        order = np.argsort(-p, axis=1)
+                    if sizes is not None:
+                        order = np.argsort(-p, axis=1, kind="stable")
                         before = np.cumsum(np.take_along_axis(p, order, 1), 1) - np.take_along_axis(p, order, 1)
-                        at, column = np.nonzero(before < share)
+                        rows = np.cumsum(sizes[order], 1) - sizes[order]
+                        at, column = np.nonzero((before < share) | (rows < k + 1))
                         part = order[at, column]
                     else:
                         at, part = np.arange(n), p.argmax(1)
@@ -196,8 +203,11 @@ class Index:
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, rank, id, score) for queries (id, vector), nearest first."""
-        rows = stored(self.placed(self.rows, False), "index")
-        asked = self.placed(queries, True)
+        rows = stored(self.placed(self.rows), "index")
+        counted = np.zeros(self.parts, np.int64)
+        for r in rows.groupBy("part").agg(F.count_distinct("id").alias("n")).collect():  # a row a part
+            counted[r.part] = r.n
+        asked = self.placed(queries, counted, k)
         # salts that a part really has: one for each group's worth of vectors
         sizes = rows.groupBy("part").agg(F.ceil(F.count("*") / self.group).cast("long").alias("groups"))
         rows = rows.join(sizes, "part").withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), "groups")).drop("groups")
@@ -215,6 +225,16 @@ class Index:
         return found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def scanned(index: Index, queries: DataFrame, k: int) -> float:
+    """The share of all rows that a query is compared with, on average."""
+    sizes = index.placed(index.rows).groupBy("part").agg(F.count("*").alias("n"))
+    counted = np.zeros(index.parts, np.int64)
+    for r in sizes.collect():
+        counted[r.part] = r.n
+    total = index.placed(queries, counted, k).join(sizes, "part").agg(F.sum("n")).first()[0] or 0
+    return total / max(1, queries.count()) / max(1, index.count)
+
+
 def recall(index: Index, queries: DataFrame, k: int) -> float:
     """The share of the true k nearest that search finds; queries are compared with all rows, by blocks."""
     found = {(r.query_id, r.id) for r in index.search(queries, k).collect()}
