@@ -94,11 +94,12 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(lists: list[np.ndarray], labels: np.ndarray, languages: list[str], epochs: int = 6, rate: float = 0.5, seed: int = 7, tolerated: float = 0.01) -> LanguageModel:
-    """lists: for each text, subword buckets drawn from all of it."""
+def train(lists: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray, languages: list[str], epochs: int = 6, rate: float = 0.5, seed: int = 7, tolerated: float = 0.01) -> LanguageModel:
+    """lists: for each text, its different subword buckets, with counts."""
     draw = np.random.default_rng(seed)
     embedding = draw.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     out, bias = np.zeros((WIDTH, len(languages)), np.float32), np.zeros(len(languages), np.float32)
+    shares = [(c / c.sum()).astype(np.float32) for c in counts]
     order = draw.permutation(len(lists))
     kept, order = order[: len(order) // 10], order[len(order) // 10 :]
     steps, done = max(1, epochs * -(-len(order) // 32)), 0
@@ -106,22 +107,31 @@ def train(lists: list[np.ndarray], labels: np.ndarray, languages: list[str], epo
         draw.shuffle(order)
         for begin in range(0, len(order), 32):
             rows = order[begin : begin + 32]
-            chosen = [lists[i] if draw.random() < 0.5 else draw.choice(lists[i], min(len(lists[i]), int(draw.integers(8, 65)))) for i in rows]  # short texts too
+            chosen, weight = [], []
+            for i in rows:
+                if draw.random() < 0.5:
+                    chosen.append(lists[i])
+                    weight.append(shares[i])
+                else:  # as a short text of these subwords
+                    n = int(draw.integers(8, 65))
+                    at = np.searchsorted(np.cumsum(shares[i]), draw.random(n) * 0.999999)
+                    chosen.append(lists[i][np.minimum(at, len(lists[i]) - 1)])
+                    weight.append(np.full(n, 1 / n, np.float32))
             size = np.array([len(c) for c in chosen])
-            flat, owner = np.concatenate(chosen), np.repeat(np.arange(len(rows)), size)
-            hidden = np.add.reduceat(embedding[flat], np.cumsum(size) - size) / size[:, None]
+            flat, owner, weight = np.concatenate(chosen), np.repeat(np.arange(len(rows)), size), np.concatenate(weight)
+            hidden = np.add.reduceat(embedding[flat] * weight[:, None], np.cumsum(size) - size)
             p = softmax(hidden @ out + bias)
             p[np.arange(len(rows)), labels[rows]] -= 1
             step = rate * (1 - done / steps) + 0.01
-            back = (p @ out.T) / size[:, None]
+            back = p @ out.T
             out -= step * (hidden.T @ p) / len(rows) * 4
             bias -= step * p.mean(0)
-            np.add.at(embedding, flat, (-step * back[owner]).astype(np.float32) * 4)
+            np.add.at(embedding, flat, (-step * 4 * weight[:, None] * back[owner]).astype(np.float32))
             done += 1
     table = embedding @ out
     model = LanguageModel(languages, table.astype(np.float64), bias.astype(np.float64))
     if len(kept):
-        z = np.array([table[lists[i]].mean(0) for i in kept]) + bias
+        z = np.array([shares[i] @ table[lists[i]] for i in kept]) + bias
         own = labels[kept]
         loss = [(-np.log(softmax(z / t)[np.arange(len(own)), own] + 1e-12).mean(), t) for t in np.geomspace(0.05, 5, 40)]
         model.temperature = float(min(loss)[1])
@@ -131,8 +141,8 @@ def train(lists: list[np.ndarray], labels: np.ndarray, languages: list[str], epo
     return model
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_column: str = "doc_id", per_language: int = 2000, drawn: int = 400) -> LanguageModel:
-    """Learns from about per_language rows of each language that aren't held out, chosen by a hash of the id; of each, drawn subwords from anywhere in the text."""
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_column: str = "doc_id", per_language: int = 1500) -> LanguageModel:
+    """Learns from about per_language rows of each language that aren't held out, chosen by a hash of the id; of each, every subword of the whole text."""
     small_batches(docs.sparkSession)
     known = docs.filter(F.col(lang).isNotNull() & F.col(id_column).isNotNull() & ~is_held_out(F.col(id_column)))
     counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
@@ -154,17 +164,13 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_column: str
                 bounds = np.searchsorted(row[order], np.arange(len(at)))
                 for k in range(len(at) - 1):
                     parts[first + k].append(bucket[order[bounds[k] : bounds[k + 1]]].astype(np.uint16))
-            out = []
-            for own in parts:
-                every = np.concatenate(own) if own else np.empty(0, np.uint16)
-                draw = np.random.default_rng(len(every))
-                out.append((every if len(every) <= drawn else draw.choice(every, drawn, replace=False)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], names=["lang", "subwords"])
-
-    rows = chosen.select(F.coalesce(text, F.lit("")).alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(work, "lang string, subwords binary").collect()
-    rows = sorted((r.lang, bytes(r.subwords)) for r in rows if len(r.subwords))
+            found = [np.unique(np.concatenate([np.empty(0, np.uint16), *own]), return_counts=True) for own in parts]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([f[k].astype(t).tobytes() for f in found], pa.binary()) for k, t in enumerate((np.uint16, np.uint32)))], names=["lang", "subwords", "counts"])
+
+    rows = chosen.select(F.coalesce(text, F.lit("")).alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(work, "lang string, subwords binary, counts binary").collect()
+    rows = sorted((r.lang, bytes(r.subwords), bytes(r.counts)) for r in rows if len(r.subwords))
     index = {name: k for k, name in enumerate(languages)}
-    return train([np.frombuffer(b, np.uint16).astype(np.int64) for _, b in rows], np.array([index[name] for name, _ in rows], np.int64), languages)
+    return train([np.frombuffer(b, np.uint16) for _, b, _ in rows], [np.frombuffer(c, np.uint32) for _, _, c in rows], np.array([index[name] for name, _, _ in rows], np.int64), languages)
 
 
 def identified(df: DataFrame, text: str, model: LanguageModel) -> DataFrame:
