@@ -1,18 +1,23 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are training rows of quality 1; unlabelled are documents
-drawn from the whole table whatever their label (but not held-out ones). The
-risk is the non-negative unbiased one: prior * E_P[l(g)] + max(0, E_U[l(-g)] -
-prior * E_P[l(-g)]), logistic loss, a linear g, trained by stochastic gradient
-descent in numpy; where the second part is negative, a step goes against it.
-The class prior is the share of quality 1 among labelled training rows. If only
-positives are labelled, it is estimated from a first fit that tells positives
-from unlabelled: the least ratio of unlabelled to positive texts above any
-level, among rows kept out. Labelled training rows calibrate g to a probability.
+Trusted positives are training rows of quality 1; unlabelled is every document
+that isn't held out, whatever its label. The risk is the non-negative unbiased
+one: prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]), with a linear g
+and the squared loss. It then depends on the unlabelled texts only by the first
+and second moments of their features, which one pass sums over all documents, and
+its minimum is found exactly: while the second part isn't negative, by one
+linear system; else its weight is lowered until it is zero. The class prior is estimated:
+the least ratio of unlabelled to positive texts above any level of a g fitted to half of
+the positives, with levels and shares from the other half and a histogram of g
+over all unlabelled documents. Two numbers, slope and place of a logistic curve, are set
+on the labelled training rows, so that scores are probabilities; a negative has no
+other part.
 
 Features are shares and shapes of a text (capitals, digits, kinds of signs,
 repeated words, word lengths, line lengths) and hashed words. Null and empty
-texts have all features zero but the size.
+texts have all features zero but the size. A row's score depends on its text
+only, so repeated rows have equal scores; a text is read whole. A column named
+quality is replaced, other columns stay.
 """
 
 from __future__ import annotations
@@ -24,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, fit_logistic, is_held_out, labelled, small_batches
+from .common import extended, fit_logistic, is_held_out, labelled, small_batches, summed, vector_parts
 from .text import SPACES, U64, row_groups, utf8, words
 
-HASHED = 1 << 13
+HASHED = 1 << 8
+BINS = 4096
 #: Sets of bytes whose share of a text is a feature.
 SIGNS = [b"!", b"?", b"#", b"$%&", b"*", b"|", b"<>{}[]", b"@", b".", b",;:", b"'\"", b"()", b"-_+=/\\~^`", b"\n", b" \t"]
 
@@ -75,125 +81,122 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     style[:, 2 * len(TABLES) :] = np.column_stack([np.log1p(size), repeated, np.log(repeated + 1e-2) * (n > 0), mean, spread, kinds_of_words, most / per, np.log1p(n)])
     weight = np.log1p(counts)
     norm = np.sqrt(np.bincount(row, weight**2, rows))
-    return style, row, (h >> U64(64 - 13)).astype(np.int64), weight / norm[row] if len(row) else weight
+    weight = np.where(h >> U64(63), weight, -weight)  # words that share a bucket don't add up
+    return style, row, (h & U64(HASHED - 1)).astype(np.int64), weight / norm[row] if len(row) else weight
 
 
 class Quality:
-    def __init__(self, mean: np.ndarray, scale: np.ndarray, style: np.ndarray, hashed: np.ndarray, bias: float):
-        self.mean, self.scale, self.style, self.hashed, self.bias = mean, scale, style, hashed, bias
-        self.prior, self.logistic = 0.5, np.array([1.0, 0.0])
+    def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray):
+        self.mean, self.scale, self.weights = mean, scale, weights
+        self.prior, self.logistic = 0.5, np.array([0.0, 0.0])
 
-    def raw(self, style: np.ndarray, row: np.ndarray, bucket: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        return np.clip((style - self.mean) / self.scale, -8, 8) @ self.style + np.bincount(row, weight * self.hashed[bucket], len(style)) + self.bias
+    def rows(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Standardised style features (at most 8 from the mean), hashed words, and a constant."""
+        style, row, bucket, weight = features(data, offsets)
+        words_of = np.bincount(row * HASHED + bucket, weight, len(style) * HASHED).reshape(len(style), HASHED)
+        return np.hstack([np.clip((style - self.mean) / self.scale, -8, 8), words_of, np.ones((len(style), 1))])
 
     def probability(self, raw: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logistic[0] * raw + self.logistic[1], -30, 30)))
 
 
-class Rows:
-    """Feature rows that can be picked by number."""
-
-    def __init__(self, parts: list):
-        self.style = np.array([np.frombuffer(p["style"]) for p in parts]).reshape(len(parts), STYLE)
-        self.buckets = [np.frombuffer(p["bucket"], np.uint16).astype(np.int64) for p in parts]
-        self.weights = [np.frombuffer(p["weight"], np.float32) for p in parts]
-
-    def pick(self, at: np.ndarray) -> tuple:
-        sizes = np.array([len(self.buckets[i]) for i in at], np.int64)
-        join = lambda x, kind: np.concatenate([x[i] for i in at]) if len(at) else np.empty(0, kind)
-        return self.style[at], np.repeat(np.arange(len(at)), sizes), join(self.buckets, np.int64), join(self.weights, np.float32)
-
-
-def nn_pu(positive: Rows, unlabelled: Rows, p_at: np.ndarray, u_at: np.ndarray, prior: float, epochs: int = 25, rate: float = 0.1, penalty: float = 1e-5, seed: int = 3) -> Quality:
-    """Minimises the non-negative risk; a prior of 0 gives plain classification of positives against unlabelled."""
-    draw = np.random.default_rng(seed)
-    both = np.concatenate([positive.style[p_at], unlabelled.style[u_at]])
-    scale = both.std(0)
-    scale[scale < 1e-9] = 1
-    model = Quality(both.mean(0), scale, np.zeros(STYLE), np.zeros(HASHED), 0.0)
-    squares = [np.full(STYLE, 1e-2), np.full(HASHED, 1e-2), 1e-2]
-    batch = 64
-    for _ in range(epochs):
-        p_at, u_at = draw.permutation(p_at), draw.permutation(u_at)
-        for begin in range(0, len(u_at), batch):
-            u = unlabelled.pick(u_at[begin : begin + batch])
-            p = positive.pick(draw.choice(p_at, batch))
-            gu, gp = model.raw(*u), model.raw(*p)
-            su, sp = 1 / (1 + np.exp(-np.clip(gu, -30, 30))), 1 / (1 + np.exp(-np.clip(gp, -30, 30)))
-            if prior:
-                negative = np.log1p(np.exp(np.clip(gu, -30, 30))).mean() - prior * np.log1p(np.exp(np.clip(gp, -30, 30))).mean()
-                sign = 1.0 if negative >= 0 else -1.0
-                du = sign * su / len(su)
-                dp = (prior * (sp - 1) if sign > 0 else 0) / len(sp) - sign * prior * sp / len(sp)
-            else:
-                du, dp = su / len(su), (sp - 1) / len(sp)
-            style = np.zeros(STYLE)
-            hashed = np.zeros(HASHED)
-            for (x, row, bucket, weight), d in ((u, du), (p, dp)):
-                style += np.clip((x - model.mean) / model.scale, -8, 8).T @ d
-                hashed += np.bincount(bucket, weight * d[row], HASHED)
-            bias = du.sum() + dp.sum()
-            style += penalty * model.style
-            hashed += 10 * penalty * model.hashed
-            squares = [squares[0] + style**2, squares[1] + hashed**2, squares[2] + bias**2]
-            model.style -= rate * style / np.sqrt(squares[0])
-            model.hashed -= rate * hashed / np.sqrt(squares[1])
-            model.bias -= rate * bias / np.sqrt(squares[2])
-    return model
-
+WIDTH = STYLE + HASHED + 1
 
-def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives among unlabelled: above no level can the unlabelled have less than the prior times the positives' share there. Scores of rows kept out."""
-    levels = np.quantile(positive, np.linspace(0.2, 1, 33))
-    p = np.searchsorted(np.sort(positive), levels, "right") / len(positive)
-    u = np.searchsorted(np.sort(unlabelled), levels, "right") / len(unlabelled)
-    upper = (1 - u + 1e-9) / (1 - p + 1e-9)
-    use = (1 - p) > 0.1
-    return float(np.clip(upper[use].min() if use.any() else 0.5, 0.02, 0.98))
 
+def over_slices(texts: DataFrame, each, end) -> DataFrame:
+    """(part, body) for common.summed: end(state) of each partition, where each(state, data, offsets) has seen its texts in slices."""
 
-def feature_rows(texts: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict = {}
         for batch in batches:
             data, offsets = utf8(batch.column(0))
             for low, high in row_groups(offsets):
-                style, row, bucket, weight = features(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-                bounds = np.searchsorted(row, np.arange(high - low + 1))
-                cut = lambda x, bounds=bounds: pa.array([x[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(1)[low:high], pa.array([s.tobytes() for s in style], pa.binary()), cut(bucket.astype(np.uint16)), cut(weight.astype(np.float32))], names=["label", "style", "bucket", "weight"])
+                each(state, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+        if state:
+            yield vector_parts(end(state))
+
+    return texts.mapInArrow(work, "part long, body binary")
+
+
+def moments(texts: DataFrame, model: Quality) -> tuple[np.ndarray, np.ndarray, float]:
+    """Means of x x' and of x, and the number of texts."""
+
+    def add(state: dict, data: np.ndarray, offsets: np.ndarray) -> None:
+        x = model.rows(data, offsets)
+        state["m"] = state.get("m", 0) + x.T @ x
+
+    total = summed(over_slices(texts, add, lambda s: s["m"]), WIDTH * WIDTH).reshape(WIDTH, WIDTH)
+    n = total[-1, -1]
+    return total / max(n, 1), total[-1] / max(n, 1), n
+
 
-    return texts.select("text", F.col("label").cast("long")).mapInArrow(work, "label long, style binary, bucket binary, weight binary")
+def histogram(texts: DataFrame, model: Quality, low: float, high: float) -> np.ndarray:
+    """How many texts have g in each of BINS equal ranges; the outer two take what lies beyond."""
+
+    def add(state: dict, data: np.ndarray, offsets: np.ndarray) -> None:
+        state["n"] = state.get("n", 0) + np.bincount(binned(model.rows(data, offsets) @ model.weights, low, high), minlength=BINS).astype(float)
+
+    return summed(over_slices(texts, add, lambda s: s["n"]), BINS)
+
+
+def binned(g: np.ndarray, low: float, high: float) -> np.ndarray:
+    return np.clip((g - low) / (high - low) * BINS, 0, BINS - 1).astype(np.int64)
+
+
+def least_risk(p: tuple, u: tuple, prior: float, penalty: float = 1e-2) -> np.ndarray:
+    """The weights of least non-negative risk. p, u: moments (means of x x' and of x) of positives and unlabelled. The loss is (1 - y g)**2."""
+    ridge = penalty * np.eye(len(p[1]))
+    ridge[-1, -1] = 1e-9
+    negative = lambda w: w @ u[0] @ w + 2 * u[1] @ w + 1 - prior * (w @ p[0] @ w + 2 * p[1] @ w + 1)
+    at = lambda t: np.linalg.solve((1 - t) * prior * p[0] + t * u[0] + ridge, prior * p[1] - t * (u[1] - prior * p[1]))
+    w = at(1.0)
+    if negative(w) >= 0:
+        return w
+    low, high = 0.0, 1.0  # the negative part's weight, at which it is just zero
+    for _ in range(50):
+        middle = (low + high) / 2
+        low, high = (middle, high) if negative(at(middle)) >= 0 else (low, middle)
+    return at(low)
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled: above no level can the unlabelled have less than the prior times the positives' share there. Numbers of texts in ranges of a score, of rows that it wasn't fitted to."""
+    above = [np.cumsum(h[::-1])[::-1] / max(1, h.sum()) for h in (positive, unlabelled)]
+    use = (above[0] > 0.1) & (above[0] < 0.8)
+    return float(np.clip((above[1][use] / above[0][use]).min() if use.any() else 0.5, 0.02, 0.98))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", id_column: str = "doc_id", per_class: int = 4000, unlabelled: int = 6000) -> Quality:
-    """Learns from at most per_class labelled rows of each class and about unlabelled documents, chosen by hashes of ids. Without positives, every score is 0.5."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", id_column: str = "doc_id", per_class: int = 4000) -> Quality:
+    """Learns from at most per_class labelled rows of each class (see labelled) and all documents that aren't held out. Without positives, every score is 0.5."""
     small_batches(docs.sparkSession)
     texts, totals = labelled(docs, labels, label, id_column, text, per_class)
-    known = feature_rows(texts).collect()
-    free = docs.filter(F.col(id_column).isNotNull() & ~is_held_out(F.col(id_column)))
-    share = min(1.0, unlabelled / max(1, free.count()))
-    other = feature_rows(free.filter(F.pmod(F.xxhash64(F.lit(11), id_column), F.lit(1_000_003)) < share * 1_000_003).select(F.col(text).alias("text"), F.lit(0).alias("label"))).collect()
-    order = lambda rows: sorted(rows, key=lambda r: (bytes(r["style"]), bytes(r["weight"])))
-    known, other = order(known), order(other)
-    good = Rows([r for r in known if r["label"] == 1])
-    if not len(good.buckets) or not other:
-        return Quality(np.zeros(STYLE), np.ones(STYLE), np.zeros(STYLE), np.zeros(HASHED), 0.0)
-    web = Rows(other)
-    draw = np.random.default_rng(1)
-    p, u = draw.permutation(len(good.buckets)), draw.permutation(len(web.buckets))
-    p_in, p_out, u_in, u_out = p[: len(p) * 2 // 3 + 1], p[len(p) * 2 // 3 :], u[: len(u) * 2 // 3 + 1], u[len(u) * 2 // 3 :]
-    if totals[0]:
-        prior = totals[1] / (totals[0] + totals[1])
-    else:
-        first = nn_pu(good, web, p_in, u_in, 0.0, epochs=6)
-        prior = estimated_prior(first.raw(*good.pick(p_out)), first.raw(*web.pick(u_out)))
-    model = nn_pu(good, web, p, u, prior)
-    model.prior = prior
-    every = Rows(known)
-    y = np.array([float(r["label"]) for r in known])
+    known = sorted(texts.filter("text is not null").collect(), key=lambda r: (r.label, r.text))  # at most 2 * per_class rows
+    model = Quality(np.zeros(STYLE), np.ones(STYLE), np.zeros(WIDTH))
+    raw = utf8(pa.array([r.text for r in known], pa.large_string()))
+    y = np.array([r.label for r in known], np.int64)
+    if not (y == 1).any():
+        return model
+    cut = lambda a, b: (raw[0][raw[1][a] : raw[1][b]], raw[1][a : b + 1] - raw[1][a])
+    style = np.concatenate([features(*cut(a, b))[0] for a, b in row_groups(raw[1])])[y == 1]
+    model.mean, model.scale = style.mean(0), np.where(style.std(0) < 1e-6, 1, style.std(0))
+    x = np.concatenate([model.rows(*cut(a, b)) for a, b in row_groups(raw[1])])
+    good = x[y == 1]
+    moment = lambda rows: (rows.T @ rows / len(rows), rows.mean(0))
+
+    free = docs.filter(~is_held_out(F.col(id_column))).select(F.col(text).alias("text"))
+    second, first, n = moments(free, model)
+    if not n:
+        return model
+    half = np.random.default_rng(1).random(len(good)) < 0.5
+    if half.any() and not half.all():
+        model.weights = least_risk(moment(good[half]), (second, first), 0.5)
+        g = good[~half] @ model.weights
+        low, high = float(g.min()) - 1e-6, float(g.max()) + 1e-6
+        model.prior = estimated_prior(np.bincount(binned(g, low, high), minlength=BINS), histogram(free, model, low, high))
+    model.weights = least_risk(moment(good), (second, first), model.prior)
     seen = {c: max(1, int((y == c).sum())) for c in (0, 1)}
-    raw = model.raw(*every.pick(np.arange(len(known))))
-    model.logistic = fit_logistic(raw[:, None], y, np.where(y == 1, totals[1] / seen[1], totals[0] / seen[0])) if 0 < y.sum() < len(y) else np.array([1.0, 0.0])
+    g = x @ model.weights
+    model.logistic = fit_logistic(g[:, None], y.astype(float), np.where(y == 1, totals[1] / seen[1], totals[0] / seen[0])) if (y == 0).any() else np.array([2.0, 0.0])
     return model
 
 
@@ -206,7 +209,8 @@ def scored(df: DataFrame, text: str, model: Quality) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(text))
-            out = [sent.value.probability(sent.value.raw(*features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))) for a, b in row_groups(offsets)]
+            own = sent.value
+            out = [own.probability(own.rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) @ own.weights) for a, b in row_groups(offsets)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.empty(0), *out]))], names=[*batch.schema.names, "quality"])
 
     return df.mapInArrow(work, extended(df, {"quality": "double"}))

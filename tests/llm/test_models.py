@@ -92,9 +92,34 @@ def test_quality(corpus):
 
 def test_prior_estimate():
     draw = np.random.default_rng(5)
-    p = draw.normal(2, 1, 4000)
-    u = np.where(draw.random(4000) < 0.7, draw.normal(2, 1, 4000), draw.normal(-3, 1, 4000))
-    assert abs(quality.estimated_prior(p, u) - 0.7) < 0.08
+    p = draw.normal(2, 1, 40000)
+    u = np.where(draw.random(40000) < 0.7, draw.normal(2, 1, 40000), draw.normal(-3, 1, 40000))
+    counts = [np.bincount(quality.binned(v, -6, 6), minlength=quality.BINS) for v in (p, u)]
+    assert abs(quality.estimated_prior(*counts) - 0.7) < 0.05
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.7, 0.99])
+def test_least_risk_against_descent(prior):
+    draw = np.random.default_rng(6)
+    p, u = (np.hstack([x, np.ones((len(x), 1))]) for x in (draw.normal(1, 1, (300, 3)), np.concatenate([draw.normal(1, 1, (420, 3)), draw.normal(-1, 1, (180, 3))])))
+    moment = lambda x: (x.T @ x / len(x), x.mean(0))
+    w = quality.least_risk(moment(p), moment(u), prior)
+
+    def risk(w):
+        a, b, c = ((1 - p @ w) ** 2).mean(), ((1 + u @ w) ** 2).mean(), ((1 + p @ w) ** 2).mean()
+        return prior * a + max(0.0, b - prior * c) + 1e-2 * (w[:-1] @ w[:-1])
+
+    assert all(risk(w) <= risk(w + draw.normal(0, s, 4)) + 1e-7 for s in (0.3, 0.03, 0.003) for _ in range(300))
+
+
+def test_quality_moments_of_all_documents(spark, corpus):
+    docs, _ = corpus
+    model = quality.Quality(np.zeros(quality.STYLE), np.ones(quality.STYLE), np.ones(quality.WIDTH))
+    data, offsets = utf8(__import__("pyarrow").array([r.text for r in docs.select("text").collect()]))
+    x = model.rows(data, offsets)
+    second, first, n = quality.moments(docs.select("text"), model)
+    assert n == len(x) and np.allclose(second, x.T @ x / n) and np.allclose(first, x.mean(0))
+    assert (quality.histogram(docs.select("text"), model, -50, 50) == np.bincount(quality.binned(x.sum(1), -50, 50), minlength=quality.BINS)).all()
 
 
 def test_languages(corpus):

@@ -79,6 +79,24 @@ def vectors(n, seed=0):
     return [(i, (centers[i % 12] + draw.normal(size=16) * 0.7).astype(np.float32).tolist()) for i in range(n)]
 
 
+def test_every_query_finds_its_ten(spark):
+    draw = np.random.default_rng(4)
+    rows = [(i, draw.normal(size=8).astype(np.float32).tolist()) for i in range(600)] + [(600 + i, (draw.normal(size=8) * 40).astype(np.float32).tolist()) for i in range(20)]
+    index = ann.Index(spark.createDataFrame(rows, "id long, v array<float>"), "id", "v", share=0.3)
+    found = index.search(index.rows, 10).groupBy("query_id").count()
+    assert found.count() == 620 and found.filter("count <> 10").count() == 0
+    few = ann.Index(spark.createDataFrame(rows[:4], "id long, v array<float>"), "id", "v")
+    assert few.search(few.rows, 10).count() == 12
+
+
+@pytest.mark.parametrize("folder", ["sf0.1", "check_s"])
+def test_recall_of_the_query(spark, folder):
+    index = ann.Index(spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet"), "vec_id", "embedding")
+    queries = index.rows.filter("id % 100 = 0")
+    assert ann.recall(index, queries, 10) >= 0.93
+    print(folder, index.parts, "parts, share scanned", ann.scanned(index, queries, 10))
+
+
 def test_recall_and_exact_scores(spark):
     rows = vectors(1500)
     rows += [(5000 + i, rows[7][1]) for i in range(60)]  # many copies of one
@@ -96,6 +114,7 @@ def test_recall_and_exact_scores(spark):
     for hits in by.values():
         hits.sort()
         assert [h[0] for h in hits] == list(range(1, 11)) and [h[1:] for h in hits] == sorted(h[1:] for h in hits)
+    assert all(len(hits) == 10 for hits in by.values())
     copies = sorted(r.id for r in found if r.query_id == 5000 and r.score == 0)
     assert copies[:3] == [7, 5001, 5002] and len(copies) == 10
 
@@ -138,10 +157,36 @@ def test_round_trip(spark):
 
 def read(data):
     s = warc.Salvage(data)
-    rows = [(h.get("warc-record-id"), p) for _, h, p, _ in s.records()]
+    rows = [(h.get("warc-record-id"), p) for _, h, p, _, _ in s.records()]
     return rows, s.gaps
 
 
+def test_payloads_that_hold_records():
+    inner = warc.member(warc.record(7, "u", b"inner"))
+    plain = [warc.record(0, "u", b"before"), warc.record(1, "u", b"<" + inner + b">" + warc.record(8, "v", b"plain")), warc.record(2, "u", b"after")]
+    sound = [(f"<urn:page:{k}>", t) for k, t in enumerate((b"before", b"<" + inner + b">" + warc.record(8, "v", b"plain"), b"after"))]
+    assert read(b"".join(plain)) == (sound, [])
+    assert read(b"".join(warc.member(p) for p in plain)) == (sound, [])
+    damaged = plain[0].replace(b"before", b"bef0re") + plain[2]
+    assert read(damaged) == (sound[2:], [(0, len(plain[0]), "payload digest differs")])
+
+
+def test_members_that_are_not_held():
+    texts = [b"", b"short", bytes(range(256)) * 9000, b"x" * 3_000_000]
+    records = [warc.record(k, "u", t) for k, t in enumerate(texts)] + [warc.record(9, "u", b"other", 1), warc.record(None, None, b"y")]
+    for data in (b"".join(warc.member(r) for r in records), warc.member(b"".join(records))):
+        small, whole = (warc.Salvage(data, most) for most in (1000, 1 << 30))
+        a, b = list(small.records()), list(whole.records())
+        assert [(h, n, d) for _, h, _, n, d in a] == [(h, n, d) for _, h, _, n, d in b] and not small.gaps and not whole.gaps
+        assert len(a) == 6 and any(p is None for _, _, p, _, _ in a)
+    wrong = warc.record(3, "u", texts[3]).replace(b"xxx", b"xyx", 1)
+    reader = warc.Salvage(warc.member(records[1]) + warc.member(wrong) + warc.member(records[0]), 1000)
+    assert [h["warc-record-id"] for _, h, *_ in reader.records()] == ["<urn:page:1>", "<urn:page:0>"]
+    assert [g[2] for g in reader.gaps] == ["payload digest differs"]
+    cut = warc.Salvage(warc.member(records[3])[:-40] + warc.member(records[1]), 1000)
+    assert [h["warc-record-id"] for _, h, *_ in cut.records()] == ["<urn:page:1>"] and len(cut.gaps) == 1
+
+
 def test_salvage_of_damaged_archives():
     texts = [f"page {k} " .encode() * 50 for k in range(5)]
     plain = [warc.record(k, "u", t) for k, t in enumerate(texts)]
