@@ -156,7 +156,7 @@ class Index:
     many as the sample has groups of 32.
     """
 
-    def __init__(self, rows: DataFrame, id_column: str, vector: str, parts: int | None = None, sample: int = 4096, degree: int = 10, share: float = 0.95, group: int = 4096):
+    def __init__(self, rows: DataFrame, id_column: str, vector: str, parts: int | None = None, sample: int = 4096, degree: int = 10, share: float = 0.97, group: int = 4096):
         spark = rows.sparkSession
         small_batches(spark, 4096)
         self.share, self.group = share, group
