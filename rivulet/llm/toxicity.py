@@ -6,11 +6,14 @@ informative Dirichlet prior (in proportion to its share of all); only terms
 whose log-odds are many standard deviations above zero count, and every other
 word lowers the sum a little. A linear scan (Ruzzo and Tompa) finds all maximal
 segments of a text. A segment's expected number by chance follows the
-extreme-value law of such sums, K n exp(-lambda S): lambda from the scores of
-clean training words, K from the segments found in clean training texts. The
+extreme-value law of such sums, K n exp(-lambda S): lambda is the positive root of
+E[exp(lambda score)] = 1 over the scores of all words of clean training texts (Karlin and
+Altschul), K comes from the segments found in these texts. The
 evidence of a text's significant segments is calibrated to a probability.
 
 Null and empty texts have no segment; their score is that of a text without any.
+A score depends on the text only, which is read whole, so repeated rows have
+equal scores. Columns named toxicity and toxic_spans are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, fit_logistic, labelled, small_batches
+from .common import extended, fit_logistic, labelled, small_batches, summed, vector_parts
 from .text import MULTIPLIERS, U64, Lookup, Words, mix, row_groups, utf8, words
 
 PREFIXES = (4, 5)
+#: Ranges of word scores that are counted, from 0 up in steps.
+STEP, STEPS = 0.02, 2000
 
 
 def terms(found: Words) -> list[np.ndarray]:
@@ -63,14 +68,19 @@ class Toxicity:
         self.lookup, self.scores, self.drift = Lookup(hashes[order]), scores[order], drift
         self.rate, self.scale, self.logistic = 1.0, 1.0, np.array([1.0, -3.0])
 
-    def segments(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[list[tuple[int, int, float]]], np.ndarray, Words]:
-        """Maximal segments in words of each text, the texts' numbers of words, and the words."""
-        found = words(data, offsets, prefixes=PREFIXES)
+    def word_scores(self, found: Words) -> np.ndarray:
+        """Each word's score; 0 for those that lower the sum."""
         best = np.zeros(len(found.hash))
         for h in terms(found):
             slot = self.lookup.find(h)
             hit = slot >= 0
             best[hit] = np.maximum(best[hit], self.scores[slot[hit]])
+        return best
+
+    def segments(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[list[tuple[int, int, float]]], np.ndarray, Words]:
+        """Maximal segments in words of each text, the texts' numbers of words, and the words."""
+        found = words(data, offsets, prefixes=PREFIXES)
+        best = self.word_scores(found)
         bounds = found.bounds(len(offsets) - 1)
         at = np.flatnonzero(best > 0)
         out: list[list] = [[] for _ in range(len(offsets) - 1)]
@@ -89,6 +99,19 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def chance_rate(scored: np.ndarray, others: float, drift: float) -> float:
+    """The positive root of E[exp(rate * score)] = 1, where scored[k] words score about (k + 1/2) * STEP and others -drift."""
+    at = np.flatnonzero(scored)
+    value, share = np.append((at + 0.5) * STEP, -drift), np.append(scored[at], others) / (scored.sum() + others)
+    if not len(at) or share @ value >= 0:  # no word scores, or sums don't fall by chance
+        return 1.0 if not len(at) else 1e-6
+    low, high = 1e-6, 50.0
+    for _ in range(100):
+        rate = (low + high) / 2
+        low, high = (rate, high) if share @ np.exp(np.minimum(rate * value, 600)) < 1 else (low, rate)
+    return low
+
+
 def term_counts(texts: DataFrame) -> DataFrame:
     """(term, toxic, clean): numbers of texts that hold each term, for texts (text, label)."""
 
@@ -127,28 +150,31 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     chosen = term_counts(texts).filter("toxic >= 3").select("term", odds.alias("odds"), z.alias("z")).filter(f"z > {deviations} and odds > 1").orderBy(F.desc("z"), "term").limit(most_terms).collect()
     model = Toxicity(np.array([r.term for r in chosen], np.int64).view(U64), np.array([r.odds for r in chosen]), drift)
 
-    def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(STEPS + 2)  # words by score, words without one, segments
         for batch in batches:
             data, offsets = utf8(batch.column(0))
             for low, high in row_groups(offsets):
-                segments, n, _ = model.segments(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-                yield pa.RecordBatch.from_arrays([batch.column(1)[low:high], pa.array(n), pa.array([[s for _, _, s in own] for own in segments], pa.list_(pa.float64()))], names=["label", "n", "scores"])
-
-    seen = texts.select("text", F.col("label").cast("long")).mapInArrow(statistics, "label long, n long, scores array<double>").collect()  # at most 2 * per_class rows
-    clean = [r for r in seen if r.label == 0]
-    size = sum(r.n for r in clean) + 1.0
-    chance = np.sort([s for r in clean for s in r.scores])
-    typical = float(np.median(model.scores)) if len(chosen) else 1.0
-    share = (len(chance) + 0.5) / size  # of clean words that start a segment
-    low, high = 1e-6, 50.0
-    for _ in range(100):  # the positive root of share * exp(rate * typical) + (1 - share) * exp(-rate * drift) = 1
-        rate = (low + high) / 2
-        value = share * np.exp(min(rate * typical, 700)) + (1 - share) * np.exp(-rate * drift)
-        low, high = (rate, high) if value < 1 else (low, rate)
-    model.rate = low
+                segments, n, found = model.segments(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                best = model.word_scores(found)
+                total[:STEPS] += np.bincount(np.minimum(best[best > 0] / STEP, STEPS - 1).astype(np.int64), minlength=STEPS)
+                total[STEPS:] += [(best == 0).sum(), sum(map(len, segments))]
+        yield vector_parts(total)
+
+    total = summed(texts.filter("label = 0").select("text").mapInArrow(counted, "part long, body binary"), STEPS + 2)
+    model.rate = chance_rate(total[:STEPS], total[STEPS] + 1, drift)
     floor = float(model.scores.min()) if len(chosen) else 1.0
-    model.scale = (len(chance) + 0.5) / (size * np.exp(-model.rate * floor))
-    x = np.array([min(model.evidence([(0, 0, s) for s in r.scores], r.n), 100) / 10 for r in seen])
+    model.scale = (total[-1] + 0.5) / ((total[:-1].sum() + 1) * np.exp(-model.rate * floor))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            for low, high in row_groups(offsets):
+                segments, n, _ = model.segments(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                yield pa.RecordBatch.from_arrays([batch.column(1)[low:high], pa.array([float(model.evidence(own, k)) for own, k in zip(segments, n.tolist(), strict=True)], pa.float64())], names=["label", "evidence"])
+
+    seen = texts.select("text", F.col("label").cast("long")).mapInArrow(measured, "label long, evidence double").collect()  # two numbers for each of at most 2 * per_class rows
+    x = np.array([min(r.evidence, 100) / 10 for r in seen])
     y = np.array([float(r.label) for r in seen])
     weight = np.where(y == 1, totals[1] / n1, totals[0] / n0)
     model.logistic = fit_logistic(x[:, None], y, weight, 1e-4)

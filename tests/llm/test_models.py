@@ -81,6 +81,21 @@ def test_segments_against_the_definition():
         assert got == brute_segments(every.tolist())
 
 
+def test_rate_of_chance_sums():
+    draw = np.random.default_rng(8)
+    scored = np.zeros(toxicity.STEPS)
+    scored[100], scored[200] = 30, 10  # scores of about 2 and 4
+    rate = toxicity.chance_rate(scored, 4000, 0.05)
+    values = np.array([100.5 * toxicity.STEP, 200.5 * toxicity.STEP, -0.05])
+    share = np.array([30, 10, 4000]) / 4040
+    assert abs(share @ np.exp(rate * values) - 1) < 1e-6 and rate > 1e-3
+    steps = draw.choice(values, (4000, 400), p=share)
+    top = np.maximum(0, np.cumsum(steps, axis=1)).max(1)  # the chance of reaching S falls as exp(-rate S)
+    high = [(top >= s).mean() for s in (8, 16)]
+    assert high[1] <= high[0] * np.exp(-rate * 8) * 1.6 + 0.01
+    assert toxicity.chance_rate(np.zeros(toxicity.STEPS), 100, 0.05) == 1.0
+
+
 def test_quality(corpus):
     docs, labels = corpus
     model = quality.fit(docs, labels)
