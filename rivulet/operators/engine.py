@@ -111,6 +111,11 @@ def epoch(df: DataFrame, signals: list[str], weights: list[float], high: float,
     return out.withColumn("d", d).select("seq", *(keep or []), F.col("fused").alias("score"), "raw", "suspicion", "d.action", "d.severity")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df, to be computed once however often it is read: checkpointed in the shared folder of spark.checkpoint.dir, or persisted (with spill) where none is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 #: The features that the whole process scores.
 FEATURES = ["f_len", "f_iat", "f_syn", "f_fanout", "f_entropy", "f_bytes", "f_pps"]
 
@@ -122,13 +127,14 @@ def processed(flows: DataFrame, span_us: int = 2_000_000, iat_scale: float = 50.
     labelled rows. With watts and a budget, costly detectors (rrcf, sr, sup) don't
     count for unsuspicious rows over the budget.
     """
-    seen = windows.features(flows, span_us, iat_scale, full_rate)
+    seen = cut(windows.features(flows, span_us, iat_scale, full_rate))
     trust = folds.trust_final(flows.filter(F.col("label").isNotNull()), "src", F.col("label")).select("src", fx.suspicion(F.col("a"), F.col("b"), F.col("seen")).alias("suspicion"))
     scored = detectors.bank(seen, FEATURES, "label", "src", F.col("f_pps") + 0.3 * F.col("f_fanout"))
     if watts is not None and watt_budget > 0:
         gated = scored.withColumn("__watts", watts).join(trust.withColumnRenamed("suspicion", "__s"), "src", "left")
         skip = mesh.energy_gate(F.col("__watts"), F.coalesce("__s", F.lit(0.5)), watt_budget)
         scored = gated.withColumns({d: F.when(~skip, F.col(d)) for d in ("rrcf", "sr", "sup")}).drop("__watts", "__s")
+    scored = cut(scored)
     kept = ["us", "src", "dst", "port", "proto", "label", "family"]
     share = 1 / len(detectors.BANK)
     return epoch(scored.drop("score", "suspicion", "raw"), detectors.BANK, [share] * len(detectors.BANK), high, low, trust, [c for c in kept if c in flows.columns])

@@ -57,7 +57,7 @@ def engine_process(spark, sf):
 @query()
 def engine_alerts(spark, sf):
     """Flows to alerts in one call."""
-    out = alerts.process(_processed(spark, sf).filter("action <> 'PASS'"), DAY)
+    out = alerts.process(engine.cut(_processed(spark, sf).filter("action <> 'PASS'")), DAY)
     return out.select("seq", "src", "action", "severity", "campaign_count", "alert_id", "fdr_p", "lifecycle")
 
 
