@@ -85,7 +85,7 @@ def test_calibration():
     c = engine.Calibration(window=3, warm=0)
     for v in (1, 2, 3, 4):
         c.add(v)
-    assert c.sorted == [2, 3, 4]
+    assert c.recent.sorted == [2, 3, 4]
 
 
 @pytest.mark.parametrize(("score", "suspicion", "unknown", "action"), [(0.55, 0, True, "REDIRECT"), (0.80, 0.9, False, "QUARANTINE"), (0.80, 0.7, False, "DROP"), (0.65, 0.9, False, "RATE_LIMIT"), (0.80, 0.5, False, "RATE_LIMIT"), (0.55, 0.5, False, "MIRROR"), (0.40, 0.5, False, "PASS"), (0.40, 0.5, True, "PASS")])
