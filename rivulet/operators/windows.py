@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import flow as fx
+from . import sliding
 from .ordered import range_bucket, running_totals
 
 
@@ -29,20 +30,25 @@ def entropy(values: Column) -> Column:
     return F.when(F.size(kinds) > 1, raw / F.log(F.size(kinds).cast("double"))).otherwise(0.0)
 
 
-def features(flows: DataFrame, span_us: int = 2_000_000, iat_scale: float = 50.0, full_rate: float = 300.0) -> DataFrame:
-    """flows with the seven features, each in 0 to 1. One shuffle, by source."""
-    w, seconds = trailing(span_us), span_us / 1e6
-    n = F.count("*").over(w)
-    out = {
-        "f_len": F.col("len") / 1500.0,
-        "f_iat": F.least(F.lit(1.0), inter_arrival() * iat_scale),
-        "f_syn": fx.syn_only(F.col("flags")).cast("double"),
-        "f_fanout": F.least(F.lit(1.0), F.size(F.collect_set("dst").over(w)) / 40.0),
-        "f_entropy": F.least(F.lit(1.0), entropy(F.collect_list("port").over(w))),
-        "f_bytes": F.least(F.lit(1.0), F.sum("len").over(w) / (n * 1500.0 + 1e-6)),
-        "f_pps": F.least(F.lit(1.0), n / seconds / full_rate),
+def seven(flags: Column, size: Column, n: Column, fanout: Column, spread: Column, total: Column, gap_us: Column, span_us: int, iat_scale: float, full_rate: float) -> dict[str, Column]:
+    """The seven features, each in 0 to 1, from a record and the statistics of its key's last span."""
+    top = lambda c: F.least(F.lit(1.0), c)
+    return {
+        "f_len": size / 1500.0,
+        "f_iat": top(F.coalesce(gap_us / 1e6, F.lit(0.0)) * iat_scale),
+        "f_syn": fx.syn_only(flags).cast("double"),
+        "f_fanout": top(fanout / 40.0),
+        "f_entropy": top(spread),
+        "f_bytes": top(total / (n * 1500.0 + 1e-6)),
+        "f_pps": top(n / (span_us / 1e6) / full_rate),
     }
-    return flows.select("*", *(c.alias(k) for k, c in out.items()))
+
+
+def features(flows: DataFrame, span_us: int = 2_000_000, iat_scale: float = 50.0, full_rate: float = 300.0) -> DataFrame:
+    """flows with the seven features. One shuffle, by source and stretch of time; the time a row takes doesn't depend on the span."""
+    seen = sliding.statistics(flows, span_us, reach_us=int(1e6 / iat_scale) + 1)
+    made = seven(F.col("flags"), F.col("len"), *(F.col(c) for c in sliding.STATISTICS), span_us, iat_scale, full_rate)
+    return seen.select(*flows.columns, *(c.alias(k) for k, c in made.items()))
 
 
 def native_scaled(df: DataFrame, value: str, key: str, warm: int = 30) -> Column:

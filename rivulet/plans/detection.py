@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import flow as fx
-from ..operators import folds, metrics, windows
+from ..operators import folds, metrics, sliding, windows
 from ..operators.ordered import percentiles
 from .tables import DAY, FLOWS, flows, query, table
 
@@ -113,15 +113,19 @@ def feat_iat(spark, sf):
     return flows(spark, sf).select("seq", F.round(windows.inter_arrival(), 6).alias("iat"))
 
 
+def _last_day(spark, sf):
+    return sliding.statistics(flows(spark, sf).select("seq", "us", "src", "dst", "port", "len"), DAY)
+
+
 @query(f"{WITH} SELECT seq, count(*) OVER w AS n, round(least(1.0, count(*) OVER w / 2.0 / 300), 6) AS pps FROM flows WINDOW w AS {WIN}")
 def feat_pps(spark, sf):
-    n = F.count("*").over(windows.trailing(DAY))
-    return flows(spark, sf).select("seq", n.alias("n"), F.round(F.least(F.lit(1.0), n / 2.0 / 300), 6).alias("pps"))
+    n = F.col("n")
+    return _last_day(spark, sf).select("seq", "n", F.round(F.least(F.lit(1.0), n / 2.0 / 300), 6).alias("pps"))
 
 
 @query(f"{WITH} SELECT seq, count(DISTINCT dst) OVER {WIN} AS fanout FROM flows")
 def feat_fanout(spark, sf):
-    return flows(spark, sf).select("seq", F.size(F.collect_set("dst").over(windows.trailing(DAY))).cast("long").alias("fanout"))
+    return _last_day(spark, sf).select("seq", "fanout")
 
 
 ENTROPY = f"""j AS (SELECT a.seq, b.port, count(*) AS c FROM flows a JOIN flows b ON a.src = b.src AND b.us BETWEEN a.us - {DAY} AND a.us GROUP BY 1, 2),
@@ -131,13 +135,12 @@ ENTROPY = f"""j AS (SELECT a.seq, b.port, count(*) AS c FROM flows a JOIN flows
 
 @query(f"{WITH}, {ENTROPY} SELECT seq, round(entropy, 6) AS entropy FROM ent")
 def feat_entropy(spark, sf):
-    return flows(spark, sf).select("seq", F.round(windows.entropy(F.collect_list("port").over(windows.trailing(DAY))), 6).alias("entropy"))
+    return _last_day(spark, sf).select("seq", F.round("entropy", 6).alias("entropy"))
 
 
 @query(f"{WITH} SELECT seq, round(sum(len) OVER w / (count(*) OVER w * 1500.0 + 1e-6), 6) AS bytes FROM flows WINDOW w AS {WIN}")
 def feat_bytes(spark, sf):
-    w = windows.trailing(DAY)
-    return flows(spark, sf).select("seq", F.round(F.sum("len").over(w) / (F.count("*").over(w) * 1500.0 + 1e-6), 6).alias("bytes"))
+    return _last_day(spark, sf).select("seq", F.round(F.col("bytes") / (F.col("n") * 1500.0 + 1e-6), 6).alias("bytes"))
 
 
 @query(f"""{WITH}, {ENTROPY}, a AS (SELECT seq, round(len / 1500.0, 6) AS f_len, round(least(1.0, coalesce((us - lag(us) OVER (PARTITION BY src ORDER BY us, seq)) / 1e6, 0) / 86400), 6) AS f_iat,
