@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -159,6 +161,30 @@ def phi(beats: DataFrame, key: str, at_ms: str, window: int = 200, floor: float
     return past.withColumn("phi", F.when(F.col("gap").isNull(), 0.0).otherwise(fx.phi(F.col("gap"), mean, spread))).drop("__n", "__s", "__q")
 
 
+def phi_of(overdue_ms: float, gaps: list[float], floor: float = 50.0, first: float = 750.0) -> float:
+    """phi() for one member: its last gaps, and how long its beat is overdue."""
+    mean, spread = first, first / 2
+    if gaps:
+        mean = sum(gaps) / len(gaps)
+        spread = max(math.sqrt(sum((g - mean) ** 2 for g in gaps) / len(gaps)), floor)
+    y = max(-37.0, min(37.0, (overdue_ms - mean) / spread))
+    tail = math.exp(-y * (1.5976 + 0.070566 * y * y))
+    return -math.log10(min(1.0, max(1e-10, tail / (1 + tail))))
+
+
+def overdue_at(level: float, gaps: list[float], floor: float = 50.0, first: float = 750.0) -> float | None:
+    """How long a beat is overdue, in ms, when phi reaches a level (it only grows); None if it never does."""
+    if level > 10:
+        return None
+    low, high = 0.0, 1.0
+    while phi_of(high, gaps, floor, first) < level:
+        low, high = high, high * 2
+    while high - low > 0.01:
+        middle = (low + high) / 2
+        low, high = (low, middle) if phi_of(middle, gaps, floor, first) >= level else (middle, high)
+    return high
+
+
 def watched(members: DataFrame, levels: DataFrame, node: str = "node", suspect: float = 8.0, dead: float = 12.0) -> DataFrame:
     """members with the state that the last known phi (node, phi) calls for: suspects recover below `suspect`, the dead stay dead."""
     level, state = F.coalesce("phi", F.lit(0.0)), F.col("state")
