@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import flow as fx
 from . import folds
+from .discovery import rolling_cutoffs
 
 #: Name and lowest severity that each sink takes. Fixed values.
 SINKS = {"elastic": "low", "siem": "low", "slack": "medium", "rest": "high", "mail": "high", "pager": "critical"}
@@ -39,28 +40,24 @@ def enriched(alerts: DataFrame, key: str = "src") -> DataFrame:
     return out.withColumns({"alert_id": fx.alert_id(F.col("us") / 1e6, F.col("campaign_count")), "flow_id": fx.flow_id(F.col("src"), F.col("dst"), F.col("port")), "fdr_p": F.round(1 - F.col("score"), 4), "lifecycle": F.lit("new")})
 
 
-def process(events: DataFrame, dedup_us: int = 3_000_000, q: float = 0.1) -> DataFrame:
-    """Alerts of events (seq, us, src, dst, port, action, score): repeats by source and action go (quarantines never), then advisory ones whose p = 1 - score is over the false-discovery cutoff of all events; what is left joins its source's campaign.
-
-    The cutoff is that of the batch; on a stream, foreachBatch calls this on each
-    micro-batch.
-    """
+def process(events: DataFrame, dedup_us: int = 3_000_000, q: float = 0.1, window: int = 500) -> DataFrame:
+    """Alerts of events (seq, us, src, dst, port, action, score): repeats by source and action go (quarantines never), then advisory ones whose p = 1 - score is over the false-discovery cutoff of the last `window` events, repeats among them; what is left joins its source's campaign."""
 
     def step(s: dict, row: dict) -> tuple[dict, dict | None]:
         s, shown = folds.dedup_step(s, row["us"], dedup_us, row["action"] == "QUARANTINE")
         return s, {"seq": row["seq"]} if shown else None
 
     first = folds.fold(events.select("src", "action", "us", "seq"), ["src", "action"], ["us", "seq"], folds.dedup_start, step, "seq long")
-    cutoff = discovery_cutoff(events.select((1 - F.col("score")).alias("p")), q=q)
-    passed = events.join(first, "seq", "left_semi").join(F.broadcast(cutoff)).filter(F.col("action").isin(*fx.ENFORCING) | (1 - F.col("score") <= F.col("cutoff")))
+    judged = rolling_cutoffs(events.withColumn("__small", 1 - F.col("score")), "__small", window, q)
+    passed = judged.join(first, "seq", "left_semi").filter(F.col("action").isin(*fx.ENFORCING) | (F.col("__small") <= F.col("cutoff")))
     return enriched(passed.select(*events.columns))
 
 
-def statistics(events: DataFrame, shown: DataFrame, q: float = 0.1) -> DataFrame:
-    """One row: alerts offered, suppressed, the false-discovery cutoff, and campaigns."""
+def statistics(events: DataFrame, shown: DataFrame, q: float = 0.1, window: int = 500) -> DataFrame:
+    """One row: alerts offered, suppressed, the false-discovery cutoff of the last `window` events, and campaigns."""
     total = events.agg(F.count("*").alias("alerts_total"))
     left = shown.agg(F.count("*").alias("__left"), F.count_distinct("src").alias("active_campaigns"))
-    cutoff = discovery_cutoff(events.select((1 - F.col("score")).alias("p")), q=q).select(F.round("cutoff", 4).alias("bh_cutoff"))
+    cutoff = discovery_cutoff(recent(events.select("us", "seq", (1 - F.col("score")).alias("p")), window), q=q).select(F.round("cutoff", 4).alias("bh_cutoff"))
     return total.join(left).join(cutoff).select("alerts_total", (F.col("alerts_total") - F.col("__left")).alias("alerts_suppressed"), "bh_cutoff", "active_campaigns")
 
 

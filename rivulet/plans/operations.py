@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import alerts, engine, mesh, rules
+from ..operators.discovery import rolling_cutoffs
 from .projections import DECIDED, decided
 from .states import alert_dedup  # noqa: F401  (its SQL is a part of others)
 from .tables import DAY, FLOWS, SQL, flows, query, table
@@ -83,10 +84,22 @@ def prometheus_text(spark, sf):
     return alerts.exposition(rows)
 
 
-_CUTOFF = """g AS (SELECT 1 - score AS p, count(*) AS c FROM decided WHERE action <> 'PASS' GROUP BY 1), t AS (SELECT sum(c) AS n FROM g), k AS (SELECT p, sum(c) OVER (ORDER BY p) AS k FROM g),
- f AS (SELECT CASE WHEN any_value(n) < 20 THEN 1.0 ELSE coalesce(max(p) FILTER (p <= 0.5 * k / n), 0.5 / any_value(n)) END AS cutoff FROM k, t)"""
-_ALERTS = f"""{DECIDED}, d AS ({SQL["alert_dedup"]}), {_CUTOFF},
- a AS (SELECT x.*, row_number() OVER (PARTITION BY src ORDER BY us, x.seq) AS campaign_count FROM decided x JOIN d ON d.seq = x.seq AND d.shown, f WHERE x.action IN ('DROP', 'QUARANTINE', 'RATE_LIMIT', 'REDIRECT') OR 1 - score <= cutoff)"""
+def _rolling(table: str, q: float, p: str = "1 - score") -> str:
+    """f: seq and the cutoff of the last 500 rows of a table by (us, seq)."""
+    levels = f"list_filter(range(1, len(l) + 1), lambda i: l[i] <= {q} * (i / CAST(len(l) AS DOUBLE)))"
+    return f"""w AS (SELECT seq, list_sort(list({p}) OVER (ORDER BY us, seq ROWS 499 PRECEDING)) AS l FROM {table}),
+ f AS (SELECT seq, CASE WHEN len(l) < 20 THEN 1.0 WHEN len({levels}) > 0 THEN l[list_max({levels})] ELSE {q} / len(l) END AS cutoff FROM w)"""
+
+
+_ALERTS = f"""{DECIDED}, d AS ({SQL["alert_dedup"]}), offered AS (SELECT * FROM decided WHERE action <> 'PASS'), {_rolling("offered", 0.5)},
+ a AS (SELECT x.*, row_number() OVER (PARTITION BY src ORDER BY us, x.seq) AS campaign_count FROM decided x JOIN d ON d.seq = x.seq AND d.shown JOIN f ON f.seq = x.seq WHERE x.action IN ('DROP', 'QUARANTINE', 'RATE_LIMIT', 'REDIRECT') OR 1 - score <= cutoff)"""
+
+
+@query(f"{WITH}, x AS (SELECT seq, us, round(power((port + 1) / 101.0, 3), 6) AS p FROM flows), {_rolling('x', 0.1, 'p')} SELECT seq, round(cutoff, 9) AS cutoff FROM f")
+def rolling_cutoff(spark, sf):
+    """False-discovery cutoff of the last 500 flows, for each flow."""
+    x = flows(spark, sf).select("seq", "us", F.round(F.pow((F.col("port") + 1) / 101.0, 3), 6).alias("p"))
+    return rolling_cutoffs(x).select("seq", F.round("cutoff", 9).alias("cutoff"))
 
 
 def _offered(spark, sf):
@@ -100,7 +113,7 @@ def alert_process(spark, sf):
     return out.select("seq", "action", "campaign_count", "alert_id", "fdr_p")
 
 
-@query(f"{_ALERTS} SELECT (SELECT count(*) FROM decided WHERE action <> 'PASS') AS alerts_total, (SELECT count(*) FROM decided WHERE action <> 'PASS') - count(*) AS alerts_suppressed, (SELECT round(cutoff, 4) FROM f) AS bh_cutoff, count(DISTINCT src) AS active_campaigns FROM a")
+@query(f"{_ALERTS} SELECT (SELECT count(*) FROM decided WHERE action <> 'PASS') AS alerts_total, (SELECT count(*) FROM decided WHERE action <> 'PASS') - count(*) AS alerts_suppressed, (SELECT round(cutoff, 4) FROM f JOIN offered USING (seq) ORDER BY us DESC, seq DESC LIMIT 1) AS bh_cutoff, count(DISTINCT src) AS active_campaigns FROM a")
 def alert_stats(spark, sf):
     offered = _offered(spark, sf)
     return alerts.statistics(offered, alerts.process(offered, DAY, 0.5), 0.5)
