@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import flow as fx
 from . import alerts, detectors, folds, mesh, metrics, windows
+from .lineage import cut
 
 
 class Calibration:
@@ -111,11 +112,6 @@ def epoch(df: DataFrame, signals: list[str], weights: list[float], high: float,
     return out.withColumn("d", d).select("seq", *(keep or []), F.col("fused").alias("score"), "raw", "suspicion", "d.action", "d.severity")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, to be computed once however often it is read: checkpointed in the shared folder of spark.checkpoint.dir, or persisted (with spill) where none is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 #: The features that the whole process scores.
 FEATURES = ["f_len", "f_iat", "f_syn", "f_fanout", "f_entropy", "f_bytes", "f_pps"]
 

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import flow as fx
+from .neighbours import nearest_rows
 from .ordered import numbered
 
 SKETCH_SEEDS = [0x00000001, 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D]
@@ -155,58 +152,6 @@ def rebalanced(df: DataFrame, key: str, signature: list[str], label: str, family
     return trimmed.unionByName(grown)
 
 
-def nearest_rows(df: DataFrame, key: str, vector: str, k: int, block: int = 1000) -> DataFrame:
-    """(key, rank, neighbour, distance): each row's k nearest others by squared distance, ties to smaller keys.
-
-    Rows are hashed into blocks; each pair of blocks is one group of bounded
-    size, which keeps k candidates a row, and candidates are merged.
-    """
-    blocks = max(1, -(-df.count() // block))
-    number = F.pmod(F.xxhash64(key), F.lit(blocks))
-    others = F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), number.alias("b"))
-    placed = rows.withColumn("other", F.explode(others))
-    asked = placed.select((F.col("b") * blocks + F.col("other")).alias("group"), F.lit(0).alias("side"), "id", "v")
-    given = placed.select((F.col("other") * blocks + F.col("b")).alias("group"), F.lit(1).alias("side"), "id", "v")
-    dealt = asked.union(given).repartition("group").sortWithinPartitions("group", "side")
-
-    def nearest(part: pa.Table) -> Iterator[tuple]:
-        side, ids = part.column("side").to_numpy(), part.column("id").to_numpy()
-        x = np.array(part.column("v").to_pylist(), float)
-        here, there = side == 0, side == 1
-        for q, v in zip(ids[here], x[here], strict=True):
-            d = ((x[there] - v) ** 2).sum(1)
-            d[ids[there] == q] = np.inf
-            yield from ((q, ids[there][i], d[i]) for i in np.lexsort((ids[there], d))[:k] if d[i] < np.inf)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            if held[0].column(0)[0] == batch.column(0)[-1]:
-                continue
-            table = pa.Table.from_batches(held)
-            yield from groups(table, last=False)
-            group = table.column("group").to_numpy()
-            held = table.slice(int(np.searchsorted(group, group[-1]))).to_batches()
-        if held:
-            yield from groups(pa.Table.from_batches(held), last=True)
-
-    def groups(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
-        group = table.column("group").to_numpy()
-        starts = [*np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group)]
-        for a, b in list(zip(starts, starts[1:], strict=False))[: None if last else -1]:
-            found = list(nearest(table.slice(int(a), int(b - a))))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["id", "neighbour", "distance"])
-
-    found = dealt.mapInArrow(work, "id long, neighbour long, distance double")
-    place = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
-
-
 def tomek_links(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """(id, neighbour): rows that are each other's nearest, of different classes; each pair twice."""
     near = nearest_rows(df, key, vector, 1).select("id", "neighbour")
@@ -229,14 +174,14 @@ def smote(df: DataFrame, key: str, vector: str, need: int, k: int = 5, seed: int
 
 
 def smote_tomek(df: DataFrame, key: str, vector: str, label: str, need: int, k: int = 5, seed: int = 7) -> DataFrame:
-    """(key, vector, label, synthetic): the rows of two classes and need synthetic ones of the smaller, without rows that are each other's nearest across classes. New keys follow the largest."""
+    """(key, vector, label, synthetic): the rows of two classes and need synthetic ones of the smaller, without rows of the larger class that are each other's nearest with one of the smaller. New keys follow the largest."""
     sizes = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
     small = min(sizes, key=lambda y: (sizes[y], str(y)))
     last = df.agg(F.max(key)).first()[0]
     own = df.select(key, F.col(vector).cast("array<double>").alias(vector), label, F.lit(False).alias("synthetic"))
     made = smote(df.filter(F.col(label) == small), key, vector, need, k, seed).select((F.col("number") + last + 1).alias(key), "vector", F.lit(small).alias(label), F.lit(True).alias("synthetic"))
     every = own.union(made)
-    links = tomek_links(every, key, vector, label).select(F.col("id").alias(key)).distinct()
+    links = tomek_links(every, key, vector, label).filter(F.col("label_id") != F.lit(small)).select(F.col("id").alias(key)).distinct()
     return every.join(links, key, "left_anti")
 
 

@@ -264,13 +264,13 @@ def smote_knn(spark, sf):
 @query(f"""WITH {_SMOTE}, m AS (SELECT (SELECT max(vec_id) FROM embeddings) AS m),
  u AS (SELECT vec_id, {_VEC} AS v, coalesce(label < 3, false) AS y FROM embeddings UNION ALL SELECT m + 1 + number, list_transform(range(1, 65), lambda i: g.v[i] + g.g * (g.y[i] - g.v[i])), (SELECT n1 < n0 FROM s) FROM g, m),
  r AS (SELECT a.vec_id AS a, b.vec_id AS b, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS k FROM u a JOIN u b ON a.vec_id <> b.vec_id),
- n AS (SELECT a, b FROM r WHERE k = 1), l AS (SELECT n.a FROM n JOIN n o ON n.b = o.a AND n.a = o.b JOIN u x ON x.vec_id = n.a JOIN u z ON z.vec_id = n.b WHERE x.y <> z.y)
- SELECT y, count(*) AS rows, count(*) FILTER (vec_id > (SELECT m FROM m)) AS made FROM u WHERE vec_id NOT IN (SELECT a FROM l) GROUP BY y""")
+ n AS (SELECT a, b FROM r WHERE k = 1), l AS (SELECT n.a FROM n JOIN n o ON n.b = o.a AND n.a = o.b JOIN u x ON x.vec_id = n.a JOIN u z ON z.vec_id = n.b WHERE x.y <> z.y AND x.y <> (SELECT n1 < n0 FROM s))
+ SELECT vec_id, y, vec_id > (SELECT m FROM m) AS synthetic FROM u WHERE vec_id NOT IN (SELECT a FROM l)""")
 def smote_tomek(spark, sf):
-    """Classes after synthesis and the removal of linked rows."""
+    """Rows after synthesis and the removal of linked rows of the larger class."""
     e, _, need = _small_class(spark, sf)
     out = ops.smote_tomek(e, "vec_id", "embedding", "y", need)
-    return out.groupBy("y").agg(F.count("*").alias("rows"), F.count_if("synthetic").alias("made"))
+    return out.select("vec_id", "y", "synthetic")
 
 
 @query("SELECT n_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name ORDER BY customers DESC, n_name LIMIT 10")
