@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,33 +101,54 @@ def trimmed_mean(vectors: DataFrame, key: str, vector: str, beta: float = 0.2) -
     return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("vector"))
 
 
-def krum(vectors: DataFrame, key: str, id_column: str, vector: str, faulty: int = 1) -> DataFrame:
-    """(key, id, score): of each group of peers, the vector nearest to its n - faulty - 2 nearest; ties to the smaller id. Groups are peer sets, of at most a few thousand."""
+def krum(vectors: DataFrame, key: str, id_column: str, vector: str, faulty: int = 1, block: int = 512) -> DataFrame:
+    """(key, id, score): of each group of peers, the vector nearest to its n - faulty - 2 nearest; ties to the smaller id. Groups too small for that have no row (see robust).
 
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(id_column)
-        x = np.stack(frame[vector].to_list()).astype(float)
-        n = len(x)
-        m = n - faulty - 2
-        if n <= 2 or m <= 0:
-            return pd.DataFrame({key: [], "id": [], "score": []})
-        # nearly all distances count: their sum has a closed form, and only the farthest, searched by blocks of rows, come off
-        norm = (x**2).sum(1)
-        score = n * norm + norm.sum() - 2 * x @ x.sum(0)
-        for a in range(0, n, 256):
-            far = np.maximum(norm[a : a + 256, None] + norm - 2 * x[a : a + 256] @ x.T, 0)
-            score[a : a + 256] -= np.partition(far, m, axis=1)[:, m + 1 :].sum(1)
-        best = int(score.argmin())
-        return pd.DataFrame({key: [frame[key].iloc[0]], "id": [frame[id_column].iloc[best]], "score": [score[best]]})
-
-    return vectors.groupBy(key).applyInPandas(work, f"{key} {vectors.schema[key].dataType.simpleString()}, id long, score double")
+    A row's score is the sum of its distances less the farthest. Both merge: rows
+    are hashed into blocks, each pair of a group's blocks gives each row a sum and
+    its farthest few. No task holds a group.
+    """
+    rows = vectors.filter(F.col(vector).isNotNull() & F.col(id_column).isNotNull()).select(F.col(key).alias("key"), F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("long")).filter((F.col("n") > 2) & (F.col("n") > faulty + 2)).withColumnRenamed("key", "__group")
+    placed = rows.join(sizes, F.col("key").eqNullSafe(F.col("__group"))).select("key", "id", "v", "blocks", F.pmod(F.xxhash64("id"), "blocks").alias("b"))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    asked = placed.select("key", F.col("b").alias("a"), others.alias("b"), "id", "v")
+    given = placed.select(F.col("key").alias("key"), others.alias("a"), F.col("b").alias("b"), F.col("id").alias("id"), F.col("v").alias("v"))
+    drop = faulty + 1
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, x, y = left.column("id"), *(np.array(t.column("v").to_pylist(), float) for t in (left, right))
+        total, far = np.zeros(len(x)), []
+        for a in range(0, len(x) if len(y) else 0, 64):
+            d = ((x[a : a + 64, None] - y[None]) ** 2).sum(-1)
+            total[a : a + 64] = d.sum(1)
+            far += np.sort(d, axis=1)[:, -drop:].tolist()
+        return pa.table([left.column("key"), ids, pa.array(total), pa.array(far or [[]] * len(x), pa.list_(pa.float64()))], names=["key", "id", "total", "far"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    met = asked.groupBy("key", "a", "b").cogroup(given.groupBy("key", "a", "b")).applyInArrow(work, f"key {kind}, id long, total double, far array<double>")
+    merged = met.groupBy("key", "id").agg(F.sum("total").alias("total"), F.sort_array(F.flatten(F.collect_list("far")), asc=False).alias("far"))
+    score = F.greatest(F.lit(0.0), F.col("total") - F.aggregate(F.slice("far", 1, drop), F.lit(0.0), lambda s, d: s + d))
+    first = merged.select("key", "id", score.alias("score")).groupBy("key").agg(F.min(F.struct("score", "id")).alias("m"))
+    return first.select(F.col("key").alias(key), "m.id", "m.score")
+
+
+def robust(vectors: DataFrame, key: str, id_column: str, vector: str, faulty: int = 1) -> DataFrame:
+    """(key, id, score, vector): what krum picks; for groups of at most faulty + 2 vectors, or of two, the trimmed mean, without id and score."""
+    rows = vectors.filter(F.col(vector).isNotNull() & F.col(id_column).isNotNull())
+    picked = krum(rows, key, id_column, vector, faulty)
+    chosen = picked.join(rows.select(F.col(key).alias("__k"), F.col(id_column).alias("__i"), F.col(vector).cast("array<double>").alias("vector")), F.col(key).eqNullSafe(F.col("__k")) & (F.col("id") == F.col("__i"))).select(key, "id", "score", "vector")
+    small = rows.groupBy(key).agg(F.count("*").alias("n")).filter((F.col("n") <= 2) | (F.col("n") <= faulty + 2)).select(F.col(key).alias("__k"))
+    few = rows.join(small, F.col(key).eqNullSafe(F.col("__k")), "left_semi")
+    means = trimmed_mean(few, key, vector).select(key, F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("score"), "vector")
+    return chosen.unionByName(means)
 
 
 def federated(vectors: DataFrame, key: str, id_column: str, vector: str) -> DataFrame:
-    """(key, weights): trimmed mean of all vectors and the one that krum picks once more, scaled to a sum of 1."""
-    chosen = krum(vectors, key, id_column, vector).select(key, F.col("id").alias(id_column))
-    again = vectors.join(chosen, [key, id_column])
-    mean = trimmed_mean(vectors.unionByName(again), key, vector)
+    """(key, weights): trimmed mean of all vectors and the robust one once more, scaled to a sum of 1."""
+    again = robust(vectors, key, id_column, vector).select(key, F.col("vector").alias(vector))
+    own = vectors.select(key, F.col(vector).cast("array<double>").alias(vector))
+    mean = trimmed_mean(own.unionByName(again), key, vector)
     total = F.aggregate("vector", F.lit(0.0), lambda a, v: a + v)
     return mean.select(key, F.transform("vector", lambda v: v / F.when(total == 0, 1.0).otherwise(total)).alias("weights"))
 

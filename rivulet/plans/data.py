@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import flow as fx
+from ..operators import sketches
 from ..operators import tables as ops
 from ..operators.ordered import numbered
 from .projections import DECIDED, decided, mix32_sql
@@ -64,6 +65,17 @@ def cms_exact(spark, sf):
     return ops.count_min_estimates(flows(spark, sf), "uid")
 
 
+@query(f"""{WITH}, c AS (SELECT uid, unnest([{_CMS}]) AS x FROM flows), k AS (SELECT x.d AS d, x.b AS b, count(*) AS n FROM c GROUP BY 1, 2), e AS (SELECT uid, count(*) AS n FROM flows GROUP BY uid)
+ SELECT e.uid, e.n, min(k.n) AS estimate, true AS bounded FROM e JOIN (SELECT DISTINCT uid, x.d AS d, x.b AS b FROM c) q ON q.uid = e.uid JOIN k ON k.d = q.d AND k.b = q.b WHERE 1025 * e.n > (SELECT count(*) FROM flows) GROUP BY 1, 2""")
+def heavy_sketch(spark, sf):
+    """Keys that a sketch of 1,024 candidates is sure to find, with true counts beside the estimates."""
+    x = flows(spark, sf)
+    found = sketches.heavy_hitters(sketches.sketched(x, F.col("uid"), F.col("uid"), 1024), 1024)
+    true = x.groupBy("uid").agg(F.count("*").alias("n"))
+    bounded = (F.col("least") <= F.col("n")) & (F.col("n") <= F.col("most")) & ((F.col("n") - F.col("least")) * 1025 <= F.col("total"))
+    return true.join(found.withColumn("uid", F.col("key").cast("long")), "uid").filter(F.col("n") * 1025 > F.col("total")).select(F.col("uid").cast(x.schema["uid"].dataType).alias("uid"), "n", "estimate", bounded.alias("bounded"))
+
+
 _HLL = f"""h AS (SELECT {mix32_sql("xor(l_suppkey, l_partkey << 16) & 4294967295", ops.REGISTER_SEED)} AS h FROM lineitem), w AS (SELECT h & 1023 AS register, (h >> 10) | 1 AS w FROM h),
  r AS (SELECT register, max(33 - length(bin(w))) AS rho FROM w GROUP BY 1)"""
 

@@ -243,6 +243,16 @@ def krum(spark, sf):
     return out.select("label", "id", F.round("score", 5).alias("score"))
 
 
+_PAIRS = "g AS (SELECT vec_id // 3 AS g, vec_id, CAST(embedding AS DOUBLE[]) AS v, count(*) OVER (PARTITION BY vec_id // 3) AS n FROM embeddings)"
+
+
+@query(f"WITH {_PAIRS} SELECT g, false AS picked, round(avg(v[1]), 6) AS first, round(avg(v[64]), 6) AS last FROM g WHERE n <= 3 GROUP BY g")
+def robust_small(spark, sf):
+    """Groups of three vectors at most, which are too small for a nearest one: their trimmed means."""
+    e = table(spark, sf, "embeddings").withColumn("g", F.floor(F.col("vec_id") / 3))
+    return mesh.robust(e, "g", "vec_id", "embedding").select("g", F.col("id").isNotNull().alias("picked"), F.round(F.col("vector")[0], 6).alias("first"), F.round(F.col("vector")[63], 6).alias("last"))
+
+
 @query(f"""WITH {_KRUM}, a AS (SELECT label, vec_id, list_transform(v, lambda x: abs(x)) AS v FROM e), d3 AS (SELECT x.label, x.vec_id, list_distance(x.v, y.v) ** 2 AS d, row_number() OVER (PARTITION BY x.vec_id ORDER BY list_distance(x.v, y.v)) AS r FROM a x JOIN a y ON x.label = y.label),
  k3 AS (SELECT label, arg_min(vec_id, score) AS id FROM (SELECT d3.label, vec_id, sum(d) AS score FROM d3 JOIN n ON n.label = d3.label WHERE r BETWEEN 2 AND n - 2 GROUP BY 1, 2) GROUP BY label),
  w AS (SELECT label, v FROM a UNION ALL SELECT a.label, v FROM a JOIN k3 ON k3.id = a.vec_id AND k3.label = a.label),
