@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, checkpointed in the shared folder of spark.checkpoint.dir: computed once, and a lost executor costs nothing. Where none is set and Spark runs on one machine (tests), in a temporary one."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share. Where none is set and Spark runs on one machine (tests), a temporary one."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         if not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir names no shared folder")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, checkpointed: computed once, and a lost executor costs nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -206,6 +206,17 @@ def overdue_at(level: float, gaps: list[float], floor: float = 50.0, first: floa
     return high
 
 
+def silent(beats: DataFrame, key: str, at_ms: str, now_ms: Column, window: int = 200, floor: float = 50.0, first: float = 750.0, suspect: float = 8.0, dead: float = 12.0) -> DataFrame:
+    """(key, phi, state) of every member at now_ms, a literal: suspicion from how long its beat is overdue, given its last gaps. The stream's form, with timers, is streaming.timed.watched."""
+    w = Window.partitionBy(key).orderBy(F.desc(at_ms))
+    gap = F.col(at_ms) - F.lead(at_ms).over(w)
+    last = beats.select(key, at_ms, gap.alias("__gap"), F.row_number().over(w).alias("__r")).filter(F.col("__r") <= window)
+    seen = last.groupBy(key).agg(F.max(at_ms).alias("__last"), F.avg("__gap").alias("__mean"), F.stddev_pop("__gap").alias("__spread"))
+    mean, spread = F.coalesce("__mean", F.lit(first)), F.coalesce(F.greatest(F.col("__spread"), F.lit(floor)), F.lit(first / 2))
+    level = fx.phi(now_ms - F.col("__last"), mean, spread)
+    return seen.select(key, level.alias("phi"), F.when(level >= dead, "DEAD").when(level >= suspect, "SUSPECT").otherwise("ALIVE").alias("state"))
+
+
 def watched(members: DataFrame, levels: DataFrame, node: str = "node", suspect: float = 8.0, dead: float = 12.0) -> DataFrame:
     """members with the state that the last known phi (node, phi) calls for: suspects recover below `suspect`, the dead stay dead."""
     level, state = F.coalesce("phi", F.lit(0.0)), F.col("state")

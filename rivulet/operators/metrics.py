@@ -90,12 +90,14 @@ def family_metrics(df: DataFrame, flagged: Column) -> DataFrame:
     AUC of all families in one pass: scores are totalled by family and score, and
     benign counts below each score come from one running total.
     """
-    rows = df.withColumn("hit", flagged)
-    benign = rows.filter("label = 0").agg(F.count_if("hit").alias("fp"), F.count_if(~F.col("hit")).alias("tn"), F.avg("score").alias("mean_score"))
-    attacks = rows.filter("label = 1").groupBy("family").agg(F.count_if("hit").alias("tp"), F.count_if(~F.col("hit")).alias("fn"), F.avg("score").alias("mean_score"))
-    scores = rows.groupBy("score").agg(F.sum(1 - F.col("label")).cast("double").alias("neg"))
-    below = running_totals(scores, "score", ["neg"]).select("score", (F.col("run_neg") - F.col("neg") / 2).alias("below"))
-    wins = rows.filter("label = 1").join(below, "score").groupBy("family").agg(F.sum("below").alias("wins"))
+    # one aggregate of the rows; what follows reads its few totals
+    cells = df.groupBy("family", "label", "score").agg(F.count("*").alias("n"), F.count_if(flagged).alias("hits"))
+    mean = (F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("mean_score")
+    benign = cells.filter("label = 0").agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("fp"), F.coalesce(F.sum(F.col("n") - F.col("hits")), F.lit(0)).alias("tn"), mean)
+    attacks = cells.filter("label = 1").groupBy("family").agg(F.sum("hits").alias("tp"), F.sum(F.col("n") - F.col("hits")).alias("fn"), mean)
+    scores = cells.groupBy("score").agg(F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).cast("double").alias("neg"))
+    below = running_totals(scores, "score", ["neg"], bounds=(0.0, 1.0)).select("score", (F.col("run_neg") - F.col("neg") / 2).alias("below"))
+    wins = cells.filter("label = 1").join(below, "score").groupBy("family").agg(F.sum(F.col("below") * F.col("n")).alias("wins"))
     joined = attacks.join(F.broadcast(benign.select("fp", "tn"))).join(wins, "family")
     out = rates(joined).withColumn("auc", F.round(ratio(F.col("wins"), (F.col("tp") + F.col("fn")) * (F.col("fp") + F.col("tn"))), 6))
     columns = ["family", "tp", "fp", "tn", "fn", "accuracy", "precision", "recall", "f1", "mcc", "auc"]

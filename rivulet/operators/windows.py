@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import flow as fx
 from . import sliding
@@ -94,13 +97,39 @@ def ecod(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("ecod", 1 - F.exp(-total / (len(columns) * 2.5))).drop("__n")
 
 
-def half_space_mass(df: DataFrame, columns: list[str], splits: list[list[int]], levels: list[list[float]], block: int = 250) -> DataFrame:
-    """df (with a dense seq) and hst: mean of 1 / (1 + mass of the leaf in the block of records before) over the trees. Leaves are projections, masses one aggregate, the rest one join for all trees."""
-    leaf = lambda s, t: sum(((F.col(columns[c]) > v).cast("int") * (1 << k) for k, (c, v) in enumerate(zip(s, t, strict=True))), F.lit(0))
-    long = df.select("seq", F.floor(F.col("seq") / block).alias("block"), F.posexplode(F.array(*(leaf(s, t) for s, t in zip(splits, levels, strict=True)))).alias("tree", "leaf"))
-    mass = long.groupBy("tree", "leaf", (F.col("block") + 1).alias("block")).agg(F.count("*").alias("mass"))
-    scored = long.join(mass, ["tree", "leaf", "block"], "left").groupBy("seq").agg(F.avg(1 / (1 + F.coalesce("mass", F.lit(0)))).alias("hst"))
-    return df.join(scored, "seq")
+def half_space_mass(df: DataFrame, columns: list[str], splits: list[list[int]], levels: list[list[float]], block: int = 250, stretch: int = 64) -> DataFrame:
+    """df (with a dense seq) and hst: mean of 1 / (1 + mass of the leaf in the block of records before) over the trees.
+
+    A group is a stretch of blocks and the block before it, so groups are of
+    fixed size and each row is shuffled once; masses are counts of (block, leaf)
+    in one array. A null or NaN isn't above any level.
+    """
+    size = block * stretch
+    own = F.floor(F.col("seq") / size).cast("long")
+    # a stretch's last block is context of the next stretch
+    later = F.pmod(F.col("seq"), F.lit(size)) >= size - block
+    places = F.when(later, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = df.withColumn("__stretch", F.explode(places))
+    cuts, at = np.array(levels, float), np.array(splits, np.int64)
+    leaves = 1 << at.shape[1]
+    bits = 1 << np.arange(at.shape[1])
+    names = df.columns
+
+    def work(part: pa.Table) -> pa.Table:
+        first = part.column("__stretch")[0].as_py() * stretch
+        seq = part.column("seq").to_numpy()
+        number = seq // block - first + 1  # 0 is the context
+        x = np.column_stack([part.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns])
+        total = np.zeros(len(seq))
+        for s, t in zip(at, cuts, strict=True):
+            leaf = ((x[:, s] > t) * bits).sum(1)
+            mass = np.bincount((number + 1) * leaves + leaf, minlength=(stretch + 2) * leaves)
+            total += 1 / (1 + mass[number * leaves + leaf])
+        out = part.select(names).append_column("hst", pa.array(total / len(at)))
+        return out.filter(pa.array(number > 0))
+
+    schema = T.StructType([*df.schema.fields, T.StructField("hst", T.DoubleType())])
+    return dealt.groupBy("__stretch").applyInArrow(work, schema)
 
 
 def open_set(df: DataFrame, columns: list[str], block: int = 500) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import alerts, detectors, engine, folds
+from ..operators import alerts, detectors, engine, folds, lineage
+from ..streaming import learner
 from . import experiments
 from .tables import DAY, flows, query, table
 
@@ -77,6 +80,18 @@ def decision_epoch(spark, sf):
     return engine.epoch(x, ["score", "b", "c"], [0.4, 0.3, 0.3], 0.7, 0.62, trust).select("seq", F.round("score", 6).alias("score"), "action", "severity")
 
 
+@query()
+def carried_decisions(spark, sf):
+    """Flows in batches of time, each decided by what the batches before it taught; a quarter of the time is a batch."""
+    x = _points(spark, sf)
+    ends = x.agg(F.min("us").alias("a"), F.max("us").alias("b")).first()
+    if ends.a is None:
+        return spark.createDataFrame([], "seq long, score double, high double, action string")
+    folder = f"{lineage.shared_folder(spark)}/learned-{uuid.uuid4().hex}"
+    out = learner.replayed(x.withColumnRenamed("score", "size").withColumn("us", F.col("us") - ends.a), folder, ["size", "b", "c"], (ends.b - ends.a) // 4 + 1)
+    return out.select("seq", F.round("score", 6).alias("score"), F.round("high", 6).alias("high"), "action")
+
+
 @query()
 def experiment_results(spark, sf):
     return experiments.run(spark)

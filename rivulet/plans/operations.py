@@ -281,6 +281,18 @@ def phi_accrual(spark, sf):
     return mesh.phi(beats, "uid", "ms").select("seq", (F.round("phi", 5) + 0.0).alias("phi"))
 
 
+@query(f"""{WITH}, g AS (SELECT uid, us / 1e3 AS ms, us / 1e3 - lag(us / 1e3) OVER (PARTITION BY uid ORDER BY us) AS gap, row_number() OVER (PARTITION BY uid ORDER BY us DESC) AS r FROM flows),
+ s AS (SELECT uid, max(ms) AS last, coalesce(avg(gap), 750) AS m, CASE WHEN count(gap) = 0 THEN 375 ELSE greatest(stddev_pop(gap), 50) END AS s FROM g WHERE r <= 200 GROUP BY uid),
+ y AS (SELECT uid, ((SELECT max(us) / 1e3 FROM flows) - last - m) / s AS y FROM s), p AS (SELECT uid, CASE WHEN y > 20 THEN 1e-10 ELSE 1 / (1 + exp(y * (1.5976 + 0.070566 * y * y))) END AS p FROM y),
+ l AS (SELECT uid, -log10(greatest(1e-10, least(1, p))) AS phi FROM p)
+ SELECT uid, round(phi, 5) + 0.0 AS phi, CASE WHEN phi >= 2 THEN 'DEAD' WHEN phi >= 0.5 THEN 'SUSPECT' ELSE 'ALIVE' END AS state FROM l""")
+def silent_members(spark, sf):
+    """Who is overdue when the last beat of all comes in."""
+    beats = flows(spark, sf).select("uid", (F.col("us") / 1e3).alias("ms"))
+    now = beats.agg(F.max("ms")).first()[0] or 0.0
+    return mesh.silent(beats, "uid", "ms", F.lit(now), suspect=0.5, dead=2.0).select("uid", (F.round("phi", 5) + 0.0).alias("phi"), "state")
+
+
 # --- energy ----------------------------------------------------------------
 _SAMPLES = "e AS (SELECT uid, us, sum(len) OVER w * 8000 AS bits, count(*) OVER w * 1.0 AS packets, sum(label) OVER w * 1.0 AS attacks, sum(port) OVER w * 100.0 AS cpu FROM flows WINDOW w AS (PARTITION BY uid ORDER BY us))"
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import flow as fx
 from ..operators import folds
+from ..streaming import control
 from .projections import DECIDED, decided
 from .tables import FLOWS, flows, query
 
@@ -167,3 +168,14 @@ def gaussian_novelty(spark, sf):
         return s, {"seq": row["seq"], "score": score}
 
     return folds.fold(flows(spark, sf).select("src", "us", "seq", "score", "port"), ["src"], ["us", "seq"], folds.gaussian_start(2), step, "seq long, score double")
+
+
+_CHANGES = "changes AS (SELECT us, seq, (10 + port) / 1000.0 AS value FROM flows WHERE dst = 'signup' AND uid % 10 = 0)"
+
+
+@query(f"""WITH {FLOWS}, {_CHANGES}, c AS (SELECT us, arg_max(value, seq) AS value FROM changes GROUP BY us) SELECT f.seq, round(coalesce(c.value, 0.02), 6) AS budget FROM flows f ASOF LEFT JOIN c ON f.us >= c.us""")
+def settings_asof(spark, sf):
+    """The budget in force at each flow; some sign-ups stand for changes of it."""
+    f = flows(spark, sf)
+    changes = f.filter("dst = 'signup' AND uid % 10 = 0").select("us", "seq", F.lit("budget").alias("name"), ((10 + F.col("port")) / 1000.0).alias("value"))
+    return control.settings_at(f.select("seq", "us"), changes, {"budget": 0.02}).select("seq", F.round("budget", 6).alias("budget"))
