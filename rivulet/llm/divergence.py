@@ -142,7 +142,7 @@ def summed_runs(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[
 
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents of each term, and a row with term null for every group."""
-    small_batches(docs.sparkSession, 4000)
+    small_batches(docs.sparkSession, 2000)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lang", "source", "term", "n", "docs"]
@@ -155,7 +155,7 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
             langs, sources = pa.array([k[0] for k in kinds], pa.string()), pa.array([k[1] for k in kinds], pa.string())
             yield pa.RecordBatch.from_arrays([langs, sources, pa.nulls(len(kinds), pa.string()), pa.array([0] * len(kinds), pa.int64()), pa.array([0] * len(kinds), pa.int64())], names=names)
             data, offsets = utf8(batch.column("text"))
-            for a, b in row_groups(offsets, 4 << 20):
+            for a, b in row_groups(offsets, 2 << 20):
                 own = np.append(LOWER_ASCII[data[offsets[a] : offsets[b]]], np.zeros(16, np.uint8))
                 row, starts, lengths = slices(own[:-16], offsets[a : b + 1] - offsets[a])
                 if not len(row):
