@@ -77,6 +77,18 @@ def routed(alerts: DataFrame, sinks: dict[str, str] | None = None) -> DataFrame:
     return each.filter((fx.severity_rank(F.col("severity")) >= F.col("s.floor")) & (F.col("severity") != "info")).withColumn("sink", F.col("s.sink")).drop("s")
 
 
+def rate_limited(sent: DataFrame, per_minute: float = 120.0, burst: float = 30.0) -> DataFrame:
+    """routed() alerts (sink, us, seq, ...) with passed: whether the sink's token bucket still has one for it. A state a sink, in order of time; nothing else waits for it."""
+
+    def step(s: dict, row: dict) -> tuple[dict, dict]:
+        s, ok = folds.bucket_step(s, row["us"] / 1e6, per_minute / 60, burst)
+        return s, {"sink": row["sink"], "seq": row["seq"], "passed": ok}
+
+    kind = sent.schema["seq"].dataType.simpleString()
+    ok = folds.fold(sent.select("sink", "us", "seq"), ["sink"], ["us", "seq"], folds.bucket_start(burst), step, f"sink string, seq {kind}, passed boolean")
+    return sent.join(ok, ["sink", "seq"])
+
+
 def audit(df: DataFrame, kind: Column, *detail: str) -> DataFrame:
     """(us, kind, detail): records whose details are JSON with sorted keys."""
     return df.select("us", kind.alias("kind"), F.to_json(F.struct(*sorted(detail))).alias("detail"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import alerts, engine, mesh, rules
 from ..operators.discovery import rolling_cutoffs
 from .projections import DECIDED, decided
-from .states import alert_dedup  # noqa: F401  (its SQL is a part of others)
+from .states import alert_dedup, stepped  # noqa: F401  (its SQL is a part of others)
 from .tables import DAY, FLOWS, SQL, flows, query, table
 
 WITH = f"WITH {FLOWS}"
@@ -66,6 +66,17 @@ def sink_routing(spark, sf):
     return alerts.routed(decided(spark, sf)).groupBy("sink", "severity").agg(F.count("*").alias("n"))
 
 
+_SINKS = """k AS (SELECT unnest(['elastic','siem','slack','rest','mail','pager']) AS sink, unnest([0, 0, 1, 2, 2, 3]) AS low),
+ sent AS (SELECT decided.*, sink FROM decided, k WHERE severity <> 'info' AND (CASE severity WHEN 'medium' THEN 1 WHEN 'high' THEN 2 WHEN 'critical' THEN 3 ELSE 0 END) >= low)"""
+_LEFT = "least(30.0, {tokens} + greatest(0, r.us - coalesce({at}, r.us)) / 1e6 * (0.03 / 60))"
+
+
+@query(stepped("sent", "sink", {"tokens": "30.0::DOUBLE", "at": "NULL::BIGINT"}, {"tokens": f"CASE WHEN {_LEFT} >= 1 THEN {_LEFT} - 1 ELSE {_LEFT} END", "at": "r.us", "passed": f"{_LEFT} >= 1"}, "sink, seq, passed", f"{DECIDED.replace('WITH flows', 'WITH RECURSIVE flows', 1)}, {_SINKS}"))
+def sink_limits(spark, sf):
+    """What each sink's bucket lets through, at 43 alerts a day."""
+    return alerts.rate_limited(alerts.routed(decided(spark, sf)), 0.03, 30.0).select("sink", "seq", "passed")
+
+
 @query(f"{DECIDED} SELECT seq, us, action, severity FROM decided ORDER BY us DESC, seq DESC LIMIT 200")
 def recent_events(spark, sf):
     return alerts.recent(decided(spark, sf)).select("seq", "us", "action", "severity")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -73,6 +73,12 @@ def stream_lines(spark: SparkSession, folder: str, files_a_batch: int = 100) ->
     return text.select(F.col("_metadata.file_path").alias("path"), F.lit(None).cast("long").alias("offset"), F.make_valid_utf8("value").alias("line"), F.is_valid_utf8("value").alias("intact"))
 
 
+def first_lines(rows: DataFrame, most: int) -> DataFrame:
+    """The first lines of each file. Spark keeps the first of each file and task before the shuffle."""
+    place = Window.partitionBy("path").orderBy("offset")
+    return rows.withColumn("__place", F.row_number().over(place)).filter(F.col("__place") <= most).drop("__place")
+
+
 def judged(rows: DataFrame, kind: str) -> DataFrame:
     """rows (path, offset, line, intact) with record, the fields of a loader's line of a kind, and reason. Lines of other known kinds are left out: they are somebody else's records."""
     if kind not in KINDS:

@@ -65,3 +65,10 @@ def test_stream(spark, tmp_path):
 def test_unknown_kind(spark):
     with pytest.raises(ValueError):
         quarantine.judged(spark.createDataFrame([], quarantine.LINES), "nothing")
+
+
+def test_first_lines_of_each_file(spark, tmp_path):
+    for name, n in (("a", 5), ("b", 2), ("c", 0)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i}\n" for i in range(n)))
+    out = quarantine.first_lines(quarantine.lines(spark, str(tmp_path), parts=3), 3).collect()
+    assert sorted(r.line for r in out) == ["a0", "a1", "a2", "b0", "b1"]
