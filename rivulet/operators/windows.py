@@ -80,9 +80,12 @@ def conformal_each(df: DataFrame, calibration: Column, scores: list[str], bucket
     offsets = offsets.select("i", "b", F.coalesce(F.sum("t").over(down), F.lit(0.0)).alias("before"), F.sum("t").over(Window.partitionBy("i")).alias("n"))
     inside = Window.partitionBy("i", "b").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
     run = placed.join(F.broadcast(offsets), ["i", "b"]).select("i", "s", ((1 + F.col("before") + F.sum("c").over(inside)) / (F.col("n") + 1)).alias("p"))
+    # nulls find nothing: below zero, so that they are spread over many tasks instead of one
+    spread = -1.0 - F.pmod(F.xxhash64(*df.columns), F.lit(4096))
+    out = df.withColumns({f"__k{i}": F.coalesce(F.col(c).cast("double"), spread) for i, c in enumerate(scores)})
     for i, c in enumerate(scores):
-        df = df.join(run.filter(F.col("i") == i).select(F.col("s").alias(c), F.col("p").alias(f"p_{c}")), c, "left")
-    return df
+        out = out.join(run.filter(F.col("i") == i).select(F.col("s").cast("double").alias(f"__k{i}"), F.col("p").alias(f"p_{c}")), f"__k{i}", "left")
+    return out.drop(*(f"__k{i}" for i in range(len(scores))))
 
 
 def ecod(df: DataFrame, columns: list[str]) -> DataFrame:
