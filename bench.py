@@ -13,7 +13,7 @@ from rivulet.plans.catalogue import QUERIES
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-HEADLINE = ["flagship_family_metrics", "prf_mcc", "roc_auc", "pr_auc", "feat_all", "feat_entropy", "ecod_score", "hst_mass", "conformal_p", "flow_stats", "cms_exact", "hll_estimate", "verdict_ttl", "quality_profile", "bal_replicate", "tau_fold", "trust_running", "trust_final", "alert_dedup", "distill_rules", "bh_cutoff", "lww_merge", "trimmed_mean", "phi_accrual", "energy_efficiency", "decision_loop"]
+HEADLINE = ["flagship_family_metrics", "prf_mcc", "roc_auc", "pr_auc", "feat_all", "feat_entropy", "ecod_score", "hst_mass", "conformal_p", "flow_stats", "cms_exact", "hll_estimate", "verdict_ttl", "quality_profile", "bal_replicate", "tau_fold", "trust_running", "trust_final", "alert_dedup", "distill_rules", "bh_cutoff", "lww_merge", "trimmed_mean", "phi_accrual", "energy_efficiency", "decision_loop", "rolling_cutoff", "heavy_sketch", "conformal_recent"]
 
 
 def main() -> None:
