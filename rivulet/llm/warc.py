@@ -9,8 +9,10 @@ block length and payload digest, and goes by declared lengths: what a sound
 record's payload holds is never searched. Where a check fails it looks for the
 next member that opens with a version line (or, inside a member or a plain
 archive, for the next version line), goes on from there, and reports the bytes
-between as a gap with a reason. Members of more than ``HELD_BYTES`` unpacked are
-read in pieces: their records get digests and lengths, but no payload.
+between as a gap with a reason. That holds for members and headers of any size:
+members of more than ``HELD_BYTES`` unpacked are unpacked a second time while
+they are read, a piece at a time, and payloads above it come in pieces. A member
+whose gzip checks fail is one gap, as nothing vouches for its headers then.
 
 A null payload is empty, a null url gives no target header, a null id no record
 id. Of equal payloads of min_bytes or more, rows of the largest id (nulls are
@@ -37,11 +39,13 @@ from .common import shared_dir, small_batches, stored
 
 ROLL_BYTES = 32 << 20
 HELD_BYTES = 64 << 20
-HEAD_BYTES = 1 << 20
+PIECE_BYTES = 1 << 20
+LOOK_BACK = 100  # bytes of the piece before that a search sees again
 LEAST = -(2**63)
 VERSION = re.compile(rb"WARC/\d+\.\d+\r?\n")
 GZIP = b"\x1f\x8b\x08"
-LARGE = "larger than held"
+LINE = re.compile(rb"\nWARC/\d+\.\d+\r?\n")
+LENGTH = re.compile(rb"(?i)\r\ncontent-length: *(\d{1,18})(?=\D)")
 
 
 @contextmanager
@@ -101,118 +105,132 @@ def member(data: bytes) -> bytes:
     return squeeze.compress(data) + squeeze.flush()
 
 
+class Held:
+    """Bytes at hand, read by offset."""
+
+    def __init__(self, data):
+        self.data, self.size = data, len(data)
+
+    def piece(self, at: int) -> bytes:
+        """Bytes from at on, at least one and at most 1 MB; none behind the end."""
+        return bytes(self.data[at : at + PIECE_BYTES])
+
+    def keep(self, at: int) -> None:
+        """Bytes before at won't be read again."""
+
+
+class Unpacked(Held):
+    """What a sound member unpacks to, read by offset; one piece is held. To read again before it, unpacking goes back to a copy of its state at the last place to keep."""
+
+    def __init__(self, data, at: int, size: int):
+        self.data, self.size = data, size
+        self.last = self.mark = (zlib.decompressobj(31), at, b"", 0)
+        self._back(self.mark)
+
+    def _back(self, state: tuple) -> None:
+        inflate, self.pos, self.left, self.base = state
+        self.inflate, self.held = inflate.copy(), b""
+
+    def _more(self) -> None:
+        self.base += len(self.held)
+        self.last = (self.inflate.copy(), self.pos, self.left, self.base)
+        self.held = b""
+        while not self.held and not self.inflate.eof:
+            if not self.left:
+                self.left = bytes(self.data[self.pos : self.pos + (1 << 18)])
+                self.pos += len(self.left)
+            self.held = self.inflate.decompress(self.left, PIECE_BYTES)
+            self.left = self.inflate.unconsumed_tail
+
+    def piece(self, at: int) -> bytes:
+        if at < self.base:
+            self._back(self.mark)
+        while at >= self.base + len(self.held) and at < self.size:
+            self._more()
+        return self.held[at - self.base :]
+
+    def keep(self, at: int) -> None:
+        if self.last[3] <= at:
+            self.mark = self.last
+
+
+def between(source: Held, at: int, stop: int) -> Iterator[bytes]:
+    while at < stop and (piece := source.piece(at)[: stop - at]):
+        yield piece
+        at += len(piece)
+
+
 class Salvage:
-    """records() gives (offset, headers, payload or None, payload length, payload digest) of all sound records; gaps collects (first, end, reason) in bytes of the archive."""
+    """records() gives (offset, headers, payload or None, payload length, payload digest) of all sound records.
+
+    gaps collects (first, end, reason) in bytes of the archive, and inside, for
+    each gap, (first, end) in the unpacked bytes of its member, or None. Payloads
+    of blocks above ``most`` aren't held: pieces() gives that of the record that
+    came last. ``inner`` is that record's place in its member, None outside one.
+    """
 
     def __init__(self, data, most: int = HELD_BYTES):
-        self.data, self.most, self.gaps = data, most, []
+        self.data, self.most = data, most
+        self.gaps: list[tuple[int, int, str]] = []
+        self.inside: list[tuple[int, int] | None] = []
+        self.inner: int | None = None
+        self._payload: tuple = (Held(b""), 0, 0)
 
     def records(self) -> Iterator[tuple]:
-        n, at = len(self.data), 0
+        n, at, plain = len(self.data), 0, Held(self.data)
         while at < n:
             if self.data[at : at + 3] == GZIP:
-                body, end, why = self._member(at)
-                if why == LARGE:
-                    found, end, why = self._large(at)
-                    yield from found
+                source, end, why = self._member(at)
                 if why:
                     end = self._next(at + 1)
-                    self.gaps.append((at, end, why))
-                elif body is not None:
-                    yield from self._inside(body, at, end)
+                    self._gap(at, end, why)
+                else:
+                    yield from self._inside(source, at, end)
                 at = end
             elif VERSION.match(self.data[at : at + 20]):
-                headers, payload, length, digest, end, why = self._record(self.data, at)
+                found, end, why = self._record(plain, at)
                 if why:
                     end = self._next(at + 1)
-                    self.gaps.append((at, end, why))
+                    self._gap(at, end, why)
                 else:
-                    yield at, headers, payload, length, digest
+                    self.inner = None
+                    yield at, *found
                 at = end
             else:
                 line = self._next(at)
-                self.gaps.append((at, line, "no member or version line"))
+                self._gap(at, line, "no member or version line")
                 at = line
 
-    def _pieces(self, at: int) -> Iterator[tuple[bytes, int, bool]]:
-        """Unpacked pieces of a member, none above 1 MB, with the position behind what was read, and whether the member ends. A damaged member raises zlib.error."""
+    def pieces(self) -> Iterator[bytes]:
+        """The payload of the record that records() gave last, in pieces of at most 1 MB; its digest has been checked."""
+        return between(*self._payload)
+
+    def _gap(self, first: int, end: int, why: str, inside: tuple[int, int] | None = None) -> None:
+        self.gaps.append((first, end, why))
+        self.inside.append(inside)
+
+    def _member(self, at: int) -> tuple[Held | None, int, str]:
+        """What the member at this place unpacks to, after gzip's own checks; above most it isn't held, but unpacked again while it is read."""
         inflate, pos, left = zlib.decompressobj(31), at, b""
+        out, size = [], 0
         while not inflate.eof:
             if not left:
                 left = bytes(self.data[pos : pos + (1 << 18)])
                 pos += len(left)
                 if not left:
-                    raise zlib.error("truncated member")
+                    return None, pos, "truncated member"
             try:
-                out = inflate.decompress(left, 1 << 20)
+                piece = inflate.decompress(left, PIECE_BYTES)
             except zlib.error as e:
-                raise zlib.error(f"damaged member: {e}") from e
+                return None, pos, f"damaged member: {e}"
             left = inflate.unconsumed_tail
-            yield out, pos - len(inflate.unused_data), inflate.eof
-
-    def _member(self, at: int) -> tuple[bytes | None, int, str]:
-        out, size, end = [], 0, at
-        try:
-            for piece, end, _ in self._pieces(at):  # noqa: B007
+            size += len(piece)
+            if size <= self.most:
                 out.append(piece)
-                size += len(piece)
-                if size > self.most:
-                    return None, end, LARGE
-        except zlib.error as e:
-            return None, end, str(e)
-        return b"".join(out), end, ""
-
-    def _large(self, at: int) -> tuple[list[tuple], int, str]:
-        """The records of a member that isn't held: payloads are hashed as they come. One failed check, and the whole member is a gap."""
-        found, end, held = [], at, bytearray()
-        left, state = 0, {}
-        try:
-            for piece, end, last in self._pieces(at):
-                held += piece
-                while True:
-                    if state and left:
-                        part = bytes(held[: min(left, len(held))])
-                        del held[: len(part)]
-                        left -= len(part)
-                        if state["head"] is not None:
-                            state["head"] += part
-                            cut = state["head"].find(b"\r\n\r\n")
-                            if cut < 0 and len(state["head"]) < HEAD_BYTES and left:
-                                break
-                            if state["revisit"] and (m := re.search(rb"(?i)\r\ncontent-length: *(\d+)", state["head"][: max(cut, 0)])):
-                                state["of"] = int(m[1])
-                            part, state["head"] = bytes(state["head"][cut + 4 if cut >= 0 else 0 :]), None
-                        state["hash"].update(part)
-                        state["length"] += len(part)
-                        if left:
-                            break
-                    if state and not left:
-                        if len(held) < 4 and not last:
-                            break
-                        digest = base64.b32encode(state["hash"].digest()).decode()
-                        stated = state["headers"].get("warc-payload-digest", "").removeprefix("sha1:")
-                        if state["revisit"]:
-                            digest = stated or digest
-                        elif stated and stated != digest:
-                            return found, end, "payload digest differs"
-                        if bytes(held[:4]) not in (b"\r\n\r\n", b""):
-                            return found, end, "no end of record"
-                        del held[:4]
-                        found.append((at, state["headers"], None, state.get("of", state["length"]), digest))
-                        state = {}
-                    if not held:
-                        break
-                    headers, start, why = self._headers(held, 0)
-                    if why == "no end of headers" and len(held) < HEAD_BYTES and not last:
-                        break
-                    if why:
-                        return found, end, why
-                    left = int(headers["content-length"])
-                    del held[:start]
-                    state = {"headers": headers, "hash": hashlib.sha1(), "length": 0, "revisit": headers.get("warc-type") == "revisit", "head": bytearray() if "msgtype=response" in headers.get("content-type", "") else None}
-        except zlib.error as e:
-            return [], end, str(e)
-        return found, end, "block is cut short" if state else ""
+            else:
+                out.clear()
+        end = pos - len(inflate.unused_data)
+        return Held(b"".join(out)) if size <= self.most else Unpacked(self.data, at, size), end, ""
 
     def _opens(self, at: int) -> bool:
         try:
@@ -237,60 +255,98 @@ class Salvage:
             found += 1
         return end
 
-    def _record(self, body, at: int) -> tuple:
-        """(headers, payload, its length, its digest, end, why) of the record at a version line; why is empty if all checks hold."""
-        headers, start, why = self._headers(body, at)
+    def _record(self, source: Held, at: int) -> tuple[tuple, int, str]:
+        """((headers, payload, its length, its digest), end, why) of the record at a version line; why is empty if all checks hold."""
+        headers, start, why = self._headers(source, at)
         if why:
-            return headers, None, 0, "", at, why
+            return (), at, why
         stop = start + int(headers["content-length"])
-        if stop > len(body):
-            return headers, None, 0, "", at, "block is cut short"
-        block = bytes(body[start:stop])
-        payload, length = block, len(block)
-        if "msgtype=response" in headers.get("content-type", "") and (cut := block.find(b"\r\n\r\n")) >= 0:
-            payload = block[cut + 4 :]
-            length = len(payload)
-            if headers.get("warc-type") == "revisit" and (m := re.search(rb"(?i)\r\ncontent-length: *(\d+)", block[:cut])):
-                length = int(m[1])
+        if stop > source.size:
+            return (), at, "block is cut short"
+        wraps, revisit = "msgtype=response" in headers.get("content-type", ""), headers.get("warc-type") == "revisit"
+        block, payload, cut = hashlib.sha1(), None, start
+        length, seen, pos = None, b"", start
+        held: list[bytes] | None = [] if stop - start <= self.most else None
+        for piece in between(source, start, stop):
+            if held is not None:
+                held.append(piece)
+            if payload is not None:
+                payload.update(piece)
+            elif wraps:
+                look = seen + piece
+                end = look.find(b"\r\n\r\n", max(0, len(seen) - 3))
+                if revisit and length is None and (m := LENGTH.search(look[: end + 2] if end >= 0 else look)):
+                    length = int(m[1])
+                if end >= 0:
+                    cut = pos - len(seen) + end + 4
+                    payload = hashlib.sha1(piece[cut - pos :])
+                seen = look[-LOOK_BACK:]
+            if payload is None:
+                block.update(piece)
+            pos += len(piece)
+        if payload is None or length is None:
+            length = stop - cut
         stated = headers.get("warc-payload-digest", "").removeprefix("sha1:")
-        digest = stated if stated and headers.get("warc-type") == "revisit" else digest_of(payload)
+        digest = stated if stated and revisit else base64.b32encode((payload or block).digest()).decode()
         if stated and stated != digest:
-            return headers, None, 0, "", at, "payload digest differs"
-        if body[stop : stop + 4] not in (b"\r\n\r\n", b""):
-            return headers, None, 0, "", at, "no end of record"
-        return headers, payload, length, digest, stop + 4, ""
-
-    def _inside(self, body: bytes, base: int, end: int) -> Iterator[tuple]:
-        """Records of a member; a gap is the member's bytes."""
+            return (), at, "payload digest differs"
+        if b"".join(between(source, stop, stop + 4)) not in (b"\r\n\r\n", b""):
+            return (), at, "no end of record"
+        self._payload = (source, cut, stop)
+        return (headers, None if held is None else b"".join(held)[cut - start :], length, digest), stop + 4, ""
+
+    def _inside(self, source: Held, base: int, end: int) -> Iterator[tuple]:
+        """Records of a member. After a failed check reading goes on at the next version line in it; that gap, too, is in bytes of the archive those of the member."""
         at = 0
-        while at < len(body):
-            headers, payload, length, digest, follow, why = self._record(body, at)
-            if not why:
-                yield base, headers, payload, length, digest
-                at = follow
-                continue
-            self.gaps.append((base, end, why))
-            at += 1
-            while (m := VERSION.search(body, at)) and body[m.start() - 1 : m.start()] != b"\n":
-                at = m.start() + 1
-            at = m.start() if m else len(body)
+        while at < source.size:
+            source.keep(at)
+            found, follow, why = self._record(source, at)
+            if why:
+                follow = self._line(source, at + 1)
+                self._gap(base, end, why, (at, follow))
+            else:
+                self.inner = at
+                yield base, *found
+            at = follow
 
     @staticmethod
-    def _headers(body, at: int) -> tuple[dict[str, str], int, str]:
-        if not VERSION.match(bytes(body[at : at + 20])):
-            return {}, at, "no version line"
-        end = body.find(b"\r\n\r\n", at, at + HEAD_BYTES)
+    def _line(source: Held, at: int) -> int:
+        """The next version line at the start of a line, from at (1 or more) on."""
+        pos, seen = at - 1, b""
+        while piece := source.piece(pos):
+            look = seen + piece
+            if m := LINE.search(look):
+                return pos - len(seen) + m.start() + 1
+            pos += len(piece)
+            seen = look[-LOOK_BACK:]
+        return source.size
+
+    @staticmethod
+    def _headers(source: Held, at: int) -> tuple[dict[str, str], int, str]:
+        """Headers of any length, as long as each line is a header line."""
+        size = 1 << 12
+        while True:
+            head = b"".join(between(source, at, at + size))
+            if not VERSION.match(head[:20]):
+                return {}, at, "no version line"
+            end = head.find(b"\r\n\r\n")
+            if end >= 0 or at + len(head) >= source.size:
+                break
+            lines = head.split(b"\r\n")[1:]
+            if any(b":" not in line for line in lines[:-1]) or (lines and len(lines[-1]) > 1 << 12 and b":" not in lines[-1]):
+                return {}, at, "bad header line"
+            size *= 4
         if end < 0:
             return {}, at, "no end of headers"
         headers = {}
-        for line in bytes(body[at:end]).decode("utf-8", "replace").split("\r\n")[1:]:
+        for line in head[:end].decode("utf-8", "replace").split("\r\n")[1:]:
             name, colon, value = line.partition(":")
             if not colon:
                 return {}, at, "bad header line"
             headers[name.strip().lower()] = value.strip()
-        if not headers.get("content-length", "").isdigit():
+        if not re.fullmatch(r"[0-9]{1,18}", headers.get("content-length", "")):
             return {}, at, "no block length"
-        return headers, end + 4, ""
+        return headers, at + end + 4, ""
 
 
 def archived(pages: DataFrame, folder: str | None = None, id_column: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> DataFrame:
@@ -336,29 +392,42 @@ def archived(pages: DataFrame, folder: str | None = None, id_column: str = "page
     return stored(joined.mapInArrow(work, "path string, records long"), "archives")
 
 
-def salvaged(archives: DataFrame, payloads: bool = False) -> DataFrame:
+def salvaged(archives: DataFrame, payloads: bool = False, most: int = HELD_BYTES) -> DataFrame:
     """Everything in archives (path): a row for each sound record and for each gap (kind).
 
     page_id, uri, payload_bytes, payload_digest, record_type, refers_to, and payload if asked for; a gap has first, end and reason instead.
+    inner and inner_end are places in the unpacked bytes of a member. The payload of a block above most bytes comes as
+    rows of the kind piece, numbered from 0, with the record's path, first and inner.
     """
-    kind = pa.schema([("kind", pa.string()), ("path", pa.string()), ("first", pa.int64()), ("end", pa.int64()), ("reason", pa.string()), ("page_id", pa.int64()), ("uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+    made = "kind string, path string, first long, end long, reason string, page_id long, uri string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, inner long, inner_end long, piece long"
+    types = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    kind = pa.schema([(name, types[t]) for name, t in (c.split(" ") for c in made.split(", "))])
 
     def number(value: str | None) -> int | None:
         m = re.fullmatch(r"<urn:page:(-?\d+)>", value or "")
         return int(m[1]) if m else None
 
+    def rows(path: str, reader: Salvage) -> Iterator[dict]:
+        for at, headers, payload, length, digest in reader.records():
+            here = {"path": path, "first": at, "inner": reader.inner}
+            yield here | {"kind": "record", "page_id": number(headers.get("warc-record-id")), "uri": headers.get("warc-target-uri"), "payload_bytes": length, "payload_digest": digest, "record_type": headers.get("warc-type"), "refers_to": number(headers.get("warc-refers-to")), "payload": payload if payloads else None}
+            if payloads and payload is None:
+                for k, piece in enumerate(reader.pieces()):
+                    yield here | {"kind": "piece", "piece": k, "payload": piece}
+        for (first, end, why), place in zip(reader.gaps, reader.inside, strict=True):
+            yield {"kind": "gap", "path": path, "first": first, "end": end, "reason": why, "inner": place and place[0], "inner_end": place and place[1]}
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with opened(path, "r") as data:
-                    reader, rows = Salvage(data), []
-                    for at, headers, payload, length, digest in reader.records():
-                        typed = headers.get("warc-type")
-                        rows.append(("record", path, at, None, None, number(headers.get("warc-record-id")), headers.get("warc-target-uri"), length, digest, typed, number(headers.get("warc-refers-to")), payload if payloads else None))
-                        if len(rows) >= 500:
-                            yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r, strict=True)) for r in rows], kind)
-                            rows = []
-                    rows += [("gap", path, a, b, why, *[None] * 7) for a, b, why in reader.gaps]
-                    yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r, strict=True)) for r in rows], kind)
-
-    return archives.select("path").mapInArrow(work, "kind string, path string, first long, end long, reason string, page_id long, uri string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+                    out, size = [], 0
+                    for row in rows(path, Salvage(data, most)):
+                        out.append(row)
+                        size += len(row.get("payload") or b"")
+                        if len(out) >= 500 or size >= 8 << 20:
+                            yield pa.RecordBatch.from_pylist(out, kind)
+                            out, size = [], 0
+                    yield pa.RecordBatch.from_pylist(out, kind)
+
+    return archives.select("path").mapInArrow(work, made)

@@ -216,6 +216,59 @@ def test_salvage_of_damaged_archives():
     assert [r for r, _ in rows] == ["<urn:page:0>", "<urn:page:1>"] and len(gaps) == 1
 
 
+def whole(data, most):
+    s, rows = warc.Salvage(data, most), []
+    for at, h, p, n, d in s.records():
+        rows.append((at, s.inner, h, b"".join(s.pieces()) if p is None else p, n, d))
+    return rows, s.gaps, s.inside
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_large_members_are_salvaged_like_small_ones(seed):
+    draw = random.Random(seed)
+    texts = [draw.randbytes(draw.choice([0, 10, 5000, 1 << 20, 1_500_000])) + b"\r\nWARC/1.1 in a text" for _ in range(8)]
+    plain = [warc.record(k, "u", t) for k, t in enumerate(texts)] + [warc.record(8, "u", texts[0], 0)]
+    after = warc.member(warc.record(99, "u", b"after"))
+    for k in range(len(plain)):
+        at = sum(map(len, plain[:k]))
+        damages = [plain[k].replace(b"Content-Length", b"Content-Lengsh", 1).replace(b"Payload-Digest: sha1:", b"Payload-Digest: sha1:X", 1), plain[k][:-3], b"X" + plain[k][1:], plain[k].replace(b"\r\nContent-Length: ", b"\r\nContent-Length: 9999", 1)]
+        for bad in damages:
+            if k == 8 and bad == damages[0]:
+                continue
+            body = b"".join(plain[:k]) + bad + b"\r\n" + b"".join(plain[k + 1 :])
+            data = warc.member(body) + after
+            small, large = whole(data, 1000), whole(data, 1 << 30)
+            assert small == large
+            rows, gaps, inside = large
+            assert [r[2].get("warc-record-id") for r in rows] == [f"<urn:page:{j}>" for j in [*range(k), *range(k + 1, 9), 99]]
+            assert all(r[3] == texts[j] for r, j in zip(rows, [*range(k), *range(k + 1, 8)], strict=False))
+            assert {g[:2] for g in gaps} == {(0, len(data) - len(after))} and inside[0][0] == at and inside[-1][1] == at + len(bad) + 2
+
+
+def test_long_headers_and_blocks_without_a_head():
+    long = b"WARC/1.1\r\nWARC-Type: resource\r\nX: " + b"y" * 3_000_000 + b"\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    odd = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: 3000000\r\n\r\n" + b"z" * 3_000_000 + b"\r\n\r\n"
+    false = b"WARC/1.1\r\n" + b"no header " * 300_000
+    data = warc.member(long + odd + false + b"\r\n" + long)
+    small, large = whole(data, 1000), whole(data, 1 << 30)
+    assert small == large and [r[3][:5] for r in large[0]] == [b"hello", b"zzzzz", b"hello"] and large[0][1][4] == 3_000_000
+    assert len(large[1]) == 1 and large[2] == [(len(long + odd), len(long + odd + false) + 2)]
+    assert whole(warc.member(odd.replace(b"3000000", "²".encode())), 1000)[1][0][2] == "no block length"
+
+
+def test_payloads_in_pieces(spark, tmp_path):
+    text = random.Random(4).randbytes(2_500_000)
+    wrong = warc.record(2, "u", b"wrong").replace(b"wrong", b"wr0ng")
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(warc.member(warc.record(1, "u", text) + wrong + warc.record(3, "u", b"last")))
+    out = warc.salvaged(spark.createDataFrame([(str(path),)], "path string"), payloads=True, most=100_000).collect()
+    assert [(r.page_id, r.payload_bytes, r.payload) for r in out if r.kind == "record"] == [(1, len(text), None), (3, 4, b"last")]
+    pieces = sorted((r for r in out if r.kind == "piece"), key=lambda r: r.piece)
+    assert b"".join(r.payload for r in pieces) == text and {(r.first, r.inner) for r in pieces} == {(0, 0)}
+    gap = next(r for r in out if r.kind == "gap")
+    assert gap.reason == "payload digest differs" and gap.inner_end - gap.inner == len(wrong)
+
+
 # --- pipeline --------------------------------------------------------------
 @pytest.fixture(scope="module")
 def small(spark, tmp_path_factory):
