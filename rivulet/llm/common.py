@@ -51,6 +51,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """wanted, lengthened until no column of df has that name (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def is_held_out(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4, is 2; a null id counts as an empty text (so it isn't held out)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2

@@ -7,12 +7,18 @@ commonest words of the corpus have ids of their own, others share ids by hash;
 to these the log of the word's share of all words with its id is added, from
 the counts of all words, by a join. A word that no document had counts as one.
 Word counts come from all documents. Training masks each word of every document
-once a round, in ``every`` turns by residues of position and hash: each
-partition trains its copy of the network in numpy, and copies are averaged by
-their numbers of words, for a given number of rounds. A document's score is the sum
-of the log-probabilities of all its words, each masked in turn.
-
-Null and empty texts have no word, a sum of 0 and a null mean.
+once a round, in ``every`` turns by residues of position and hash: each task
+trains its copy of the network in numpy, by steps that shrink with the sum of
+squared gradients of a weight, and copies are averaged by their numbers of words,
+for a given number of rounds. A copy that sees few words learns little, so a table
+of fewer than SHARD_WORDS words a partition is trained in fewer tasks. A document's
+score is the sum of the log-probabilities of all its words, each masked in turn.
+
+Null and empty texts have no word, a sum of 0 and a null mean. Equal texts have
+equal scores, whatever their ids; ids aren't read, so null and repeated ones are
+rows like others. A very long text is scored in slices of words. No documents
+give a model of even shares. Columns named like the results are replaced, all
+others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,17 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, small_batches, summed, vector_parts
+from .common import extended, free_name, small_batches, stored, summed, vector_parts
 from .text import MULTIPLIERS, U64, Lookup, mix, row_groups, utf8, words
 
 CLASSES, MEMBERS, SHARED = 64, 64, 1024
 IDS = CLASSES * MEMBERS
 PAD = IDS
 WINDOW, WIDTH, HIDDEN = 2, 16, 32
+SHARD_WORDS = 2_000_000
 SHAPES = {"embedding": (IDS + 1, WIDTH), "inner": (2 * WINDOW * WIDTH, HIDDEN), "inner_bias": (HIDDEN,), "classes": (HIDDEN, CLASSES), "class_bias": (CLASSES,), "members": (CLASSES, HIDDEN, MEMBERS), "member_bias": (CLASSES, MEMBERS)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
@@ -104,8 +110,19 @@ def log_probabilities(w: dict[str, np.ndarray], context: np.ndarray, target: np.
     return out
 
 
-def train_step(w: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, rate: float) -> None:
-    """One step of gradient descent on a batch."""
+def first_squares() -> np.ndarray:
+    return np.ones(SIZE, np.float32)
+
+
+def train_step(w: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, rate: float, squares: dict[str, np.ndarray] | None = None) -> None:
+    """One step on a batch, down its summed gradient; a weight's step is divided by the root of its squared gradients so far (squares, which grow)."""
+    squares = unpacked(first_squares()) if squares is None else squares
+
+    def move(name: str, gradient: np.ndarray, at=...) -> None:
+        total = squares[name][at] + gradient * gradient
+        squares[name][at] = total
+        w[name][at] -= rate * gradient / np.sqrt(total)
+
     n = len(target)
     x = w["embedding"][context].reshape(n, -1)
     hidden = np.tanh(x @ w["inner"] + w["inner_bias"])
@@ -115,25 +132,24 @@ def train_step(w: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray
     back = d @ w["classes"].T
     order = np.argsort(group, kind="stable")
     bounds = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    step = rate / n
     for c in range(CLASSES):
         at = order[bounds[c] : bounds[c + 1]]
         if len(at):
             e = np.exp(log_softmax(hidden[at] @ w["members"][c] + w["member_bias"][c]))
             e[np.arange(len(at)), member[at]] -= 1
             back[at] += e @ w["members"][c].T
-            w["members"][c] -= step * 8 * hidden[at].T @ e
-            w["member_bias"][c] -= step * 8 * e.sum(0)
-    w["classes"] -= step * hidden.T @ d
-    w["class_bias"] -= step * d.sum(0)
+            move("members", hidden[at].T @ e, c)
+            move("member_bias", e.sum(0), c)
+    move("classes", hidden.T @ d)
+    move("class_bias", d.sum(0))
     back *= 1 - hidden**2
     into = (back @ w["inner"].T).reshape(n * 2 * WINDOW, WIDTH)
-    w["inner"] -= step * x.T @ back
-    w["inner_bias"] -= step * back.sum(0)
+    move("inner", x.T @ back)
+    move("inner_bias", back.sum(0))
     flat = context.ravel()
     order = np.argsort(flat, kind="stable")
     first = np.flatnonzero(np.append(True, flat[order][1:] != flat[order][:-1]))
-    w["embedding"][flat[order][first]] -= step * 8 * np.add.reduceat(into[order], first)
+    move("embedding", np.add.reduceat(into[order], first), flat[order][first])
 
 
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
@@ -164,7 +180,7 @@ def shared_totals(counted: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
 
 
 def share_sums(df: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
-    """(__text, __share): for each text's hash, the sum of the logs of its words' shares of their ids."""
+    """(key, share): for each text's hash, the sum of the logs of its words' shares of their ids."""
     sent = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +196,7 @@ def share_sums(df: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
                 new = np.flatnonzero(first | np.append(True, h[1:] != h[:-1])[: len(row)])
                 n = np.diff(np.append(new, len(row)))
                 # equal texts give equal rows: the number of their first words tells how many there are
-                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(key[a:b][row[new]]), pa.array(n * 2 + first[new])], names=["word", "__text", "n2"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(key[a:b][row[new]]), pa.array(n * 2 + first[new])], names=["word", "key", "n2"])
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,11 +204,11 @@ def share_sums(df: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
             n2 = batch.column(3).to_numpy()
             total = sent.value.totals[sent.value.ids(word.view(U64)) - (IDS - SHARED)]
             log = np.where(n > 0, np.log(np.maximum(n, 1) / np.maximum(total, 1)), -np.log(total + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array((n2 >> 1) * log), pa.array(n2 & 1)], names=["__text", "share", "texts"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array((n2 >> 1) * log), pa.array(n2 & 1)], names=["key", "share", "texts"])
 
-    used = df.select(F.col(text).alias("text"), F.xxhash64(text).alias("__text")).mapInArrow(rest, "word long, __text long, n2 long")
-    joined = used.join(vocabulary.counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"), "__text", "n2")
-    return joined.mapInArrow(shares, "__text long, share double, texts long").groupBy("__text").agg((F.sum("share") / F.sum("texts")).alias("__share"))
+    used = df.select(F.col(text).alias("text"), F.xxhash64(text).alias("key")).mapInArrow(rest, "word long, key long, n2 long")
+    joined = used.join(vocabulary.counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"), "key", "n2")
+    return joined.mapInArrow(shares, "key long, share double, texts long").groupBy("key").agg((F.sum("share") / F.sum("texts")).alias("share"))
 
 
 def dealt(h: np.ndarray, every: int) -> np.ndarray:
@@ -205,10 +221,11 @@ class WindowModel:
         self.vocabulary, self.flat = vocabulary, flat.astype(np.float32)
 
 
-def fit(docs: DataFrame, text: str = "text", rounds: int = 1, every: int = 8, rate: float = 0.5, batch: int = 1024) -> WindowModel:
-    """Fits on all documents; nothing gathered on the driver depends on their number."""
+def fit(docs: DataFrame, text: str = "text", rounds: int = 2, every: int = 8, rate: float = 0.2, batch: int = 2048) -> WindowModel:
+    """Fits on all documents; nothing gathered on the driver depends on their number. Word counts stay in the shared folder, for scoring."""
     small_batches(docs.sparkSession)
-    counted = word_counts(docs, text).persist(StorageLevel.DISK_ONLY)  # used by the ids, their totals and the shares
+    counted = stored(word_counts(docs, text), "word-counts")  # used by the ids, their totals and the shares
+    tasks = max(1, (counted.agg(F.sum("n")).first()[0] or 0) // SHARD_WORDS)
     top = counted.orderBy(F.desc("n"), "word").limit(IDS - SHARED).collect()
     vocabulary = Vocabulary(np.array([r.word for r in top], np.int64).view(U64))
     counts = np.zeros(IDS)
@@ -223,6 +240,7 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = 1, every: int = 8, ra
         def work(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
             flat = sent.value.flat.copy()
             w, n = unpacked(flat), 0
+            squares = unpacked(first_squares())
             for part in batches:
                 data, offsets = utf8(part.column(0))
                 for a, b in row_groups(offsets):
@@ -231,23 +249,28 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = 1, every: int = 8, ra
                     at = dealt(found.hash, every)
                     context = contexts(ids, found.row, at)
                     for k in range(0, len(at), batch):
-                        train_step(w, context[k : k + batch], ids[at[k : k + batch]], rate / (1 + turn))
+                        train_step(w, context[k : k + batch], ids[at[k : k + batch]], rate / (1 + turn), squares)
                     n += len(at)
             if n:
                 yield vector_parts(np.append(flat.astype(np.float64), 1.0) * n)
 
-        total = summed(docs.select(F.col(text).alias("text")).mapInArrow(work, "part long, body binary"), SIZE + 1)
+        total = summed(docs.select(F.col(text).alias("text")).coalesce(tasks).mapInArrow(work, "part long, body binary"), SIZE + 1)
         if total[-1]:
             model = WindowModel(vocabulary, total[:-1] / total[-1])
     return model
 
 
-def scored(df: DataFrame, text: str, model: WindowModel) -> DataFrame:
-    """df with n_words, pseudo_log_likelihood (the sum) and mean_log_probability. Shuffles the words that share ids."""
+def scored(df: DataFrame, text: str, model: WindowModel, keep_text: bool = True) -> DataFrame:
+    """df with n_words, pseudo_log_likelihood (the sum) and mean_log_probability.
+
+    Shuffles the words that share ids, and each row to meet its text's shares: without keep_text the result has no
+    text, and none is shuffled.
+    """
     small_batches(df.sparkSession)
     made = {"n_words": "long", "pseudo_log_likelihood": "double", "mean_log_probability": "double"}
     df = df.drop(*made)
     sent = df.sparkSession.sparkContext.broadcast(model)
+    kept = [c for c in df.columns if keep_text or c != text]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = unpacked(sent.value.flat)
@@ -262,13 +285,16 @@ def scored(df: DataFrame, text: str, model: WindowModel) -> DataFrame:
                     total[a:b] += np.bincount(found.row[at], log_probabilities(w, contexts(ids, found.row, at), ids[at]), b - a)
                 count[a:b] = np.bincount(found.row, minlength=b - a)
             mean = pa.array(total / np.maximum(count, 1), mask=count == 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(count), pa.array(total), mean], names=[*batch.schema.names, *made])
+            names = [c for c in batch.schema.names if keep_text or c != text]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(count), pa.array(total), mean], names=[*names, *made])
 
     if model.vocabulary.counts is None or not model.vocabulary.totals.any():
-        return df.mapInArrow(work, extended(df, made))
-    shares = share_sums(df, text, model.vocabulary)
-    keyed = df.withColumn("__text", F.xxhash64(text))
-    out = keyed.mapInArrow(work, extended(keyed, made)).join(shares, "__text", "left")
-    total = F.col("pseudo_log_likelihood") + F.coalesce("__share", F.lit(0.0))
+        return df.mapInArrow(work, extended(df.select(kept), made))
+    key, share = free_name(df, "text_hash"), free_name(df, "text_share")
+    shares = share_sums(df, text, model.vocabulary).toDF(key, share)
+    # rows without text have no share to meet: any key does, but not one for all
+    keyed = df.withColumn(key, F.when(F.length(text) > 0, F.xxhash64(text)).otherwise(F.monotonically_increasing_id()))
+    out = keyed.mapInArrow(work, extended(keyed.select(*kept, key), made)).join(shares, key, "left")
+    total = F.col("pseudo_log_likelihood") + F.when(F.col("n_words") > 0, F.coalesce(share, F.lit(0.0))).otherwise(F.lit(0.0))
     mean = F.when(F.col("n_words") > 0, total / F.col("n_words"))
-    return out.select(*df.columns, "n_words", total.alias("pseudo_log_likelihood"), mean.alias("mean_log_probability"))
+    return out.select(*kept, "n_words", total.alias("pseudo_log_likelihood"), mean.alias("mean_log_probability"))

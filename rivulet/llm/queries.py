@@ -40,7 +40,7 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lm.scored(docs, "text", lm.fit(docs)).drop("text")
+    return lm.scored(docs, "text", lm.fit(docs), keep_text=False)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

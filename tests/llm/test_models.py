@@ -201,6 +201,41 @@ def test_lm_words_with_a_shared_id_differ(spark):
     assert rows[6].mean_log_probability is None and abs(rows[5].mean_log_probability * 3 - rows[5].pseudo_log_likelihood) < 1e-9
 
 
+def test_lm_beats_word_shares_on_held_out_rows_at_any_number_of_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    learned, rest = docs.filter(~is_held_out(F.col("doc_id"))), docs.filter(is_held_out(F.col("doc_id")))
+    counted = lm.word_counts(learned, "text").toPandas()
+    known, total, kinds = dict(zip(counted.word, counted.n, strict=True)), counted.n.sum(), len(counted)
+    found = np.concatenate([words(*utf8(__import__("pyarrow").array([r.text or ""]))).hash for r in rest.collect()]).view(np.int64)
+    shares = np.mean([np.log((known.get(h, 0) + 0.5) / (total + 0.5 * (kinds + 1))) for h in found.tolist()])
+    means = []
+    for parts in (1, 8, 32):
+        out = lm.scored(rest, "text", lm.fit(learned.repartition(parts)), keep_text=False)
+        assert out.columns == ["doc_id", "n_words", "pseudo_log_likelihood", "mean_log_probability"]
+        row = out.agg(F.sum("pseudo_log_likelihood").alias("s"), F.sum("n_words").alias("n")).first()
+        assert row.n == len(found)
+        means.append(row.s / row.n)
+    assert min(means) > shares + 0.5
+    assert max(means) - min(means) < 0.01 * abs(shares)
+
+
+def test_lm_leaves_other_columns_alone(spark):
+    rows = [(1, "one two two", "own", 5), (1, "one two two", "other", 6), (None, None, None, 7), (2, "", "x", None), (3, "rare " * 70_000, "long", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_hash string, Text_Share int")
+    model = lm.fit(docs)
+    common = lm.Vocabulary(model.vocabulary.lookup.known[:1])  # all but one word share ids
+    common.counts, common.totals = model.vocabulary.counts, lm.shared_totals(model.vocabulary.counts, lm.Vocabulary(model.vocabulary.lookup.known[:1]))
+    out = lm.scored(docs, "text", lm.WindowModel(common, model.flat))
+    assert out.columns == [*docs.columns, "n_words", "pseudo_log_likelihood", "mean_log_probability"]
+    got = sorted((tuple(r)[:4] for r in out.collect()), key=str)
+    assert got == sorted(rows, key=str)
+    by = {r.text_hash: r for r in out.collect()}
+    assert by["own"].pseudo_log_likelihood == by["other"].pseudo_log_likelihood < 0 and by["long"].n_words == 70_000
+    assert by[None].n_words == by["x"].n_words == 0 and by["x"].pseudo_log_likelihood == 0 and by["x"].mean_log_probability is None
+    none = docs.limit(0)
+    assert lm.scored(none, "text", lm.fit(none)).count() == 0
+
+
 def test_lm_gradient():
     draw = np.random.default_rng(1)
     flat = lm.start(np.ones(lm.IDS)).astype(np.float32)
