@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, small_batches, stored
@@ -407,10 +407,10 @@ def jaccard_components(df: DataFrame, id_column: str, text: str, width: int = 5,
     first = real.join(classes.select(F.col("node").alias("id"), "fa", "fb"), ["id", "fa", "fb"], "left_semi")
     nodes = stored(first.select(F.col("id").alias("node"), "n", "fa", "sketch", "wide", "keys").dropDuplicates(["node", "fa"]), "nodes")
     discard(made)
-    keyed = nodes.select(F.explode("keys").alias("key"), "node", "n")
-    of_key = Window.partitionBy("key")
-    shared = keyed.withColumns({"low": F.min("node").over(of_key), "high": F.max("node").over(of_key)}).filter("low <> high")
-    met = stored(shared.select("key", "node", "n").distinct(), "met")
+    # no window over keys: a key that many documents have is totalled before the shuffle, and its rows are free to be split
+    keyed = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "node", "n")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key")
+    met = stored(keyed.join(shared, "key", "left_semi"), "met")
     degrees = met.groupBy("node").agg(F.count("*").alias("degree"))
     centers = met.join(degrees, "node").groupBy("key").agg(F.min(F.struct(-F.col("degree"), "node")).alias("first")).select("key", F.col("first.node").alias("center"))
     members = stored(met.join(centers, "key"), "members")
