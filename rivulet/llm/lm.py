@@ -96,6 +96,13 @@ def log_softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
+def softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
 def log_probabilities(w: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
     out = np.empty(len(target), np.float32)
     hidden = np.tanh(w["embedding"][context].reshape(len(target), -1) @ w["inner"] + w["inner_bias"])
@@ -127,7 +134,7 @@ def train_step(w: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray
     x = w["embedding"][context].reshape(n, -1)
     hidden = np.tanh(x @ w["inner"] + w["inner_bias"])
     group, member = target // MEMBERS, target % MEMBERS
-    d = np.exp(log_softmax(hidden @ w["classes"] + w["class_bias"]))
+    d = softmax(hidden @ w["classes"] + w["class_bias"])
     d[np.arange(n), group] -= 1
     back = d @ w["classes"].T
     order = np.argsort(group, kind="stable")
@@ -135,7 +142,7 @@ def train_step(w: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray
     for c in range(CLASSES):
         at = order[bounds[c] : bounds[c + 1]]
         if len(at):
-            e = np.exp(log_softmax(hidden[at] @ w["members"][c] + w["member_bias"][c]))
+            e = softmax(hidden[at] @ w["members"][c] + w["member_bias"][c])
             e[np.arange(len(at)), member[at]] -= 1
             back[at] += e @ w["members"][c].T
             move("members", hidden[at].T @ e, c)
@@ -221,7 +228,7 @@ class WindowModel:
         self.vocabulary, self.flat = vocabulary, flat.astype(np.float32)
 
 
-def fit(docs: DataFrame, text: str = "text", rounds: int = 2, every: int = 8, rate: float = 0.2, batch: int = 2048) -> WindowModel:
+def fit(docs: DataFrame, text: str = "text", rounds: int = 2, every: int = 8, rate: float = 0.2, batch: int = 4096) -> WindowModel:
     """Fits on all documents; nothing gathered on the driver depends on their number. Word counts stay in the shared folder, for scoring."""
     small_batches(docs.sparkSession)
     counted = stored(word_counts(docs, text), "word-counts")  # used by the ids, their totals and the shares
