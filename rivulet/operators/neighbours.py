@@ -10,11 +10,16 @@ Three rounds make the k-th distance small before the costly part: a row's own bl
 the few blocks that most rows of its block find nearest, then all that are left and
 can't be skipped. Pivots and blocks are few by construction (64, and about 5,000), so
 what is broadcast has a fixed size; a block grows with the table instead, as a matrix
-that is one value of one row. A block's copies are split by a salt. Rows that many
-blocks ask for are joined by block, which adaptive execution splits.
+that is one value of one row. A block's copies are split by a salt.
 
-Squared distances are differences summed, not products, so results don't depend on
-blocks. Rows without a key, or whose vector is null or holds a null or NaN, take no
+In the last round blocks are dealt over 16 groups, and a task has what one group asks
+of another. So a row is sent at most 16 times each way, however many blocks it asks:
+what is shuffled grows with the table. Over 64 MB a group (2 million rows of 64
+values) there are more groups, as a task holds two.
+
+Squared distances are differences summed, so results don't depend on blocks. The last
+round takes products in single precision first, and only pairs that could be near
+enough by a bound on their rounding are measured. Rows without a key, or whose vector is null or holds a null or NaN, take no
 part. A row is no neighbour of its own key; ties go to smaller keys.
 """
 
@@ -30,6 +35,7 @@ from pyspark.sql import functions as F
 from .lineage import cut
 
 PIVOTS, BLOCKS, GRID, NEXT = 64, 4096, 1024, 3
+GROUPS, HELD = 16, 1 << 26
 FOUND = "id long, neighbour long, distance double"
 
 
@@ -74,6 +80,50 @@ def lower_bounds(d: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray
     return out
 
 
+def reached(d: np.ndarray, far: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which blocks (columns) could have a row within far (squared) of rows with distances d from the pivots."""
+    return lower_bounds(d, low, high) <= (np.sqrt(far) * (1 + 1e-9) + 1e-12)[:, None]
+
+
+class Near:
+    """The k nearest rows so far of some queries, each within its own limit."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, far: np.ndarray, k: int):
+        self.x, self.ids, self.limit, self.k = x, ids, far.copy(), k
+        self.d, self.near = np.full((len(x), k), np.inf), np.full((len(x), k), -1, np.int64)
+
+    def take(self, query: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
+        """Measures pairs of a query (its number) and a row, and keeps the nearest."""
+        for a in range(0, len(query), 1 << 15):
+            q, i = query[a : a + (1 << 15)], ids[a : a + (1 << 15)]
+            d = ((self.x[q] - x[a : a + (1 << 15)]) ** 2).sum(-1)
+            keep = (d <= self.limit[q]) & (self.ids[q] != i)
+            if not keep.any():
+                continue
+            rows = np.unique(q[keep])
+            old = self.d[rows] < np.inf
+            q = np.concatenate([q[keep], np.repeat(rows, old.sum(1))])
+            d, i = np.concatenate([d[keep], self.d[rows][old]]), np.concatenate([i[keep], self.near[rows][old]])
+            order = np.lexsort((i, d, q))
+            q, d, i = q[order], d[order], i[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            first = place < self.k
+            self.d[q[first], place[first]], self.near[q[first], place[first]] = d[first], i[first]
+            self.limit[rows] = np.minimum(self.limit[rows], self.d[rows, -1])
+
+
+def least_products(x: np.ndarray, limit: np.ndarray, largest: float, offset: float) -> np.ndarray:
+    """What x . y - |y|^2 / 2 in single precision comes to, at least, for rows y within limit (squared) of x; both less a centre, |y| at most largest, offset the size of what was taken off."""
+    n = x.shape[1] + 8
+    own = (x**2).sum(1)
+    size = np.sqrt(own)
+    least = (own - limit) / 2
+    scale = size * largest + largest**2 / 2 + np.abs(least)
+    with np.errstate(invalid="ignore"):
+        out = least - n * 2.0**-23 * scale - 1e-14 * offset * (size + largest) - 1e-30
+    return np.where(scale < 1e37, out, -np.inf).astype(np.float32)
+
+
 def _matrix(value: bytes, width: int) -> np.ndarray:
     return np.frombuffer(value, np.float64).reshape(-1, width)
 
@@ -125,6 +175,8 @@ class Search:
         stats = self.packed.select("block", "low", "high").orderBy("block").collect()  # a row a block: some thousands
         self.names = [r.block for r in stats]
         low, high = (np.array([np.frombuffer(r[c]) for r in stats]) for c in ("low", "high"))
+        parts = max(min(GROUPS, -(-len(self.names) // 8)), -(-self.count * width * 8 // HELD))
+        self.groups = np.arange(len(self.names)) * min(parts, len(self.names)) // len(self.names)
         self.sent = spark.sparkContext.broadcast((layout, self.names, {b: i for i, b in enumerate(self.names)}, low, high))
 
     def _placed(self, layout: Blocks) -> DataFrame:
@@ -137,44 +189,97 @@ class Search:
 
         return self.rows.mapInArrow(work, "id long, v array<double>, cell long, ring long, own double")
 
-    def _asked(self, state: DataFrame, last: bool) -> DataFrame:
-        """(block, ids, x, far): rows of each block that ask another block. far: their k-th squared distance so far. Not last: all rows ask the few blocks that most find nearest."""
-        width, k, sent = self.width, self.k, self.sent
+    def _asked(self, state: DataFrame) -> DataFrame:
+        """(asks, of, qids, qx, far): rows of each block, which ask the few blocks that most of them find nearest. far: their k-th squared distance so far."""
+        width, sent = self.width, self.sent
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             layout, names, at, low, high = sent.value
             for batch in batches:
                 for r in batch.to_pylist():
-                    ids, x, far = np.frombuffer(r["ids"], np.int64), _matrix(r["x"], width), np.frombuffer(r["far"])
+                    x = _matrix(r["x"], width)
                     d = np.sqrt(squared(x, layout.pivots))
                     wish = np.zeros(len(names), np.int64)
-                    need: dict[int, list[np.ndarray]] = {}
-                    for a in range(0, len(x), 128):
+                    for a in range(0, len(x) if len(names) > 1 else 0, 128):
                         bound = lower_bounds(d[a : a + 128], low, high)
                         bound[:, at[r["block"]]] = np.inf
-                        if last:
-                            bound[:, [at[b] for b in r["seen"]]] = np.inf
-                            limit = np.sqrt(far[a : a + 128]) * (1 + 1e-9) + 1e-12
-                            rows, blocks = np.nonzero((bound <= limit[:, None]) & (bound < np.inf))
-                            for b in np.unique(blocks):
-                                need.setdefault(int(b), []).append(rows[blocks == b] + a)
-                        elif len(names) > 1:
-                            np.add.at(wish, np.argpartition(bound, min(NEXT, len(names) - 1) - 1, axis=1)[:, :NEXT], 1)
-                    if not last:
-                        wish[at[r["block"]]] = 0
-                        need = {int(b): [np.arange(len(x))] for b in np.argsort(-wish, kind="stable")[:NEXT] if wish[b]}
-                    out = []
-                    for b, parts in need.items():
-                        rows = np.concatenate(parts)
-                        out.append((names[b], r["block"], ids[rows].tobytes(), x[rows].tobytes(), far[rows].tobytes()))
-                        if sum(len(o[3]) for o in out) > 1 << 22:
-                            yield _batches(out, ["asks", "of", "qids", "qx", "far"], [pa.string(), pa.string(), *[pa.binary()] * 3])
-                            out = []
-                    if out:
-                        yield _batches(out, ["asks", "of", "qids", "qx", "far"], [pa.string(), pa.string(), *[pa.binary()] * 3])
+                        np.add.at(wish, np.argpartition(bound, min(NEXT, len(names) - 1) - 1, axis=1)[:, :NEXT], 1)
+                    wish[at[r["block"]]] = 0
+                    out = [(names[b], r["block"], r["ids"], r["x"], r["far"]) for b in np.argsort(-wish, kind="stable")[:NEXT] if wish[b]]
+                    for one in out:
+                        yield _batches([one], ["asks", "of", "qids", "qx", "far"], [pa.string(), pa.string(), *[pa.binary()] * 3])
 
         return state.mapInArrow(work, "asks string, of string, qids binary, qx binary, far binary")
 
+    def _rest(self, state: DataFrame) -> DataFrame:
+        """(id, neighbour, distance): the nearest in blocks that a row's block hasn't asked yet and that can't be skipped."""
+        width, k, sent, groups = self.width, self.k, self.sent, self.groups
+        parts = int(groups[-1]) + 1
+        starts = np.searchsorted(groups, np.arange(parts))
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            layout, _, at, low, high = sent.value
+            for batch in batches:
+                for r in batch.to_pylist():
+                    ids, x, far = np.frombuffer(r["ids"], np.int64), _matrix(r["x"], width), np.frombuffer(r["far"])
+                    done = [at[r["block"]], *(at[b] for b in r["seen"])]
+                    for a in range(0, len(x), 128):
+                        part = slice(a, a + 128)
+                        need = reached(np.sqrt(squared(x[part], layout.pivots)), far[part], low, high)
+                        need[:, done] = False
+                        wanted = np.logical_or.reduceat(need, starts, axis=1)
+                        out = [(int(g), int(groups[done[0]]), done, *(v[part][wanted[:, g]].tobytes() for v in (ids, x, far))) for g in np.flatnonzero(wanted.any(0))]
+                        if out:
+                            yield _batches(out, ["asks", "of", "done", "qids", "qx", "far"], [pa.int32(), pa.int32(), pa.list_(pa.int32()), *[pa.binary()] * 3])
+
+        def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+            layout, _, at, low, high = sent.value
+            found: list[tuple] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+            blocks = sorted(right.to_pylist(), key=lambda r: at[r["block"]]) if left.num_rows else []
+            if blocks:
+                number = np.array([at[r["block"]] for r in blocks])
+                x, ids = np.concatenate([_matrix(r["x"], width) for r in blocks]), np.concatenate([np.frombuffer(r["ids"], np.int64) for r in blocks])
+                ends = np.cumsum([len(r["ids"]) // 8 for r in blocks])
+                begins = np.append(0, ends[:-1])
+                centre = layout.pivots.mean(0)
+                offset = np.sqrt(width) * (np.abs(x).max() + np.abs(layout.pivots).max())
+                near = x - centre
+                sizes = (near**2).sum(1)
+                with np.errstate(over="ignore"):
+                    products = np.hstack([near, -sizes[:, None] / 2]).astype(np.float32)
+                largest = float(np.sqrt(sizes.max()))
+            for r in left.to_pylist() if blocks else []:
+                own = Near(_matrix(r["qx"], width), np.frombuffer(r["qids"], np.int64), np.frombuffer(r["far"]), k)
+                need = reached(np.sqrt(squared(own.x, layout.pivots)), own.limit, low[number], high[number])
+                need[:, np.isin(number, r["done"])] = False
+                less = own.x - centre
+                reach = offset + np.sqrt(width) * np.abs(own.x).max()
+                with np.errstate(over="ignore"):
+                    asking = np.hstack([less, np.ones((len(less), 1))]).astype(np.float32)
+                open_blocks = np.flatnonzero(need.any(0))
+                at_once = max(1, 2048 * len(blocks) // len(x))
+                for a in range(0, len(open_blocks), at_once):
+                    some = open_blocks[a : a + at_once]
+                    rows = np.concatenate([np.arange(begins[b], ends[b]) for b in some])
+                    block = np.repeat(some, ends[some] - begins[some])
+                    for c in range(0, len(rows), 8192):
+                        piece = rows[c : c + 8192]
+                        with np.errstate(over="ignore", invalid="ignore"):
+                            hits = ~(asking @ products[piece].T < least_products(less, own.limit, largest, reach)[:, None])
+                        query, column = np.divmod(np.flatnonzero(hits), len(piece))
+                        asked = need[query, block[c : c + 8192][column]]
+                        query, row = query[asked], piece[column[asked]]
+                        for e in range(0, len(query), 1 << 15):
+                            own.take(query[e : e + (1 << 15)], x[row[e : e + (1 << 15)]], ids[row[e : e + (1 << 15)]])
+                there = own.d < np.inf
+                found.append((np.repeat(own.ids, there.sum(1)), own.near[there], own.d[there]))
+            return pa.table([np.concatenate(c) for c in zip(*found, strict=True)], names=["id", "neighbour", "distance"])
+
+        self.asked = state.mapInArrow(ask, "asks int, of int, done array<int>, qids binary, qx binary, far binary")
+        given = self.packed.join(F.broadcast(self.spark.createDataFrame([(b, int(g)) for b, g in zip(self.names, groups, strict=True)], "block string, asks int")), "block")
+        given = given.select("asks", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("of"), "block", "ids", "x")
+        return self.asked.groupBy("asks", "of").cogroup(given.groupBy("asks", "of")).applyInArrow(answer, FOUND)
+
     def _answers(self, asked: DataFrame) -> DataFrame:
         """(of, asks, ids, neighbours, distances) as arrays: what is as near as the k-th so far."""
         width, k = self.width, self.k
@@ -217,7 +322,7 @@ class Search:
 
         kind = "block string, ids binary, x binary, far binary, near binary, distance binary, seen array<string>"
         state = cut(self.packed.select("block", "ids", "x").mapInArrow(own, kind))
-        near = self._answers(self._asked(state, last=False))
+        near = self._answers(self._asked(state))
 
         def merge(left: pa.Table, right: pa.Table) -> pa.Table:
             r = left.to_pylist()[0]
@@ -244,18 +349,26 @@ class Search:
                     keep = distance < np.inf
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.frombuffer(r["ids"], np.int64), k)[keep]), pa.array(np.frombuffer(r["near"], np.int64)[keep]), pa.array(distance[keep])], names=["id", "neighbour", "distance"])
 
-        rest = self._answers(self._asked(merged, last=True)).select("id", "neighbour", "distance")
         place = Window.partitionBy("id").orderBy("distance", "neighbour")
-        every = merged.mapInArrow(unpack, FOUND).union(rest)
-        return every.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
+        every = merged.mapInArrow(unpack, FOUND).union(self._rest(merged))
+        return cut(every.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k))
 
     def compared(self) -> float:
-        """The share of all pairs whose distance is computed; after found()."""
-        size = lambda name, column: F.sum(F.length(column) / 8 * F.col(name)).alias("c")
-        n = self.packed.select(F.col("block").alias("asks"), (F.length("ids") / 8).alias("n"))
-        asked = self._asked(self.state.withColumn("seen", F.array().cast("array<string>")), last=True).join(n, "asks").agg(size("n", "qids")).first().c or 0
-        own = n.agg(F.sum(F.col("n") * F.col("n")).alias("c")).first().c
-        return (asked + own) / self.count**2
+        """The share of all pairs that can't be skipped; after found()."""
+        width, sent = self.width, self.sent
+        n = {r.block: r.n for r in self.packed.select("block", (F.length("ids") / 8).alias("n")).collect()}
+        sizes = np.array([n[b] for b in self.names])
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            layout, _, at, low, high = sent.value
+            for batch in batches:
+                for r in batch.to_pylist():
+                    x = _matrix(r["x"], width)
+                    need = reached(np.sqrt(squared(x, layout.pivots)), np.frombuffer(r["far"]), low, high)
+                    need[:, at[r["block"]]] = True
+                    yield pa.RecordBatch.from_arrays([pa.array([float((need @ sizes).sum())])], names=["c"])
+
+        return self.state.mapInArrow(work, "c double").agg(F.sum("c").alias("c")).first().c / self.count**2
 
 
 def nearest_rows(df: DataFrame, key: str, vector: str, k: int, block: int = 256) -> DataFrame:

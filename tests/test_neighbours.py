@@ -35,6 +35,20 @@ def test_blocks_are_skipped(spark):
     assert search.compared() < 0.35
 
 
+@pytest.mark.parametrize("offset", [0.0, 1e6, 1e25])
+def test_rows_without_structure_are_sent_to_few_groups(spark, offset):
+    draw = np.random.default_rng(3)
+    rows = [(i, (np.round(draw.normal(0, 1, 8), 2) * max(1.0, offset / 1e9) + offset).tolist()) for i in range(900)]
+    search = neighbours.Search(spark.createDataFrame(rows, "k long, v array<double>"), "k", "v", 3, 4)
+    got = {(r.id, r["rank"], r.neighbour) for r in search.found().collect()}
+    x = np.array([v for _, v in rows])
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    assert got == {(i, n, int(j)) for i in range(900) for n, j in enumerate(np.lexsort((np.arange(900), d[i]))[:3], 1)}
+    assert len(search.names) > 100  # each row asked most of them by itself
+    assert search.asked.selectExpr("sum(length(qids) / 8) as n").first().n <= neighbours.GROUPS * 900
+
+
 def test_few_and_no_rows(spark):
     assert neighbours.nearest_rows(spark.createDataFrame([], "k long, v array<double>"), "k", "v", 3).count() == 0
     one = spark.createDataFrame([(1, [1.0])], "k long, v array<double>")
