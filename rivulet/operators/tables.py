@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import flow as fx
+from .lineage import cut
 from .neighbours import nearest_rows
 from .ordered import numbered
 
@@ -180,7 +181,7 @@ def smote_tomek(df: DataFrame, key: str, vector: str, label: str, need: int, k:
     last = df.agg(F.max(key)).first()[0]
     own = df.select(key, F.col(vector).cast("array<double>").alias(vector), label, F.lit(False).alias("synthetic"))
     made = smote(df.filter(F.col(label) == small), key, vector, need, k, seed).select((F.col("number") + last + 1).alias(key), "vector", F.lit(small).alias(label), F.lit(True).alias("synthetic"))
-    every = own.union(made)
+    every = cut(own.union(made))
     links = tomek_links(every, key, vector, label).filter(F.col("label_id") != F.lit(small)).select(F.col("id").alias(key)).distinct()
     return every.join(links, key, "left_anti")
 
