@@ -131,7 +131,7 @@ def linear_head(spark, sf):
     return flows(spark, sf).select("seq", F.round(fx.linear_head({"dst_fanout": F.col("port") / 100.0, "syn_ratio": fx.syn_only(F.col("flags")).cast("int"), "pps": F.col("score"), "port_entropy": (u % 7) / 7.0, "byte_asymmetry": (u % 5) / 5.0}), 6).alias("p"))
 
 
-@query(f"""{WITH}, c AS (SELECT seq, unnest([{{'f':'pkt_len','i':0,'v':0.4*len/1500.0}},{{'f':'dst_fanout','i':3,'v':2.6*port/100.0}},{{'f':'port_entropy','i':4,'v':1.4*(uid%7)/7.0}},{{'f':'pps','i':6,'v':2.0*score}},{{'f':'iat','i':1,'v':-0.6*(uid%3)/3.0}},{{'f':'syn_ratio','i':2,'v':0.0}},{{'f':'byte_asymmetry','i':5,'v':0.0}}]) AS x FROM flows),
+@query(f"""{WITH}, c AS (SELECT seq, unnest([{{'f':'pkt_len','i':0,'v':0.4*(len/1500.0)}},{{'f':'dst_fanout','i':3,'v':2.6::DOUBLE*(port/100.0)}},{{'f':'port_entropy','i':4,'v':1.4::DOUBLE*((uid%7)/7.0)}},{{'f':'pps','i':6,'v':2.0*score}},{{'f':'iat','i':1,'v':-0.6::DOUBLE*((uid%3)/3.0)}},{{'f':'syn_ratio','i':2,'v':0.0}},{{'f':'byte_asymmetry','i':5,'v':0.0}}]) AS x FROM flows),
  r AS (SELECT seq, x.f AS f, row_number() OVER (PARTITION BY seq ORDER BY abs(x.v) DESC, x.i) AS k FROM c)
  SELECT seq, max(CASE k WHEN 1 THEN f END) AS first, max(CASE k WHEN 2 THEN f END) AS second, max(CASE k WHEN 3 THEN f END) AS third FROM r GROUP BY seq""")
 def additive_attr(spark, sf):
