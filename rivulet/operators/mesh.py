@@ -163,13 +163,13 @@ def upper_medians(df: DataFrame, key: str, value: str) -> DataFrame:
     return values_at(df, [key], value, {"middle": lambda n: F.floor(n / 2)}).select(key, F.col("value").alias("median"))
 
 
-def phi(beats: DataFrame, key: str, at_ms: str, window: int = 200, floor: float = 50.0, first: float = 750.0) -> DataFrame:
-    """beats with phi just before each: suspicion from the gaps of the beats before it.
+def phi(beats: DataFrame, key: str, at_ms: str, window: int = 200, floor: float = 50.0, first: float = 750.0, tie: str | None = None) -> DataFrame:
+    """beats with phi just before each: suspicion from the gaps of the beats before it. Beats of a key with equal times are in order of tie.
 
     Totals of gaps and their squares run once over the key; those of a window are
     differences of two.
     """
-    w = Window.partitionBy(key).orderBy(at_ms)
+    w = Window.partitionBy(key).orderBy(at_ms, *([tie] if tie else []))
     gap = beats.withColumn("gap", F.col(at_ms) - F.lag(at_ms).over(w))
     to_here = w.rowsBetween(Window.unboundedPreceding, 0)
     run = gap.withColumns({"__n": F.count("gap").over(to_here), "__s": F.coalesce(F.sum("gap").over(to_here), F.lit(0.0)), "__q": F.coalesce(F.sum(F.col("gap") * F.col("gap")).over(to_here), F.lit(0.0))})
@@ -178,7 +178,7 @@ def phi(beats: DataFrame, key: str, at_ms: str, window: int = 200, floor: float
     n = F.nullif(F.col("__n"), F.lit(0).cast("long"))
     mean = F.coalesce(F.col("__s") / n, F.lit(first))
     variance = F.greatest((F.col("__q") - F.col("__s") * F.col("__s") / n) / n, F.lit(0.0))
-    spread = F.coalesce(F.greatest(F.sqrt(variance), F.lit(floor)), F.lit(first / 2))
+    spread = F.when(n.isNotNull(), F.greatest(F.sqrt(variance), F.lit(floor))).otherwise(first / 2)  # greatest() skips nulls
     return past.withColumn("phi", F.when(F.col("gap").isNull(), 0.0).otherwise(fx.phi(F.col("gap"), mean, spread))).drop("__n", "__s", "__q")
 
 
@@ -212,7 +212,7 @@ def silent(beats: DataFrame, key: str, at_ms: str, now_ms: Column, window: int =
     gap = F.col(at_ms) - F.lead(at_ms).over(w)
     last = beats.select(key, at_ms, gap.alias("__gap"), F.row_number().over(w).alias("__r")).filter(F.col("__r") <= window)
     seen = last.groupBy(key).agg(F.max(at_ms).alias("__last"), F.avg("__gap").alias("__mean"), F.stddev_pop("__gap").alias("__spread"))
-    mean, spread = F.coalesce("__mean", F.lit(first)), F.coalesce(F.greatest(F.col("__spread"), F.lit(floor)), F.lit(first / 2))
+    mean, spread = F.coalesce("__mean", F.lit(first)), F.when(F.col("__spread").isNotNull(), F.greatest(F.col("__spread"), F.lit(floor))).otherwise(first / 2)
     level = fx.phi(now_ms - F.col("__last"), mean, spread)
     return seen.select(key, level.alias("phi"), F.when(level >= dead, "DEAD").when(level >= suspect, "SUSPECT").otherwise("ALIVE").alias("state"))
 

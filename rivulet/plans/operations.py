@@ -283,13 +283,13 @@ def upper_median(spark, sf):
     return mesh.upper_medians(flows(spark, sf), "proto", "len").withColumnRenamed("median", "threshold")
 
 
-@query(f"""{WITH}, g AS (SELECT seq, uid, us / 1e3 AS ms, us / 1e3 - lag(us / 1e3) OVER (PARTITION BY uid ORDER BY us) AS gap FROM flows), s AS (SELECT seq, gap, count(gap) OVER w AS n, avg(gap) OVER w AS m, stddev_pop(gap) OVER w AS s FROM g WINDOW w AS (PARTITION BY uid ORDER BY ms ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING)),
+@query(f"""{WITH}, g AS (SELECT seq, uid, us / 1e3 AS ms, us / 1e3 - lag(us / 1e3) OVER (PARTITION BY uid ORDER BY us, seq) AS gap FROM flows), s AS (SELECT seq, gap, count(gap) OVER w AS n, avg(gap) OVER w AS m, stddev_pop(gap) OVER w AS s FROM g WINDOW w AS (PARTITION BY uid ORDER BY ms, seq ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING)),
  y AS (SELECT seq, gap, (gap - CASE WHEN n = 0 THEN 750 ELSE m END) / CASE WHEN n = 0 THEN 375 ELSE greatest(coalesce(s, 0), 50) END AS y FROM s),
  p AS (SELECT seq, gap, CASE WHEN y > 20 THEN 1e-10 ELSE 1 / (1 + exp(y * (1.5976 + 0.070566 * y * y))) END AS p FROM y)
  SELECT seq, round(CASE WHEN gap IS NULL THEN 0 ELSE -log10(greatest(1e-10, least(1, p))) END, 5) + 0.0 AS phi FROM p""")
 def phi_accrual(spark, sf):
     beats = flows(spark, sf).select("seq", "uid", (F.col("us") / 1e3).alias("ms"))
-    return mesh.phi(beats, "uid", "ms").select("seq", (F.round("phi", 5) + 0.0).alias("phi"))
+    return mesh.phi(beats, "uid", "ms", tie="seq").select("seq", (F.round("phi", 5) + 0.0).alias("phi"))
 
 
 @query(f"""{WITH}, g AS (SELECT uid, us / 1e3 AS ms, us / 1e3 - lag(us / 1e3) OVER (PARTITION BY uid ORDER BY us) AS gap, row_number() OVER (PARTITION BY uid ORDER BY us DESC) AS r FROM flows),
@@ -353,7 +353,7 @@ def energy_delta(spark, sf):
 def member_states(spark, sf):
     """Suspicion of silent members; suspect from 0.5 on here, as few users are late by eight orders of magnitude."""
     beats = flows(spark, sf).select("seq", F.col("uid").alias("node"), (F.col("us") / 1e3).alias("ms"))
-    levels = mesh.phi(beats, "node", "ms").groupBy("node").agg(F.round(F.max_by("phi", "seq"), 5).alias("phi"))
+    levels = mesh.phi(beats, "node", "ms", tie="seq").groupBy("node").agg(F.round(F.max_by("phi", "seq"), 5).alias("phi"))
     return mesh.watched(_members(spark, sf), levels, suspect=0.5).select("node", "state")
 
 
