@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import flow as fx
+from .lineage import cut
 from .ordered import numbered, values_at
 from .tables import latest
 
@@ -101,20 +102,41 @@ def trimmed_mean(vectors: DataFrame, key: str, vector: str, beta: float = 0.2) -
     return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("vector"))
 
 
+def possible(rows: DataFrame, sizes: DataFrame, drop: int) -> DataFrame:
+    """Those of rows (key, id, v) whose sum of squared distances less the drop farthest may be the least of their group (sizes: __group, n); bounds that are no numbers keep all."""
+    means = rows.select("key", F.posexplode("v").alias("at", "x")).groupBy("key", "at").agg(F.avg("x").alias("x"))
+    means = means.groupBy(F.col("key").alias("__mean_of")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("__mean"))
+    off = F.aggregate(F.zip_with("v", "__mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+    far = rows.join(means, F.col("key").eqNullSafe(F.col("__mean_of"))).select("key", "id", "v", off.alias("__off"))
+    spread = far.groupBy(F.col("key").alias("__k")).agg(F.sum("__off").alias("__sum"), F.max("__off").alias("__most"), F.min("__off").alias("__least"))
+    spread = spread.join(sizes, F.col("__k").eqNullSafe(F.col("__group"))).select("__k", "__sum", "__most", "__least", "n")
+    total = F.col("n") * F.col("__off") + F.col("__sum")
+    low = total * (1 - 1e-9) - drop * (F.sqrt("__off") + F.sqrt("__most")) * (F.sqrt("__off") + F.sqrt("__most")) * (1 + 1e-9)
+    best = (F.col("n") * F.col("__least") + F.col("__sum")) * (1 + 1e-9)
+    return far.join(spread, F.col("key").eqNullSafe(F.col("__k"))).filter(low <= best).select("key", "id", "v")
+
+
 def krum(vectors: DataFrame, key: str, id_column: str, vector: str, faulty: int = 1, block: int = 512) -> DataFrame:
     """(key, id, score): of each group of peers, the vector nearest to its n - faulty - 2 nearest; ties to the smaller id. Groups too small for that have no row (see robust).
 
-    A row's score is the sum of its distances less the farthest. Both merge: rows
-    are hashed into blocks, each pair of a group's blocks gives each row a sum and
-    its farthest few. No task holds a group.
+    A row's score is the sum of its distances less the farthest. The sum follows
+    from the row's distance from the group's mean, and the farthest are no farther
+    than that and the group's radius; so most rows can't be the nearest, and only the
+    others are scored, exactly. Sums and farthest merge: rows are hashed into blocks,
+    each pair of blocks gives each row a sum and its farthest few. No task holds a
+    group. Where all rows are about equally far from the mean, all pairs are compared.
     """
     rows = vectors.filter(F.col(vector).isNotNull() & F.col(id_column).isNotNull()).select(F.col(key).alias("key"), F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("long")).filter((F.col("n") > 2) & (F.col("n") > faulty + 2)).withColumnRenamed("key", "__group")
-    placed = rows.join(sizes, F.col("key").eqNullSafe(F.col("__group"))).select("key", "id", "v", "blocks", F.pmod(F.xxhash64("id"), "blocks").alias("b"))
-    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    asked = placed.select("key", F.col("b").alias("a"), others.alias("b"), "id", "v")
-    given = placed.select(F.col("key").alias("key"), others.alias("a"), F.col("b").alias("b"), F.col("id").alias("id"), F.col("v").alias("v"))
     drop = faulty + 1
+    chosen = cut(possible(rows, sizes, drop))
+    few = chosen.groupBy("key").agg(F.ceil(F.count("*") / block).cast("long").alias("askers")).withColumnRenamed("key", "__few")
+    sizes = sizes.join(few, F.col("__group").eqNullSafe(F.col("__few"))).drop("__few")
+    placed = lambda df: df.join(sizes, F.col("key").eqNullSafe(F.col("__group")))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    asked = placed(chosen).select("key", own("askers").alias("a"), each("blocks").alias("b"), "id", "v")
+    given = placed(rows).select(F.col("key").alias("key"), each("askers").alias("a"), own("blocks").alias("b"), F.col("id").alias("id"), F.col("v").alias("v"))
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, x, y = left.column("id"), *(np.array(t.column("v").to_pylist(), float) for t in (left, right))
