@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import flow as fx
 from . import sliding
-from .ordered import range_bucket, running_totals
+from .ordered import in_ranges, range_bucket, running_totals
 
 
 def trailing(span_us: int, key: str = "src") -> object:
@@ -149,6 +149,30 @@ def open_set(df: DataFrame, columns: list[str], block: int = 500) -> DataFrame:
     return out.select(*df.columns, F.coalesce(F.col("__d") > F.col("__gate") * 1.15, F.lit(False)).alias("unknown"), F.when(known & (F.col("__d") > F.col("__gate")), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("__d") / (F.col("__gate") + 1e-6) - 1))).otherwise(0.0).alias("novelty"))
 
 
+def recent_rate(df: DataFrame, key: str, order: str, hit: Column, rows: int, name: str = "rate", stretch: int = 65_536) -> DataFrame:
+    """df with the share of hits (booleans; null ones don't count) among its key's last `rows` rows, this one included, in a numeric order.
+
+    Rows are numbered by running counts of ranges of the order, then a stretch of a
+    key's rows and the rows before it that its first ones look back to are a group:
+    neither a key nor the whole is in one task, and a rate is a difference of counts.
+    """
+    placed = in_ranges(df.withColumns({"__v": F.col(order).cast("double"), "__hit": hit.cast("long")}), "__v", 256, None)
+    before = Window.partitionBy("__key").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(F.col(key).alias("__key"), "__b").agg(F.count("*").alias("__c"))
+    offsets = offsets.select("__key", F.col("__b").alias("__range"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__offset"))
+    joined = placed.join(offsets, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__b") == F.col("__range")))
+    numbered = joined.withColumn("__i", F.col("__offset") + F.row_number().over(Window.partitionBy(key, "__b").orderBy(order)) - 1)
+    own = F.floor(F.col("__i") / stretch)
+    last = F.floor((F.col("__i") + rows - 1) / stretch)
+    dealt = numbered.withColumn("__own", own).withColumn("__stretch", F.explode(F.sequence(own, last)))
+    w = Window.partitionBy(key, "__stretch").orderBy("__i")
+    to_here = w.rowsBetween(Window.unboundedPreceding, 0)
+    run = dealt.withColumns({"__n": F.count("__hit").over(to_here), "__h": F.coalesce(F.sum("__hit").over(to_here), F.lit(0))})
+    past = lambda c: F.col(c) - F.coalesce(F.lag(c, rows).over(w), F.lit(0))
+    made = run.withColumns({"__m": past("__n"), "__g": past("__h")}).filter(F.col("__own") == F.col("__stretch"))
+    return made.select(*df.columns, (F.col("__g") / F.nullif(F.col("__m"), F.lit(0).cast("long"))).alias(name))
+
+
 def counter_delta(value: str, key: str, order: str = "us", wrap: float | None = None) -> Column:
     """Increase of a cumulative counter; where it falls, 0, or what a counter of range wrap would give."""
     w = Window.partitionBy(key).orderBy(order)

@@ -221,8 +221,8 @@ def openset_block(spark, sf):
 
 @query(f"{WITH} SELECT seq, round(avg(CASE WHEN score > 0.2 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY proto ORDER BY seq ROWS 1499 PRECEDING), 6) AS rate FROM flows")
 def exceedance_rate(spark, sf):
-    w = Window.partitionBy("proto").orderBy("seq").rowsBetween(-1499, 0)
-    return flows(spark, sf).select("seq", F.round(F.avg((F.col("score") > 0.2).cast("double")).over(w), 6).alias("rate"))
+    x = flows(spark, sf).select("seq", "proto", "score")
+    return windows.recent_rate(x, "proto", "seq", F.col("score") > 0.2, 1500).select("seq", F.round("rate", 6).alias("rate"))
 
 
 @query(f"{WITH} SELECT seq, round(0.5 * score + 0.3 * port / 100.0 + 0.2 * (uid % 7) / 7.0, 6) AS fused FROM flows")
