@@ -59,13 +59,28 @@ def blocks(row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return first[row] + place // BLOCK, np.repeat(np.arange(rows), per), n
 
 
+def add_rows(total: np.ndarray, to: np.ndarray, of: np.ndarray, rows: np.ndarray) -> None:
+    """total[to] += rows[of], where to repeats too, in order: first places first, then second ones, each in one go."""
+    if not len(to):
+        return
+    order = np.argsort(to, kind="stable")
+    to, of = to[order], of[order]
+    first = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+    n = np.diff(np.append(first, len(to)))
+    by_size = np.argsort(-n, kind="stable")
+    first, n = first[by_size], n[by_size]
+    for k, left in enumerate(np.searchsorted(-n, -np.arange(n[0]), "left")):
+        at = first[:left] + k
+        total[to[at]] += rows[of[at]]
+
+
 def passages(block_rows: np.ndarray) -> np.ndarray:
     """Which blocks have another of their row after them."""
     return np.append(block_rows[1:] == block_rows[:-1], False) if len(block_rows) else np.empty(0, bool)
 
 
 class Space:
-    """Terms, their weights, and the latent basis."""
+    """Terms, their weights, and the latent basis (each row times its term's weight)."""
 
     def __init__(self, hashes: np.ndarray):
         self.lookup = Lookup(np.unique(hashes))
@@ -78,8 +93,11 @@ class Space:
         at = np.flatnonzero(slot >= 0)
         return at, slot[at]
 
+    def weighted(self, onto: np.ndarray) -> np.ndarray:
+        return onto * self.weight[:, None]
+
     def project(self, found, rows: int, onto: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
-        """Vectors and squared norms of all passages, the rows of their first blocks, and (block, term) of the words."""
+        """Vectors and squared norms of all passages, the rows of their first blocks, and (block, term) of the words; onto: weighted()."""
         block, owner, _ = blocks(found.row, rows)
         at, term = self.rows(found)
         useful = self.weight[term] > 0
@@ -89,7 +107,7 @@ class Space:
         if len(own):
             first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
             w = self.weight[term]
-            vector[own[first]] = np.add.reduceat(onto[term] * w[:, None], first)
+            add_rows(vector, own, term, onto)
             norm[own[first]] = np.add.reduceat(w * w, first)
         joined = passages(owner)
         follow = np.flatnonzero(joined)
@@ -198,7 +216,8 @@ def fitted(docs: DataFrame, text: str, items: Items, rank: int, common: float) -
     def count(state, _, found, rows):
         at, term = space.rows(found)
         block, owner, _ = blocks(found.row, rows)
-        pair = np.unique(block[at] * size + term)
+        pair = np.sort(block[at] * size + term)
+        pair = pair[np.append(True, pair[1:] != pair[:-1])[: len(pair)]]
         state["n"] = state.get("n", 0) + np.append(np.bincount(pair % size, minlength=size), len(owner)).astype(float)
 
     total = summed(mapped(docs, text, count, "part long, body binary", lambda s: vector_parts(s["n"])), size + 1)
@@ -213,7 +232,7 @@ def fitted(docs: DataFrame, text: str, items: Items, rank: int, common: float) -
     space.weight = np.where(chosen, np.maximum(weight, 0.1), 0).astype(np.float32)
 
     rank = min(rank, size)
-    gaussian = np.random.default_rng(17).normal(size=(size, rank)).astype(np.float32)
+    gaussian = space.weighted(np.random.default_rng(17).normal(size=(size, rank)).astype(np.float32))
 
     def add(total: np.ndarray, found, rows: int, scale: float) -> None:
         vector, norm, owner, (block, term) = space.project(found, rows, gaussian)
@@ -221,18 +240,20 @@ def fitted(docs: DataFrame, text: str, items: Items, rank: int, common: float) -
             unit = vector * (scale / np.maximum(norm, 1e-6))[:, None]
             before = np.zeros_like(unit)  # a word is in the passage of its block and in that of the block before
             before[1:] = unit[:-1] * (owner[1:] == owner[:-1])[:, None]
-            np.add.at(total, term, (unit + before)[block] * space.weight[term][:, None])
+            add_rows(total, term, block, unit + before)
 
     def sketch(state, _, found, rows):
         if "y" not in state:
             state["y"] = np.zeros((size, rank), np.float32)
         add(state["y"], found, rows, 1.0)
 
+    # the weight of a term is a factor of its whole row, so it comes last
     y = summed(mapped(docs, text, sketch, "part long, body binary", lambda s: vector_parts(s["y"])), size * rank).reshape(size, rank)
     bench = np.zeros((size, rank), np.float32)
     add(bench, own, len(items.words), 1.0)
+    y, bench = y * space.weight[:, None], bench * space.weight[:, None]
     y += bench * (100 * max(1.0, np.linalg.norm(y)) / max(np.linalg.norm(bench), 1e-9))
-    space.basis = np.linalg.qr(y)[0].astype(np.float32)
+    space.basis = space.weighted(np.linalg.qr(y)[0].astype(np.float32))
     return space
 
 
@@ -283,11 +304,15 @@ def searched(docs: DataFrame, id_column: str, text: str, items: Items, space: Sp
         mine = np.unique(term[own.row == k])
         mine = mine[np.argsort(-space.weight[mine], kind="stable")]
         rare.append(space.lookup.known[mine[: max(3, len(mine) // 2)]])
-    sent = docs.sparkSession.sparkContext.broadcast((space, query.astype(np.float32), length, item_of, items, rare))
+    slots = [space.lookup.find(r) for r in rare]
+    sent = docs.sparkSession.sparkContext.broadcast((space, query.astype(np.float32), length, item_of, items, rare, slots))
 
     def search(_, columns, found, rows):
-        space, query, length, item_of, items, rare = sent.value
+        space, query, length, item_of, items, rare, slots = sent.value
         vector, norm, owner, _ = space.project(found, rows, space.basis)
+        word, known = space.rows(found)
+        holds = np.zeros((rows, len(space.weight)), bool)  # which terms a row has anywhere
+        holds[found.row[word], known] = True
         size = np.linalg.norm(vector, axis=1)
         at = np.flatnonzero(size > contained * length.min(initial=np.inf))
         out: dict[tuple[int, int], tuple[float, float]] = {}
@@ -310,8 +335,11 @@ def searched(docs: DataFrame, id_column: str, text: str, items: Items, space: Sp
             some = at[k : k + 4096]
             product = vector[some] @ query.T
             near = (product >= cosine * size[some][:, None]) & (product >= contained * length)
-            for p, q in zip(*np.nonzero(near), strict=True):
-                block, item = int(some[p]), int(item_of[q])
+            p, q = np.nonzero(near)
+            # a row without the answer anywhere has it in no window
+            pair, place = np.unique(owner[some[p]] * len(slots) + item_of[q], return_inverse=True)
+            able = np.fromiter((holds[x // len(slots), slots[x % len(slots)]].mean() >= answer for x in pair.tolist()), bool, len(pair))[place]
+            for block, item in zip(some[p[able]].tolist(), item_of[q[able]].tolist(), strict=True):
                 row = int(owner[block])
                 begin = bounds[row] + (block - first_block[row]) * BLOCK
                 verify(row, item, begin, begin + 2 * BLOCK)

@@ -29,6 +29,16 @@ def test_common_subsequence():
         assert decontam.common_subsequence(x, y) == lcs(x.tolist(), y.tolist())
 
 
+def test_rows_are_added_as_one_by_one():
+    draw = np.random.default_rng(3)
+    for n in (0, 1, 4000):
+        to, of, rows = draw.integers(0, 60, n) ** 2 // 60, draw.integers(0, 90, n), draw.normal(size=(90, 16)).astype(np.float32)
+        one, all_at_once = np.zeros((2, 60, 16), np.float32)
+        np.add.at(one, to, rows[of])
+        decontam.add_rows(all_at_once, to, of, rows)
+        assert (one == all_at_once).all()  # the same order of sums, so the same bits
+
+
 def test_leaks_and_clean_documents(spark):
     draw = random.Random(2)
     words = [f"{a}{b}" for a in "bcdfghjklm" for b in ("ana", "oru", "ite", "eso", "ubi", "alo", "ens", "imo")]
