@@ -20,11 +20,14 @@ the center. Each document is compared with the center that it meets most often
 by the segments of a second, fixed-size sketch if they are large. Components that meet are
 compared as wholes first: the distance of their smallest members' sketches,
 less each component's radius, bounds the difference of any two members from
-below; this runs in numpy on blocks of bounded size, and only pairs that pass
-become rows and are opened. So no group's pairs are listed, and no link between
-different components is missed. Comparisons of documents too first bound the
-difference by the fixed sketch, and by a second one as wide as large sets need,
-then intersect the sets.
+below; this runs in numpy on blocks of bounded size. Of the pairs that pass, a
+block gives a forest that connects the same members, so never more rows than it
+read; documents that forests connect are a group, each in one. A group's
+documents are compared again, in blocks that hold the sets, and of its links
+between different components a block again gives a forest. So no group's pairs
+are listed, and no link between different components is missed. Comparisons of
+documents too first bound the difference by the fixed sketch, and by a second
+one as wide as large sets need, then intersect the sets.
 
 Rows with equal sets are one class from the start. A null or empty text has no
 shingles and no links. Rows with one id are one node, linked as any of its
@@ -48,6 +51,8 @@ from .text import MULTIPLIERS, SPACES, U64, distinct_pairs, mix, row_groups, shi
 DEALINGS = 4
 #: Groups over LARGE rows are split; blocks of at most about BLOCK components are compared at once.
 LARGE, BLOCK = 4096, 2048
+#: A block's sets have about this many elements, at most, unless one has more.
+BLOCK_ELEMENTS = 1 << 22
 FILTER_BITS = 2048
 
 
@@ -173,6 +178,20 @@ def wide_words(percent: int, sizes: np.ndarray) -> np.ndarray:
     return np.where(words * 64 > FILTER_BITS, words, 0)
 
 
+def sketches_of(row: np.ndarray, h: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[pa.Array, pa.Array]:
+    """The fixed and the wide sketches of sets with these (row, element)."""
+    n, per = len(sizes), FILTER_BITS // 64
+    g = mix(h * MULTIPLIERS[12])
+    sketch = parity(row * per + (g % U64(per)).astype(np.int64), g, n * per)
+    w = wide_words(percent, sizes)
+    ends = np.cumsum(w)
+    large = w[row] > 0
+    at, v = row[large], g[large]
+    wide = np.zeros(int(ends[-1]), U64)
+    np.bitwise_xor.at(wide, (ends - w)[at] + ((v >> U64(6)) % w[at].astype(U64)).astype(np.int64), U64(1) << (v & U64(63)))
+    return binary(sketch, np.arange(n + 1) * per), binary(wide, np.append(0, ends))
+
+
 def sketched(df: DataFrame, id_column: str, text: str, width: int, percent: int) -> DataFrame:
     """(id, n, fa, fb, sketch, wide, keys) for each row: set size, two hashes of the set, its sketches, and the keys for joining."""
 
@@ -186,19 +205,10 @@ def sketched(df: DataFrame, id_column: str, text: str, width: int, percent: int)
                 prints = np.zeros((2, n), U64)
                 for k in range(2):
                     np.add.at(prints[k], row, mix(h * MULTIPLIERS[10 + k]))
-                per = FILTER_BITS // 64
-                g = mix(h * MULTIPLIERS[12])
-                sketch = parity(row * per + (g % U64(per)).astype(np.int64), g, n * per)
-                w = wide_words(percent, sizes)
-                ends = np.cumsum(w)
-                large = w[row] > 0
-                at, v = row[large], g[large]
-                wide = np.zeros(int(ends[-1]), U64)
-                np.bitwise_xor.at(wide, (ends - w)[at] + ((v >> U64(6)) % w[at].astype(U64)).astype(np.int64), U64(1) << (v & U64(63)))
                 of, key = segment_keys(row, h, sizes, percent)
                 order = np.argsort(of, kind="stable")
                 bounds = np.searchsorted(of[order], np.arange(n + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], pa.array(sizes, pa.int64()), *(pa.array(p.view(np.int64)) for p in prints), binary(sketch, np.arange(n + 1) * per), binary(wide, np.append(0, ends)), binary(key[order].view(np.int64), bounds, pa.int64())], names=["id", "n", "fa", "fb", "sketch", "wide", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], pa.array(sizes, pa.int64()), *(pa.array(p.view(np.int64)) for p in prints), *sketches_of(row, h, sizes, percent), binary(key[order].view(np.int64), bounds, pa.int64())], names=["id", "n", "fa", "fb", "sketch", "wide", "keys"])
 
     return df.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(work, "id long, n long, fa long, fb long, sketch binary, wide binary, keys array<long>")
 
@@ -219,6 +229,14 @@ def alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "na", "nb", "sa", "sb", "wa", "wb").mapInArrow(work, "a long, b long").distinct()
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets, as arrays of distinct elements, are that similar."""
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared > 0 and 100 * shared >= percent * (len(both) - shared)
+
+
 def verified(pairs: DataFrame, df: DataFrame, id_column: str, text: str, width: int, percent: int) -> DataFrame:
     """Of pairs (a, b) of ids, those whose sets really are that similar; stored."""
 
@@ -237,11 +255,7 @@ def verified(pairs: DataFrame, df: DataFrame, id_column: str, text: str, width:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = (np.frombuffer(e.as_buffer(), U64) for e in (x, y))
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep[i] = shared and 100 * shared >= percent * (len(both) - shared)
+                keep[i] = similar(*(np.frombuffer(e.as_buffer(), U64) for e in (x, y)), percent)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     left, right = (sets.select(F.col("node").alias(k), F.col("elements").alias(f"e{k}")) for k in "ab")
@@ -288,7 +302,7 @@ def once(rows: DataFrame, member: str) -> DataFrame:
 
 
 def opened(cut: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different parts that share a key of cut (key, node, part, n), but those that the parts' centers and radii exclude; stored."""
+    """Pairs (a, b) of nodes that connect all nodes of different parts that share a key of cut (key, node, part, n), but those that sketches, centers and radii exclude; stored. Two such nodes needn't be a pair themselves."""
     own = ["sketch", "wide"]
     inside = cut.select("node", "part", "n").distinct().join(sketches.select("node", *own), "node")
     centers = sketches.select(F.col("node").alias("part"), F.col("sketch").alias("center"), F.col("wide").alias("center_wide"))
@@ -312,8 +326,8 @@ def opened(cut: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     lone = inside.groupBy("part").agg(F.min("node").alias("only"), F.max("node").alias("last")).filter("only = last").select("part", "only")
     width = FILTER_BITS // 8
     empty = {"center": F.coalesce("center", F.lit(bytes(width))), "center_wide": F.coalesce("center_wide", F.lit(b""))}
-    parts = stored(spread.join(centers, "part", "left").withColumns(empty), "parts")
-    columns = ["key", "id", "part", "far", "far_wide", "low", "high", "sketch", "wide"]
+    parts = stored(spread.join(centers, "part", "left").join(lone, "part", "left").withColumns(empty | {"lone": F.col("only").isNotNull()}).drop("only"), "parts")
+    columns = ["key", "id", "part", "lone", "far", "far_wide", "low", "high", "sketch", "wide"]
     whole = once(cut.select("key", "part").distinct(), "part").join(parts, "part").withColumn("id", F.col("part")).withColumnsRenamed({"center": "sketch", "center_wide": "wide"})
     close = stored(compared_in_blocks(whole.select(*columns), percent), "meeting")
     # parts of one row each are a pair by themselves; the rows of others are compared one by one
@@ -323,32 +337,59 @@ def opened(cut: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     several = wide.select(F.col("a").alias("part")).union(wide.select("b")).distinct()
     none = F.lit(0).cast("long")
     rows = once(cut.join(several, "part", "left_semi").distinct(), "node").join(sketches.select("node", *own), "node")
-    single = rows.withColumns({"id": F.col("node"), "far": none, "far_wide": none, "low": F.col("n"), "high": F.col("n")}).select(*columns)
+    single = rows.withColumns({"id": F.col("node"), "lone": F.lit(True), "far": none, "far_wide": none, "low": F.col("n"), "high": F.col("n")}).select(*columns)
     pairs = named.filter("x is not null and y is not null").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     out = stored(pairs.union(compared_in_blocks(single, percent)).distinct(), "left")
     discard(parts, close, named)
     return out
 
 
-def compared_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of ids of different parts in rows (key, id, part, far, far_wide, low, high, sketch, wide) that share a key and may be similar: the distance of their sketches, less what each may be off (far), is no more than sizes up to high allow.
+class Forest:
+    """Which of some rows are connected so far."""
+
+    def __init__(self, root: np.ndarray):
+        self.root = root
+
+    def join(self, x: np.ndarray, y: np.ndarray, linked=None) -> list[tuple[int, int]]:
+        """Of the pairs (x, y), in order, those that connect rows that weren't connected; with linked, those only for which it holds."""
+        out = []
+        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+            if self.root[a] != self.root[b] and (linked is None or linked(a, b)):
+                self.root[self.root == self.root[b]] = self.root[a]
+                out.append((a, b))
+        return out
+
+
+def compared_in_blocks(rows: DataFrame, percent: int, elements: bool = False) -> DataFrame:
+    """Pairs (a, b) of ids that connect all ids of different parts in rows (key, id, part, lone, far, far_wide, low, high, sketch, wide) that share a key and may be similar: the distance of their sketches, less what each may be off (far), is no more than sizes up to high allow.
 
     Each key's rows are dealt over blocks of bounded size, and pairs of blocks are
-    groups that stream through numpy; only pairs that pass become rows.
+    groups that stream through numpy. Of a group's pairs only a forest becomes
+    rows; pairs of lone ids have a forest of their own. With elements (rows have
+    a further column of sets), sets are intersected, and pairs are links that connect parts.
     """
-    sizes = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    columns = ["key", "i", "j", "id", "part", "lone", "far", "far_wide", "low", "high", "sketch", "wide", *(["elements"] if elements else [])]
+    size = F.greatest(F.count("*") / BLOCK, F.sum(F.length("elements") / 8) / BLOCK_ELEMENTS) if elements else F.count("*") / BLOCK
+    sizes = rows.groupBy("key").agg(F.count("*").alias("c"), F.ceil(size).cast("int").alias("blocks")).filter("c > 1").select("key", "blocks")
     own = F.pmod(F.xxhash64("id"), "blocks").cast("int")
     dealt = rows.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = ["key", "i", "j"]
-    placed = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "part", "far", "far_wide", "low", "high", "sketch", "wide")
+    placed = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select(*columns)
     streamed = placed.repartition(*group).sortWithinPartitions(*group)
 
     def compared(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
         table = table.slice(0, int(bounds[-1]))
-        ids, part, far, far_wide, low, high = (table.column(k).to_numpy() for k in range(3, 9))
-        sketch = Sketches(table.column(9), table.column(10))
-        found = [np.empty((0, 2), np.int64)]
+        ids, part, lone, far, far_wide, low, high = (table.column(k).to_numpy() for k in range(3, 10))
+        sketch = Sketches(table.column(10), table.column(11))
         group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        found, linked = [np.empty((0, 2), np.int64)], None
+        if elements:
+            data, offsets = utf8(table.column(12))
+            sets, offsets = data.view(U64), offsets // 8
+            linked = lambda a, b: similar(sets[offsets[a] : offsets[a + 1]], sets[offsets[b] : offsets[b + 1]], percent)
+            forests = [Forest(np.unique(np.column_stack([group, part]), axis=0, return_inverse=True)[1].ravel())] * 2
+        else:
+            forests = [Forest(np.arange(len(group))) for _ in range(2)]
         i, step = np.arange(int(bounds[-1])), 0
         while len(i):  # all pairs at a distance of step rows in one go, over all groups
             step += 1
@@ -356,14 +397,17 @@ def compared_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
             i = i[group[i + step] == group[i]]
             for x in (i[k : k + 4096] for k in range(0, len(i), 4096)):
                 y = x + step
+                both = lone[x] & lone[y]
                 able = (part[x] != part[y]) & (100 * high[x] >= percent * low[y]) & (100 * high[y] >= percent * low[x])
-                x, y = x[able], y[able]
+                able &= np.where(both, forests[0].root[x] != forests[0].root[y], forests[1].root[x] != forests[1].root[y])
+                x, y, both = x[able], y[able], both[able]
                 if len(x):
                     fixed, wide = apart(sketch, x, sketch, y)
                     most = differing(percent, high[x] + high[y])
                     near = (fixed - far[x] - far[y] <= most) & (wide - far_wide[x] - far_wide[y] <= most)
-                    x, y = ids[x[near]], ids[y[near]]
-                    found.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
+                    for forest, some in ((forests[0], near & both), (forests[1], near & ~both)):
+                        new = np.array(forest.join(x[some], y[some], linked), np.int64).reshape(-1, 2)
+                        found.append(np.sort(ids[new], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -389,6 +433,28 @@ def compared_in_blocks(rows: DataFrame, percent: int) -> DataFrame:
     return streamed.mapInArrow(work, "a long, b long").distinct()
 
 
+def linked_in_groups(near: DataFrame, found: DataFrame, df: DataFrame, id_column: str, text: str, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect all parts (found: node, component) with similar nodes among those that the pairs near connect; stored."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(2))
+            for low, high in row_groups(offsets):
+                row, h = sets_of(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], width)
+                n = np.bincount(row, minlength=high - low)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k)[low:high] for k in range(2)), pa.array(n, pa.int64()), *sketches_of(row, h, n, percent), binary(h, np.searchsorted(row, np.arange(high - low + 1)))], names=["key", "id", "n", "sketch", "wide", "elements"])
+
+    groups = stored(components(near).select(F.col("node").alias("id"), F.col("component").alias("key")), "groups")
+    texts = df.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).join(groups, "id").select("key", "id", "text")
+    sets = stored(texts.mapInArrow(work, "key long, id long, n long, sketch binary, wide binary, elements binary").filter("n > 0"), "sets")
+    none = F.lit(0).cast("long")
+    own = {"part": F.coalesce("component", "id"), "lone": F.lit(True), "far": none, "far_wide": none, "low": F.col("n"), "high": F.col("n")}
+    rows = sets.join(found.withColumnRenamed("node", "id"), "id", "left").withColumns(own)
+    out = stored(compared_in_blocks(rows, percent, elements=True), "verified")
+    discard(groups, sets)
+    return out
+
+
 def jaccard_components(df: DataFrame, id_column: str, text: str, width: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id) for each row of df: set size, and the smallest id reachable by links of percent or more.
 
@@ -435,15 +501,14 @@ def jaccard_components(df: DataFrame, id_column: str, text: str, width: int = 5,
     cut = stored(split_by_sketch(rest, percent), "open")
     discard(members)
     left = opened(cut, sketches, percent)
-    more = stored(alike(left, sketches, percent), "pairs")
-    discard(cut, left, nodes)
-    if more.limit(1).count():
-        extra = verified(more, df, id_column, text, width, percent)
+    discard(cut, nodes)
+    if left.limit(1).count():
+        extra = linked_in_groups(left, found, df, id_column, text, width, percent)
         if extra.limit(1).count():
             before = found
             found = stored(components(before.select(F.col("node").alias("a"), F.col("component").alias("b")).union(extra)), "components")
             discard(before)
         discard(extra)
-    discard(more)
+    discard(left)
     labelled = every.join(classes, ["n", "fa", "fb"], "left").join(found, "node", "left")
     return labelled.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id")).alias("component_id"))

@@ -63,6 +63,28 @@ def test_against_all_pairs(spark, width, percent, seed):
     assert len(out) == len(rows)
 
 
+def test_groups_of_copies_at_the_threshold(spark):
+    draw = random.Random(8)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for d in range(150):
+        words = list(base)
+        for _ in range(draw.choice([1, 2, 3, 3, 4, 5])):
+            words[draw.randrange(120)] = f"r{draw.random()}"
+        rows.append((d, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {tuple(r) for r in jaccard.jaccard_components(df, "doc_id", "text", 5, 80).collect()} == brute(rows, 5, 80)
+
+
+def test_a_group_of_copies_gives_a_forest_not_all_pairs(spark):
+    sketch = bytes(jaccard.FILTER_BITS // 8)
+    rows = [(key, i, i, True, 0, 0, 50, 50, sketch, b"") for key in range(3) for i in range(key, 60)]
+    df = spark.createDataFrame(rows, "key long, id long, part long, lone boolean, far long, far_wide long, low long, high long, sketch binary, wide binary")
+    pairs = [(r.a, r.b) for r in jaccard.compared_in_blocks(df, 80).collect()]
+    assert len(pairs) <= len(rows)  # 1,770 pairs in the first key alone
+    assert {r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()} == {0}
+
+
 def test_repeated_and_null_ids_and_empty_table(spark):
     a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
     df = spark.createDataFrame([(1, a, 9), (2, a, 9), (2, b, 9), (3, b, 9), (4, None, 9), (None, a, 9), (5, a, 9), (5, a, 9)], "doc_id long, text string, node long")
