@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import flow as fx
 from . import alerts, detectors, folds, mesh, metrics, windows
-from .lineage import cut
+from .lineage import cut, stored
 
 
 class Calibration:
@@ -100,13 +100,15 @@ def decisions(df: DataFrame, detectors: list[str], by: list[str]) -> DataFrame:
     return folds.fold(df.select("seq", "us", "src", "proto", "label", *detectors), by, ["us", "seq"], start(detectors), step(detectors), SCHEMA)
 
 
-def epoch(df: DataFrame, signals: list[str], weights: list[float], high: float, low: float, trust: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Decisions with frozen weights, thresholds and trust (src, suspicion): declarative, fully parallel. keep: further columns of df that stay. A null signal (a detector that was skipped) leaves the fusion, and the others' weights grow."""
-    out = windows.conformal_each(df, F.col("label") == 0, signals)
+def epoch(df: DataFrame, signals: list[str], weights: list[float], high: float, low: float, trust: DataFrame | None, keep: list[str] | None = None) -> DataFrame:
+    """Decisions with frozen weights, thresholds and trust (src, suspicion; None: df has suspicion): declarative, fully parallel. keep: further columns of df that stay. A null signal (a detector that was skipped) leaves the fusion, and the others' weights grow."""
+    used = dict.fromkeys(["seq", "src", "label", *signals, *(keep or []), *(c for c in ("unknown", "suspicion") if c in df.columns and (c == "unknown" or trust is None))])
+    out = windows.conformal_each(df.select(*used), F.col("label") == 0, signals)
     pairs = list(zip(weights, signals, strict=True))
     there = sum((F.when(F.col(d).isNotNull(), w).otherwise(0.0) for w, d in pairs), F.lit(0.0))
     raw = sum((F.when(F.col(d).isNotNull(), w * (1 - F.col(f"p_{d}"))).otherwise(0.0) for w, d in pairs), F.lit(0.0)) / F.when(there > 0, there).otherwise(1.0) * sum(weights)
-    out = out.withColumn("raw", raw).join(trust, "src", "left").withColumn("suspicion", F.coalesce("suspicion", F.lit(0.5)))
+    out = out.withColumn("raw", raw)
+    out = (out if trust is None else out.join(trust, "src", "left")).withColumn("suspicion", F.coalesce("suspicion", F.lit(0.5)))
     out = out.withColumn("fused", fx.trust_modulated(F.col("raw"), F.col("suspicion")))
     d = fx.choose_action(F.col("fused"), F.lit(high), F.lit(low), F.col("suspicion"), F.col("unknown") if "unknown" in df.columns else F.lit(False))
     return out.withColumn("d", d).select("seq", *(keep or []), F.col("fused").alias("score"), "raw", "suspicion", "d.action", "d.severity")
@@ -123,17 +125,18 @@ def processed(flows: DataFrame, span_us: int = 2_000_000, iat_scale: float = 50.
     labelled rows. With watts and a budget, costly detectors (rrcf, sr, sup) don't
     count for unsuspicious rows over the budget.
     """
-    seen = cut(windows.features(flows, span_us, iat_scale, full_rate))
-    trust = folds.trust_final(flows.filter(F.col("label").isNotNull()), "src", F.col("label")).select("src", fx.suspicion(F.col("a"), F.col("b"), F.col("seen")).alias("suspicion"))
+    trust = folds.trust_final(flows.filter(F.col("label").isNotNull()), "src", F.col("label")).select(F.col("src").alias("__src"), fx.suspicion(F.col("a"), F.col("b"), F.col("seen")).alias("__s"))
+    made = windows.features(flows, span_us, iat_scale, full_rate)
+    gated = watts is not None and watt_budget > 0
+    kept = [c for c in ("us", "src", "dst", "port", "proto", "label", "family") if c in flows.columns]
+    rows = made.select("seq", *kept, *FEATURES, *([watts.alias("__watts")] if gated else []))
+    seen = stored(rows.join(trust, F.col("src") == F.col("__src"), "left").drop("__src"))
     scored = detectors.bank(seen, FEATURES, "label", "src", F.col("f_pps") + 0.3 * F.col("f_fanout"))
-    if watts is not None and watt_budget > 0:
-        gated = scored.withColumn("__watts", watts).join(trust.withColumnRenamed("suspicion", "__s"), "src", "left")
+    if gated:
         skip = mesh.energy_gate(F.col("__watts"), F.coalesce("__s", F.lit(0.5)), watt_budget)
-        scored = gated.withColumns({d: F.when(~skip, F.col(d)) for d in ("rrcf", "sr", "sup")}).drop("__watts", "__s")
-    scored = cut(scored)
-    kept = ["us", "src", "dst", "port", "proto", "label", "family"]
+        scored = scored.withColumns({d: F.when(~skip, F.col(d)) for d in ("rrcf", "sr", "sup")})
     share = 1 / len(detectors.BANK)
-    return epoch(scored.drop("score", "suspicion", "raw"), detectors.BANK, [share] * len(detectors.BANK), high, low, trust, [c for c in kept if c in flows.columns])
+    return epoch(scored.withColumnRenamed("__s", "suspicion"), detectors.BANK, [share] * len(detectors.BANK), high, low, None, kept)
 
 
 def snapshot(decided: DataFrame, shown: DataFrame, rule_hit: Column, budget: float = 0.02) -> DataFrame:

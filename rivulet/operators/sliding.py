@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FIXED = 1 << 44
+FAR = (1 << 63) - 1
 STRETCH = 8
 STATISTICS = {"n": T.LongType(), "fanout": T.LongType(), "entropy": T.DoubleType(), "bytes": T.DoubleType(), "gap_us": T.LongType()}
 MARKER, CONTEXT, OWN = -1, 0, 1
@@ -96,13 +97,15 @@ class _Held:
     def __init__(self, batch: pa.RecordBatch):
         n = batch.num_rows
         self.batch, self.open = batch, 0
-        self.values = {"n": np.zeros(n, np.int64), "fanout": np.zeros(n, np.int64), "entropy": np.zeros(n), "bytes": np.zeros(n), "gap_us": np.full(n, -1)}
+        # plain lists: rows are set one at a time
+        self.values = {"n": [0] * n, "fanout": [0] * n, "entropy": [0.0] * n, "bytes": [0.0] * n, "gap_us": [-1] * n}
 
     def finished(self, names: list[str]) -> pa.RecordBatch:
         keep = self.batch.column("__kind").to_numpy() == OWN
         known = self.batch.column("__us").is_valid().to_numpy(zero_copy_only=False)
         mask = ~known
-        added = [pa.array(v, mask=mask | (v < 0) if k == "gap_us" else mask) for k, v in self.values.items()]
+        values = {k: np.array(v, np.float64 if k in ("entropy", "bytes") else np.int64) for k, v in self.values.items()}
+        added = [pa.array(v, mask=mask | (v < 0) if k == "gap_us" else mask) for k, v in values.items()]
         out = pa.RecordBatch.from_arrays([*(self.batch.column(c) for c in names), *added], names=[*names, *STATISTICS])
         return out.filter(pa.array(keep))
 
@@ -117,7 +120,11 @@ def slid(batches: Iterator[pa.RecordBatch], span_us: int, names: list[str]) -> I
         values = window.values()
         for held, a, b in ranges:
             for name, v in zip(("n", "fanout", "entropy", "bytes"), values, strict=True):
-                held.values[name][a:b] = v
+                own = held.values[name]
+                if b == a + 1:
+                    own[a] = v
+                else:
+                    own[a:b] = [v] * (b - a)
             held.open -= 1
         ranges.clear()
 
@@ -141,7 +148,7 @@ def slid(batches: Iterator[pa.RecordBatch], span_us: int, names: list[str]) -> I
                 now = us
                 window.forget(us)
             window.add(us, port, target, size)
-            held.values["gap_us"][i] = us - last if last is not None else np.iinfo(np.int64).max if earlier else -1
+            held.values["gap_us"][i] = us - last if last is not None else FAR if earlier else -1
             last = us
             if ranges and ranges[-1][0] is held and ranges[-1][2] == i:
                 ranges[-1] = (held, ranges[-1][1], i + 1)

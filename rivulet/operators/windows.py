@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import flow as fx
 from . import sliding
+from .lineage import stored
 from .ordered import in_ranges, range_bucket, running_totals
 
 
@@ -70,22 +71,30 @@ def conformal(df: DataFrame, calibration: Column, score: str = "score") -> DataF
     return df.join(run, score).join(F.broadcast(total)).withColumn("p", (1 + F.col("__above")) / (F.col("__n") + 1)).drop("__above", "__n")
 
 
-def conformal_each(df: DataFrame, calibration: Column, scores: list[str], buckets: int = 1024) -> DataFrame:
-    """df with p_<score> for several scores in 0 to 1, as conformal gives each: one pass counts all, so df is read twice whatever their number. A null score has a null p."""
-    cells = F.array(*(F.struct(F.lit(i).alias("i"), F.col(c).alias("s")) for i, c in enumerate(scores)))
-    marks = df.select(calibration.cast("int").alias("c"), F.explode(cells).alias("x")).filter(F.col("x.s").isNotNull()).groupBy("x.i", "x.s").agg(F.sum("c").cast("double").alias("c"))
-    placed = marks.withColumn("b", range_bucket(F.col("s"), 0.0, 1.0, buckets))
-    offsets = placed.groupBy("i", "b").agg(F.sum("c").alias("t"))
+def conformal_each(df: DataFrame, calibration: Column, scores: list[str], buckets: int = 4096) -> DataFrame:
+    """df with p_<score> for several scores in 0 to 1, as conformal gives each. A null score has a null p.
+
+    Rows are kept (lineage.stored) with a number each. What is ordered, by ranges of value, is a
+    number, a score and a flag for each score of a row; a row's values meet by its number,
+    and only then the row, once whatever the number of scores. A range's lower end is a range
+    of its own, and rows of a range with one value aren't ordered, so a million scores of 0 or 1 are many tasks' work.
+    """
+    rows = stored(df.withColumns({"__row": F.monotonically_increasing_id(), "__cal": F.coalesce(calibration.cast("int"), F.lit(0))}))
+    cells = F.array(*(F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("s")) for i, c in enumerate(scores)))
+    each = rows.select("__row", "__cal", F.explode(cells).alias("x")).filter(F.col("x.s").isNotNull()).select("__row", "__cal", "x.i", "x.s")
+    place = F.least(F.lit(buckets), F.greatest(F.lit(0), F.floor(F.col("s") * buckets)))
+    placed = each.withColumn("b", F.when(F.col("s") < 0, -1).otherwise(2 * place + (F.col("s") * buckets > place).cast("int")))
     down = Window.partitionBy("i").orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = offsets.select("i", "b", F.coalesce(F.sum("t").over(down), F.lit(0.0)).alias("before"), F.sum("t").over(Window.partitionBy("i")).alias("n"))
-    inside = Window.partitionBy("i", "b").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    run = placed.join(F.broadcast(offsets), ["i", "b"]).select("i", "s", ((1 + F.col("before") + F.sum("c").over(inside)) / (F.col("n") + 1)).alias("p"))
-    # nulls find nothing: below zero, so that they are spread over many tasks instead of one
-    spread = -1.0 - F.pmod(F.xxhash64(*df.columns), F.lit(4096))
-    out = df.withColumns({f"__k{i}": F.coalesce(F.col(c).cast("double"), spread) for i, c in enumerate(scores)})
-    for i, c in enumerate(scores):
-        out = out.join(run.filter(F.col("i") == i).select(F.col("s").cast("double").alias(f"__k{i}"), F.col("p").alias(f"p_{c}")), f"__k{i}", "left")
-    return out.drop(*(f"__k{i}" for i in range(len(scores))))
+    ranges = placed.groupBy("i", "b").agg(F.sum("__cal").alias("t"), (F.min("s") == F.max("s")).alias("one"))
+    ranges = ranges.select("i", "b", "t", "one", F.coalesce(F.sum("t").over(down), F.lit(0)).alias("before"), F.sum("t").over(Window.partitionBy("i")).alias("n"))
+    # one number for score, range and part: sorts compare it first, and rarely need the score
+    part = F.when(F.col("one"), 1 + F.pmod("__row", F.lit(1023))).otherwise(0)
+    found = placed.join(F.broadcast(ranges), ["i", "b"]).withColumn("group", (F.col("i") * (2 * buckets + 3) + F.col("b") + 1) * 1024 + part)
+    inside = F.sum("__cal").over(Window.partitionBy("group").orderBy(F.desc("s")))  # equal scores count together
+    above = F.col("before") + F.when(F.col("one"), F.col("t")).otherwise(inside)
+    p = found.select("__row", "i", ((1 + above) / (F.col("n") + 1)).alias("p"))
+    wide = p.groupBy("__row").agg(*(F.max(F.when(F.col("i") == i, F.col("p"))).alias(f"p_{c}") for i, c in enumerate(scores)))
+    return rows.join(wide, "__row", "left").drop("__row", "__cal")
 
 
 def ecod(df: DataFrame, columns: list[str]) -> DataFrame:
