@@ -116,6 +116,11 @@ def possible(rows: DataFrame, sizes: DataFrame, drop: int) -> DataFrame:
     return far.join(spread, F.col("key").eqNullSafe(F.col("__k"))).filter(low <= best).select("key", "id", "v")
 
 
+def candidates(rows: DataFrame, sizes: DataFrame, drop: int) -> DataFrame:
+    """possible(), of equal vectors the one with the smallest id: they have one score, so the others can't come first. Copies in a table don't make more candidates."""
+    return possible(rows, sizes, drop).groupBy("key", "v").agg(F.min("id").alias("id")).select("key", "id", "v")
+
+
 def krum(vectors: DataFrame, key: str, id_column: str, vector: str, faulty: int = 1, block: int = 512) -> DataFrame:
     """(key, id, score): of each group of peers, the vector nearest to its n - faulty - 2 nearest; ties to the smaller id. Groups too small for that have no row (see robust).
 
@@ -129,7 +134,7 @@ def krum(vectors: DataFrame, key: str, id_column: str, vector: str, faulty: int
     rows = vectors.filter(F.col(vector).isNotNull() & F.col(id_column).isNotNull()).select(F.col(key).alias("key"), F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("long")).filter((F.col("n") > 2) & (F.col("n") > faulty + 2)).withColumnRenamed("key", "__group")
     drop = faulty + 1
-    chosen = cut(possible(rows, sizes, drop))
+    chosen = cut(candidates(rows, sizes, drop))
     few = chosen.groupBy("key").agg(F.ceil(F.count("*") / block).cast("long").alias("askers")).withColumnRenamed("key", "__few")
     sizes = sizes.join(few, F.col("__group").eqNullSafe(F.col("__few"))).drop("__few")
     placed = lambda df: df.join(sizes, F.col("key").eqNullSafe(F.col("__group")))

@@ -19,3 +19,16 @@ def test_few_rows_can_be_the_nearest(spark):
         x = np.array([v for _, v in own])
         d = np.sort(((x[:, None] - x[None]) ** 2).sum(-1), axis=1)[:, :-2].sum(1)
         assert out[g][0] == own[int(d.argmin())][0] and abs(out[g][1] - d.min()) < 1e-6
+
+
+def test_copies_are_no_further_candidates(spark):
+    draw = np.random.default_rng(5)
+    vectors = draw.normal(0, 1, (40, 6)).tolist()
+    df = spark.createDataFrame([(1, 1000 - i, vectors[i % 40]) for i in range(800)], "key long, id long, v array<double>").repartition(5)
+    sizes = df.groupBy(F.col("key").alias("__group")).agg(F.count("*").alias("n"))
+    found = mesh.candidates(df, sizes, 2).collect()
+    assert len(found) == len({tuple(r.v) for r in found}) == mesh.possible(df, sizes, 2).select("v").distinct().count() <= 40
+    x = np.array([vectors[i % 40] for i in range(800)])
+    d = np.sort(((x[:, None] - x[None]) ** 2).sum(-1), axis=1)[:, :-2].sum(1)
+    out = mesh.krum(df, "key", "id", "v", block=64).first()
+    assert out.id == min(1000 - i for i in range(800) if abs(d[i] - d.min()) < 1e-9) and abs(out.score - d.min()) < 1e-6
