@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .folds import Recent
+from .lineage import spread
 from .ordered import running_totals
 
 STRETCH = 8192
@@ -99,7 +100,8 @@ def rolling_cutoffs(df: DataFrame, p: str = "p", window: int = 500, q: float = 0
     later = [F.struct((own + k).alias("s"), F.lit(False).alias("own")) for k in range(1, reach + 1)]
     twice = F.concat(once, F.array(*later))
     placed = one.withColumns({"__at": number, "__p": F.coalesce(F.nanvl(F.col(p).cast("double"), F.lit(1.0)), F.lit(1.0))}).withColumn("__s", F.explode(F.when(place >= STRETCH * reach - (window - 1), twice).otherwise(once) if reach == 1 else twice))
-    dealt = placed.select(*df.columns, "__at", "__p", F.col("__s.s").alias("__stretch"), F.col("__s.own").alias("__own")).repartition("__stretch").sortWithinPartitions("__stretch", "__at")
+    dealt = placed.select(*df.columns, "__at", "__p", F.col("__s.s").alias("__stretch"), F.col("__s.own").alias("__own"))
+    dealt = spread(dealt, "__stretch").sortWithinPartitions("__stretch", "__at")
     schema = T.StructType([*df.schema.fields, T.StructField("cutoff", T.DoubleType())])
     names = df.columns
 

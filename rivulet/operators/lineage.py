@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,3 +29,8 @@ def stored(df: DataFrame) -> DataFrame:
     folder = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """df dealt by keys over all of the session's shuffle partitions. Without their number, adaptive execution joins them by size into hardly more tasks than cores, and where a row takes long in Python the last tasks keep the others waiting."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

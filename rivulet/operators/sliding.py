@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .lineage import spread
+
 FIXED = 1 << 44
 FAR = (1 << 63) - 1
 STRETCH = 8
@@ -184,7 +186,7 @@ def statistics(df: DataFrame, span_us: int, reach_us: int = 0, key: str = "src",
     later = known.withColumn("__first", F.min("__stretch").over(Window.partitionBy("__key"))).filter(F.col("__stretch") > F.col("__first"))
     nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in placed.schema if f.name not in ("__key", "__stretch", "__kind")]
     markers = later.select("__key", "__stretch", F.lit(MARKER).alias("__kind"), *nothing).select(*placed.columns)
-    every = placed.union(markers).repartition("__key", "__stretch").sortWithinPartitions("__key", "__stretch", F.col("__kind") >= 0, "__us", "__seq")
+    every = spread(placed.union(markers), "__key", "__stretch").sortWithinPartitions("__key", "__stretch", F.col("__kind") >= 0, "__us", "__seq")
     names = df.columns
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in STATISTICS.items())])
     return every.mapInArrow(lambda batches: slid(batches, span_us, names), schema)

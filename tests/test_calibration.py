@@ -38,3 +38,8 @@ def test_boxes_of_cases_of_all_sizes():
     for i, (a, n) in enumerate(zip(begin, held, strict=True)):
         own = x[points[a : a + n]]
         assert (values[low[i, :3] + first] == own.min(0)).all() and (values[high[i, :3] + first] == own.max(0)).all()
+
+
+def test_costly_stages_are_not_coalesced(spark):
+    df = spark.range(40).select(F.col("id").alias("seq"), F.col("id").alias("us"), (F.col("id") % 9).cast("string").alias("src"), F.rand(1).alias("a"))
+    assert detectors.random_cuts(df, "src", ["a"]).rdd.getNumPartitions() == 4
