@@ -5,7 +5,9 @@ padding id beyond the ends of its text): their embeddings go through a tanh
 layer to a softmax in two steps, class of word and word in its class. The
 commonest words of the corpus have ids of their own, others share ids by hash;
 to these the log of the word's share of all words with its id is added, from
-the counts of all words, by a join. A word that no document had counts as one.
+the counts of all words: of words that make a FREQUENT-th of all or more (so at
+most FREQUENT different ones) from a table that tasks hold, of others by a join.
+A word that no document had counts as one.
 Word counts come from all documents. Training masks each word of every document
 once a round, in ``every`` turns by residues of position and hash: each task
 trains its copy of the network in numpy, by steps that shrink with the sum of
@@ -38,7 +40,10 @@ IDS = CLASSES * MEMBERS
 PAD = IDS
 WINDOW, WIDTH, HIDDEN = 2, 16, 32
 SHARD_WORDS = 2_000_000
+FREQUENT = 1 << 20
+BLOCK = 64
 SHAPES = {"embedding": (IDS + 1, WIDTH), "inner": (2 * WINDOW * WIDTH, HIDDEN), "inner_bias": (HIDDEN,), "classes": (HIDDEN, CLASSES), "class_bias": (CLASSES,), "members": (CLASSES, HIDDEN, MEMBERS), "member_bias": (CLASSES, MEMBERS)}
+PAIRS = np.arange((IDS + 1) * WIDTH // 2).reshape(IDS + 1, -1)  # places of an embedding's pairs of numbers
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
 
@@ -70,6 +75,12 @@ class Vocabulary:
         self.lookup = Lookup(hashes[: IDS - SHARED])
         self.totals = np.zeros(SHARED)  # words with each shared id
         self.counts: DataFrame | None = None  # (word, n) of all words; without it no shares are added
+        self.remember(np.empty(0, U64), np.empty(0))
+
+    def remember(self, hashes: np.ndarray, n: np.ndarray) -> None:
+        """Words whose shares need no join, and their counts."""
+        self.frequent = Lookup(hashes)
+        self.frequent_counts = n[np.argsort(hashes)]
 
     def __getstate__(self):
         return self.__dict__ | {"counts": None}
@@ -79,41 +90,104 @@ class Vocabulary:
         return np.where(slot >= 0, slot, IDS - SHARED + (mix(h * MULTIPLIERS[25]) % U64(SHARED)).astype(np.int64))
 
 
-def contexts(ids: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The ids around the places at: len(at) x 2 WINDOW."""
-    out = np.full((len(at), 2 * WINDOW), PAD, np.int64)
+def padded(ids: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids with WINDOW padding ids around each row's, and their places there."""
+    row_number = np.cumsum(np.append(0, row[1:] != row[:-1]))[: len(ids)]
+    place = np.arange(len(ids)) + WINDOW * (row_number + 1)
+    out = np.full(place[-1] + WINDOW + 1 if len(ids) else 0, PAD, np.int64)
+    out[place] = ids
+    return out, place
+
+
+def around(spaced: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The ids around places of padded ids: len(place) x 2 WINDOW."""
+    out = np.empty((len(place), 2 * WINDOW), np.int64)
     for k, shift in enumerate([s for s in range(-WINDOW, WINDOW + 1) if s]):
-        other = at + shift
-        ok = (other >= 0) & (other < len(ids))
-        ok[ok] = row[other[ok]] == row[at[ok]]
-        out[ok, k] = ids[other[ok]]
+        out[:, k] = spaced.take(place + shift)
     return out
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
+def contexts(ids: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The ids around the words at: len(at) x 2 WINDOW."""
+    spaced, place = padded(ids, row)
+    return around(spaced, place[at])
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b for a long and narrow a, by blocks of rows: BLAS multiplies small matrices in place and copies larger ones first."""
+    out = np.empty((len(a), b.shape[1]), a.dtype)
+    whole = len(a) - len(a) % BLOCK
+    np.matmul(a[:whole].reshape(-1, BLOCK, a.shape[1]), b, out=out[:whole].reshape(-1, BLOCK, b.shape[1]))
+    np.matmul(a[whole:], b, out=out[whole:])
+    return out
+
+
+def cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b, by blocks of rows."""
+    whole = len(a) - len(a) % BLOCK
+    parts = np.matmul(a[:whole].reshape(-1, BLOCK, a.shape[1]).transpose(0, 2, 1), b[:whole].reshape(-1, BLOCK, b.shape[1]))
+    return parts.sum(0) + a[whole:].T @ b[whole:]
+
+
+def shifted(z: np.ndarray) -> np.ndarray:
+    """z so that its exponentials neither overflow nor vanish: less each row's largest, where any number is large."""
+    if z.size and (z.min() < -80 or z.max() > 80):
+        z -= z.max(1, keepdims=True)
     return z
 
 
-def softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
+def chosen_logs(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each row's log-softmax the number at; z is overwritten."""
+    shifted(z)
+    out = z.ravel().take(np.arange(0, z.size, z.shape[1]) + at)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    return out - np.log(z @ np.ones(z.shape[1], z.dtype))
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    np.exp(shifted(z), out=z)
+    z *= (1 / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
+    return z
+
+
+def by_class(context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Order of the words by class; in it their contexts, classes and members, and (class, first, end) of each class."""
+    group, member = np.divmod(target, MEMBERS)
+    group = group.astype(np.uint8)  # small numbers are sorted by their digits
+    order = np.argsort(group, kind="stable")
+    group = group.take(order)
+    bounds = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
+    spans = [(c, a, b) for c, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
+    return order, context.take(order, axis=0), group, member.take(order), spans
+
+
+def layers(w: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Embeddings of the contexts, and the hidden layer."""
+    x = w["embedding"].take(context.ravel(), axis=0).reshape(len(context), -1)
+    hidden = product(x, w["inner"])
+    hidden += w["inner_bias"]
+    return x, np.tanh(hidden, out=hidden)
+
+
+def class_scores(w: dict[str, np.ndarray], hidden: np.ndarray) -> np.ndarray:
+    z = product(hidden, w["classes"])
+    z += w["class_bias"]
+    return z
+
+
+def member_scores(w: dict[str, np.ndarray], hidden: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    z = np.empty((len(hidden), MEMBERS), np.float32)
+    for c, a, b in spans:
+        np.dot(hidden[a:b], w["members"][c], out=z[a:b])
+        z[a:b] += w["member_bias"][c]
     return z
 
 
 def log_probabilities(w: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
+    order, context, group, member, spans = by_class(context, target)
+    _, hidden = layers(w, context)
     out = np.empty(len(target), np.float32)
-    hidden = np.tanh(w["embedding"][context].reshape(len(target), -1) @ w["inner"] + w["inner_bias"])
-    group, member = target // MEMBERS, target % MEMBERS
-    out[:] = log_softmax(hidden @ w["classes"] + w["class_bias"])[np.arange(len(target)), group]
-    order = np.argsort(group, kind="stable")
-    bounds = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        at = order[bounds[c] : bounds[c + 1]]
-        if len(at):
-            out[at] += log_softmax(hidden[at] @ w["members"][c] + w["member_bias"][c])[np.arange(len(at)), member[at]]
+    out[order] = chosen_logs(class_scores(w, hidden), group) + chosen_logs(member_scores(w, hidden, spans), member)
     return out
 
 
@@ -125,38 +199,43 @@ def train_step(w: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray
     """One step on a batch, down its summed gradient; a weight's step is divided by the root of its squared gradients so far (squares, which grow)."""
     squares = unpacked(first_squares()) if squares is None else squares
 
-    def move(name: str, gradient: np.ndarray, at=...) -> None:
-        total = squares[name][at] + gradient * gradient
-        squares[name][at] = total
-        w[name][at] -= rate * gradient / np.sqrt(total)
+    def move(name: str, gradient: np.ndarray) -> None:
+        total = squares[name]
+        total += gradient * gradient
+        gradient *= rate
+        gradient /= np.sqrt(total)
+        w[name] -= gradient
 
     n = len(target)
-    x = w["embedding"][context].reshape(n, -1)
-    hidden = np.tanh(x @ w["inner"] + w["inner_bias"])
-    group, member = target // MEMBERS, target % MEMBERS
-    d = softmax(hidden @ w["classes"] + w["class_bias"])
-    d[np.arange(n), group] -= 1
-    back = d @ w["classes"].T
-    order = np.argsort(group, kind="stable")
-    bounds = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        at = order[bounds[c] : bounds[c + 1]]
-        if len(at):
-            e = softmax(hidden[at] @ w["members"][c] + w["member_bias"][c])
-            e[np.arange(len(at)), member[at]] -= 1
-            back[at] += e @ w["members"][c].T
-            move("members", hidden[at].T @ e, c)
-            move("member_bias", e.sum(0), c)
-    move("classes", hidden.T @ d)
-    move("class_bias", d.sum(0))
-    back *= 1 - hidden**2
-    into = (back @ w["inner"].T).reshape(n * 2 * WINDOW, WIDTH)
-    move("inner", x.T @ back)
-    move("inner_bias", back.sum(0))
-    flat = context.ravel()
-    order = np.argsort(flat, kind="stable")
-    first = np.flatnonzero(np.append(True, flat[order][1:] != flat[order][:-1]))
-    move("embedding", np.add.reduceat(into[order], first), flat[order][first])
+    one = np.ones(n, np.float32)
+    first = np.arange(n)
+    _, context, group, member, spans = by_class(context, target)
+    x, hidden = layers(w, context)
+    d = softmax(class_scores(w, hidden))
+    d.ravel()[first * CLASSES + group] -= 1
+    e = softmax(member_scores(w, hidden, spans))
+    e.ravel()[first * MEMBERS + member] -= 1
+    back = np.empty_like(hidden)
+    members, member_bias = np.zeros_like(w["members"]), np.zeros_like(w["member_bias"])
+    turned = np.ascontiguousarray(w["members"].transpose(0, 2, 1))
+    for c, a, b in spans:
+        np.dot(e[a:b], turned[c], out=back[a:b])
+        np.dot(hidden[a:b].T, e[a:b], out=members[c])
+        np.dot(one[a:b], e[a:b], out=member_bias[c])
+    back += product(d, np.ascontiguousarray(w["classes"].T))
+    move("members", members)
+    move("member_bias", member_bias)
+    move("classes", cross(hidden, d))
+    move("class_bias", one @ d)
+    hidden *= hidden
+    back *= np.subtract(1, hidden, out=hidden)
+    into = product(back, np.ascontiguousarray(w["inner"].T))
+    move("inner", cross(x, back))
+    move("inner_bias", one @ back)
+    # two numbers are added at once, as one complex number
+    pairs = np.zeros((IDS + 1) * WIDTH // 2, np.complex64)
+    np.add.at(pairs, PAIRS.take(context.ravel(), axis=0).ravel(), into.ravel().view(np.complex64))
+    move("embedding", pairs.view(np.float32).reshape(IDS + 1, WIDTH))
 
 
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
@@ -187,7 +266,7 @@ def shared_totals(counted: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
 
 
 def share_sums(df: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
-    """(key, share): for each text's hash, the sum of the logs of its words' shares of their ids."""
+    """(key, share): for each text's hash, the sum of the logs of its words' shares of their ids, frequent words left out."""
     sent = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,6 +276,7 @@ def share_sums(df: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
             for a, b in row_groups(offsets):
                 found = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 at = np.flatnonzero(sent.value.ids(found.hash) >= IDS - SHARED)
+                at = at[sent.value.frequent.find(found.hash[at]) < 0]
                 order = at[np.lexsort((found.hash[at], found.row[at]))]
                 row, h = found.row[order], found.hash[order]
                 first = np.append(True, row[1:] != row[:-1])[: len(row)]
@@ -220,7 +300,8 @@ def share_sums(df: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
 
 def dealt(h: np.ndarray, every: int) -> np.ndarray:
     """The places of all words, in order of their turns: one of every residues of position and hash."""
-    return np.argsort(mix(h + np.arange(len(h), dtype=U64) * MULTIPLIERS[26]) % U64(every), kind="stable")
+    turn = mix(h + np.arange(len(h), dtype=U64) * MULTIPLIERS[26]) % U64(every)
+    return np.argsort(turn.astype(np.uint8) if every <= 256 else turn, kind="stable")
 
 
 class WindowModel:
@@ -232,13 +313,16 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = 2, every: int = 8, ra
     """Fits on all documents; nothing gathered on the driver depends on their number. Word counts stay in the shared folder, for scoring."""
     small_batches(docs.sparkSession)
     counted = stored(word_counts(docs, text), "word-counts")  # used by the ids, their totals and the shares
-    tasks = max(1, (counted.agg(F.sum("n")).first()[0] or 0) // SHARD_WORDS)
+    n_words = counted.agg(F.sum("n")).first()[0] or 0
+    tasks = max(1, n_words // SHARD_WORDS)
     top = counted.orderBy(F.desc("n"), "word").limit(IDS - SHARED).collect()
     vocabulary = Vocabulary(np.array([r.word for r in top], np.int64).view(U64))
     counts = np.zeros(IDS)
     counts[vocabulary.ids(np.array([r.word for r in top], np.int64).view(U64))] = [r.n for r in top]
     vocabulary.totals = shared_totals(counted, vocabulary)
     vocabulary.counts = counted
+    frequent = counted.filter(F.col("n") * FREQUENT >= n_words).collect()
+    vocabulary.remember(np.array([r.word for r in frequent], np.int64).view(U64), np.array([r.n for r in frequent], np.float64))
     counts[IDS - SHARED :] = max(1.0, vocabulary.totals.sum() / SHARED)
     model = WindowModel(vocabulary, start(counts))
     for turn in range(rounds):
@@ -254,9 +338,9 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = 2, every: int = 8, ra
                     found = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                     ids = sent.value.vocabulary.ids(found.hash)
                     at = dealt(found.hash, every)
-                    context = contexts(ids, found.row, at)
+                    spaced, place = padded(ids, found.row)
                     for k in range(0, len(at), batch):
-                        train_step(w, context[k : k + batch], ids[at[k : k + batch]], rate / (1 + turn), squares)
+                        train_step(w, around(spaced, place[at[k : k + batch]]), ids[at[k : k + batch]], rate / (1 + turn), squares)
                     n += len(at)
             if n:
                 yield vector_parts(np.append(flat.astype(np.float64), 1.0) * n)
@@ -270,7 +354,7 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = 2, every: int = 8, ra
 def scored(df: DataFrame, text: str, model: WindowModel, keep_text: bool = True) -> DataFrame:
     """df with n_words, pseudo_log_likelihood (the sum) and mean_log_probability.
 
-    Shuffles the words that share ids, and each row to meet its text's shares: without keep_text the result has no
+    Shuffles the words that share ids and aren't frequent, and each row to meet its text's shares: without keep_text the result has no
     text, and none is shuffled.
     """
     small_batches(df.sparkSession)
@@ -280,16 +364,21 @@ def scored(df: DataFrame, text: str, model: WindowModel, keep_text: bool = True)
     kept = [c for c in df.columns if keep_text or c != text]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = unpacked(sent.value.flat)
+        w, vocabulary = unpacked(sent.value.flat), sent.value.vocabulary
         for batch in batches:
             data, offsets = utf8(batch.column(text))
             count, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for a, b in row_groups(offsets):
                 found = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                ids = sent.value.vocabulary.ids(found.hash)
-                for k in range(0, len(ids), 1 << 14):
-                    at = np.arange(k, min(len(ids), k + (1 << 14)))
-                    total[a:b] += np.bincount(found.row[at], log_probabilities(w, contexts(ids, found.row, at), ids[at]), b - a)
+                ids = vocabulary.ids(found.hash)
+                spaced, place = padded(ids, found.row)
+                for k in range(0, len(ids), 1 << 13):
+                    at = slice(k, k + (1 << 13))
+                    total[a:b] += np.bincount(found.row[at], log_probabilities(w, around(spaced, place[at]), ids[at]), b - a)
+                rare = np.flatnonzero(ids >= IDS - SHARED)
+                slot = vocabulary.frequent.find(found.hash[rare])
+                rare, n = rare[slot >= 0], vocabulary.frequent_counts[slot[slot >= 0]]
+                total[a:b] += np.bincount(found.row[rare], np.log(n / vocabulary.totals[ids[rare] - (IDS - SHARED)]), b - a)
                 count[a:b] = np.bincount(found.row, minlength=b - a)
             mean = pa.array(total / np.maximum(count, 1), mask=count == 0)
             names = [c for c in batch.schema.names if keep_text or c != text]

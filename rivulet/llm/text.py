@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 20
+PIECE = 1 << 17  # bytes whose 64-bit numbers stay near the processor
 U64 = np.uint64
 
 _rng = np.random.default_rng(20240229)
@@ -42,7 +43,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of BASE and of its inverse modulo 2**64."""
-    size = 1 << max(10, int(n - 1).bit_length())
+    size = max([1 << max(10, int(n - 1).bit_length()), *_powers])
     if size not in _powers:
         _powers.clear()
         both = []
@@ -132,9 +133,9 @@ class Words:
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = NON_WORD, latin: bool = True, prefixes: tuple[int, ...] = ()) -> Words:
     """Every word of every row. prefixes: lengths in characters; a shorter word's prefix is the word itself."""
     parts: list[tuple] = []
-    for first, last in row_groups(offsets):
+    for first, last in row_groups(offsets, PIECE):
         piece, at = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
-        for low, high in cuts(piece, table) if last == first + 1 else [(0, len(piece))]:
+        for low, high in cuts(piece, table, PIECE) if last == first + 1 else [(0, len(piece))]:
             inner = np.clip(at, low, high) - low
             row, h, length, start, short = _words(piece[low:high], inner, table, latin, prefixes)
             parts.append((row + first, h, length, start + low - at[row], short))

@@ -246,6 +246,58 @@ def test_lm_gradient():
     assert lm.log_probabilities(lm.unpacked(flat), context, target).sum() > before
 
 
+def test_lm_frequent_words_need_no_join(spark):
+    docs = spark.createDataFrame([(k, f"one two rare{k} Two") for k in range(50)] + [(None, None), (51, ""), (52, "never")], "doc_id long, text string").repartition(3)
+    model = lm.fit(docs, rounds=0)
+    few = lm.Vocabulary(model.vocabulary.lookup.known[:1])  # all but one word share ids
+    few.totals, few.counts = lm.shared_totals(model.vocabulary.counts, few), model.vocabulary.counts
+    asked = docs.union(spark.createDataFrame([(60, "unknown one")], docs.schema))
+    by_join = {r.doc_id: r for r in lm.scored(asked, "text", lm.WindowModel(few, model.flat)).collect()}
+    assert lm.share_sums(asked, "text", few).count() == 52  # a row for each text with words
+    few.remember(model.vocabulary.frequent.known, model.vocabulary.frequent_counts)
+    assert len(few.frequent.known) == 53 and few.frequent_counts.sum() == 201
+    assert lm.share_sums(asked, "text", few).count() == 1
+    rows = {r.doc_id: r for r in lm.scored(asked, "text", lm.WindowModel(few, model.flat)).collect()}
+    assert len(rows) == 54 and all(abs(rows[k].pseudo_log_likelihood - r.pseudo_log_likelihood) < 1e-4 and rows[k].n_words == r.n_words for k, r in by_join.items())
+
+
+def test_lm_step_is_the_plain_gradient():
+    draw = np.random.default_rng(3)
+    flat = lm.start(draw.integers(0, 9, lm.IDS).astype(float))
+    flat += draw.normal(0, 0.2, lm.SIZE).astype(np.float32)
+    for n, scale in ((1, 1), (200, 1), (130, 60)):  # less than a block, whole blocks and a rest, and scores that need a shift
+        w = lm.unpacked((flat * scale).astype(np.float32))
+        context, target = draw.integers(0, lm.IDS + 1, (n, 4)), draw.integers(0, lm.IDS, n)
+        v = {k: x.astype(float) for k, x in w.items()}
+        group, member = np.divmod(target, lm.MEMBERS)
+        x = v["embedding"][context].reshape(n, -1)
+        hidden = np.tanh(x @ v["inner"] + v["inner_bias"])
+        logs = []
+        gradient = {k: np.zeros_like(u) for k, u in v.items()}
+        back = np.zeros_like(hidden)
+        for z, at, name, bias in ((hidden @ v["classes"] + v["class_bias"], group, "classes", "class_bias"), (np.einsum("nh,nhm->nm", hidden, v["members"][group]) + v["member_bias"][group], member, "members", "member_bias")):
+            z -= z.max(1, keepdims=True)
+            logs.append(z[np.arange(n), at] - np.log(np.exp(z).sum(1)))
+            d = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+            d[np.arange(n), at] -= 1
+            if name == "classes":
+                gradient[name], gradient[bias] = hidden.T @ d, d.sum(0)
+                back += d @ v[name].T
+            else:
+                np.add.at(gradient[name], group, hidden[:, :, None] * d[:, None, :])
+                np.add.at(gradient[bias], group, d)
+                back += np.einsum("nm,nhm->nh", d, v[name][group])
+        assert np.allclose(lm.log_probabilities(w, context, target), sum(logs), atol=1e-3 * scale)
+        back *= 1 - hidden**2
+        gradient["inner"], gradient["inner_bias"] = x.T @ back, back.sum(0)
+        np.add.at(gradient["embedding"], context, (back @ v["inner"].T).reshape(n, 4, -1))
+        squares = lm.unpacked(lm.first_squares())
+        lm.train_step(w, context, target, 0.5, squares)
+        if scale == 1:
+            for k, g in gradient.items():
+                assert np.allclose(squares[k], 1 + g * g, rtol=1e-3, atol=1e-4) and np.allclose(w[k], v[k] - 0.5 * g / np.sqrt(1 + g * g), atol=1e-4), k
+
+
 def test_labelled_rows_are_bounded_and_not_held_out(corpus):
     docs, labels = corpus
     rows, totals = labelled(docs, labels, "toxic", per_class=10)
