@@ -43,7 +43,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of BASE and of its inverse modulo 2**64."""
-    size = max([1 << max(10, int(n - 1).bit_length()), *_powers])
+    size = max([1 << max(10, int(n - 1).bit_length()), *(k for k in _powers if k <= 2 * SLICE)])
     if size not in _powers:
         _powers.clear()
         both = []
