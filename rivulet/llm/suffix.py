@@ -16,7 +16,8 @@ Null and short texts lose nothing.
    prefixes, and finds all equal strings.
 4. Strings of an anchor that lies in several shards are merged: sorted runs of
    the shards, dealt by ranges of the key, are searched in each other (binary
-   search) for the earliest start.
+   search) for the earliest start, two by two, so the number of shards counts
+   by its logarithm.
 5. The runs of starts found are joined to the texts, once.
 """
 
@@ -35,7 +36,11 @@ from .common import discard, extended, small_batches, stored
 from .text import BYTE_VALUES, MULTIPLIERS, U64, mix, powers, row_groups, utf8
 
 #: Bytes of text that a shard gets, about; pieces of one anchor that a shard gets at most.
-SHARD_BYTES, ANCHOR_PIECES = 1 << 20, 1 << 11
+SHARD_BYTES, ANCHOR_PIECES = 1 << 18, 1 << 11
+#: Bytes of text whose 64-bit numbers stay near the processor while anchors are chosen.
+NEAR = 1 << 16
+#: Shards that a task gets, about. Adaptive execution would deal them by size into few tasks.
+TASK_SHARDS = 32
 #: at = hash of the text << 39 | start << 7 | number of starts
 START_BITS, COUNT_BITS = 39, 7
 
@@ -47,9 +52,10 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     key = np.ndarray(n, ">u8", padded, strides=(1,)).astype(U64)
-    order = np.argsort(key, kind="stable")
-    new = np.append(True, key[order][1:] != key[order][:-1])
-    tail = order >= n - 7  # zero bytes that only pad sort before real ones: the shorter suffix first
+    order = np.argsort(key)  # the order of equal ones is settled below
+    ordered = key[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])
+    tail = (order >= n - 7) & ~(new & np.append(new[1:], True))  # zero bytes that only pad sort before real ones: the shorter suffix first
     if tail.any():
         ranked = np.lexsort((np.minimum(n - order, 8), np.cumsum(new)))
         order, new = order[ranked], new[ranked]
@@ -144,7 +150,7 @@ def pieces(docs: DataFrame, length: int) -> DataFrame:
         limit = (1 << 20) - 1
         for batch in batches:
             data, offsets = utf8(batch.column(2))
-            for low, high in row_groups(offsets, limit):
+            for low, high in row_groups(offsets, NEAR):
                 begin, end = offsets[low], offsets[high]
                 for cut in range(begin, max(begin + 1, end - length + 1), limit - length + 1):
                     stop = min(end, cut + limit) if high == low + 1 else end
@@ -201,27 +207,30 @@ def shard_repeats(length: int):
         data, offsets = utf8(table.column("body"))
         order = suffix_array(data)
         same = common_prefixes(data, order) >= length
-        owner = np.searchsorted(offsets, order, "right") - 1
-        fits = offsets[owner + 1] - order >= length
-        group = np.cumsum(~same)[fits]
-        where, owner = order[fits], owner[fits]
+        piece = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        fits = (offsets[piece + 1] - np.arange(len(data)) >= length)[order]
+        group, where = np.cumsum(~same)[fits], order[fits]
+        owner = piece[where]
         doc = table.column("doc").to_numpy()[owner]
         at0 = table.column("at").to_numpy()[owner]
         at = (at0 >> COUNT_BITS) + (where - offsets[owner])  # text and start
+        new = np.append(True, group[1:] != group[:-1]) if len(group) else np.empty(0, bool)
+        single = new & np.append(new[1:], True)[: len(new)]
         # one string can be in one place twice: by pieces that overlap at a cut; then it's one occurrence
-        rank = np.lexsort((at, doc, group))
-        group, doc, at, owner, where = group[rank], doc[rank], at[rank], owner[rank], where[rank]
-        first = np.append(True, group[1:] != group[:-1]) if len(group) else np.empty(0, bool)
-        head = np.maximum.accumulate(np.where(first, np.arange(len(group)), 0)) if len(group) else np.empty(0, np.int64)
-        late = (doc != doc[head]) | (at != at[head])
-        shared = first & (table.column("parts").to_numpy()[owner] > 1)
+        several = np.flatnonzero(~single)
+        several = several[np.lexsort((at[several], doc[several], group[several]))]
+        first = new[np.flatnonzero(~single)]  # groups keep their places
+        head = several[np.maximum.accumulate(np.where(first, np.arange(len(several)), 0))]
+        late = several[(doc[several] != doc[head]) | (at[several] != at[head])]
+        shared = np.concatenate([np.flatnonzero(single), several[first]])
+        shared = shared[table.column("parts").to_numpy()[owner[shared]] > 1]
         up, down = powers(len(data) + 1)
         total = np.zeros(len(data) + 1, U64)
         np.cumsum(BYTE_VALUES[data] * up[: len(data)], out=total[1:])
         key = mix((total[where[shared] + length] - total[where[shared]]) * down[where[shared]])
         late_doc, late_at = joined(doc[late], at[late])
         n = len(late_at)
-        out_at, kind = np.concatenate([late_at, at[shared]]), np.repeat([0, 1], [n, shared.sum()])
+        out_at, kind = np.concatenate([late_at, at[shared]]), np.repeat([0, 1], [n, len(shared)])
         out_doc = np.concatenate([late_doc, doc[shared]])
         anchor = np.concatenate([np.zeros(n, np.int64), table.column("anchor").to_numpy()[owner[shared]]])
         keys = np.concatenate([np.zeros(n, U64), key]).view(np.int64)
@@ -230,29 +239,36 @@ def shard_repeats(length: int):
     return work
 
 
+def merged(one: list[np.ndarray], two: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Two runs (code, doc, at), each sorted by codes that differ, as one with the earlier place of each code, and the later places (doc, at)."""
+    slot = np.minimum(np.searchsorted(one[0], two[0]), len(one[0]) - 1)
+    found = one[0][slot] == two[0]
+    hit, slot = np.flatnonzero(found), slot[found]
+    d0, a0, d1, a1 = one[1][slot], one[2][slot], two[1][hit], two[2][hit]
+    older = (d0 < d1) | (d0 == d1) & (a0 < a1)
+    other = (d0 != d1) | (a0 != a1)
+    late = [np.where(older, d1, d0)[other], np.where(older, a1, a0)[other]]
+    one[1][slot], one[2][slot] = np.where(older, d0, d1), np.where(older, a0, a1)
+    every = [np.concatenate([x, y[~found]]) for x, y in zip(one, two, strict=True)]
+    order = np.argsort(every[0], kind="stable")
+    return [x[order] for x in every], late
+
+
 def merge_runs(frame: pd.DataFrame) -> pd.DataFrame:
-    """Rows (shard, anchor, key, doc, at), each shard's strings different: those that another shard has earlier. Shards' runs are sorted and searched in what is merged so far."""
-    merged = None
-    late: list[pd.DataFrame] = []
-    for _, run in frame.groupby("shard"):
-        code = mix(run["key"].to_numpy().view(U64) ^ mix(run["anchor"].to_numpy().view(U64)))
-        order = np.argsort(code)
-        run = pd.DataFrame({"code": code[order], "doc": run["doc"].to_numpy()[order], "at": run["at"].to_numpy()[order]})
-        if merged is None:
-            merged = run
-            continue
-        slot = np.minimum(np.searchsorted(merged["code"].to_numpy(), run["code"].to_numpy()), len(merged) - 1)
-        hit = np.flatnonzero(merged["code"].to_numpy()[slot] == run["code"].to_numpy())
-        slot = slot[hit]
-        d0, a0, d1, a1 = merged["doc"].to_numpy()[slot], merged["at"].to_numpy()[slot], run["doc"].to_numpy()[hit], run["at"].to_numpy()[hit]
-        older = (d0 < d1) | (d0 == d1) & (a0 < a1)
-        same = (d0 == d1) & (a0 == a1)
-        late.append(pd.DataFrame({"doc": np.where(older, d1, d0)[~same], "at": np.where(older, a1, a0)[~same]}))
-        docs, ats = merged["doc"].to_numpy().copy(), merged["at"].to_numpy().copy()
-        docs[slot], ats[slot] = np.where(older, d0, d1), np.where(older, a0, a1)
-        rest = run.drop(index=hit)
-        merged = pd.concat([pd.DataFrame({"code": merged["code"], "doc": docs, "at": ats}), rest]).sort_values("code", kind="stable", ignore_index=True)
-    return pd.concat(late) if late else pd.DataFrame({"doc": np.empty(0, np.int64), "at": np.empty(0, np.int64)})
+    """Rows (shard, anchor, key, doc, at), each shard's strings different: those that another shard has earlier. Shards' sorted runs are merged two by two until one is left, so a row is moved as often as the number of shards has binary digits."""
+    code = mix(frame["key"].to_numpy().view(U64) ^ mix(frame["anchor"].to_numpy().view(U64)))
+    shard = frame["shard"].to_numpy()
+    order = np.lexsort((code, shard))
+    bounds = np.flatnonzero(np.diff(shard[order])) + 1
+    columns = (code, frame["doc"].to_numpy(), frame["at"].to_numpy())
+    runs = [list(x) for x in zip(*(np.split(c[order], bounds) for c in columns), strict=True)]
+    late = [[np.empty(0, np.int64)] * 2]
+    while len(runs) > 1:
+        made = [merged(a, b) for a, b in zip(runs[::2], runs[1::2], strict=False)]
+        late += [x for _, x in made]
+        runs = [x for x, _ in made] + runs[len(made) * 2 :]
+    doc, at = (np.concatenate(x) for x in zip(*late, strict=True))
+    return pd.DataFrame({"doc": doc, "at": at})
 
 
 def repeats(docs: DataFrame, length: int) -> DataFrame:
@@ -273,7 +289,8 @@ def repeats(docs: DataFrame, length: int) -> DataFrame:
     wanted = open_pieces.select("doc", F.shiftright("at", START_BITS).alias("tag"), F.struct("anchor", "at", shard, "parts").alias("x"))
     lists = wanted.groupBy("doc", "tag").agg(F.collect_list("x").alias("list"))  # a document's own pieces
     bodies = stored(piece_texts(docs, lists, length), "bodies")
-    found = stored(bodies.groupBy("shard").applyInArrow(shard_repeats(length), "kind long, shard long, anchor long, key long, doc long, at long"), "found")
+    dealt = bodies.repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards // TASK_SHARDS), "shard")
+    found = stored(dealt.groupBy("shard").applyInArrow(shard_repeats(length), "kind long, shard long, anchor long, key long, doc long, at long"), "found")
     local = found.filter("kind = 0").select("doc", "at")
     shared = found.filter("kind = 1")
     ranges = max(1, shared.count() >> 17)

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from rivulet.llm import suffix
@@ -81,3 +82,17 @@ def test_suffix_array_and_common_prefixes():
             while shared[k] < min(len(x), len(y)) and x[shared[k]] == y[shared[k]]:
                 shared[k] += 1
         assert suffix.common_prefixes(data, order).tolist() == shared
+
+
+def test_merging_many_shards_moves_a_row_few_times(monkeypatch):
+    draw = np.random.default_rng(6)
+    n, shards = 6000, 600
+    frame = pd.DataFrame({"shard": draw.integers(0, shards, n), "anchor": 5, "key": draw.integers(0, 900, n), "doc": draw.integers(0, 40, n), "at": draw.integers(0, 9, n)})
+    frame = frame.drop_duplicates(["shard", "key"], ignore_index=True)
+    moved, plain = [], suffix.merged
+    monkeypatch.setattr(suffix, "merged", lambda a, b: moved.append(len(a[0]) + len(b[0])) or plain(a, b))
+    out = suffix.merge_runs(frame)
+    assert sum(moved) <= len(frame) * 10  # 600 runs: ten rounds
+    late = [(d, a) for _, g in frame.groupby("key") for d, a in {*zip(g["doc"], g["at"], strict=True)} - {min(zip(g["doc"], g["at"], strict=True))}]
+    assert {*zip(out["doc"], out["at"], strict=True)} == {*late}
+    assert not len(suffix.merge_runs(frame[frame["shard"] == 3]))
