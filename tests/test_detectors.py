@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rivulet.operators import alerts, detectors, engine, folds
+from rivulet.plans.catalogue import QUERIES
 from rivulet.plans.models import _points
 from rivulet.plans.tables import DAY, flows
 
@@ -131,6 +132,21 @@ def test_fitted_head_learns_from_all_rows(spark):
     assert head.scores(np.linspace(0, 1, 50)[:, None]).mean() > 0.1
 
 
+@pytest.mark.parametrize("name", ["engine_alerts"])
+def test_queries_learn_from_all_labels(spark, name, monkeypatch):
+    """sf0.1 has 100,000 labels. The query ends once its head is there."""
+    heads = []
+
+    def scored(df, columns, head):
+        heads.append(head.seen)
+        raise StopIteration
+
+    monkeypatch.setattr(detectors, "scored_by_head", scored)
+    with pytest.raises(StopIteration):
+        QUERIES[name](spark, "/root/testdata/sf0.1")
+    assert heads == [100_000]
+
+
 @pytest.mark.parametrize("size", [1 << 17, 300])
 def test_fitted_head_is_the_mean_of_its_shards(spark, points, size):
     df = points.select("seq", *COLUMNS, F.when(F.col("seq") % 7 == 0, F.lit(float("nan"))).when(F.col("seq") % 5 > 0, F.col("label")).alias("y"))
