@@ -132,7 +132,7 @@ def test_fitted_head_learns_from_all_rows(spark):
     assert head.scores(np.linspace(0, 1, 50)[:, None]).mean() > 0.1
 
 
-@pytest.mark.parametrize("name", ["engine_alerts"])
+@pytest.mark.parametrize("name", ["engine_alerts", "engine_process"])
 def test_queries_learn_from_all_labels(spark, name, monkeypatch):
     """sf0.1 has 100,000 labels. The query ends once its head is there."""
     heads = []
